@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import zipfile
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,6 +16,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rows up to which a narrow table may be broadcast; it is counted before.
 BROADCAST_ROWS = 500_000
+BATCH_ROWS = 1000
 
 
 def ship(spark: SparkSession) -> None:
@@ -29,6 +31,8 @@ def ship(spark: SparkSession) -> None:
             z.write(p, f"ledgerline/{p.relative_to(root)}")
     sc.addPyFile(str(target))
     sc._ledgerline_shipped = True
+    # whole texts travel in batches of rows; the default of 10,000 rows has no bound in bytes
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", min(BATCH_ROWS, int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -67,3 +71,23 @@ def word_count(c: Column) -> Column:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def per_text(docs: DataFrame, key: str, text: str, run: Callable[[list[str | None]], list[tuple]], columns: str) -> DataFrame:
+    """doc_id and columns (a schema) for every row: run() gets the texts of a batch and returns a tuple for each."""
+    rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
+    schema = f"doc_id {dict(rows.dtypes)['doc_id']}, {columns}"
+
+    def batches(it: Iterator) -> Iterator:
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
+        from pyspark.sql.types import StructType
+
+        kinds = to_arrow_schema(StructType.fromDDL(schema))
+        for b in it:
+            if not b.num_rows:
+                continue
+            out = list(zip(*run(b.column(1).to_pylist())))
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(kinds.field(0).type), *(pa.array(list(c), kinds.field(k + 1).type) for k, c in enumerate(out))], schema=kinds)
+
+    return rows.mapInArrow(batches, schema)

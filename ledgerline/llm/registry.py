@@ -12,7 +12,11 @@ from ledgerline.llm.common import ship
 #: query name: module of this subpackage, with query(spark, sf_dir) and, where SQL can express it, SQL.
 MODULES = {
     "op1_mix_sources": "mixing",
+    "op2_document_fingerprints": "minhash",
+    "op4_html_extraction": "html_text",
+    "op5_bpe": "bpe",
     "op7_exact_dedup": "exact_dedup",
+    "op10_simhash_near_dedup": "simhash",
 }
 
 
