@@ -23,8 +23,10 @@ def _refine(docs: DataFrame, key: str, text: str, prefix_chars: int, carry: dict
     """Every row with _doc, _keep, _n (size of its group) and _at (rows that have both its group and the kept key)."""
     raw = F.coalesce(F.col(text), F.lit(""))
     feats = docs.select(F.length(raw).alias("_len"), F.xxhash64(lower_ascii(F.left(raw, F.lit(prefix_chars)))).alias("_pre"))
-    lengths = feats.groupBy("_len").count().where("count > 1").select("_len")
-    pairs = cut(feats.join(lengths, "_len", "left_semi").groupBy("_len", "_pre").count().where("count > 1").select("_len", "_pre", F.lit(1).alias("_hit")))
+    lengths, fits = small(cut(feats.groupBy("_len").count().where("count > 1").select("_len")))
+    # beyond the bound, one grouping settles both levels: a pair that comes twice has a length that does
+    feats = feats.join(lengths, "_len", "left_semi") if fits else feats
+    pairs = cut(feats.groupBy("_len", "_pre").count().where("count > 1").select("_len", "_pre", F.lit(1).alias("_hit")))
     pairs, fits = small(pairs)
     columns = [c for c in docs.columns] if whole_rows else []
     rows = docs.select(
