@@ -10,6 +10,8 @@ from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: A word is a run of anything but ASCII white space (bytes.split() has the same rule).
 WORD = r"[^\x20\x09-\x0D]+"
@@ -73,17 +75,21 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def arrow_schema(schema: str):
+    """The Arrow schema of a schema string; only the driver can parse one."""
+    return to_arrow_schema(StructType.fromDDL(schema))
+
+
 def per_text(docs: DataFrame, key: str, text: str, run: Callable[[list[str | None]], list[tuple]], columns: str) -> DataFrame:
     """doc_id and columns (a schema) for every row: run() gets the texts of a batch and returns a tuple for each."""
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     schema = f"doc_id {dict(rows.dtypes)['doc_id']}, {columns}"
 
+    kinds = arrow_schema(schema)
+
     def batches(it: Iterator) -> Iterator:
         import pyarrow as pa
-        from pyspark.sql.pandas.types import to_arrow_schema
-        from pyspark.sql.types import StructType
 
-        kinds = to_arrow_schema(StructType.fromDDL(schema))
         for b in it:
             if not b.num_rows:
                 continue

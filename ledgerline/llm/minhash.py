@@ -14,11 +14,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import documents, per_text
+from ledgerline.llm.common import arrow_schema, documents, per_text
 
 BINS, BITS, SHINGLE = 512, 4, 5
 _FIRST = 12  # columns of the order table that are tried before the whole
-_SPREAD = np.uint64(0x9E3779B97F4A7C15)
+_SPREAD = 0x9E3779B97F4A7C15
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -58,7 +58,7 @@ class Fingerprinter:
         if not len(words):
             return _mix(np.array([self.factors[0]], np.uint64))
         n = len(words) - k + 1
-        h = np.full(n, np.uint64(k) * _SPREAD, np.uint64)
+        h = np.full(n, k * _SPREAD % 2**64, np.uint64)
         for i in range(k):
             h += words[i : i + n] * self.factors[i]
         return _mix(h)
@@ -152,12 +152,11 @@ def compare_with_next(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
     schema = f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
+    kinds = arrow_schema(schema)
+
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
-        from pyspark.sql.pandas.types import to_arrow_schema
-        from pyspark.sql.types import StructType
 
-        kinds = to_arrow_schema(StructType.fromDDL(schema))
         fp = Fingerprinter(bins, bits, shingle)
         held: tuple | None = None  # the row whose next is awaited: bucket, copy, doc_id, text, fingerprint
 

@@ -13,6 +13,7 @@ from ledgerline.llm.common import ship
 MODULES = {
     "op1_mix_sources": "mixing",
     "op2_document_fingerprints": "minhash",
+    "op3_language_id": "language",
     "op4_html_extraction": "html_text",
     "op5_bpe": "bpe",
     "op7_exact_dedup": "exact_dedup",
