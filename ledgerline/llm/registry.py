@@ -17,6 +17,7 @@ MODULES = {
     "op4_html_extraction": "html_text",
     "op5_bpe": "bpe",
     "op7_exact_dedup": "exact_dedup",
+    "op8_toxicity": "toxicity",
     "op10_simhash_near_dedup": "simhash",
 }
 
