@@ -120,7 +120,8 @@ def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle
     linked = classes.join(roots.select(F.col("node").alias("fp"), "root"), "fp")
     least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     linked = linked.join(least, "root").select("fp", "component_id")
-    ids = classes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    # cut, so that the last join has exchanges of its own on both sides and a hot fingerprint can be split
+    ids = cut(classes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")))
     out = rows.join(ids, "fp")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
