@@ -16,8 +16,10 @@ MODULES = {
     "op3_language_id": "language",
     "op4_html_extraction": "html_text",
     "op5_bpe": "bpe",
+    "op6_quality_classifier": "quality",
     "op7_exact_dedup": "exact_dedup",
     "op8_toxicity": "toxicity",
+    "op9_chat_formatting": "chat",
     "op10_simhash_near_dedup": "simhash",
 }
 
