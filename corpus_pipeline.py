@@ -6,25 +6,44 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerline.llm import exact_dedup, mixing
+from ledgerline.llm import bpe, exact_dedup, mixing, simhash, toxicity
 from ledgerline.llm.common import documents, shared_dir, ship
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity machine, learnt from sf_dir's labels, rejects go."""
+    ship(spark)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.keep_clean(docs, toxicity.train(docs, labels))
+
+
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of equal texts stays, the one with the largest doc_id."""
     ship(spark)
     return exact_dedup.dedup_rows(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each component of linked SimHash fingerprints stays, the one with the least doc_id."""
+    ship(spark)
+    return simhash.dedup_rows(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix's rows: a document comes once for each pass over its source that takes words of it."""
     ship(spark)
     return mixing.mixed_rows(docs)
 
 
-STAGES = [("exact dedup", drop_exact_copies), ("mixing", mix_sources)]
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of ids and decoded text, for each row of the mix."""
+    ship(spark)
+    return bpe.encode(docs, bpe.tokenizer_path(), with_ids=False)
+
+
+STAGES = [("toxicity", drop_toxic), ("exact dedup", drop_exact_copies), ("near dedup", drop_near_copies), ("mixing", mix_sources), ("bpe", encode)]
 
-#: SQL can't express the pipeline.
+#: SQL can't express the toxicity machine or BPE.
 ORACLE_SQL = None
 
 
