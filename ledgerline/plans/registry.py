@@ -3,17 +3,50 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+_MODULES = ("market", "text", "similarity", "kernels", "inference", "experiments")
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    """Registers a query under a name; sql: DuckDB's for the same columns, where SQL can express it."""
+
+    def add(f: Query) -> Query:
+        assert name not in _QUERIES, name
+        _QUERIES[name] = f
+        if sql:
+            _SQL[name] = sql
+        return f
+
+    return add
+
+
+def rounded(df: DataFrame, places: int = 6) -> DataFrame:
+    """All doubles rounded, so that sums in another order compare equal."""
+    return df.select(*[F.round(F.col(c), places).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes])
+
+
+def _load() -> None:
+    for m in _MODULES:
+        import_module(f"ledgerline.plans.{m}")
+
+
+def queries() -> dict[str, Query]:
+    _load()
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    _load()
+    return dict(_SQL)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    _load()
+    return _QUERIES["performance_metrics"](spark, sf_dir)
