@@ -173,8 +173,8 @@ def _kernel(rows: list[str], columns: list[str]) -> np.ndarray:
     table[place, of] = w
     table /= np.sqrt((table**2).sum(axis=0))
     out = np.zeros((len(rows), len(columns)))
-    for at in range(0, len(rows), 1000):
-        part = rows[at : at + 1000]
+    for at in range(0, len(rows), 100):  # a row has some hundred subsequences, each with a value for every column
+        part = rows[at : at + 100]
         of, sub, w = features(part)
         norm = np.sqrt(np.bincount(of, w * w, len(part)))
         k = np.minimum(np.searchsorted(used, sub), len(used) - 1)
@@ -227,7 +227,13 @@ def _signature(bag: list[str]) -> tuple[int, ...]:
 
 def _spread_counts(bags: list[list[str]]) -> Counter:
     """In how many bags each segment is, near copies counted once."""
-    return Counter(s for s, _ in {(s, g) for b in bags for g in [_signature(b)] for s in b})
+    alike: dict[tuple[int, ...], list[list[str]]] = {}
+    for b in bags:
+        alike.setdefault(_signature(b), []).append(b)
+    found: Counter = Counter()
+    for same in alike.values():
+        found.update(set().union(*same))
+    return found
 
 
 def fit(bags: list[tuple[int, list[str]]], held: list[tuple[int, float, str]]) -> Machine:
@@ -309,9 +315,12 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
             found = [sorted(segments(t)) for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.list_(pa.string()))], names=["k", "y", "s"])
 
-    taught = rows.where("NOT held").select("k", "y", "t").mapInArrow(bags, f"k {dict(rows.dtypes)['k']}, y int, s array<string>").orderBy("k").collect()
+    import sys
+
+    taught = rows.where("NOT held").select("k", "y", "t").mapInArrow(bags, f"k {dict(rows.dtypes)['k']}, y int, s array<string>").orderBy("k")
     held = rows.where("held").orderBy("k").collect()
-    return fit([(r.y, r.s) for r in taught], [(r.y, 1 / rates[r.y], r.t) for r in held])
+    one = sys.intern  # a segment comes in many documents, but once in memory
+    return fit([(r.y, [one(x) for x in r.s]) for r in taught.toLocalIterator()], [(r.y, 1 / rates[r.y], r.t) for r in held])
 
 
 def classify(docs: DataFrame, machine: Machine, key: str = "doc_id", text: str = "text") -> DataFrame:
