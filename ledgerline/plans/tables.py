@@ -87,8 +87,8 @@ UNIVERSE = f"""universe AS (SELECT a.rebal_date, a.ticker, a.median_adv FROM adv
   WHERE a.median_adv >= {ADV_THRESHOLD} AND c.n_ret >= floor(c.n_days * 0.8))"""
 SECTOR = "sector AS (SELECT DISTINCT p_brand AS ticker, CASE WHEN NOT ends_with(regexp_extract(p_brand, '(\\d+)', 1), '5') THEN substr(regexp_extract(p_brand, '(\\d+)', 1), 1, 1) END AS sector FROM part)"
 EMB = """emb AS (SELECT 'T' || CAST(label AS VARCHAR) AS ticker, CAST(DATE '2020-01-01' + CAST(vec_id * 7 % 1800 AS INT) AS DATE) AS doc_date, vec_id AS doc_id,
-  list_transform(embedding, x -> CAST(x AS DOUBLE) * (1 + vec_id % 3)) AS embedding FROM embeddings)"""
-ASOF = "asof AS (SELECT CAST(d AS DATE) AS as_of FROM (SELECT unnest(generate_series(DATE '2020-04-01', DATE '2025-01-01', INTERVAL 3 MONTH)) AS d))"
+  list_transform(embedding, lambda x: CAST(x AS DOUBLE) * (1 + vec_id % 3)) AS embedding FROM embeddings)"""
+ASOF = "asofd AS (SELECT CAST(d AS DATE) AS as_of FROM (SELECT unnest(generate_series(DATE '2020-04-01', DATE '2025-01-01', INTERVAL 3 MONTH)) AS d))"
 FILINGS = """filings AS (SELECT source AS ticker, doc_id, CAST(2010 + doc_id % 10 AS INT) AS year, make_date(2010 + doc_id % 10, 1 + doc_id % 12, 1) AS doc_date, text FROM documents)"""
 #: Equal weights of the universe's members, and the closed form of their backtest.
 EW = "weights AS (SELECT rebal_date, ticker, 1.0 / count(*) OVER (PARTITION BY rebal_date) AS weight FROM universe)"
