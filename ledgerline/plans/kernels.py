@@ -1 +1,59 @@
+"""Queries that need a matrix: covariances and optimised weights per rebalance date."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ledgerline.operators import covariance, portfolio
+from ledgerline.operators.embed import aggregate_universe
+from ledgerline.operators.portfolio import strategy
+from ledgerline.plans import market
+from ledgerline.plans import tables as t
+from ledgerline.plans.registry import query, rounded
+
+LOOKBACK = 104
+
+
+def ticker_embeddings(spark: SparkSession, d: str) -> DataFrame:
+    """(as_of, ticker, embedding) on the rebalance dates, for brands: vector v belongs to brand 1 + v % 25."""
+    e = t.read(spark, d, "embeddings")
+    docs = e.select(F.concat(F.lit("Brand#"), (1 + F.col("vec_id") % 25).cast("string")).alias("ticker"), F.expr("date_add(DATE'1995-06-01', CAST(vec_id * 7 % 1800 AS INT))").alias("doc_date"), "embedding")
+    return aggregate_universe(docs, t.rebalances(spark).withColumnRenamed("rebal_date", "as_of"))
+
+
+def facts(spark: SparkSession, d: str, members: DataFrame | None = None) -> DataFrame:
+    """(rebal_date, ticker, embedding, sector) of a universe."""
+    m = market.members(spark, d) if members is None else members
+    e = ticker_embeddings(spark, d).select(F.col("as_of").alias("rebal_date"), "ticker", "embedding")
+    return m.select("rebal_date", "ticker").join(e, ["rebal_date", "ticker"]).join(F.broadcast(t.sectors(spark, d)), "ticker", "left")
+
+
+def window(spark: SparkSession, d: str, lookback: int = LOOKBACK) -> DataFrame:
+    return covariance.windowed(t.returns(spark, d), t.places(spark, d)[1], lookback)
+
+
+for _name, _methods in {
+    "psd_cov": ["sample"], "lw_cov": ["ledoit_wolf"], "text_cov_pairs": ["cosine"], "semantic_shrinkage_cov": ["semantic"], "cv_alpha": ["semantic_cv"], "pca_factor_cov": ["pca"],
+    "multitarget_cov": ["multi_target_cv", "multi_target_frobenius"], "sector_cov": ["sector"], "blended_cov": ["blended"],
+}.items():
+
+    @query(_name)
+    def cov(spark: SparkSession, d: str, methods: list[str] = _methods) -> DataFrame:
+        return rounded(portfolio.covariance(window(spark, d), facts(spark, d), methods), 8)
+
+
+for _name, _strategies in {
+    "min_variance_weights": [strategy("lw", "ledoit_wolf"), strategy("semantic")],
+    "max_sharpe_weights": [strategy("max_sharpe", objective="max_sharpe")],
+    "mean_variance_weights": [strategy("mean_variance", objective="mean_variance")],
+    "risk_parity_weights": [strategy("risk_parity", objective="risk_parity")],
+    "sector_constrained_weights": [strategy("sector_25", sector_cap=0.25, cap=0.2)],
+    "sector_capped_equal_weights": [strategy("ew_sector_30", "equal", sector_cap=0.30)],
+    "vol_target_weights": [strategy("vol_10", vol_target=0.10)],
+    "sic_portfolio_weights": [strategy("sic", "sector")],
+}.items():
+
+    @query(_name)
+    def weights(spark: SparkSession, d: str, strategies: list[dict] = _strategies) -> DataFrame:
+        return rounded(portfolio.weights(window(spark, d), facts(spark, d), strategies))
