@@ -95,7 +95,7 @@ def pair_tests(returns: DataFrame, pairs: list[tuple[str, str]], block: list[int
     y = returns.select(F.col("strategy").alias("b"), "date", F.col("ret").alias("rb"))
     j = F.broadcast(p).join(x, "a").join(y, ["b", "date"])
 
-    def run(key, g: pd.DataFrame) -> pd.DataFrame:  # noqa: ANN001
+    def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("date")
         if len(g) < least:
             return pd.DataFrame()
@@ -111,7 +111,7 @@ def factor_regression(returns: DataFrame, factors: DataFrame, columns: list[str]
     """(strategy, term, beta, t, p_value, r2, r2_adj, n): excess returns on factors, in one grouped task a strategy; none below least days."""
     j = returns.join(F.broadcast(factors), "date").select("strategy", "date", (F.col("ret") - (F.col(rf) if rf else 0.0)).alias("y"), *columns)
 
-    def run(key, g: pd.DataFrame) -> pd.DataFrame:  # noqa: ANN001
+    def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         if len(g) < least:
             return pd.DataFrame()
         g = g.sort_values("date")

@@ -1 +1,301 @@
+"""Composite studies: each is one lazy plan over (strategy or parameter, rebalance date), reduced to a small table."""
 
+from __future__ import annotations
+
+from functools import reduce
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ledgerline.operators import backtest, covariance, embed, inference, kernels, metrics, panel, portfolio, rank, tfidf
+from ledgerline.operators.portfolio import strategy
+from ledgerline.plans import kernels as k
+from ledgerline.plans import market
+from ledgerline.plans import tables as t
+from ledgerline.plans.registry import query, rounded
+from ledgerline.session import cut
+
+ALPHA_GRID = (0.0, 0.25, 0.5, 0.75, 1.0)
+MULTIPLIERS = (0.5, 1.0, 1.5, 2.0)
+K_GRID = (1, 3, 5, 10, 20)
+LOOKBACKS = (26, 52, 104)
+EW = strategy("equal_weight", "equal")
+LW = strategy("ledoit_wolf", "ledoit_wolf")
+SEMANTIC = strategy("semantic")
+
+
+def with_equal(weights: DataFrame, members: DataFrame) -> DataFrame:
+    return weights.unionByName(market.equal_weights(members))
+
+
+def walk(spark: SparkSession, d: str, strategies: list[dict], facts: DataFrame | None = None, lookback: int = k.LOOKBACK) -> tuple[DataFrame, DataFrame]:
+    """(weights, daily returns after tiered costs) of strategies over all rebalance dates."""
+    facts = k.facts(spark, d) if facts is None else facts
+    # grouped Python work is done once: what follows reads its result several times
+    w = cut(portfolio.weights(k.window(spark, d, lookback), facts, strategies, least=5))
+    return w, cut(backtest.run(w, cut(t.returns(spark, d)), market.periods(spark), market.rates(spark, d)))
+
+
+def summary(w: DataFrame, r: DataFrame) -> DataFrame:
+    return metrics.performance(r).join(backtest.average_turnover(w), "strategy", "left")
+
+
+@query("walk_forward")
+def walk_forward(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(summary(*walk(spark, d, [SEMANTIC, LW, EW])))
+
+
+@query("walk_forward_tests")
+def walk_forward_tests(spark: SparkSession, d: str) -> DataFrame:
+    r = walk(spark, d, [SEMANTIC, LW, EW])[1]
+    return rounded(inference.pair_tests(r, [("semantic", "ledoit_wolf"), ("semantic", "equal_weight"), ("ledoit_wolf", "equal_weight")], draws=2000))
+
+
+@query("scaling")
+def scaling(spark: SparkSession, d: str) -> DataFrame:
+    """Universe sizes: the same strategies over the p most liquid tickers."""
+    out = []
+    for p in (10, 15, 20):
+        f = k.facts(spark, d, market.members(spark, d, p))
+        out.append(metrics.performance(walk(spark, d, [SEMANTIC, EW], f)[1]).withColumn("p", F.lit(p)))
+    return rounded(reduce(DataFrame.unionByName, out))
+
+
+@query("alpha_sweep")
+def alpha_sweep(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(summary(*walk(spark, d, [*(strategy(f"alpha_{a:g}", alpha=a) for a in ALPHA_GRID), strategy("alpha_auto", alpha="auto")])))
+
+
+@query("cv_alpha_experiment")
+def cv_alpha_experiment(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(summary(*walk(spark, d, [strategy("cv_alpha", alpha="cv"), *(strategy(f"alpha_{a:.2f}", alpha=a) for a in (0.25, 0.5, 0.75)), strategy("oracle", alpha="auto"), LW, EW])))
+
+
+@query("multitarget_experiment")
+def multitarget_experiment(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(summary(*walk(spark, d, [strategy("mt_cv", "multi_target_cv"), strategy("mt_frob", "multi_target_frobenius"), strategy("semantic_auto"), strategy("sic", "sector"), LW, EW])))
+
+
+@query("pca_k_sweep")
+def pca_k_sweep(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(summary(*walk(spark, d, [*(strategy(f"pca_{n}", k=n) for n in K_GRID), SEMANTIC, LW, EW])))
+
+
+@query("constrained_regimes")
+def constrained_regimes(spark: SparkSession, d: str) -> DataFrame:
+    s = [strategy("none"), strategy("sector_25", sector_cap=0.25, cap=0.2), strategy("sector_40", sector_cap=0.40, cap=0.2), strategy("vol_10", vol_target=0.10), strategy("sector_40_vol_10", sector_cap=0.40, cap=0.2, vol_target=0.10), strategy("ew_sector_40", "equal", sector_cap=0.40)]
+    return rounded(summary(*walk(spark, d, s)))
+
+
+@query("lookback_ablation")
+def lookback_ablation(spark: SparkSession, d: str) -> DataFrame:
+    out = []
+    for n in LOOKBACKS:
+        out.append(metrics.performance(walk(spark, d, [SEMANTIC, LW], lookback=n)[1]).withColumn("lookback", F.lit(n)))
+    return rounded(reduce(DataFrame.unionByName, out))
+
+
+@query("cold_start")
+def cold_start(spark: SparkSession, d: str) -> DataFrame:
+    """Young tickers (the highest brand numbers have their first year hidden) in or out of the universe."""
+    young = F.regexp_extract("ticker", r"(\d+)", 1).cast("int") > 20
+    m = market.members(spark, d)
+    every, old = k.facts(spark, d), k.facts(spark, d, m.where(~young))
+    a = walk(spark, d, [strategy("text_inclusive"), strategy("sic_substitute", "blended"), strategy("ew_inclusive", "equal")], every)[1]
+    b = walk(spark, d, [strategy("text_exclusive"), strategy("lw_exclusive", "ledoit_wolf"), strategy("ew_established", "equal")], old)[1]
+    return rounded(metrics.performance(a.unionByName(b)))
+
+
+@query("temporal_sensitivity")
+def temporal_sensitivity(spark: SparkSession, d: str) -> DataFrame:
+    r = walk(spark, d, [SEMANTIC, EW])[1]
+    cut = F.when(F.col("date") < F.lit("1998-07-01").cast("date"), "1").when(F.col("date") < F.lit("2000-01-01").cast("date"), "2").otherwise("3")
+    p = r.select(F.concat("strategy", F.lit("/"), cut).alias("strategy"), "date", "ret")
+    return rounded(metrics.performance(p).select(F.substring_index("strategy", "/", 1).alias("strategy"), F.substring_index("strategy", "/", -1).alias("period"), "annualized_return", "annualized_volatility", "sharpe_ratio", "max_drawdown", "n_observations"))
+
+
+@query("tfidf_experiment")
+def tfidf_experiment(spark: SparkSession, d: str) -> DataFrame:
+    """Correlation of tickers' similarity by TF-IDF with that by embedded chunks, per as-of date."""
+    docs = t.filings(spark, d)
+    dates = spark.createDataFrame([("2016-06-30",), ("2020-01-01",)], "s string").select(F.col("s").cast("date").alias("as_of"))
+    terms = tfidf.terms(docs)
+    v = tfidf.firm_vectors(docs, terms, tfidf.vocabulary(docs, terms, dates, max_features=200))
+    a, b = v.select("as_of", F.col("ticker").alias("a"), "term", F.col("value").alias("x")), v.select("as_of", F.col("ticker").alias("b"), "term", F.col("value").alias("y"))
+    cos = a.join(b, ["as_of", "term"]).where("a < b").groupBy("as_of", "a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("tfidf"))
+    from ledgerline.operators.encode import embed_documents
+
+    e = embed_documents(docs, ["ticker", "doc_id", "doc_date"], dim=64)
+    other = embed.cosine_pairs(embed.aggregate_universe(e, dates))
+    return rounded(cos.join(other, ["as_of", "a", "b"]).groupBy("as_of").agg(F.corr("tfidf", "cosine").alias("correlation"), F.count("*").alias("n_pairs")))
+
+
+@query("shuffle_placebo")
+def shuffle_placebo(spark: SparkSession, d: str) -> DataFrame:
+    """Correlation of similarity and realised correlation against that of shuffled embeddings: z-score and share at least as high."""
+    real = _similarity_and_correlation(spark, d, None).withColumn("seed", F.lit(-1))
+    fake = [_similarity_and_correlation(spark, d, s).withColumn("seed", F.lit(s)) for s in range(5)]
+    c = reduce(DataFrame.unionByName, fake, real).groupBy("seed").agg(F.corr("cosine", "corr").alias("c"))
+    r = c.where("seed = -1").select(F.col("c").alias("real"))
+    f = c.where("seed >= 0").agg(F.avg("c").alias("mean"), F.stddev_pop("c").alias("sd"), F.collect_list("c").alias("all"))
+    return rounded(f.join(F.broadcast(r)).select("real", "mean", "sd", ((F.col("real") - F.col("mean")) / F.col("sd")).alias("z"), (F.size(F.filter("all", lambda x: x >= F.col("real"))) / F.size("all")).alias("p")))
+
+
+def _similarity_and_correlation(spark: SparkSession, d: str, seed: int | None) -> DataFrame:
+    """(rebal_date, a, b, cosine, corr): similarity as of a date, correlation of the year after it (all weeks present)."""
+    firms = k.ticker_embeddings(spark, d)
+    if seed is not None:
+        firms = embed.shuffled(firms, seed)
+    pairs = embed.cosine_pairs(firms).withColumnRenamed("as_of", "rebal_date")
+    return pairs.join(covariance.realized_corr(_forward(spark, d)), ["rebal_date", "a", "b"]).select("rebal_date", "a", "b", "cosine", "corr")
+
+
+def _forward(spark: SparkSession, d: str, gap: int = 5, horizon: int = 252) -> DataFrame:
+    """(rebal_date, ticker, date_idx, x) from gap days after each date for horizon trading days, tickers without a missing one."""
+    dates = t.rebalances(spark)
+    r = t.returns(spark, d)
+    lo = F.date_add("rebal_date", gap)
+    j = r.join(F.broadcast(dates), (F.col("date") >= lo) & (F.col("date") <= F.date_add("rebal_date", gap + int(horizon * 365 / 252))))
+    n = j.groupBy("rebal_date").agg(F.countDistinct("date_idx").alias("n"))
+    full = j.groupBy("rebal_date", "ticker").agg(F.count("log_ret").alias("c")).join(F.broadcast(n), "rebal_date").where("c = n AND n >= 30").select("rebal_date", "ticker")
+    return cut(j.join(full, ["rebal_date", "ticker"], "left_semi").select("rebal_date", "ticker", "date_idx", F.col("log_ret").alias("x")))
+
+
+@query("correlation_study")
+def correlation_study(spark: SparkSession, d: str) -> DataFrame:
+    p = _similarity_and_correlation(spark, d, None)
+    s = inference.with_rank_p(rank.spearman(p, ["rebal_date"], "cosine", "corr"))
+    verdict = F.when(F.col("rho") > 0.10, "strong").when(F.col("rho") > 0.05, "moderate").otherwise("weak")
+    return rounded(s.select("rebal_date", "rho", "p_value", "n", verdict.alias("verdict")))
+
+
+@query("correlation_study_bins")
+def correlation_study_bins(spark: SparkSession, d: str) -> DataFrame:
+    b = rank.quantile_bins(_similarity_and_correlation(spark, d, None), ["rebal_date"], "cosine", 10)
+    return rounded(b.groupBy("rebal_date", "bin").agg(F.avg("cosine").alias("avg_cosine"), F.avg("corr").alias("avg_corr"), F.count("*").alias("n_pairs")))
+
+
+@query("sector_analysis")
+def sector_analysis(spark: SparkSession, d: str) -> DataFrame:
+    """Per date: how much of realised correlation similarity and a common sector explain, and where similarity is nearer than the mean."""
+    p = embed.sector_pairs(_similarity_and_correlation(spark, d, None), t.sectors(spark, d))
+    p = p.select("rebal_date", F.col("corr").alias("y"), F.col("cosine").alias("x1"), F.col("same_sector").cast("double").alias("x2"))
+    m = p.groupBy("rebal_date").agg(F.avg("y").alias("mean"))
+    wins = p.join(F.broadcast(m), "rebal_date").groupBy("rebal_date").agg(F.count_if(F.abs(F.col("x1") - F.col("y")) < F.abs(F.col("mean") - F.col("y"))).alias("wins"), F.count("*").alias("n_pairs"))
+    return rounded(rank.two_regressor_r2(p, ["rebal_date"]).join(wins, "rebal_date"))
+
+
+def _components(spark: SparkSession, d: str, n: int = 3) -> DataFrame:
+    """(rebal_date, ticker, pc, score, share): left singular vectors of each date's embeddings."""
+
+    def f(date, s: portfolio.Section) -> pd.DataFrame:  # noqa: ANN001
+        u, v, _ = np.linalg.svd(s.e, full_matrices=False)
+        return pd.concat([pd.DataFrame({"rebal_date": date, "ticker": s.tickers, "pc": c, "score": u[:, c], "share": v[c] ** 2 / (v**2).sum()}) for c in range(min(n, len(v)))])
+
+    return cut(portfolio.per_date(k.window(spark, d), k.facts(spark, d), f, "rebal_date date, ticker string, pc int, score double, share double"))
+
+
+def aligned(scores: DataFrame, least: int = 20) -> DataFrame:
+    """scores with their signs made consistent from date to date: a running product of the signs of successive correlations.
+
+    The product starts anew at a date with fewer than least tickers in common with the one before; a correlation of zero keeps the sign.
+    """
+    dates = scores.select("rebal_date").distinct().withColumn("q", F.row_number().over(Window.orderBy("rebal_date")))
+    s = scores.join(F.broadcast(dates), "rebal_date")
+    now, then = s.select("q", "pc", "ticker", F.col("score").alias("x")), s.select((F.col("q") + 1).alias("q"), "pc", "ticker", F.col("score").alias("y"))
+    c = now.join(then, ["q", "pc", "ticker"]).groupBy("q", "pc").agg(F.corr("x", "y").alias("c"), F.count("*").alias("n"))
+    g = s.select("q", "pc").distinct().join(c, ["q", "pc"], "left")
+    w = Window.partitionBy("pc").orderBy("q")
+    g = g.withColumn("run", F.sum(F.when(F.coalesce("n", F.lit(0)) < least, 1).otherwise(0)).over(w))
+    sign = F.when((F.coalesce("n", F.lit(0)) >= least) & (F.col("c") < 0), -1.0).otherwise(1.0)
+    g = g.withColumn("sign", F.product(sign).over(Window.partitionBy("pc", "run").orderBy("q").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    return cut(s.join(g.select("q", "pc", "sign"), ["q", "pc"]).withColumn("score", F.col("score") * F.col("sign")).drop("sign"))
+
+
+def characteristics(spark: SparkSession, d: str) -> DataFrame:
+    """(rebal_date, ticker, log_adv, vol, momentum) from the weeks before each date."""
+    w = k.window(spark, d, 52)
+    c = w.groupBy("rebal_date", "ticker").agg((F.stddev_samp("x") * 252**0.5).alias("vol"), (F.product(1 + F.col("x")) - 1).alias("momentum"))
+    return c.join(market._adv(spark, d).select("rebal_date", "ticker", F.ln("median_adv").alias("log_adv")), ["rebal_date", "ticker"])
+
+
+@query("pca_interpretation")
+def pca_interpretation(spark: SparkSession, d: str) -> DataFrame:
+    """Rank correlation of component scores with characteristics, averaged over dates, and the mean share of variance."""
+    s = aligned(_components(spark, d)).join(characteristics(spark, d), ["rebal_date", "ticker"])
+    out = []
+    for c in ("log_adv", "vol", "momentum"):
+        r = rank.spearman(s, ["rebal_date", "pc"], "score", c).groupBy("pc").agg(F.avg("rho").alias("mean_rho"), F.count("*").alias("n_dates"))
+        out.append(r.withColumn("characteristic", F.lit(c)))
+    share = s.groupBy("rebal_date", "pc").agg(F.max("share").alias("share")).groupBy("pc").agg(F.avg("share").alias("mean_share"))
+    return rounded(reduce(DataFrame.unionByName, out).join(share, "pc"))
+
+
+@query("pca_sector_scores")
+def pca_sector_scores(spark: SparkSession, d: str) -> DataFrame:
+    s = aligned(_components(spark, d)).join(F.broadcast(t.sectors(spark, d)), "ticker").where("sector IS NOT NULL")
+    per = s.groupBy("rebal_date", "pc", "sector").agg(F.avg("score").alias("m")).groupBy("pc", "sector").agg(F.avg("m").alias("mean_score"))
+    place = F.row_number().over(Window.partitionBy("pc").orderBy(F.abs("mean_score").desc(), "sector"))
+    return rounded(per.withColumn("place", place).where("place <= 5"))
+
+
+@query("pca_stability")
+def pca_stability(spark: SparkSession, d: str) -> DataFrame:
+    """Kendall's tau of the first component's scores on successive dates."""
+    s = aligned(_components(spark, d, 1))
+    now = s.select("q", F.col("ticker").alias("id"), F.col("score").alias("x"))
+    then = s.select((F.col("q") + 1).alias("q"), F.col("ticker").alias("id"), F.col("score").alias("y"))
+    return rounded(rank.kendall(now.join(then, ["q", "id"]), ["q"]))
+
+
+@query("beta_experiment")
+def beta_experiment(spark: SparkSession, d: str) -> DataFrame:
+    """Text beta (the first component) and trailing beta against the beta of the next 13 weeks, per date, with Newey-West t of the mean slopes."""
+    m = market.market(spark, d).withColumnRenamed("ret", "b")
+    r = panel.simple_returns(t.returns(spark, d)).join(m, "date")
+    _, places = t.places(spark, d)
+
+    def beta(lo: F.Column, hi: F.Column, name: str) -> DataFrame:
+        w = places.where(hi >= lo).select("rebal_date", F.explode(F.sequence(lo, hi)).alias("date_idx"))
+        return r.join(F.broadcast(w), "date_idx").groupBy("rebal_date", "ticker").agg(F.regr_slope("ret", "b").alias(name), F.count("*").alias(f"n_{name}")).where(F.col(f"n_{name}") >= 10).drop(f"n_{name}")
+
+    i = F.col("t_idx")
+    j = beta(F.greatest(i - 52, F.lit(1)), i - 1, "trailing").join(beta(i, i + 12, "forward"), ["rebal_date", "ticker"])
+    j = j.join(aligned(_components(spark, d, 1)).select("rebal_date", "ticker", F.col("score").alias("text")), ["rebal_date", "ticker"])
+    slopes = j.groupBy("rebal_date").agg(F.regr_slope("forward", "text").alias("text"), F.regr_slope("forward", "trailing").alias("trailing"))
+    long = slopes.selectExpr("rebal_date", "stack(2, 'text', text, 'trailing', trailing) AS (beta, slope)")
+    r2 = rank.two_regressor_r2(j.select("rebal_date", F.col("forward").alias("y"), F.col("text").alias("x1"), F.col("trailing").alias("x2")), ["rebal_date"])
+    r2 = r2.agg(F.avg("r2_first").alias("text"), F.avg("r2_second").alias("trailing"), F.avg("r2_both").alias("both")).selectExpr("stack(2, 'text', text, both, 'trailing', trailing, both) AS (beta, mean_r2, mean_r2_both)")
+    return rounded(inference.newey_west(long.where("slope IS NOT NULL"), "beta", "slope", "rebal_date").join(r2, "beta"))
+
+
+@query("var_experiment")
+def var_experiment(spark: SparkSession, d: str) -> DataFrame:
+    """Value-at-risk coverage of the equal-weight portfolio by covariance method and level over the 13 weeks after each date."""
+    methods = ["cosine", "semantic", "sample", "ledoit_wolf"]
+    cov = cut(portfolio.covariance(k.window(spark, d), k.facts(spark, d), methods))
+    vol = covariance.ew_portfolio_vol(cov.select(F.concat(F.col("method"), F.lit("|"), F.col("rebal_date").cast("string")).alias("rebal_date"), "a", "b", "cov"))
+    vol = vol.select(F.substring_index("rebal_date", "|", 1).alias("method"), F.substring_index("rebal_date", "|", -1).cast("date").alias("rebal_date"), "vol")
+    m = market.market(spark, d).join(F.broadcast(market.periods(spark)), (F.col("date") > F.col("rebal_date")) & (F.col("date") < F.col("period_end")))
+    out = []
+    for a in (0.01, 0.05):
+        from ledgerline.functions.stats import parametric_var
+
+        hits = m.join(vol, "rebal_date").select("method", "date", (F.col("ret") < -parametric_var(F.col("vol"), a)).alias("hit"))
+        c = inference.with_p_values(inference.coverage(inference.transitions(hits, ["method"]), a))
+        out.append(c.select("method", F.lit(a).alias("alpha"), "n", "v", "lr_uc", "p_uc", "lr_cc", "p_cc"))
+    return rounded(reduce(DataFrame.unionByName, out))
+
+
+@query("robustness_costs")
+def robustness_costs(spark: SparkSession, d: str) -> DataFrame:
+    """Equal-weight results with costs of half to double."""
+    w = market.equal_weights(market.members(spark, d))
+    p = cut(backtest.position_days(w, t.returns(spark, d), market.periods(spark)))
+    base, out = cut(market.rates(spark, d)), []
+    for f in MULTIPLIERS:
+        r = backtest.daily_returns(p, backtest.turnover_costs(w, backtest.drifted(p), base.withColumn("tc_rate", F.col("tc_rate") * f), 10.0 * f))
+        out.append(metrics.performance(r).withColumn("factor", F.lit(f)))
+    return rounded(reduce(DataFrame.unionByName, out))

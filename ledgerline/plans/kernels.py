@@ -11,6 +11,7 @@ from ledgerline.operators.portfolio import strategy
 from ledgerline.plans import market
 from ledgerline.plans import tables as t
 from ledgerline.plans.registry import query, rounded
+from ledgerline.session import cut
 
 LOOKBACK = 104
 
@@ -26,11 +27,11 @@ def facts(spark: SparkSession, d: str, members: DataFrame | None = None) -> Data
     """(rebal_date, ticker, embedding, sector) of a universe."""
     m = market.members(spark, d) if members is None else members
     e = ticker_embeddings(spark, d).select(F.col("as_of").alias("rebal_date"), "ticker", "embedding")
-    return m.select("rebal_date", "ticker").join(e, ["rebal_date", "ticker"]).join(F.broadcast(t.sectors(spark, d)), "ticker", "left")
+    return cut(m.select("rebal_date", "ticker").join(e, ["rebal_date", "ticker"]).join(F.broadcast(t.sectors(spark, d)), "ticker", "left"))
 
 
 def window(spark: SparkSession, d: str, lookback: int = LOOKBACK) -> DataFrame:
-    return covariance.windowed(t.returns(spark, d), t.places(spark, d)[1], lookback)
+    return cut(covariance.windowed(t.returns(spark, d), t.places(spark, d)[1], lookback))
 
 
 for _name, _methods in {

@@ -8,6 +8,8 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerline.session import ship
+
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
@@ -39,7 +41,15 @@ def _load() -> None:
 
 def queries() -> dict[str, Query]:
     _load()
-    return dict(_QUERIES)
+    return {name: _shipped(f) for name, f in _QUERIES.items()}
+
+
+def _shipped(f: Query) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return f(spark, sf_dir)
+
+    return run
 
 
 def oracle_sql() -> dict[str, str]:
