@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from ledgerline import session
+from ledgerline.session import cut, shared_dir  # noqa: F401
+
 #: A word is a run of anything but ASCII white space (bytes.split() has the same rule).
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -22,38 +21,11 @@ BATCH_ROWS = 1000
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once a session, so that their Python workers can import it."""
-    sc = spark.sparkContext
-    if getattr(sc, "_ledgerline_shipped", False):
-        return
-    root = Path(__file__).resolve().parents[1]
-    target = Path(tempfile.mkdtemp(prefix="ledgerline-")) / "ledgerline.zip"
-    with zipfile.ZipFile(target, "w") as z:
-        for p in sorted(root.rglob("*.py")):
-            z.write(p, f"ledgerline/{p.relative_to(root)}")
-    sc.addPyFile(str(target))
-    sc._ledgerline_shipped = True
-    # whole texts travel in batches of rows; the default of 10,000 rows has no bound in bytes
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", min(BATCH_ROWS, int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))))
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder for lineage cuts: spark.checkpoint.dir, or where that is unset a folder of this machine for local runs."""
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not named:
-        if not (sc.master or "").startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        named = os.path.join(tempfile.gettempdir(), "ledgerline-checkpoints")
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(named)
-    return named
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and go on from there: lost executors can't lose it."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """The package to the executors, and batches of a bounded number of rows: whole texts travel in them."""
+    session.ship(spark)
+    rows = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+    if rows <= 0 or rows > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
