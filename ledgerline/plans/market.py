@@ -324,3 +324,17 @@ def strategy_compare(spark: SparkSession, d: str) -> DataFrame:
     w = equal_weights(members(spark, d))
     p = metrics.performance(backtest.run(w, t.returns(spark, d), periods(spark)))
     return rounded(p.join(backtest.average_turnover(w), "strategy").select("strategy", "sharpe_ratio", "max_drawdown", "avg_turnover"))
+
+
+@query("stream_dedup_tumbling", "SELECT event_type, CAST(date_trunc('day', ts) AS DATE) AS day, count(DISTINCT user_id) AS n FROM events GROUP BY ALL")
+def stream_dedup_tumbling(spark: SparkSession, d: str) -> DataFrame:
+    """First events of each (user, type, day) counted per type and day, by an availableNow stream over the file."""
+    from ledgerline.streaming import news
+
+    schema = t.read(spark, d, "events").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    day = F.date_trunc("day", "ts")
+    stream = stream.withColumn("ts", F.col("ts").cast("timestamp"))
+    first = stream.withColumn("key", F.concat_ws("|", "user_id", "event_type", day.cast("string")))
+    counts = news.deduplicated(first, "key").groupBy("event_type", day.cast("date").alias("day")).agg(F.count("*").alias("n"))
+    return news.run_once(counts)
