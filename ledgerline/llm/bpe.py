@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ledgerline.llm.common import documents, per_text
 
 TOKENIZER = "word_bpe_49k.json"
-SCAN, KEPT_WORDS, NONE = 256, 700_000, 1 << 60
+SCAN, KEPT_WORDS, NONE = 256, 250_000, 1 << 60
 #: Unicode's White_Space, which the tokenizer's patterns mean by \s.
 SPACE = "\t-\r \x85\xa0" + "".join(map(chr, (0x1680, 0x2000, 0x2D, 0x200A, 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 #: Marked fixed value: the split pattern of the tokenizer file, with SPACE spelt out.

@@ -35,13 +35,15 @@ def _token_features(token: str) -> tuple[int, int]:
     return word, zlib.crc32(b"shape " + shape.encode("utf-8", "surrogatepass")) % BUCKETS
 
 
-@dataclass
+_KNOWN: dict[str, tuple[int, int]] = {}
+
+
 class Reader:
-    known: dict[str, tuple[int, int]] = field(default_factory=dict)
+    """Features of texts; those of tokens don't depend on a model, so a process keeps one table of them."""
 
     def text(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Sparse unit vector of a text: (buckets, values)."""
-        known = self.known
+        known = _KNOWN
         if len(known) > _KEPT:
             known.clear()
         ids = []
@@ -117,9 +119,6 @@ class Views:
     combination: tuple[float, float, float] = (1.0, 1.0, 0.0)
     reader: Reader = field(default_factory=Reader)
 
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"reader": Reader()}
-
     def logits(self, text: str | None, lang: str | None, source: str | None) -> tuple[float, float]:
         """Calibrated logits of the two views."""
         b, v = self.reader.text(text or "")

@@ -14,7 +14,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -26,7 +26,7 @@ from ledgerline.llm.language import held_out
 #: Documented bounds of what is learnt from: documents of each label, distinct negative segments, landmarks.
 TRAIN_DOCS, NEGATIVES, LANDMARKS = 3000, 9000, 384
 SPAN, DECAY, ROUNDS, CALIBRATION = 6, 0.65, 3, 0.25
-RIDGE, VARIED, LONGEST, FLOOR, KEPT_WORDS = 20.0, 3.0, 24, -3.0, 500_000
+RIDGE, VARIED, LONGEST, FLOOR, KEPT_WORDS = 20.0, 3.0, 24, -3.0, 300_000
 
 #: Marked fixed values: signs that stand for letters inside a word.
 STAND_INS = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"})
@@ -99,6 +99,9 @@ def features(found: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return key >> 18, key & 0x3FFFF, weight
 
 
+_TABLE: dict = {}
+
+
 @dataclass
 class Machine:
     """weight: for each subsequence; bias; platt: slope and offset of the probability over a text's highest decision value."""
@@ -106,10 +109,13 @@ class Machine:
     weight: np.ndarray
     bias: float
     platt: tuple[float, float]
-    known: dict[str, float] = field(default_factory=dict)
 
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"known": {}}
+    def _known(self) -> dict[str, float]:
+        """Values of tokens seen before, of this machine; a process keeps one such table, so old machines hold no memory."""
+        token = hash((self.weight.tobytes(), self.bias))
+        if _TABLE.get("of") != token or len(_TABLE["known"]) > KEPT_WORDS:
+            _TABLE.update(of=token, known={})
+        return _TABLE["known"]
 
     def decide(self, found: list[str]) -> np.ndarray:
         """Decision values of segments."""
@@ -124,9 +130,7 @@ class Machine:
     def highest(self, texts: list[str | None]) -> np.ndarray:
         """The highest decision value among each text's segments; FLOOR if it has none."""
         docs, missing = [], set()
-        if len(self.known) > KEPT_WORDS:
-            self.known.clear()
-        known = self.known
+        known = self._known()
         for t in texts:
             tokens = (t or "").split()
             keys = set(tokens)

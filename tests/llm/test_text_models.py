@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from ledgerline.llm import bpe, chat, html_text, language, minhash, quality, toxicity
+from tests_support import toxic_docs
 
 
 def docs(spark, texts, **more):
@@ -108,20 +109,6 @@ def test_long_texts_score_as_short_pieces():
     assert n[0] == len(t) - 1 and np.allclose(both, one[0])
 
 
-def toxic_docs():
-    rnd = random.Random(1)
-    word = lambda: "".join(rnd.choice(["ba", "lo", "ri", "te", "su", "mo", "na"]) for _ in range(rnd.randint(1, 4)))
-    insults = ["vilgrak", "dumskop", "zorfling"]
-    out = []
-    for k in range(700):
-        w = [word() for _ in range(30)]
-        y = k % 3 == 0
-        if y:
-            w[rnd.randrange(30)] = rnd.choice(insults)
-        out.append((k, " ".join(w), int(y)))
-    return out
-
-
 def test_toxicity(spark):
     rows = toxic_docs()
     d = spark.createDataFrame([(k, t) for k, t, _ in rows] + [(9000, None), (9001, ""), (9001, "")], "doc_id long, text string")
