@@ -29,7 +29,7 @@ def violations(spark: SparkSession, d: str) -> DataFrame:
 
 _HITS = f"""sr AS (SELECT ticker AS strategy, date, exp(log_ret) - 1 AS ret FROM ret), vr AS (SELECT strategy, -({Z!r} * stddev_samp(ret)) AS v FROM sr GROUP BY 1),
 hits AS (SELECT strategy, date, ret < -v AS hit FROM sr JOIN vr USING (strategy)), hw AS (SELECT *, lag(hit) OVER (PARTITION BY strategy ORDER BY date) AS was FROM hits),
-tr AS (SELECT strategy, count(*) AS n, count_if(hit) AS v, count_if(NOT was AND NOT hit) AS n00, count_if(NOT was AND hit) AS n01, count_if(was AND NOT hit) AS n10, count_if(was AND hit) AS n11 FROM hw GROUP BY 1)"""
+tr AS (SELECT strategy, count(*) AS n, CAST(count_if(hit) AS BIGINT) AS v, CAST(count_if(NOT was AND NOT hit) AS BIGINT) AS n00, CAST(count_if(NOT was AND hit) AS BIGINT) AS n01, CAST(count_if(was AND NOT hit) AS BIGINT) AS n10, CAST(count_if(was AND hit) AS BIGINT) AS n11 FROM hw GROUP BY 1)"""
 _B = (t.PX, t.CAL, t.RET)
 
 

@@ -293,12 +293,12 @@ _RAW = (t.PX, t.CAL, t.RET)
   round(quantile_cont(log_ret, 0.001), 6) AS p0_1, round(quantile_cont(log_ret, 0.01), 6) AS p1, round(quantile_cont(log_ret, 0.05), 6) AS p5, round(quantile_cont(log_ret, 0.25), 6) AS p25, round(quantile_cont(log_ret, 0.5), 6) AS p50,
   round(quantile_cont(log_ret, 0.75), 6) AS p75, round(quantile_cont(log_ret, 0.95), 6) AS p95, round(quantile_cont(log_ret, 0.99), 6) AS p99, round(quantile_cont(log_ret, 0.999), 6) AS p99_9,
   round((SELECT g1 FROM k) * sqrt(count(*) * (count(*) - 1.0)) / (count(*) - 2), 4) AS skewness, round((count(*) - 1.0) / ((count(*) - 2.0) * (count(*) - 3.0)) * ((count(*) + 1) * (SELECT g2 FROM k) + 6), 4) AS kurtosis,
-  count_if(abs(log_ret) > 0.1) AS gt_0_10, count_if(abs(log_ret) > 0.2) AS gt_0_20, count_if(abs(log_ret) > 0.3) AS gt_0_30, count_if(abs(log_ret) > 0.5) AS gt_0_50, count_if(abs(log_ret) > 0.75) AS gt_0_75, count_if(abs(log_ret) > 1.0) AS gt_1_00 FROM ret""", grain="day", clip=RAW))
+  CAST(count_if(abs(log_ret) > 0.1) AS BIGINT) AS gt_0_10, CAST(count_if(abs(log_ret) > 0.2) AS BIGINT) AS gt_0_20, CAST(count_if(abs(log_ret) > 0.3) AS BIGINT) AS gt_0_30, CAST(count_if(abs(log_ret) > 0.5) AS BIGINT) AS gt_0_50, CAST(count_if(abs(log_ret) > 0.75) AS BIGINT) AS gt_0_75, CAST(count_if(abs(log_ret) > 1.0) AS BIGINT) AS gt_1_00 FROM ret""", grain="day", clip=RAW))
 def return_distribution(spark: SparkSession, d: str) -> DataFrame:
     return audit.distribution(t.returns(spark, d, "day", None))
 
 
-@query("clipping_impact", t.sql(*_RAW, """SELECT count_if(abs(log_ret) > 0.3) AS n_clipped, round(100.0 * count_if(abs(log_ret) > 0.3) / count(*), 6) AS pct_clipped, count(DISTINCT CASE WHEN abs(log_ret) > 0.3 THEN ticker END) AS n_tickers_affected,
+@query("clipping_impact", t.sql(*_RAW, """SELECT CAST(count_if(abs(log_ret) > 0.3) AS BIGINT) AS n_clipped, round(100.0 * count_if(abs(log_ret) > 0.3) / count(*), 6) AS pct_clipped, count(DISTINCT CASE WHEN abs(log_ret) > 0.3 THEN ticker END) AS n_tickers_affected,
   round(avg(log_ret), 8) AS mean_before, round(avg(greatest(least(log_ret, 0.3), -0.3)), 8) AS mean_after, round(stddev_pop(log_ret), 6) AS std_before, round(stddev_pop(greatest(least(log_ret, 0.3), -0.3)), 6) AS std_after FROM ret""", grain="day", clip=RAW))
 def clipping_impact(spark: SparkSession, d: str) -> DataFrame:
     return audit.clipping_impact(t.returns(spark, d, "day", None), 0.3)
