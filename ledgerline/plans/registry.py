@@ -58,5 +58,15 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _load()
-    return _QUERIES["performance_metrics"](spark, sf_dir)
+    """Metrics of the equal-weight walk-forward backtest over months, which even the smallest tables fill."""
+    from ledgerline.config import LiquidityConfig
+    from ledgerline.operators import backtest, calendars, metrics, panel, universe
+    from ledgerline.plans import market
+    from ledgerline.plans import tables as t
+
+    prices = t.prices(spark, sf_dir, "month")
+    returns, calendar = panel.log_returns(prices), panel.calendar(prices)
+    places = calendars.date_places(calendar, t.rebalances(spark))
+    adv = universe.median_adv(panel.dollar_volume(prices), calendar, places, 6)
+    members = universe.investable(adv, universe.completeness(returns, places, 24), adv, LiquidityConfig(adv_threshold=1_000.0))
+    return rounded(metrics.performance(backtest.run(market.equal_weights(members), returns, market.periods(spark))))
