@@ -20,10 +20,10 @@ import unicodedata
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerline.llm.common import documents, per_text
+from ledgerline.llm.common import KEPT_WORDS, documents, per_text, words_of
 
 TOKENIZER = "word_bpe_49k.json"
-SCAN, KEPT_WORDS, NONE = 256, 250_000, 1 << 60
+SCAN, NONE = 256, 1 << 60
 #: Unicode's White_Space, which the tokenizer's patterns mean by \s.
 SPACE = "\t-\r \x85\xa0" + "".join(map(chr, (0x1680, 0x2000, 0x2D, 0x200A, 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 #: Marked fixed value: the split pattern of the tokenizer file, with SPACE spelt out.
@@ -162,15 +162,12 @@ def _sha(data) -> str:
     return hashlib.sha256(data).hexdigest()
 
 
-_MADE: dict[str, BPE] = {}
-
-
 def _made(content: str) -> BPE:
-    key = hashlib.sha256(content.encode()).hexdigest()
-    if key not in _MADE:
-        _MADE.clear()
-        _MADE[key] = BPE(content)
-    return _MADE[key]
+    """The worker's BPE of a tokenizer file; it goes with its tables when another operator takes the worker's table."""
+    held = words_of(("bpe", hashlib.sha256(content.encode()).hexdigest()))
+    if not held:
+        held["bpe"] = BPE(content)
+    return held["bpe"]
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:

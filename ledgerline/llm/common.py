@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Hashable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +18,38 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rows up to which a narrow table may be broadcast; it is counted before.
 BROADCAST_ROWS = 500_000
 BATCH_ROWS = 1000
+#: Words that a Python worker's table may hold.
+KEPT_WORDS = 100_000
+_WORDS: dict = {}
+
+
+def slices(texts: list[str | None], chars: int = 1 << 20) -> Iterator[list[str | None]]:
+    """texts in order, in lists of about so many characters, so that what is made of a list at once stays bounded."""
+    part, held = [], 0
+    for t in texts:
+        part.append(t)
+        held += len(t or "")
+        if held >= chars:
+            yield part
+            part, held = [], 0
+    if part:
+        yield part
+
+
+def words_of(owner: Hashable) -> dict:
+    """The worker's one table (of words, or what an operator keeps besides), emptied when it is full or was another owner's: workers outlive their stages."""
+    if _WORDS.get("of") != owner or len(_WORDS["known"]) > KEPT_WORDS:
+        _WORDS.clear()
+        _WORDS.update(of=owner, known={})
+    return _WORDS["known"]
+
+
+def released(batches: Iterator) -> Iterator:
+    """batches; at their end Arrow gives its free memory back, which an idle worker would keep."""
+    import pyarrow as pa
+
+    yield from batches
+    pa.default_memory_pool().release_unused()
 
 
 def ship(spark: SparkSession) -> None:
@@ -68,4 +100,4 @@ def per_text(docs: DataFrame, key: str, text: str, run: Callable[[list[str | Non
             out = list(zip(*run(b.column(1).to_pylist())))
             yield pa.RecordBatch.from_arrays([b.column(0).cast(kinds.field(0).type), *(pa.array(list(c), kinds.field(k + 1).type) for k, c in enumerate(out))], schema=kinds)
 
-    return rows.mapInArrow(batches, schema)
+    return rows.mapInArrow(lambda it: released(batches(it)), schema)

@@ -17,14 +17,13 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import arrow_schema, documents
+from ledgerline.llm.common import arrow_schema, documents, released, words_of
 from ledgerline.llm.language import held_out
 from ledgerline.llm.toxicity import logistic
 
 #: Documented bounds of what is learnt from: labelled documents of each class, documents of the unlabelled pool.
 LABELLED, POOL = 1500, 2500
 BUCKETS, META, ROUNDS, PER_ROUND, SURE, CALIBRATION = 1 << 16, 64, 4, 200, 0.9, 0.3
-_KEPT = 300_000
 _SHAPE = re.compile(r"(?P<A>[A-Z]+)|(?P<d>\d+)|(?P<a>[^\W\d_]+)")
 
 
@@ -35,17 +34,12 @@ def _token_features(token: str) -> tuple[int, int]:
     return word, zlib.crc32(b"shape " + shape.encode("utf-8", "surrogatepass")) % BUCKETS
 
 
-_KNOWN: dict[str, tuple[int, int]] = {}
-
-
 class Reader:
     """Features of texts; those of tokens don't depend on a model, so a process keeps one table of them."""
 
     def text(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Sparse unit vector of a text: (buckets, values)."""
-        known = _KNOWN
-        if len(known) > _KEPT:
-            known.clear()
+        known = words_of("quality")
         ids = []
         for t in text.split():
             f = known.get(t)
@@ -210,7 +204,7 @@ def classify(docs: DataFrame, views: Views, key: str = "doc_id", text: str = "te
                 p = np.array([sent.value.score(*r) for r in zip(*(c.to_pylist() for c in b.columns[1:]))])
                 yield pa.RecordBatch.from_arrays([b.column(0).cast(kinds.field(0).type), *(pa.array(p[:, k]) for k in range(3)), pa.array((p[:, 2] >= 0.5).astype(np.int32))], schema=kinds)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lambda batches: released(run(batches)), schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

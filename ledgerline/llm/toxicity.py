@@ -20,13 +20,15 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import documents, per_text
+from ledgerline.llm.common import documents, per_text, released, slices, words_of
 from ledgerline.llm.language import held_out
 
 #: Documented bounds of what is learnt from: documents of each label, distinct negative segments, landmarks.
 TRAIN_DOCS, NEGATIVES, LANDMARKS = 3000, 9000, 384
 SPAN, DECAY, ROUNDS, CALIBRATION = 6, 0.65, 3, 0.25
-RIDGE, VARIED, LONGEST, FLOOR, KEPT_WORDS = 20.0, 3.0, 24, -3.0, 300_000
+RIDGE, VARIED, LONGEST, FLOOR = 20.0, 3.0, 24, -3.0
+#: Segments whose subsequences are laid out at once.
+PART = 4000
 
 #: Marked fixed values: signs that stand for letters inside a word.
 STAND_INS = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"})
@@ -99,9 +101,6 @@ def features(found: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return key >> 18, key & 0x3FFFF, weight
 
 
-_TABLE: dict = {}
-
-
 @dataclass
 class Machine:
     """weight: for each subsequence; bias; platt: slope and offset of the probability over a text's highest decision value."""
@@ -111,17 +110,14 @@ class Machine:
     platt: tuple[float, float]
 
     def _known(self) -> dict[str, float]:
-        """Values of tokens seen before, of this machine; a process keeps one such table, so old machines hold no memory."""
-        token = hash((self.weight.tobytes(), self.bias))
-        if _TABLE.get("of") != token or len(_TABLE["known"]) > KEPT_WORDS:
-            _TABLE.update(of=token, known={})
-        return _TABLE["known"]
+        """Values of tokens seen before, of this machine."""
+        return words_of(("toxicity", hash((self.weight.tobytes(), self.bias))))
 
     def decide(self, found: list[str]) -> np.ndarray:
         """Decision values of segments."""
         out = np.empty(len(found))
-        for at in range(0, len(found), 20_000):
-            part = found[at : at + 20_000]
+        for at in range(0, len(found), PART):
+            part = found[at : at + PART]
             of, sub, w = features(part)
             n = len(part)
             out[at : at + n] = np.bincount(of, w * self.weight[sub], n) / np.sqrt(np.bincount(of, w * w, n)) + self.bias
@@ -129,6 +125,9 @@ class Machine:
 
     def highest(self, texts: list[str | None]) -> np.ndarray:
         """The highest decision value among each text's segments; FLOOR if it has none."""
+        return np.concatenate([np.zeros(0), *map(self._highest, slices(texts))])
+
+    def _highest(self, texts: list[str | None]) -> np.ndarray:
         docs, missing = [], set()
         known = self._known()
         for t in texts:
@@ -315,13 +314,13 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     def bags(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for b in batches:
+        for b in (b.slice(at, 100) for whole in batches for at in range(0, whole.num_rows, 100)):
             found = [sorted(segments(t)) for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.list_(pa.string()))], names=["k", "y", "s"])
 
     import sys
 
-    taught = rows.where("NOT held").select("k", "y", "t").mapInArrow(bags, f"k {dict(rows.dtypes)['k']}, y int, s array<string>").orderBy("k")
+    taught = rows.where("NOT held").select("k", "y", "t").mapInArrow(lambda batches: released(bags(batches)), f"k {dict(rows.dtypes)['k']}, y int, s array<string>").orderBy("k")
     held = rows.where("held").orderBy("k").collect()
     one = sys.intern  # a segment comes in many documents, but once in memory
     return fit([(r.y, [one(x) for x in r.s]) for r in taught.toLocalIterator()], [(r.y, 1 / rates[r.y], r.t) for r in held])
@@ -347,7 +346,7 @@ def keep_clean(docs: DataFrame, machine: Machine, text: str = "text") -> DataFra
             if b.num_rows:
                 yield b.filter(pa.array(sent.value.score(b.column(at).to_pylist()) < 0.5))
 
-    return docs.mapInArrow(clean, docs.schema)
+    return docs.mapInArrow(lambda batches: released(clean(batches)), docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
