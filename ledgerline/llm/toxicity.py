@@ -314,7 +314,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     def bags(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for b in (b.slice(at, 100) for whole in batches for at in range(0, whole.num_rows, 100)):
+        for b in (whole.slice(at, 100) for whole in batches for at in range(0, whole.num_rows, 100)):
             found = [sorted(segments(t)) for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.list_(pa.string()))], names=["k", "y", "s"])
 
