@@ -20,7 +20,7 @@ import unicodedata
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerline.llm.common import KEPT_WORDS, documents, per_text, words_of
+from ledgerline.llm.common import Words, documents, held_by, per_text
 
 TOKENIZER = "word_bpe_49k.json"
 SCAN, NONE = 256, 1 << 60
@@ -60,8 +60,7 @@ class BPE:
         self.odd = regex.compile("[\x1c-\x1f]")  # str.split() takes these for white space
         self.special_at = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.mark = next(iter(self.special), "\0")[:2]
-        self.chunks: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.chunks, self.pieces = Words(), Words()
 
     def merge(self, parts: list[int]) -> list[int]:
         """The ids that remain when the pair of least rank (the first of equals) is merged until no pair has a rank."""
@@ -120,12 +119,10 @@ class BPE:
         known, out = self.pieces, []
         for piece in [chunk] if chunk.isalpha() and chunk.isascii() else self.split(chunk):
             ids = known.get(piece)
-            if ids is None:
+            if ids is None and (ids := known.recall(piece)) is None:
                 ids = self._piece(piece)
                 if len(piece) <= 64:
-                    if len(known) >= KEPT_WORDS:
-                        known.clear()
-                    known[piece] = ids
+                    known.keep(piece, ids)
             out.append(ids)
         return out[0] if len(out) == 1 else b"".join(out)
 
@@ -133,12 +130,10 @@ class BPE:
         known, out = self.chunks, []
         for chunk in text.split() if not self.odd.search(text) else self.space.split(text):
             ids = known.get(chunk)
-            if ids is None:
+            if ids is None and (ids := known.recall(chunk)) is None:
                 ids = self._chunk(chunk)
                 if len(chunk) <= 64:
-                    if len(known) >= KEPT_WORDS:
-                        known.clear()
-                    known[chunk] = ids
+                    known.keep(chunk, ids)
             out.append(ids)
         return b"".join(out)
 
@@ -164,10 +159,7 @@ def _sha(data) -> str:
 
 def _made(content: str) -> BPE:
     """The worker's BPE of a tokenizer file; it goes with its tables when another operator takes the worker's table."""
-    held = words_of(("bpe", hashlib.sha256(content.encode()).hexdigest()))
-    if not held:
-        held["bpe"] = BPE(content)
-    return held["bpe"]
+    return held_by(("bpe", hashlib.sha256(content.encode()).hexdigest()), lambda: BPE(content))
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:

@@ -18,9 +18,32 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rows up to which a narrow table may be broadcast; it is counted before.
 BROADCAST_ROWS = 500_000
 BATCH_ROWS = 1000
-#: Words that a Python worker's table may hold.
-KEPT_WORDS = 100_000
-_WORDS: dict = {}
+#: Words that each of the two generations of a Python worker's table may hold.
+KEPT_WORDS = 60_000
+_HELD: dict = {}
+
+
+class Words(dict):
+    """A bounded table: when it is full it becomes the old generation, and the one before goes; words used again return."""
+
+    def __init__(self) -> None:
+        self.old: dict = {}
+
+    def turn(self) -> None:
+        if len(self) >= KEPT_WORDS:
+            self.old = dict(self)
+            self.clear()
+
+    def recall(self, word: str):
+        """The old generation's value of a word, which is young again; None if it has none."""
+        value = self.old.pop(word, None)
+        if value is not None:
+            self[word] = value
+        return value
+
+    def keep(self, word: str, value) -> None:
+        self.turn()
+        self[word] = value
 
 
 def slices(texts: list[str | None], chars: int = 1 << 20) -> Iterator[list[str | None]]:
@@ -36,12 +59,12 @@ def slices(texts: list[str | None], chars: int = 1 << 20) -> Iterator[list[str |
         yield part
 
 
-def words_of(owner: Hashable) -> dict:
-    """The worker's one table (of words, or what an operator keeps besides), emptied when it is full or was another owner's: workers outlive their stages."""
-    if _WORDS.get("of") != owner or len(_WORDS["known"]) > KEPT_WORDS:
-        _WORDS.clear()
-        _WORDS.update(of=owner, known={})
-    return _WORDS["known"]
+def held_by(owner: Hashable, make: Callable):
+    """What a worker keeps for one operator, made anew if it kept another's: workers outlive their stages."""
+    if owner not in _HELD:
+        _HELD.clear()
+        _HELD[owner] = make()
+    return _HELD[owner]
 
 
 def released(batches: Iterator) -> Iterator:

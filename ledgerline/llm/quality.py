@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import arrow_schema, documents, released, words_of
+from ledgerline.llm.common import Words, arrow_schema, documents, held_by, released
 from ledgerline.llm.language import held_out
 from ledgerline.llm.toxicity import logistic
 
@@ -39,12 +39,13 @@ class Reader:
 
     def text(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Sparse unit vector of a text: (buckets, values)."""
-        known = words_of("quality")
+        known = held_by("quality", Words)
         ids = []
         for t in text.split():
             f = known.get(t)
-            if f is None:
-                f = known[t] = _token_features(t)
+            if f is None and (f := known.recall(t)) is None:
+                f = _token_features(t)
+                known.keep(t, f)
             ids.extend(f)
         if not ids:
             return np.zeros(0, np.int64), np.zeros(0)

@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import documents, per_text, released, slices, words_of
+from ledgerline.llm.common import Words, documents, held_by, per_text, released, slices
 from ledgerline.llm.language import held_out
 
 #: Documented bounds of what is learnt from: documents of each label, distinct negative segments, landmarks.
@@ -109,9 +109,9 @@ class Machine:
     bias: float
     platt: tuple[float, float]
 
-    def _known(self) -> dict[str, float]:
+    def _known(self) -> Words:
         """Values of tokens seen before, of this machine."""
-        return words_of(("toxicity", hash((self.weight.tobytes(), self.bias))))
+        return held_by(("toxicity", hash((self.weight.tobytes(), self.bias))), Words)
 
     def decide(self, found: list[str]) -> np.ndarray:
         """Decision values of segments."""
@@ -130,12 +130,13 @@ class Machine:
     def _highest(self, texts: list[str | None]) -> np.ndarray:
         docs, missing = [], set()
         known = self._known()
+        known.turn()  # not in between: this slice reads all it adds
         for t in texts:
             tokens = (t or "").split()
             keys = set(tokens)
             if sum(len(x) == 1 for x in tokens) >= 2:
                 keys.update(apart(tokens))
-            missing.update(k for k in keys if k not in known)
+            missing.update(k for k in keys if k not in known and known.recall(k) is None)
             docs.append(keys)
         todo = [(k, w) for k in missing for w in windows(letters(k))]
         values = self.decide([w for _, w in todo]) if todo else []
