@@ -20,7 +20,7 @@ import unicodedata
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerline.llm.common import Words, documents, held_by, per_text
+from ledgerline.llm.common import KEPT_WORDS, Words, documents, held_by, per_text
 
 TOKENIZER = "word_bpe_49k.json"
 SCAN, NONE = 256, 1 << 60
@@ -60,7 +60,8 @@ class BPE:
         self.odd = regex.compile("[\x1c-\x1f]")  # str.split() takes these for white space
         self.special_at = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.mark = next(iter(self.special), "\0")[:2]
-        self.chunks, self.pieces = Words(), Words()
+        #: Runs of several pieces; pieces, and with them runs of a single piece in ASCII, which nothing changes any more.
+        self.chunks, self.pieces = Words(KEPT_WORDS // 2), Words(2 * KEPT_WORDS)
 
     def merge(self, parts: list[int]) -> list[int]:
         """The ids that remain when the pair of least rank (the first of equals) is merged until no pair has a rank."""
@@ -127,12 +128,14 @@ class BPE:
         return out[0] if len(out) == 1 else b"".join(out)
 
     def _plain(self, text: str) -> bytes:
-        known, out = self.chunks, []
+        known, single, out = self.chunks, self.pieces, []
         for chunk in text.split() if not self.odd.search(text) else self.space.split(text):
-            ids = known.get(chunk)
+            ids = single.get(chunk) if chunk.isascii() else None
+            if ids is None:
+                ids = known.get(chunk)
             if ids is None and (ids := known.recall(chunk)) is None:
                 ids = self._chunk(chunk)
-                if len(chunk) <= 64:
+                if len(chunk) <= 64 and chunk not in single:
                     known.keep(chunk, ids)
             out.append(ids)
         return b"".join(out)

@@ -26,11 +26,12 @@ _HELD: dict = {}
 class Words(dict):
     """A bounded table: when it is full it becomes the old generation, and the one before goes; words used again return."""
 
-    def __init__(self) -> None:
+    def __init__(self, bound: int = KEPT_WORDS) -> None:
         self.old: dict = {}
+        self.bound = bound
 
     def turn(self) -> None:
-        if len(self) >= KEPT_WORDS:
+        if len(self) >= self.bound:
             self.old = dict(self)
             self.clear()
 
