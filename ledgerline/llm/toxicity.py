@@ -52,16 +52,20 @@ def windows(segment: str) -> list[str]:
 
 
 def apart(tokens: list[str]) -> list[str]:
-    """Runs of three or more single letters that follow each other, joined."""
+    """Runs of three or more single letters that follow each other, joined; tokens of signs only may lie between them."""
     found, run = [], []
-    for t in [*tokens, ""]:
-        one = letters(t) if len(t) <= 3 else ""
-        if len(one) == 1:
-            run.append(one)
-            continue
-        if len(run) >= 3:
-            found.append("".join(run))
-        run = []
+    for t in tokens:
+        if len(t) == 1 or len(t) <= 3 and not t.isalpha():
+            one = letters(t)
+            if len(one) == 1:
+                run.append(one)
+                continue
+        if run and any(map(str.isalnum, t)):
+            if len(run) >= 3:
+                found.append("".join(run))
+            run = []
+    if len(run) >= 3:
+        found.append("".join(run))
     return found
 
 
@@ -133,9 +137,7 @@ class Machine:
         known.turn()  # not in between: this slice reads all it adds
         for t in texts:
             tokens = (t or "").split()
-            keys = set(tokens)
-            if sum(len(x) == 1 for x in tokens) >= 2:
-                keys.update(apart(tokens))
+            keys = {*tokens, *apart(tokens)}
             missing.update(k for k in keys if k not in known and known.recall(k) is None)
             docs.append(keys)
         todo = [(k, w) for k in missing for w in windows(letters(k))]

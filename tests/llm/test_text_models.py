@@ -124,6 +124,15 @@ def test_toxicity(spark):
     assert toxicity.classify(d, toxicity.train(d, labels.limit(0))).where("predicted = 1").count() == 0
 
 
+def test_spelt_out_insults_in_short_texts():
+    bags = [(y, sorted(toxicity.segments(t))) for _, t, y in toxic_docs()]
+    m = toxicity.fit(bags, [])
+    spelt = ["v i l g r a k", "v. i. l. g. r. a. k.", "v, i, l, g, r, a, k", "(v) (i) (l) (g) (r) (a) (k)", "v - i - l - g - r - a - k", "balori V. * I. * L. G. R. -- A. K. sute"]
+    assert (m.highest(spelt) >= m.decide(["vilgrak"])[0] - 1e-9).all()
+    assert (m.highest(["b. a. l. o. r. i.", "a - b or c", "v i balori l g"]) < 0).all()
+    assert toxicity.apart("a. - b, ... c x1y d 5 e".split()) == ["abc"] and toxicity.apart("a - b".split()) == []
+
+
 def test_kernel_fold_equals_landmark_sum():
     rows, marks = ["hello", "hxello", "abc"], ["hello", "yellow"]
     k = toxicity._kernel(rows, marks)
