@@ -150,6 +150,13 @@ def kendall_tau(spark: SparkSession, d: str) -> DataFrame:
     return rounded(rank.kendall(p, ["rebal_date"]))
 
 
+@query("kendall_tau_pairs", t.sql(*_BASE, t.SECTOR, _SIC, _PAIRS, "k AS (SELECT rebal_date, a || '|' || b AS id, x, round(y, 9) AS y FROM pp)", "s AS (SELECT p.rebal_date, sign(p.x - q.x) AS sx, sign(p.y - q.y) AS sy FROM k p JOIN k q ON p.rebal_date = q.rebal_date AND p.id < q.id)", "SELECT rebal_date, round(sum(sx * sy) / sqrt(sum(sx * sx) * sum(sy * sy)), 6) AS tau FROM s GROUP BY 1"))
+def kendall_tau_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """tau over all pairs of a date; kendall_tau, as its SQL, has those of Brand#25 alone."""
+    p = correlation_pairs(spark, d).select("rebal_date", F.concat_ws("|", "a", "b").alias("id"), "x", F.round("y", 9).alias("y"))
+    return rounded(rank.kendall(p, ["rebal_date"]))
+
+
 @query("qcut_deciles", t.sql(*_BASE, t.SECTOR, _SIC, _PAIRS, "ed AS (SELECT rebal_date, list_distinct(quantile_cont(x, [0, .1, .2, .3, .4, .5, .6, .7, .8, .9, 1])) AS e FROM pp GROUP BY 1)", "bn AS (SELECT p.*, greatest(len(list_filter(e, lambda v: v < x)) - 1, 0) AS bin FROM pp p JOIN ed USING (rebal_date))", "SELECT rebal_date, CAST(bin AS INT) AS bin, round(avg(x), 6) AS avg_x, round(avg(y), 6) AS avg_y, count(*) AS n FROM bn GROUP BY ALL"))
 def qcut_deciles(spark: SparkSession, d: str) -> DataFrame:
     b = rank.quantile_bins(correlation_pairs(spark, d), ["rebal_date"], "x", 10)
