@@ -50,7 +50,7 @@ def walk_forward(spark: SparkSession, d: str) -> DataFrame:
 @query("walk_forward_tests")
 def walk_forward_tests(spark: SparkSession, d: str) -> DataFrame:
     r = walk(spark, d, [SEMANTIC, LW, EW])[1]
-    return rounded(inference.pair_tests(r, [("semantic", "ledoit_wolf"), ("semantic", "equal_weight"), ("ledoit_wolf", "equal_weight")], draws=2000))
+    return rounded(inference.pair_tests(r, [("semantic", "ledoit_wolf"), ("semantic", "equal_weight"), ("ledoit_wolf", "equal_weight")]))
 
 
 @query("scaling")

@@ -113,9 +113,9 @@ PAIRS = [("Brand#1", "Brand#2"), ("Brand#3", "Brand#4"), ("Brand#5", "Brand#6")]
 
 @query("block_permutation_bootstrap")
 def block_permutation_bootstrap(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(inference.pair_tests(brand_returns(spark, d), PAIRS, draws=2000))
+    return rounded(inference.pair_tests(brand_returns(spark, d), PAIRS))
 
 
 @query("block_sensitivity")
 def block_sensitivity(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(inference.pair_tests(brand_returns(spark, d), PAIRS, block=[42, 63, 126], draws=2000))
+    return rounded(inference.pair_tests(brand_returns(spark, d), PAIRS, block=[42, 63, 126]))

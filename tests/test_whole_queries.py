@@ -19,3 +19,24 @@ def test_tau_takes_all_pairs(spark, monkeypatch):
         s = [(sign(u[0] - v[0]), sign(u[1] - v[1])) for i, u in enumerate(p) for v in p[:i]]
         want = sum(x * y for x, y in s) / (sum(x * x for x, _ in s) * sum(y * y for _, y in s)) ** 0.5
         assert len(p) == 21 and abs(got[date] - want) < 1e-6
+
+
+def test_resampling_takes_the_default_draws(spark, monkeypatch):
+    from ledgerline.plans import experiments
+    from ledgerline.plans import inference as plans
+
+    took = []
+    sign = inspect.signature(inference.pair_tests)
+
+    def spy(*args, **more):
+        b = sign.bind(*args, **more)
+        b.apply_defaults()
+        took.append(b.arguments["draws"])
+        return spark.range(1)
+
+    monkeypatch.setattr(inference, "pair_tests", spy)
+    monkeypatch.setattr(plans, "brand_returns", lambda s, d: None)
+    monkeypatch.setattr(experiments, "walk", lambda *a, **k: (None, None))
+    for name in ("block_permutation_bootstrap", "block_sensitivity", "walk_forward_tests"):
+        registry.queries()[name](spark, "")
+    assert took == [10_000] * 3
