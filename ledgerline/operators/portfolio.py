@@ -99,11 +99,16 @@ def section_weights(s: Section, p: dict) -> tuple[np.ndarray, dict]:
 def weights(window: DataFrame, facts: DataFrame, strategies: list[dict], least: int = 2) -> DataFrame:
     """(strategy, rebal_date, ticker, weight) of every strategy and date; dates with too few tickers or days have none.
 
-    Each (date, strategy) is a group of its own, so that a long grid of strategies spreads over the cluster.
+    Each (date, strategy) is a group of its own, so that a long grid of strategies spreads over the cluster. Facts with a
+    column strategy are those of that strategy alone.
     """
     by_name = {p["name"]: p for p in strategies}
     names = F.array(*map(F.lit, by_name))
-    kept = window.join(facts.select("rebal_date", "ticker"), ["rebal_date", "ticker"], "left_semi")
+    if "strategy" in facts.columns:
+        own, kept = facts, window.join(facts.select(F.col("strategy").alias("of"), "rebal_date", "ticker"), ["rebal_date", "ticker"]).withColumnRenamed("of", "strategy")
+    else:
+        own = facts.withColumn("strategy", F.explode(names))
+        kept = window.join(facts.select("rebal_date", "ticker"), ["rebal_date", "ticker"], "left_semi").withColumn("strategy", F.explode(names))
 
     def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:  # noqa: ANN001
         if not len(right):
@@ -114,6 +119,4 @@ def weights(window: DataFrame, facts: DataFrame, strategies: list[dict], least:
         w, _ = section_weights(s, by_name[key[1]])
         return pd.DataFrame({"strategy": key[1], "rebal_date": key[0], "ticker": s.tickers, "weight": w})
 
-    left = kept.withColumn("strategy", F.explode(names)).groupBy("rebal_date", "strategy")
-    right = facts.withColumn("strategy", F.explode(names)).groupBy("rebal_date", "strategy")
-    return left.cogroup(right).applyInPandas(run, "strategy string, rebal_date date, ticker string, weight double")
+    return kept.groupBy("rebal_date", "strategy").cogroup(own.groupBy("rebal_date", "strategy")).applyInPandas(run, "strategy string, rebal_date date, ticker string, weight double")

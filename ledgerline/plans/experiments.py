@@ -21,6 +21,7 @@ ALPHA_GRID = (0.0, 0.25, 0.5, 0.75, 1.0)
 MULTIPLIERS = (0.5, 1.0, 1.5, 2.0)
 K_GRID = (1, 3, 5, 10, 20)
 LOOKBACKS = (26, 52, 104)
+PLACEBO_SIZES, SHUFFLES = (12, 15, 20, 25), 10
 EW = strategy("equal_weight", "equal")
 LW = strategy("ledoit_wolf", "ledoit_wolf")
 SEMANTIC = strategy("semantic")
@@ -134,21 +135,30 @@ def tfidf_experiment(spark: SparkSession, d: str) -> DataFrame:
 
 @query("shuffle_placebo")
 def shuffle_placebo(spark: SparkSession, d: str) -> DataFrame:
-    """Correlation of similarity and realised correlation against that of shuffled embeddings: z-score and share at least as high."""
-    real = _similarity_and_correlation(spark, d, None).withColumn("seed", F.lit(-1))
-    fake = [_similarity_and_correlation(spark, d, s).withColumn("seed", F.lit(s)) for s in range(5)]
-    c = reduce(DataFrame.unionByName, fake, real).groupBy("seed").agg(F.corr("cosine", "corr").alias("c"))
-    r = c.where("seed = -1").select(F.col("c").alias("real"))
-    f = c.where("seed >= 0").agg(F.avg("c").alias("mean"), F.stddev_pop("c").alias("sd"), F.collect_list("c").alias("all"))
-    return rounded(f.join(F.broadcast(r)).select("real", "mean", "sd", ((F.col("real") - F.col("mean")) / F.col("sd")).alias("z"), (F.size(F.filter("all", lambda x: x >= F.col("real"))) / F.size("all")).alias("p")))
-
-
-def _similarity_and_correlation(spark: SparkSession, d: str, seed: int | None) -> DataFrame:
+    """Universe sizes: Sharpe ratio of the semantic strategy against those with embeddings shuffled among a date's members: z-score and share at least as high."""
+    parts, names = [], []
+    for size in PLACEBO_SIZES:
+        f = k.facts(spark, d, market.members(spark, d, size))
+        for seed in (None, *range(SHUFFLES)):
+            names.append(f"{size}/{'real' if seed is None else seed}")
+            parts.append((f if seed is None else _dealt_anew(f, seed)).select(F.lit(names[-1]).alias("strategy"), "rebal_date", "ticker", "embedding", "sector"))
+    r = walk(spark, d, [strategy(n) for n in names], cut(reduce(DataFrame.unionByName, parts)))[1]
+    s = metrics.performance(r).select(F.substring_index("strategy", "/", 1).cast("int").alias("size"), (F.substring_index("strategy", "/", -1) == "real").alias("is_real"), F.col("sharpe_ratio").alias("s"))
+    real = s.where("is_real").select("size", F.col("s").alias("real"))
+    fake = s.where("NOT is_real").groupBy("size").agg(F.count("s").alias("n_shuffles"), F.avg("s").alias("mean"), F.stddev_pop("s").alias("sd"), F.collect_list("s").alias("all"))
+    z = F.when(F.col("sd") > 0, (F.col("real") - F.col("mean")) / F.col("sd"))
+    return rounded(fake.join(F.broadcast(real), "size").select("size", "n_shuffles", "real", "mean", "sd", z.alias("z"), (F.size(F.filter("all", lambda x: x >= F.col("real"))) / F.size("all")).alias("p")))
+
+
+def _dealt_anew(facts: DataFrame, seed: int) -> DataFrame:
+    """facts with each date's embeddings dealt anew among its tickers."""
+    e = embed.shuffled(facts.select(F.col("rebal_date").alias("as_of"), "ticker", F.lit(None).cast("int").alias("n_documents"), "embedding"), seed)
+    return facts.drop("embedding").join(e.select(F.col("as_of").alias("rebal_date"), "ticker", "embedding"), ["rebal_date", "ticker"])
+
+
+def _similarity_and_correlation(spark: SparkSession, d: str) -> DataFrame:
     """(rebal_date, a, b, cosine, corr): similarity as of a date, correlation of the year after it (all weeks present)."""
-    firms = k.ticker_embeddings(spark, d)
-    if seed is not None:
-        firms = embed.shuffled(firms, seed)
-    pairs = embed.cosine_pairs(firms).withColumnRenamed("as_of", "rebal_date")
+    pairs = embed.cosine_pairs(k.ticker_embeddings(spark, d)).withColumnRenamed("as_of", "rebal_date")
     return pairs.join(covariance.realized_corr(_forward(spark, d)), ["rebal_date", "a", "b"]).select("rebal_date", "a", "b", "cosine", "corr")
 
 
@@ -165,7 +175,7 @@ def _forward(spark: SparkSession, d: str, gap: int = 5, horizon: int = 252) -> D
 
 @query("correlation_study")
 def correlation_study(spark: SparkSession, d: str) -> DataFrame:
-    p = _similarity_and_correlation(spark, d, None)
+    p = _similarity_and_correlation(spark, d)
     s = inference.with_rank_p(rank.spearman(p, ["rebal_date"], "cosine", "corr"))
     verdict = F.when(F.col("rho") > 0.10, "strong").when(F.col("rho") > 0.05, "moderate").otherwise("weak")
     return rounded(s.select("rebal_date", "rho", "p_value", "n", verdict.alias("verdict")))
@@ -173,14 +183,14 @@ def correlation_study(spark: SparkSession, d: str) -> DataFrame:
 
 @query("correlation_study_bins")
 def correlation_study_bins(spark: SparkSession, d: str) -> DataFrame:
-    b = rank.quantile_bins(_similarity_and_correlation(spark, d, None), ["rebal_date"], "cosine", 10)
+    b = rank.quantile_bins(_similarity_and_correlation(spark, d), ["rebal_date"], "cosine", 10)
     return rounded(b.groupBy("rebal_date", "bin").agg(F.avg("cosine").alias("avg_cosine"), F.avg("corr").alias("avg_corr"), F.count("*").alias("n_pairs")))
 
 
 @query("sector_analysis")
 def sector_analysis(spark: SparkSession, d: str) -> DataFrame:
     """Per date: how much of realised correlation similarity and a common sector explain, and where similarity is nearer than the mean."""
-    p = embed.sector_pairs(_similarity_and_correlation(spark, d, None), t.sectors(spark, d))
+    p = embed.sector_pairs(_similarity_and_correlation(spark, d), t.sectors(spark, d))
     p = p.select("rebal_date", F.col("corr").alias("y"), F.col("cosine").alias("x1"), F.col("same_sector").cast("double").alias("x2"))
     m = p.groupBy("rebal_date").agg(F.avg("y").alias("mean"))
     wins = p.join(F.broadcast(m), "rebal_date").groupBy("rebal_date").agg(F.count_if(F.abs(F.col("x1") - F.col("y")) < F.abs(F.col("mean") - F.col("y"))).alias("wins"), F.count("*").alias("n_pairs"))
