@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Hashable, Iterator
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +19,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rows up to which a narrow table may be broadcast; it is counted before.
 BROADCAST_ROWS = 500_000
 BATCH_ROWS = 1000
+FOLDS = 5
 #: Words that each of the two generations of a Python worker's table may hold.
 KEPT_WORDS = 60_000
 _HELD: dict = {}
@@ -99,10 +101,51 @@ def word_count(c: Column) -> Column:
     return F.coalesce(F.regexp_count(c, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def held_out(key: str) -> Column:
+    """The fold of keys that nothing is learnt from."""
+    return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit(""))) % FOLDS == 0
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, key: str, label: str, fields: dict[str, str], most: int, salt: str, settle: Callable) -> DataFrame:
+    """Rows (y, weight, calibrates, then fields) of at most `most` labelled documents of each label that are not held out.
+
+    Of each label the first by a hash of the key are taken, sorted by that hash; weight is how many each stands for, calibrates a number of [0, 1)
+    that the key decides. settle makes one label of a key's several; of a key's several documents the least counts.
+    """
+    known = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).where(F.col("y").isNotNull() & F.col("k").isNotNull() & ~held_out("k")).groupBy("k").agg(settle("y").alias("y"))
+    counts = {r.y: r["count"] for r in known.groupBy("y").count().collect()}  # one row a label
+    rows = docs.select(F.col(key).alias("k"), F.struct(*[F.col(c).alias(n) for n, c in fields.items()]).alias("d"))
+    number = lambda *x: F.pmod(F.xxhash64(*x), F.lit(1_000_000)) / 1e6
+    place, parts = F.col("k").cast("string"), []
+    for y, n in sorted(counts.items()):
+        # a little more than needed by the hash, then exactly that many: no count of rows is only expected
+        near = known.where((F.col("y") == y) & (number(place, F.lit(salt)) < min(1.0, 1.2 * most / n + 50 / n)))
+        parts.append(near.withColumn("at", F.xxhash64(place, F.lit(salt))).orderBy("at", "k").limit(most).withColumn("weight", F.lit(max(1.0, n / most))))
+    if not parts:
+        return rows.limit(0).select(F.lit(0).alias("y"), F.lit(1.0).alias("weight"), F.lit(0.0).alias("calibrates"), "d.*")
+    chosen = cut(reduce(DataFrame.unionByName, parts))
+    found = rows.join(F.broadcast(chosen), "k").groupBy("k", "y", "at", "weight").agg(F.min("d").alias("d"))
+    found = found.repartition(1).sortWithinPartitions("at", "k")
+    return found.select("y", "weight", number(F.lit("calibration"), place).alias("calibrates"), "d.*")
+
+
+def learnt(rows: DataFrame, learn: Callable[[Iterator[tuple]], dict], schema: str):
+    """The one row that learn() makes of all rows, in one task; rows come as tuples and are bounded by the caller. None if there are none."""
+    kinds = arrow_schema(schema)
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        tuples = (r for b in batches for at in range(0, b.num_rows, 100) for r in zip(*(c.to_pylist() for c in b.slice(at, 100).columns)))
+        yield pa.RecordBatch.from_pylist([learn(tuples)], schema=kinds)
+
+    return rows.mapInArrow(lambda batches: released(run(batches)), schema).first()
+
+
 def arrow_schema(schema: str):
     """The Arrow schema of a schema string; only the driver can parse one."""
     return to_arrow_schema(StructType.fromDDL(schema))

@@ -18,12 +18,11 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import documents, per_text
+from ledgerline.llm.common import arrow_schema, documents, held_out, per_text, released
 
 ORDER, DISCOUNT = 4, 0.75
 #: Documents of each language that a model is learnt from, and (of those) the share that calibrates: documented bounds.
 TRAIN_DOCS, CALIBRATION = 500, 0.2
-FOLDS = 5
 UNDETERMINED = "und"
 
 _NO_LETTER = re.compile(r"[\W\d_]+")
@@ -186,17 +185,14 @@ class Identifier:
         return out
 
 
-def held_out(key: str):
-    """The fold that nothing is learnt from."""
-    return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit(""))) % FOLDS == 0
-
-
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", order: int = ORDER, train_docs: int = TRAIN_DOCS) -> Identifier:
     """Learns from documents with a language that are not held out: about train_docs of each language, chosen by a hash of the key.
 
-    Counting is distributed; the driver gets the n-gram counts of the sample, whose size train_docs bounds.
+    Counting is distributed, and so is what calibration reads; the driver gets the n-gram counts of the sample, whose
+    size train_docs bounds, and a few numbers for each document that calibrates. Null languages and texts are left
+    out; other columns are ignored, whatever their names.
     """
-    rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~held_out(key)).select(F.col(key).alias("k"), F.col(text).alias("text"), F.col(lang).alias("lang"))
+    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("text"), F.col(lang).alias("lang")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out("k"))
     counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not counts:
         return Identifier([], [], order)
@@ -220,17 +216,32 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
         tables[r.lang][r.gram] = r.n
     languages = sorted(tables)
     found = Identifier(languages, [fit(tables[x], order) for x in languages], order)
-    _calibrate(found, [(r.text, r.lang) for r in sample.where("calibrates").select("text", "lang").orderBy("k").collect() if r.lang in tables])
+    if len(languages) > 1:
+        sent, kinds = docs.sparkSession.sparkContext.broadcast(found), arrow_schema("k string, lang string, n long, h array<double>")
+
+        def measure(batches: Iterator) -> Iterator:
+            import pyarrow as pa
+
+            for b in (whole.slice(at, 100) for whole in batches for at in range(0, whole.num_rows, 100)):
+                rows = [(k, lang_, p) for k, t, lang_ in zip(*(c.to_pylist() for c in b.columns)) if (p := plain(t)).strip() and lang_ in sent.value.languages]
+                if rows:
+                    h, n = sent.value.entropies([p for _, _, p in rows])
+                    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array(n), pa.array(h.tolist(), kinds.field(3).type)], schema=kinds)
+
+        measured = sample.where("calibrates").select(F.col("k").cast("string").alias("k"), "text", "lang").mapInArrow(lambda batches: released(measure(batches)), "k string, lang string, n long, h array<double>")
+        _calibrate(found, [(r.lang, r.n, r.h) for r in measured.orderBy("k", "lang", "n").collect()])
     return found
 
 
-def _calibrate(found: Identifier, pairs: list[tuple[str, str]]) -> None:
-    """Sharpness of the posterior by least log-loss; threshold that 99 of 100 right answers exceed, at most 0.5."""
-    pairs = [(p, lang) for t, lang in pairs if (p := plain(t)).strip()]
-    if not pairs or len(found.models) < 2:
+def _calibrate(found: Identifier, measured: list[tuple[str, int, list[float]]]) -> None:
+    """Sharpness of the posterior by least log-loss; threshold that 99 of 100 right answers exceed, at most 0.5.
+
+    measured: language, length and cross-entropies of documents that the models were not learnt from.
+    """
+    if not measured:
         return
-    h, n = found.entropies([p for p, _ in pairs])
-    truth = np.array([found.languages.index(lang) for _, lang in pairs])
+    h, n = np.array([m[2] for m in measured]), np.array([m[1] for m in measured])
+    truth = np.array([found.languages.index(m[0]) for m in measured])
     gap = np.sqrt(np.maximum(n, 1))[:, None] * (h - h.min(axis=1, keepdims=True))
 
     def posterior(sharpness: float) -> np.ndarray:

@@ -1,7 +1,7 @@
 """Quality by co-training: a text-content view and a page-metadata view teach each other, then score together.
 
-The text view is a logistic regression over hashed word and shape features; the metadata view is one over what is
-known or measured without reading words: language, source, length, and the make-up of lines and characters. In each
+The text view is a logistic regression over hashed word and shape features and the make-up of characters; the metadata
+view is one over what is known of a document without looking into its text: language, source and length. In each
 round either view labels the pool documents it is surest of, for the other to learn from. Both are calibrated on
 documents held back from all of that, and a last regression combines the calibrated views.
 """
@@ -14,23 +14,27 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import Words, arrow_schema, documents, held_by, released
-from ledgerline.llm.language import held_out
+from ledgerline.llm.common import Words, arrow_schema, cut, documents, held_by, held_out, labelled_sample, learnt, released
 from ledgerline.llm.toxicity import logistic
 
-#: Documented bounds of what is learnt from: labelled documents of each class, documents of the unlabelled pool.
-LABELLED, POOL = 1500, 2500
-BUCKETS, META, ROUNDS, PER_ROUND, SURE, CALIBRATION = 1 << 16, 64, 4, 200, 0.9, 0.3
+#: Documented bounds of what is learnt from: labelled documents of each class, documents of the unlabelled pool (which
+#: is drawn from all kinds of documents, see pool_of), characters of either.
+LABELLED, POOL, TRAIN_CHARS = 1500, 2500, 24_000_000
+BUCKETS, MAKE_UP, META, ROUNDS, SURE, CALIBRATION = 1 << 16, 16, 80, 4, 0.9, 0.3
+#: Share of the pool that each view may label of either class in one round.
+PER_ROUND = 0.08
+#: Metadata kinds (language, source, length) that the pool is drawn from evenly; rarer ones share a number by their hash.
+KINDS = 512
 _SHAPE = re.compile(r"(?P<A>[A-Z]+)|(?P<d>\d+)|(?P<a>[^\W\d_]+)")
 
 
 def _token_features(token: str) -> tuple[int, int]:
     """Buckets of a token's word and of its shape (letters, capitals and digits as classes, other signs as they are)."""
     word = zlib.crc32(token.lower().encode("utf-8", "surrogatepass")) % BUCKETS
-    shape = _SHAPE.sub(lambda m: m.lastgroup, token)[:12]
+    shape = _SHAPE.sub(lambda m: m.lastgroup, token)
     return word, zlib.crc32(b"shape " + shape.encode("utf-8", "surrogatepass")) % BUCKETS
 
 
@@ -38,7 +42,7 @@ class Reader:
     """Features of texts; those of tokens don't depend on a model, so a process keeps one table of them."""
 
     def text(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Sparse unit vector of a text: (buckets, values)."""
+        """Sparse vector of a text: (buckets, values); words and shapes make a unit vector, the make-up follows them."""
         known = held_by("quality", Words)
         ids = []
         for t in text.split():
@@ -47,26 +51,34 @@ class Reader:
                 f = _token_features(t)
                 known.keep(t, f)
             ids.extend(f)
+        made = self.make_up(text)
+        on = np.flatnonzero(made)
         if not ids:
-            return np.zeros(0, np.int64), np.zeros(0)
+            return BUCKETS + on, made[on]
         bucket, n = np.unique(np.array(ids), return_counts=True)
         value = 1 + np.log(n)
-        return bucket, value / np.sqrt((value**2).sum())
+        return np.r_[bucket, BUCKETS + on], np.r_[value / np.sqrt((value**2).sum()), made[on]]
 
     @staticmethod
-    def meta(text: str, lang: str | None, source: str | None) -> np.ndarray:
-        """Dense vector of a document's metadata and make-up."""
-        out = np.zeros(META)
+    def make_up(text: str) -> np.ndarray:
+        """Shares of capitals, small letters, digits, blanks, line ends, signs and some single signs among a text's bytes."""
+        out = np.zeros(MAKE_UP)
         raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
         n = max(len(raw), 1)
         by = np.bincount(raw, minlength=256)
-        upper, lower, digit, space, line = by[65:91].sum(), by[97:123].sum(), by[48:58].sum(), by[32], by[10]
         sign = by[33:48].sum() + by[58:65].sum() + by[91:97].sum() + by[123:127].sum()
-        out[:10] = np.log1p(len(text)) / 10, upper / n, lower / n, digit / n, space / n, line / n * 10, sign / n, by[128:].sum() / n, by[44] / n * 10, by[46] / n * 10
-        out[10:14] = [by[ord(c)] / n * 10 for c in "|<{/"]
-        out[14] = len(text) < 100
-        out[16 + zlib.crc32(f"lang {lang}".encode()) % 16] = 1
-        out[32 + zlib.crc32(f"source {source}".encode()) % 32] = 1
+        out[:7] = by[65:91].sum() / n, by[97:123].sum() / n, by[48:58].sum() / n, by[32] / n, by[10] / n * 10, sign / n, by[128:].sum() / n
+        out[7:13] = [by[ord(c)] / n * 10 for c in ",.|<{/"]
+        return out
+
+    @staticmethod
+    def meta(length: int, lang: str | None, source: str | None) -> np.ndarray:
+        """Dense vector of a document's metadata."""
+        out = np.zeros(META)
+        out[0] = np.log1p(length) / 10
+        out[1 + min(int(length).bit_length(), 30)] = 1
+        out[32 + zlib.crc32(f"lang {lang}".encode()) % 16] = 1
+        out[48 + zlib.crc32(f"source {source}".encode()) % 32] = 1
         return out
 
 
@@ -117,7 +129,7 @@ class Views:
     def logits(self, text: str | None, lang: str | None, source: str | None) -> tuple[float, float]:
         """Calibrated logits of the two views."""
         b, v = self.reader.text(text or "")
-        raw = (float(self.text[b] @ v + self.text[-1]), float(self.meta[:-1] @ self.reader.meta(text or "", lang, source) + self.meta[-1]))
+        raw = (float(self.text[b] @ v + self.text[-1]), float(self.meta[:-1] @ self.reader.meta(len(text or ""), lang, source) + self.meta[-1]))
         return tuple(a * x + c for x, (a, c) in zip(raw, self.calibration))
 
     def score(self, text: str | None, lang: str | None, source: str | None) -> tuple[float, float, float]:
@@ -129,7 +141,7 @@ class Views:
 
 def co_train(taught: list[tuple], pool: list[tuple], held: list[tuple]) -> Views:
     """taught and held: (label, weight, text, lang, source); pool: (text, lang, source)."""
-    views = Views(np.zeros(BUCKETS + 1), np.zeros(META + 1))
+    views = Views(np.zeros(BUCKETS + MAKE_UP + 1), np.zeros(META + 1))
     y = np.array([r[0] for r in taught], float)
     if not 0 < y.sum() < len(y):
         views.text[-1] = views.meta[-1] = 4.0 if len(y) and y.all() else -4.0 if len(y) else 0.0
@@ -137,7 +149,7 @@ def co_train(taught: list[tuple], pool: list[tuple], held: list[tuple]) -> Views
     reader, rows = views.reader, [r[2:] for r in taught] + list(pool)
     n = len(taught)
     sparse = Sparse.of([reader.text(t or "") for t, _, _ in rows])
-    dense = np.stack([reader.meta(t or "", lang, source) for t, lang, source in rows])
+    dense = np.stack([reader.meta(len(t or ""), lang, source) for t, lang, source in rows])
     label = {"text": np.r_[y, np.zeros(len(pool))], "meta": np.r_[y, np.zeros(len(pool))]}
     balance = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
     weight = {k: np.r_[balance, np.zeros(len(pool))] for k in label}
@@ -152,7 +164,7 @@ def co_train(taught: list[tuple], pool: list[tuple], held: list[tuple]) -> Views
             for one in (0, 1):  # the surest of either class, none below SURE, each document once
                 sure = p[teacher] if one else 1 - p[teacher]
                 free = np.flatnonzero((weight[learner] == 0) & (np.arange(len(rows)) >= n) & (sure >= SURE))
-                best = free[np.argsort(-sure[free], kind="stable")[:PER_ROUND]]
+                best = free[np.argsort(-sure[free], kind="stable")[: int(np.ceil(PER_ROUND * len(pool)))]]
                 label[learner][best], weight[learner][best] = one, 0.5
     if held and 0 < (hy := np.array([r[0] for r in held], float)).sum() < len(hy):
         hw = np.array([r[1] for r in held])
@@ -164,27 +176,60 @@ def co_train(taught: list[tuple], pool: list[tuple], held: list[tuple]) -> Views
     return views
 
 
-def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", lang: str = "lang", source: str = "source", labelled: int = LABELLED, pool: int = POOL) -> Views:
-    """Learns from about labelled documents of each class and about pool others, none of them held out, chosen by a hash of the key.
+def pool_of(docs: DataFrame, key: str, text: str, lang: str, source: str, pool: int) -> DataFrame:
+    """Rows (t, l, s) of at most pool documents that are not held out, as many as can be of each kind of metadata.
 
-    The driver gets those documents, whose number the two bounds limit. A key with several labels has the lowest; null labels
-    are left out. Without documents of both classes every score is the same.
+    All documents are read: each is of one of KINDS kinds by language, source and length, and the first of a kind by a
+    hash of their keys are taken, so that rare kinds take part at every size of the corpus.
+    """
+    place = F.col("k").cast("string")
+    rows = docs.select(F.col(key).alias("k"), F.col(lang).cast("string").alias("l"), F.col(source).cast("string").alias("s"), F.coalesce(F.length(text), F.lit(0)).alias("n")).where(F.col("k").isNotNull() & ~held_out("k"))
+    rows = rows.withColumn("kind", F.pmod(F.xxhash64("l", "s", F.length(F.bin("n"))), F.lit(KINDS))).withColumn("at", F.xxhash64(F.lit("pool"), place))
+    counts = {r.kind: r["count"] for r in rows.groupBy("kind").count().collect()}  # at most KINDS rows
+    if not counts:
+        return docs.limit(0).select(F.col(text).alias("t"), F.lit("").alias("l"), F.lit("").alias("s"))
+    share, left, todo = {}, pool, sorted(counts.values())
+    for i, n in enumerate(todo):  # the level up to which every kind gives all it has
+        share[n] = min(n, left // (len(todo) - i))
+        left -= share[n]
+    level = max(share.values())
+    rate = F.element_at(F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 1.2 * level / n + 50 / n))]), F.col("kind"))
+    near = rows.where(F.pmod(F.col("at"), F.lit(1_000_000)) / 1e6 < rate).select("k", "kind", "at").distinct()
+    first = near.withColumn("place", F.row_number().over(Window.partitionBy("kind").orderBy("at", "k"))).where(F.col("place") <= level)
+    chosen = cut(first.orderBy("place", "at", "k").limit(pool).select("k", "at"))
+    whole = docs.select(F.col(key).alias("k"), F.struct(F.col(text).alias("t"), F.col(lang).cast("string").alias("l"), F.col(source).cast("string").alias("s")).alias("d"))
+    return whole.join(F.broadcast(chosen), "k").groupBy("k", "at").agg(F.min("d").alias("d")).select("at", "d.*")
+
+
+def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", lang: str = "lang", source: str = "source", labelled: int = LABELLED, pool: int = POOL, train_chars: int = TRAIN_CHARS) -> Views:
+    """Learns from at most labelled documents of each class and at most pool others, none of them held out, chosen by a hash of the key.
+
+    All of it runs in one task, whose input the bounds limit; the driver gets the views alone. A key with several labels
+    has the lowest, one with several rows the least; null labels are left out. Without documents of both classes every
+    score is the same. Other columns are ignored, whatever their names.
     """
-    known = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).where(F.col("y").isNotNull() & F.col("k").isNotNull() & ~held_out("k")).groupBy("k").agg(F.min("y").alias("y"))
-    counts = {r.y: r["count"] for r in known.groupBy("y").count().collect()}
-    rates = {y: min(1.0, labelled / n) for y, n in counts.items()}
-    spread = F.pmod(F.xxhash64(F.col("k").cast("string"), F.lit("quality")), F.lit(1_000_000)) / 1e6
-    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).cast("string").alias("l"), F.col(source).cast("string").alias("s"))
-    taught, held = [], []
-    if rates:
-        rate = F.element_at(F.create_map(*[F.lit(x) for y, r in rates.items() for x in (y, r)]), F.col("y"))
-        calibrates = F.pmod(F.xxhash64(F.lit("calibration"), F.col("k").cast("string")), F.lit(1000)) < int(1000 * CALIBRATION)
-        sample = known.where(spread < rate).withColumn("held", calibrates)
-        for r in rows.join(F.broadcast(sample), "k").orderBy("k").collect():
-            (held if r.held else taught).append((r.y, 1 / rates[r.y], r.t, r.l, r.s))
-    n = docs.count()
-    others = rows.where(F.col("k").isNotNull() & ~held_out("k")).where(F.pmod(F.xxhash64(F.lit("pool"), F.col("k").cast("string")), F.lit(1_000_000)) / 1e6 < min(1.0, pool / max(n, 1)))
-    return co_train(taught, [(r.t, r.l, r.s) for r in others.orderBy("k").collect()], held)
+    sample = labelled_sample(docs, labels, key, label, {"t": text, "l": lang, "s": source}, labelled, "quality", F.min)
+    sample = sample.select(F.lit(0).alias("part"), F.monotonically_increasing_id().alias("at"), "y", "weight", "calibrates", "t", F.col("l").cast("string").alias("l"), F.col("s").cast("string").alias("s"))
+    others = pool_of(docs, key, text, lang, source, pool).select(F.lit(1).alias("part"), "at", F.lit(None).cast("int").alias("y"), F.lit(1.0).alias("weight"), F.lit(0.0).alias("calibrates"), "t", "l", "s")
+    both = sample.unionByName(others).repartition(1).sortWithinPartitions("part", "at")
+
+    def learn(rows: Iterator[tuple]) -> dict:
+        taught, held, unlabelled, chars = [], [], [], [0, 0]
+        for part, _, y, weight, calibrates, *d in rows:
+            chars[part] += len(d[0] or "")
+            if chars[part] <= train_chars:
+                if part:
+                    unlabelled.append(tuple(d))
+                else:
+                    (held if calibrates < CALIBRATION else taught).append((y, weight, *d))
+        v = co_train(taught, unlabelled, held)
+        return {"text": v.text.tobytes(), "meta": v.meta.tobytes(), "numbers": [float(x) for x in (*v.calibration[0], *v.calibration[1], *v.combination)]}
+
+    got = learnt(both, learn, "text binary, meta binary, numbers array<double>")
+    if not got:
+        return co_train([], [], [])
+    a, b, c, d, *combination = got.numbers
+    return Views(np.frombuffer(got.text), np.frombuffer(got.meta), ((a, b), (c, d)), tuple(combination))
 
 
 def classify(docs: DataFrame, views: Views, key: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:

@@ -2,10 +2,11 @@
 
 The kernel of two segments (words, or letters that stand apart) counts the subsequences of three letters they share,
 each worth less for every letter it skips, so an insult with inserted or separated letters stays near the plain one.
-The machine learns from labelled sentences of which only the documents' labels are known: all segments of documents
-without toxicity are negative; of a toxic document those sentences are positive that hold a segment which hardly any
-other document holds, or else the one whose segment scores highest (chosen anew each round). Landmarks give every segment a short vector; as the decision is linear in shared subsequences, it
-folds into one weight for each subsequence, and scoring needs no landmark any more.
+A sentence is worth its highest segment. The machine learns from labelled sentences; as only documents have labels, all
+sentences of documents without toxicity are negative, and of a toxic document those sentences are positive that hold a
+segment which hardly any other document holds, or else the one whose segment scores highest (chosen anew each round).
+Landmarks give every segment a short vector; as the decision is linear in shared subsequences, it folds into one
+weight for each subsequence, and scoring needs no landmark any more.
 """
 
 from __future__ import annotations
@@ -20,11 +21,12 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import Words, documents, held_by, per_text, released, slices
-from ledgerline.llm.language import held_out
+from ledgerline.llm.common import Words, documents, held_by, held_out, labelled_sample, learnt, per_text, released, slices
 
-#: Documented bounds of what is learnt from: documents of each label, distinct negative segments, landmarks.
-TRAIN_DOCS, NEGATIVES, LANDMARKS = 3000, 9000, 384
+#: Documented bounds of what is learnt from: labelled documents of each label, and characters of all of them.
+TRAIN_DOCS, TRAIN_CHARS = 3000, 24_000_000
+#: Landmarks; negative segments of those documents that every round learns from, and the worst placed of all that join them.
+LANDMARKS, NEGATIVES, HARD = 384, 9000, 3000
 SPAN, DECAY, ROUNDS, CALIBRATION = 6, 0.65, 3, 0.25
 RIDGE, VARIED, LONGEST, FLOOR = 20.0, 3.0, 24, -3.0
 #: Segments whose subsequences are laid out at once.
@@ -69,8 +71,19 @@ def apart(tokens: list[str]) -> list[str]:
     return found
 
 
-def segments(text: str) -> set[str]:
-    tokens = text.split()
+def sentences(text: str) -> list[list[str]]:
+    """The tokens of each sentence: one ends with a token of two letters or more that . ! ? or an ellipsis closes."""
+    out, now = [], []
+    for t in text.split():
+        now.append(t)
+        if t[-1] in ".!?\N{HORIZONTAL ELLIPSIS}" and len(letters(t)) > 1:
+            out.append(now)
+            now = []
+    return [*out, now] if now else out
+
+
+def segments(tokens: list[str]) -> set[str]:
+    """What a sentence's (or a text's) tokens are compared by: their letters, and spelt-out letters joined."""
     found = {w for t in set(tokens) for w in windows(letters(t))}
     for s in apart(tokens):
         found.update(windows(s))
@@ -175,35 +188,37 @@ def _kernel(rows: list[str], columns: list[str]) -> np.ndarray:
     """Normalised kernel between segments."""
     of, sub, w = features(columns)
     used, place = np.unique(sub, return_inverse=True)
-    table = np.zeros((len(used), len(columns)))
-    table[place, of] = w
-    table /= np.sqrt((table**2).sum(axis=0))
-    out = np.zeros((len(rows), len(columns)))
+    norm = np.sqrt(np.bincount(of, w * w, len(columns)))
+    table = np.zeros((len(used), len(columns)), np.float32)
+    table[place, of] = w / norm[of]
+    out = np.zeros((len(rows), len(columns)), np.float32)
     for at in range(0, len(rows), 100):  # a row has some hundred subsequences, each with a value for every column
         part = rows[at : at + 100]
         of, sub, w = features(part)
         norm = np.sqrt(np.bincount(of, w * w, len(part)))
         k = np.minimum(np.searchsorted(used, sub), len(used) - 1)
         hit = used[k] == sub
-        of, k, w = of[hit], k[hit], w[hit]
+        of, k, w = of[hit], k[hit], w[hit].astype(np.float32)
         if len(of):
             first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
             out[at + of[first]] = np.add.reduceat(table[k] * w[:, None], first, axis=0)
-        out[at : at + len(part)] /= norm[:, None]
+        out[at : at + len(part)] /= norm[:, None].astype(np.float32)
     return out
 
 
 def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray) -> np.ndarray:
     """Primal squared-hinge support vector machine by Newton's method; the last weight is the bias."""
-    x = np.c_[x, np.ones(len(x))]
-    reg = np.r_[np.full(x.shape[1] - 1, RIDGE), 1e-3]
-    w = np.zeros(x.shape[1])
+    reg = np.r_[np.full(x.shape[1], RIDGE), 1e-3]
+    w = np.zeros(x.shape[1] + 1)
     for _ in range(40):
-        gap = 1 - y * (x @ w)
-        on = gap > 0
-        xs, c = x[on], cost[on]
-        g = reg * w - 2 * xs.T @ (c * y[on] * gap[on])
-        h = np.diag(reg) + 2 * (xs * c[:, None]).T @ xs
+        g, h = reg * w, np.diag(reg)
+        for at in range(0, len(x), PART):  # sums over parts of the rows: no second copy of x
+            part = np.c_[x[at : at + PART].astype(np.float64), np.ones(len(x[at : at + PART]))]
+            gap = 1 - y[at : at + PART] * (part @ w)
+            on = gap > 0
+            xs, c = part[on], cost[at : at + PART][on]
+            g -= 2 * xs.T @ (c * y[at : at + PART][on] * gap[on])
+            h += 2 * (xs * c[:, None]).T @ xs
         step = np.linalg.solve(h, g)
         w -= step
         if np.abs(step).max() < 1e-6:
@@ -222,7 +237,7 @@ def _varied(found: list[str], rng: np.random.Generator) -> list[str]:
             for _ in range(times):
                 k = int(rng.integers(1, len(v)))
                 v = v[:k] + "abcdefghijklmnopqrstuvwxyz"[int(rng.integers(26))] + v[k:]
-            out.append(v[:LONGEST])
+            out.extend(windows(v))
     return out
 
 
@@ -231,63 +246,60 @@ def _signature(bag: list[str]) -> tuple[int, ...]:
     return tuple(sorted(zlib.crc32(s.encode("utf-8", "surrogatepass")) for s in bag)[:2])
 
 
-def _spread_counts(bags: list[list[str]]) -> Counter:
-    """In how many bags each segment is, near copies counted once."""
-    alike: dict[tuple[int, ...], list[list[str]]] = {}
+def _spread_counts(bags: list[list[str]]) -> tuple[Counter, int]:
+    """In how many bags each segment is, near copies counted once; and how many bags there are so."""
+    alike: dict[tuple[int, ...], set[str]] = {}
     for b in bags:
-        alike.setdefault(_signature(b), []).append(b)
-    found: Counter = Counter()
-    for same in alike.values():
-        found.update(set().union(*same))
-    return found
+        alike.setdefault(_signature(b), set()).update(b)
+    return Counter(s for same in alike.values() for s in same), len(alike)
 
 
-def fit(bags: list[tuple[int, list[str]]], held: list[tuple[int, float, str]]) -> Machine:
-    """The machine of labelled bags of segments; held: (label, weight, text) of documents that calibrate."""
-    pos, neg = [b for y, b in bags if y and b], [b for y, b in bags if not y and b]
-    constant = Machine(np.zeros(1 << 18), 0.0, (0.0, -4.0))
+def fit(bags: list[tuple[int, list[list[str]]]], held: list[tuple[int, float, str]]) -> Machine:
+    """The machine of labelled documents, each a list of sentences of segments; held: (label, weight, text) of documents that calibrate."""
+    pos = [[s for s in d if s] for y, d in bags if y and any(d)]
+    neg = [list(set().union(*d)) for y, d in bags if not y and any(d)]
     if not pos or not neg:
-        return constant
+        return constant()
     rng = np.random.default_rng(8)
-    in_pos, in_neg = _spread_counts(pos), _spread_counts(neg)
-    docs_pos, docs_neg = (len({_signature(b) for b in x}) for x in (pos, neg))
+    (in_pos, docs_pos), (in_neg, docs_neg) = _spread_counts([list(set().union(*d)) for d in pos]), _spread_counts(neg)
     odds = {s: np.log((c + 0.5) / (docs_pos + 1)) - np.log((in_neg[s] + 0.5) / (docs_neg + 1)) for s, c in in_pos.items()}
     telling = {s for s, c in in_pos.items() if c >= max(5, 0.002 * docs_pos) and odds[s] > 3}
 
-    def witnesses(value: dict[str, float]) -> Counter:
-        """Of each toxic document the segments that tell by themselves, or else the one of the highest value."""
-        return Counter(s for b in pos for s in ([x for x in b if x in telling] or [max(sorted(b), key=value.__getitem__)]))
+    def positive(value: dict[str, float]) -> Counter:
+        """The segments for which sentences of toxic documents count as positive."""
+        found: Counter = Counter()
+        for d in pos:
+            for s in [t for t in d if not telling.isdisjoint(t)] or [max(d, key=lambda t: max(map(value.__getitem__, t)))]:
+                found.update([x for x in s if x in telling] or [max(sorted(s), key=value.__getitem__)])
+        return found
 
-    witness = witnesses(odds)
+    witness = positive(odds)
     all_neg = sorted(in_neg)
     share = np.array([in_neg[s] for s in all_neg], float) ** 0.5
-    n = min(len(all_neg), NEGATIVES)
-    chosen = [all_neg[k] for k in rng.choice(len(all_neg), n, replace=False, p=share / share.sum())]
+    chosen = [all_neg[k] for k in rng.choice(len(all_neg), min(len(all_neg), NEGATIVES), replace=False, p=share / share.sum())]
     hard: list[str] = []
-    machine = constant
+    machine = constant()
     for round_ in range(ROUNDS):
-        good = [s for s, _ in witness.most_common(2000)]
-        varied = _varied([s for s, c in witness.most_common(400) if c > 1] or good[:50], rng)
+        good = [s for s, _ in witness.most_common()]
+        varied = _varied([s for s in good if witness[s] > 1] or good, rng)
         bad = list(dict.fromkeys([*hard, *chosen]))
         marks = list(dict.fromkeys([*good[: LANDMARKS // 2], *bad[: LANDMARKS // 2]]))
-        kmm = _kernel(marks, marks)
-        value, vector = np.linalg.eigh(kmm)
+        kmm = _kernel(marks, marks).astype(np.float64)
+        value, vector = np.linalg.eigh((kmm + kmm.T) / 2)
         keep = value > 1e-6 * value.max()
         root = vector[:, keep] / np.sqrt(value[keep])  # the Nystroem map: kernel rows times this
-        rows = [*good, *varied, *bad]
         y = np.r_[np.ones(len(good) + len(varied)), -np.ones(len(bad))]
         cost = np.r_[np.sqrt([witness[s] for s in good]), np.full(len(varied), VARIED), np.ones(len(bad))]
         cost[y > 0] *= len(bad) / cost[y > 0].sum()
-        w = _svm(_kernel(rows, marks) @ root, y, cost)
+        w = _svm(_kernel([*good, *varied, *bad], marks) @ root.astype(np.float32), y, cost)
         alpha = root @ w[:-1]
         of, sub, u = features(marks)
         weight = np.bincount(sub, u * (alpha / np.sqrt(np.bincount(of, u * u, len(marks))))[of], 1 << 18)
         machine = Machine(weight, float(w[-1]), (1.0, 0.0))
         if round_ < ROUNDS - 1:
-            values = dict(zip(in_pos, machine.decide(list(in_pos))))
-            witness = witnesses(values)
+            witness = positive(dict(zip(in_pos, machine.decide(list(in_pos)))))
             scores = machine.decide(all_neg)
-            hard = [all_neg[k] for k in np.argsort(-scores, kind="stable")[: NEGATIVES // 3]]
+            hard = [all_neg[k] for k in np.argsort(-scores, kind="stable")[:HARD]]
     if held:
         top = machine.highest([t for _, _, t in held])[:, None]
         label, weight = np.array([y for y, _, _ in held], float), np.array([w for _, w, _ in held])
@@ -297,36 +309,37 @@ def fit(bags: list[tuple[int, list[str]]], held: list[tuple[int, float, str]]) -
     return machine
 
 
-def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", train_docs: int = TRAIN_DOCS) -> Machine:
-    """Learns from labelled documents that are not held out: about train_docs of each label, chosen by a hash of the key.
+def constant() -> Machine:
+    """The machine that has nothing to learn from: every score is low and the same."""
+    return Machine(np.zeros(1 << 18), 0.0, (0.0, -4.0))
 
-    The driver gets the segments of those documents, whose number train_docs bounds. A key with several labels has the
-    highest; null labels and texts are left out. Without documents of both labels every score is low and the same.
-    """
-    known = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).where(F.col("y").isNotNull() & F.col("k").isNotNull() & ~held_out("k")).groupBy("k").agg(F.max("y").alias("y"))
-    counts = {r.y: r["count"] for r in known.groupBy("y").count().collect()}
-    if not {0, 1} <= counts.keys():
-        return fit([], [])
-    rates = {y: min(1.0, train_docs / n) for y, n in counts.items()}
-    spread = F.pmod(F.xxhash64(F.col("k").cast("string"), F.lit("toxicity")), F.lit(1_000_000)) / 1e6
-    rate = F.element_at(F.create_map(*[F.lit(x) for y, r in rates.items() for x in (y, r)]), F.col("y"))
-    calibrates = F.pmod(F.xxhash64(F.lit("calibration"), F.col("k").cast("string")), F.lit(1000)) < int(1000 * CALIBRATION)
-    sample = known.where(spread < rate).withColumn("held", calibrates)
-    rows = docs.where(F.col(text).isNotNull()).join(F.broadcast(sample), docs[key] == sample.k).select("k", "y", "held", F.col(text).alias("t"))
-
-    def bags(batches: Iterator) -> Iterator:
-        import pyarrow as pa
 
-        for b in (whole.slice(at, 100) for whole in batches for at in range(0, whole.num_rows, 100)):
-            found = [sorted(segments(t)) for t in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.list_(pa.string()))], names=["k", "y", "s"])
+def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", train_docs: int = TRAIN_DOCS, train_chars: int = TRAIN_CHARS) -> Machine:
+    """Learns from labelled documents that are not held out: at most train_docs of each label, the first by a hash of the key.
 
-    import sys
+    All of it runs in one task, whose input the two bounds limit; the driver gets the machine alone. A key with several
+    labels has the highest, one with several texts the least; null labels and texts are left out. Without documents of
+    both labels every score is low and the same. Other columns are ignored, whatever their names.
+    """
+    sample = labelled_sample(docs, labels, key, label, {"t": text}, train_docs, "toxicity", F.max)
 
-    taught = rows.where("NOT held").select("k", "y", "t").mapInArrow(lambda batches: released(bags(batches)), f"k {dict(rows.dtypes)['k']}, y int, s array<string>").orderBy("k")
-    held = rows.where("held").orderBy("k").collect()
-    one = sys.intern  # a segment comes in many documents, but once in memory
-    return fit([(r.y, [one(x) for x in r.s]) for r in taught.toLocalIterator()], [(r.y, 1 / rates[r.y], r.t) for r in held])
+    def learn(rows: Iterator[tuple]) -> dict:
+        import sys
+
+        bags, held, chars = [], [], 0
+        for y, weight, calibrates, t in rows:
+            chars += len(t or "")
+            if t is None or chars > train_chars:
+                continue
+            if calibrates < CALIBRATION:
+                held.append((y, weight, t))
+            else:  # a segment comes in many documents, but once in memory
+                bags.append((y, [[sys.intern(s) for s in sorted(segments(x))] for x in sentences(t)]))
+        m = fit(bags, held)
+        return {"weight": m.weight.astype("<f4").tobytes(), "bias": m.bias, "slope": m.platt[0], "offset": m.platt[1]}
+
+    got = learnt(sample, learn, "weight binary, bias double, slope double, offset double")
+    return Machine(np.frombuffer(got.weight, "<f4").astype(np.float64), got.bias, (got.slope, got.offset)) if got else constant()
 
 
 def classify(docs: DataFrame, machine: Machine, key: str = "doc_id", text: str = "text") -> DataFrame:

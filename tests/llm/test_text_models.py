@@ -125,7 +125,7 @@ def test_toxicity(spark):
 
 
 def test_spelt_out_insults_in_short_texts():
-    bags = [(y, sorted(toxicity.segments(t))) for _, t, y in toxic_docs()]
+    bags = [(y, [sorted(toxicity.segments(x)) for x in toxicity.sentences(t)]) for _, t, y in toxic_docs()]
     m = toxicity.fit(bags, [])
     spelt = ["v i l g r a k", "v. i. l. g. r. a. k.", "v, i, l, g, r, a, k", "(v) (i) (l) (g) (r) (a) (k)", "v - i - l - g - r - a - k", "balori V. * I. * L. G. R. -- A. K. sute"]
     assert (m.highest(spelt) >= m.decide(["vilgrak"])[0] - 1e-9).all()
