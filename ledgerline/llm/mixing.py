@@ -4,7 +4,7 @@ Each source's documents, ordered by the md5 of their ids, make one stream of wor
 size. Slot i of the schedule goes to the source in whose part of [0, 1) the golden-ratio point frac(i * g) falls; the
 k-th slot of a source takes its block k, and starts over when the stream is used up. Ranks and stream positions come
 from two levels (within a hash bucket or a chunk of slots, then over at most 1,024 bucket sums), so no source has to
-pass through one task.
+pass through one task. Rows alike in id, source and size are counted before they are placed, and dealt out again after.
 """
 
 from __future__ import annotations
@@ -17,8 +17,20 @@ from ledgerline.llm.common import WORD, cut, documents, small, word_count
 WEIGHTS = (5, 2, 1)
 SHARE, MOST = 1.5, 2
 BLOCK_WORDS = 1024
-GOLDEN = 0.6180339887498949
-BUCKETS, CHUNKS, CELLS, CELL_SLOTS = 1024, 256, 1 << 20, 64
+#: The golden ratio less 1, times 2 to the 62: integers keep the points of any slot exact.
+GOLDEN = (1 << 62) * 6180339887498948482 // 10**19
+CHUNKS, CELLS, CELL_SLOTS = 256, 1 << 20, 64
+#: Rows alike in id, source and size that one row may stand for while they are dealt out.
+ALIKE = 1000
+
+
+def golden_point(slot: Column) -> Column:
+    """frac(slot * GOLDEN / 2**62) as a double below 1, from products of 31-bit halves; slots up to 2**62."""
+    low, half = (1 << 31) - 1, 31
+    s0, s1 = slot.bitwiseAND(F.lit(low)), F.shiftright(slot, half)
+    g0, g1 = F.lit(GOLDEN & low), F.lit(GOLDEN >> half)
+    upper = F.shiftleft((s1 * g0 + s0 * g1).bitwiseAND(F.lit(low)), half)
+    return F.shiftright((upper + s0 * g0).bitwiseAND(F.lit((1 << 62) - 1)), 9) / F.lit(float(1 << 53))
 
 
 def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
@@ -69,8 +81,7 @@ def schedule(targets: DataFrame, block: int = BLOCK_WORDS) -> DataFrame:
     bounds = t.select("sid", "slots", ((upto - F.col("slots")) / F.lit(float(n))).alias("lo"), (upto / F.lit(float(n))).alias("hi"))
     cell = lambda x: F.least(F.floor(x * cells), F.lit(cells - 1))
     parts = bounds.select("sid", "lo", "hi", F.explode(F.sequence(cell(F.col("lo")), cell(F.col("hi")))).alias("cell"))
-    point = F.col("id") * F.lit(GOLDEN)
-    slots = spark.range(n).select(F.col("id").alias("slot"), (point - F.floor(point)).alias("u")).withColumn("cell", cell(F.col("u")))
+    slots = spark.range(n).select(F.col("id").alias("slot"), golden_point(F.col("id")).alias("u")).withColumn("cell", cell(F.col("u")))
     dealt = slots.join(parts, "cell").where("u >= lo AND u < hi").select("slot", "sid", F.floor(F.col("slot") * F.lit(CHUNKS) / F.lit(n)).cast("int").alias("chunk"))
     dealt = dealt.withColumn("within", F.row_number().over(Window.partitionBy("sid", "chunk").orderBy("slot")) - 1)
     counts = dealt.groupBy("sid", "chunk").agg(F.count("*").alias("c"))
@@ -90,8 +101,8 @@ def sized_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", source:
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, block: int = BLOCK_WORDS) -> tuple[DataFrame, DataFrame]:
     """(pieces, documents): what the mix takes, block by block, and per document.
 
-    pieces: slot (null if no slot takes it), doc_id, row (a number for each row of a bucket), pass, first and taken (words of the document from the
-    first-th on). documents: doc_id, size, source_size, target, taken, source.
+    pieces: slot (null if no slot takes it), doc_id, copy (a number for each row alike in doc_id, source and size), pass, first and
+    taken (words of the document from the first-th on). documents: doc_id, size, source_size, target, taken, source.
     A null text has size 0 and nothing is taken; a null source is a source, the last; a null or repeated doc_id is
     handled as any other row. An empty table gives none. If all sizes are 0, so are all targets.
     """
@@ -100,16 +111,25 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     t = _with_slots(targets, block)
     hashed = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     t, _ = small(t, 100_000)
-    rows = sized.join(t, sized.source.eqNullSafe(t.source)).select("doc_id", sized.source, "size", "sid", "source_size", "target", "words", "blocks", hashed.alias("h"))
+    alike = sized.groupBy("doc_id", "source", "size").agg(F.count("*").alias("n"))
+    rows = alike.join(t, alike.source.eqNullSafe(t.source)).select("doc_id", alike.source, "size", "n", "sid", "source_size", "target", "words", "blocks", hashed.alias("h"))
     rows = rows.withColumn("bucket", F.shiftright(F.conv(F.substring("h", 1, 3), 16, 10).cast("int"), 2))
     order = Window.partitionBy("sid", "bucket").orderBy("h", "doc_id", "size")
-    rows = rows.withColumns({"row": F.row_number().over(order), "at": F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size")})
-    sums = rows.groupBy("sid", "bucket").agg(F.sum("size").alias("s"))
+    every = F.col("size") * F.col("n")
+    rows = rows.withColumn("at", F.sum(every).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - every)
+    sums = rows.groupBy("sid", "bucket").agg(F.sum(every).alias("s"))
     start = sums.select("sid", "bucket", F.coalesce(F.sum("s").over(Window.partitionBy("sid").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
-    rows = rows.join(start, ["sid", "bucket"]).withColumn("at", F.col("at") + F.col("start"))
+    rows = cut(rows.join(start, ["sid", "bucket"]).withColumn("at", F.col("at") + F.col("start")))
+    first = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(ALIKE).cast("long")))
+    crowds = rows.where(F.col("n") > ALIKE)
+    rows = rows.where(F.col("n") <= ALIKE).withColumn("from", F.lit(0).cast("long"))
+    if not crowds.isEmpty():  # one row can't be made into all its copies in one task
+        rows = rows.unionByName(crowds.withColumn("from", first).repartition("doc_id", "from"))
+    rows = rows.withColumn("copy", F.explode(F.sequence(F.col("from"), F.least(F.col("n"), F.col("from") + ALIKE) - 1))).drop("from", "n", "h")
+    rows = rows.withColumn("at", F.col("at") + F.col("copy") * F.col("size"))
     b = F.lit(block)
     # a document without words takes part in no block; the number below 0 only spreads such rows
-    over = F.when(F.col("size") > 0, F.sequence(F.expr(f"at div {block}"), F.expr(f"(at + size - 1) div {block}"))).otherwise(F.array(-1 - F.pmod(F.xxhash64("doc_id"), F.lit(4096))))
+    over = F.when(F.col("size") > 0, F.sequence(F.expr(f"at div {block}"), F.expr(f"(at + size - 1) div {block}"))).otherwise(F.array(-1 - F.pmod(F.xxhash64("doc_id", "copy"), F.lit(4096))))
     parts = rows.withColumn("block", F.explode(over))
     slots = schedule(targets, block).join(t.select("sid", "blocks", "source_size", "words"), "sid")
     slots = slots.select("slot", "sid", F.expr("rank div blocks").alias("pass"), F.expr("rank % blocks").alias("block"), "source_size", "words")
@@ -118,8 +138,8 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     pieces = parts.join(slots, ["sid", "block"], "left")
     lo = F.greatest(F.col("at"), F.col("block") * b)
     hi = F.least(F.col("at") + F.col("size"), F.col("block") * b + F.col("took"))
-    pieces = pieces.select("slot", "doc_id", "source", "size", "source_size", "target", "sid", "bucket", "row", "pass", (lo - F.col("at")).alias("first"), F.when(F.col("took").isNull(), F.lit(0)).otherwise(F.greatest(F.lit(0), hi - lo)).alias("taken"))
-    whole = pieces.groupBy("sid", "bucket", "row", "doc_id", "source", "size", "source_size", "target").agg(F.sum("taken").alias("taken"))
+    pieces = pieces.select("slot", "doc_id", "source", "size", "source_size", "target", "sid", "copy", "pass", (lo - F.col("at")).alias("first"), F.when(F.col("took").isNull(), F.lit(0)).otherwise(F.greatest(F.lit(0), hi - lo)).alias("taken"))
+    whole = pieces.groupBy("sid", "copy", "doc_id", "source", "size", "source_size", "target").agg(F.sum("taken").alias("taken"))
     return pieces, whole.select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
@@ -127,28 +147,53 @@ def first_words(text: Column, n: Column) -> Column:
     return F.array_join(F.slice(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), 1, n), " ")
 
 
+def _numbered(rows: DataFrame, key: list[str]) -> DataFrame:
+    """rows with copy: 0, 1, 2, ... among those of equal key, from ranks within parts of the input and sums over the parts."""
+    rows = cut(rows.withColumn("uid", F.monotonically_increasing_id())).withColumn("chunk", F.shiftright("uid", 33))
+    within = Window.partitionBy(*key, "chunk").orderBy("uid")
+    sums = rows.groupBy(*key, "chunk").agg(F.count("*").alias("c"))
+    before = sums.withColumn("before", F.coalesce(F.sum("c").over(Window.partitionBy(*key).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    before = before.select(*[F.col(k).alias(f"b_{k}") for k in key], F.col("chunk").alias("b_chunk"), "before")
+    same = F.col("chunk") == F.col("b_chunk")
+    for k in key:
+        same = same & F.col(k).eqNullSafe(F.col(f"b_{k}"))
+    return rows.withColumn("within", F.row_number().over(within) - 1).join(before, same).withColumn("copy", F.col("within") + F.col("before"))
+
+
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
     """The mix as rows of docs: one for each pass in which words of the document are taken, with docs' columns.
 
     A document that a target cuts short has its first words (joined by single spaces) as its text, and n_chars to fit.
-    Rows that repeat doc_id, source and size each get what the mix takes most of any of them. Documents of which
-    nothing is taken don't come.
+    Rows alike in doc_id, source and size are numbered, and each gets what the mix takes of that number. Documents of which
+    nothing is taken don't come; null sources are a source; an empty table gives none. The columns may have any names.
     """
+    name, text, source = options.get("key", "doc_id"), options.get("text", "text"), options.get("source", "source")
     pieces, _ = mix(docs, **options)
-    takes = pieces.where("taken > 0").groupBy("sid", "bucket", "row", "doc_id", "source", "size", "pass").agg(F.sum("taken").alias("taken"))
-    takes = cut(takes.groupBy("doc_id", "source", "size").agg(F.array_sort(F.collect_set(F.struct("pass", "taken"))).alias("passes")))
-    takes = takes.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_n"), F.map_values(F.map_from_entries(F.transform(F.array_distinct(F.transform("passes", lambda p: p["pass"])), lambda k: F.struct(k, F.array_max(F.transform(F.filter("passes", lambda p: p["pass"] == k), lambda p: p["taken"])))))).alias("_takes"))
+    takes = pieces.where("taken > 0").groupBy("copy", "doc_id", "source", "size", "pass").agg(F.sum("taken").alias("taken"))
+    takes = takes.groupBy("doc_id", "source", "size", "copy").agg(F.array_sort(F.collect_list(F.struct("pass", "taken"))).alias("passes"))  # at most `most` of them
+    takes = cut(takes.select(F.col("doc_id").alias("t_doc"), F.col("source").alias("t_source"), F.col("size").alias("t_size"), F.col("copy").alias("t_copy"), F.col("passes.taken").alias("takes")))
+    columns, kinds = docs.columns, dict(docs.dtypes)
+    own = {c: f"c_{i}" for i, c in enumerate(columns)}
+    key = [own[name], own[source], "size"]
+    rows = docs.select(*[F.col(f"`{c}`").alias(a) for c, a in own.items()]).withColumn("size", word_count(F.col(own[text])))
+    again = cut(takes.where("t_copy > 0").select(F.col("t_doc").alias("a_doc"), F.col("t_source").alias("a_source"), F.col("t_size").alias("a_size")).distinct())
+    if again.isEmpty():
+        rows = rows.withColumn("copy", F.lit(0).cast("long"))
+    else:
+        again, _ = small(again)
+        same = F.col(key[0]).eqNullSafe(F.col("a_doc")) & F.col(key[1]).eqNullSafe(F.col("a_source")) & (F.col("size") == F.col("a_size"))
+        alone = rows.join(again, same, "left_anti").withColumn("copy", F.lit(0).cast("long"))
+        rows = alone.unionByName(_numbered(rows.join(again, same, "left_semi"), key).select(*alone.columns))
     takes, _ = small(takes)
-    key, text, source = options.get("key", "doc_id"), options.get("text", "text"), options.get("source", "source")
-    columns = docs.columns
-    rows = docs.withColumn("_size", word_count(F.col(text)))
-    rows = rows.join(takes, (rows[key].eqNullSafe(takes._d)) & (rows[source].eqNullSafe(takes._s)) & (rows._size == takes._n))
-    rows = rows.withColumn("_take", F.explode("_takes"))
-    cut_text = F.when(F.col("_take") < F.col("_size"), first_words(F.col(text), F.col("_take").cast("int"))).otherwise(F.col(text))
-    rows = rows.withColumn(text, cut_text)
+    rows = rows.join(takes, F.col(key[0]).eqNullSafe(F.col("t_doc")) & F.col(key[1]).eqNullSafe(F.col("t_source")) & (F.col("size") == F.col("t_size")) & (F.col("copy") == F.col("t_copy")))
+    rows = rows.withColumn("take", F.explode("takes"))
+    short = F.col("take") < F.col("size")
+    out = dict(own) | {text: "new_text"}
+    rows = rows.withColumn("new_text", F.when(short, first_words(F.col(own[text]), F.col("take").cast("int"))).otherwise(F.col(own[text])))
     if "n_chars" in columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("_take") < F.col("_size"), F.length(text).cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars")))
-    return rows.select(*[F.col(f"`{c}`") for c in columns])
+        rows = rows.withColumn("new_n", F.when(short, F.length("new_text").cast(kinds["n_chars"])).otherwise(F.col(own["n_chars"])))
+        out["n_chars"] = "new_n"
+    return rows.select(*[F.col(out[c]).alias(c) for c in columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

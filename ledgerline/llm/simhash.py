@@ -127,18 +127,27 @@ def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle
 
 
 def dedup_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """The rows of docs that stay, all columns: of each component the one with the least key (rows repeating it too: one)."""
+    """The rows of docs that stay, all columns: of each component one that has its least key.
+
+    Rows that repeat a key are told apart by their fingerprints. Null texts are empty ones, an empty table gives none,
+    and the columns may have any names.
+    """
     found = near_dedup(docs, key, text, shingle, radius)
-    gone = cut(found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct())
-    again = cut(found.groupBy("doc_id").count().where("count > 1").select("doc_id"))
-    gone, _ = small(gone)
-    left = docs.join(gone.select(F.col("doc_id").alias("_gone")), F.col(key).eqNullSafe(F.col("_gone")), "left_anti")
-    if again.isEmpty():
-        return left
-    again, _ = small(again)
-    twice = F.col(key).eqNullSafe(F.col("_again"))
-    again = again.select(F.col("doc_id").alias("_again"))
-    return left.join(again, twice, "left_anti").unionByName(left.join(again, twice, "left_semi").dropDuplicates([key, text]))
+    found = cut(found.select(F.col("doc_id").alias("id"), "fingerprint", "component_id"))
+    again = cut(found.groupBy("id").count().where("count > 1").select(F.col("id").alias("again")))
+    gone, _ = small(cut(found.where(~F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("gone")).distinct()))
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"c_{i}") for i, c in enumerate(docs.columns)])
+    mine, content = (f"c_{docs.columns.index(c)}" for c in (key, text))
+    left = rows.join(gone, F.col(mine).eqNullSafe(F.col("gone")), "left_anti")
+    if not again.isEmpty():
+        again, _ = small(again)
+        twice = F.col(mine).eqNullSafe(F.col("again"))
+        marked = fingerprints(rows.join(again, twice, "left_semi").withColumn("row", F.struct(*rows.columns)), "row", content, shingle)
+        marked = marked.withColumn("print", F.lower(F.lpad(F.hex("fp"), 16, "0")))
+        stay = found.where(F.col("id").eqNullSafe(F.col("component_id"))).join(again, F.col("id").eqNullSafe(F.col("again")), "left_semi").distinct()
+        once = marked.join(stay, F.col(f"doc_id.{mine}").eqNullSafe(F.col("id")) & (F.col("print") == F.col("fingerprint"))).dropDuplicates(["component_id"]).select("doc_id.*")
+        left = left.join(again, twice, "left_anti").unionByName(once)
+    return left.select(*[F.col(f"c_{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

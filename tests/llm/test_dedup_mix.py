@@ -9,11 +9,13 @@ import xxhash
 from ledgerline.llm import bktree, components, exact_dedup, mixing, simhash
 
 TEXTS = [(1, "Same text"), (2, "same TEXT"), (3, None), (4, ""), (5, "other"), (5, "other"), (6, "É"), (7, "é"), (None, "same text"), (8, "x" * 5000), (9, "x" * 5000 + "y")]
-SCHEMA = "doc_id long, text string, source string, keep_id string, kept string, _len int, size int"
+#: Names that the operators use themselves.
+CLASHES = "keep_id kept _len _pre _full _hit _map _bits _at _n _rows _text _doc _size _take _takes _gone _again gone again id fp print fingerprint component_id size copy chunk uid take takes t_doc c_0 c_1 c_7 n_chars y k t held h row at".split()
+SCHEMA = "doc_id long, text string, source string, " + ", ".join(f"{c} int" for c in CLASHES)
 
 
 def table(spark, rows=TEXTS):
-    return spark.createDataFrame([(d, t, s, "clash", "clash", 1, 2) for (d, t), s in zip(rows, itertools.cycle(["b", "a", None]))], SCHEMA)
+    return spark.createDataFrame([(d, t, s, *range(90, 90 + len(CLASHES))) for (d, t), s in zip(rows, itertools.cycle(["b", "a", None]))], SCHEMA)
 
 
 def test_exact_dedup(spark):
@@ -26,8 +28,28 @@ def test_exact_dedup(spark):
 
 def test_exact_dedup_without_broadcasts(spark, monkeypatch):
     want = sorted(map(str, exact_dedup.exact_dedup(table(spark)).collect()))
+    kept = sorted(map(str, exact_dedup.dedup_rows(table(spark)).collect()))
     monkeypatch.setattr(exact_dedup, "small", lambda df: (df, False))
     assert sorted(map(str, exact_dedup.exact_dedup(table(spark)).collect())) == want
+    assert sorted(map(str, exact_dedup.dedup_rows(table(spark)).collect())) == kept
+
+
+def test_a_full_bitmap_only_costs_hashes(spark):
+    """With 32,768 bits for 40,000 keys that are left, rows pass for others' bits; results are those of plain grouping."""
+    rows = [(k, f"{k % 40_000:06d}" + "x" * (k % 40_000 % 7)) for k in range(80_000)] + [(100_000 + k, f"alone {k}" + "y" * (k % 7)) for k in range(5000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    from pyspark.sql import functions as F
+
+    out = exact_dedup._refine(df, "doc_id", "text", 128, {}, False, most_bits=exact_dedup.MAP_BITS)
+    hashed = out.where("_full IS NOT NULL").count()
+    groups = {}
+    for k, t in rows:
+        groups.setdefault(t, []).append(k)
+    assert hashed > sum(len(g) for g in groups.values() if len(g) > 1)
+    got = {r._doc: (r._keep, r._n) for r in out.select("_doc", "_keep", "_n").collect()}
+    assert got == {k: (max(groups[t]), len(groups[t])) for k, t in rows}
+    wide = exact_dedup._refine(df, "doc_id", "text", 128, {}, False)
+    assert wide.where("_full IS NOT NULL").count() < hashed and wide.agg(F.sum("_keep")).first()[0] == sum(k for k, _ in got.values())
 
 
 def brute_fingerprint(text, k=3):
@@ -75,7 +97,14 @@ def test_simhash_equals_brute_force(spark):
     assert {(r.doc_id, r.component_id) for r in got} == brute_components([d for d, _ in rows], fps)
     kept = {r.doc_id for r in simhash.dedup_rows(table(spark, rows)).collect()}
     assert kept == {c for _, c in brute_components([d for d, _ in rows], fps)}
-    assert simhash.near_dedup(table(spark, [])).count() == 0
+    assert simhash.near_dedup(table(spark, [])).count() == 0 and simhash.dedup_rows(table(spark, [])).count() == 0
+
+
+def test_simhash_keeps_each_text_of_a_repeated_key(spark):
+    a, b = " ".join(f"a{k}" for k in range(50)), " ".join(f"b{k}" for k in range(50))
+    rows = [(5, a), (5, b), (5, b), (3, a), (6, "some other text that is alone here"), (None, None)]
+    kept = simhash.dedup_rows(table(spark, rows))
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == sorted([(3, a), (5, b), (6, rows[4][1]), (0, "")]) and kept.columns == table(spark).columns
 
 
 @pytest.mark.parametrize("shard", [3, 2048])
@@ -130,6 +159,31 @@ def test_mix(spark):
     assert all(r.taken == 0 and r.target == 0 for r in mixing.mix(table(spark, [(1, None), (2, " ")]))[1].collect())
 
 
+@pytest.mark.parametrize("alike", [3, 1000])
+def test_mixed_rows_of_repeated_rows(spark, monkeypatch, alike):
+    """Rows alike in doc_id, source and size, of equal and of different texts, take together what the target says."""
+    monkeypatch.setattr(mixing, "ALIKE", alike)
+    rows = [(7, f"a{k} b c d") for k in range(9)] + [(7, "same words here now")] * 8 + [(k, "x y z") for k in range(20, 26)] + [(None, "n n"), (None, "n n"), (30, None), (31, "")]
+    docs = spark.createDataFrame([(d, t, "s" if k % 3 else None, 99, 98, 97) for k, (d, t) in enumerate(rows)], "doc_id long, text string, source string, _size int, copy int, size int")
+    whole = mixing.mix(docs, block=8)[1].collect()
+    assert len(whole) == len(rows) and all(0 <= r.taken <= 2 * r.size for r in whole)
+    mixed = mixing.mixed_rows(docs, block=8).collect()
+    for s in ("s", None):
+        target = int(next(r.target for r in whole if r.source == s) + 0.5)
+        assert sum(len(r.text.split()) for r in mixed if r.source == s) == target == sum(r.taken for r in whole if r.source == s)
+    assert {(r["_size"], r["copy"], r["size"]) for r in mixed} == {(99, 98, 97)}
+    assert mixing.mixed_rows(docs.limit(0)).count() == 0
+
+
+def test_golden_points_are_exact_for_large_slots(spark):
+    from fractions import Fraction
+
+    slots = [0, 1, 2, 3, 10**6, 10**10 + 1, 10**15 + 7, (1 << 61) + 12345]
+    got = [r.u for r in spark.createDataFrame([(s,) for s in slots], "id long").select(mixing.golden_point(mixing.F.col("id")).alias("u")).collect()]
+    want = [float(Fraction(s * mixing.GOLDEN % (1 << 62), 1 << 62)) for s in slots]
+    assert max(abs(a - b) for a, b in zip(got, want)) < 1e-15 and abs(mixing.GOLDEN / 2**62 - (5**0.5 - 1) / 2) < 1e-15
+
+
 def test_schedule_gives_each_source_its_slots(spark):
     t = spark.createDataFrame([("a", 0, 1000, 5, 1500.0), ("b", 1, 10, 2, 20.0), ("c", 2, 5000, 1, 4000.0)], "source string, sid int, source_size long, weight long, target double")
     s = mixing.schedule(t, 16).collect()
