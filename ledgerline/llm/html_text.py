@@ -2,7 +2,9 @@
 
 Paragraphs pass points for their length and commas to their ancestors; an ancestor's sum is discounted by its link
 density. The best container is kept with those siblings that score well beside it. Elements that hold no article text
-by their kind, role, name or style (menus, adverts, forms, comments, ...) are left out before.
+by their kind, role, style or an unmistakable name (menus, adverts, forms, comments, ...) are left out before. Names
+that articles use too (header, related, share, ...) leave a block out only outside an article; inside one such a block
+is scored by itself, and stays if it has a heading or enough plain text. Every step is linear in the page's length.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.llm.common import per_text
 
-_TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)(?:((?:[^>\"']|\"[^\"]*\"(?=[\s/>]|\Z)|'[^']*'(?=[\s/>]|\Z))*+)(?:>|\Z)|([^>]*)(?:>|\Z))", re.S)
 _ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 _WORDS = re.compile(r"[^a-z0-9]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
@@ -27,14 +29,24 @@ RAW = frozenset("script style textarea title xmp noembed noframes iframe".split(
 #: Elements that never hold article text.
 OUT = frozenset("head script style noscript template nav footer aside form button select option datalist textarea title iframe object svg math canvas audio video map dialog menu input label fieldset search".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar tablist status".split())
-#: Parts of class names and ids that mark an element as no part of the article.
+#: Parts of class names and ids that mark an element as no part of the article, wherever it is.
 NAMES = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense adslot adbox adunit sponsor sponsored sponsors promo promotion promoted banner banners sidebar sidebars rail"
-    " comment comments commentlist commentary respond reply replies disqus discussion responses feedback cookie cookies consent gdpr notice notices notification alert alerts popup popups modal overlay lightbox"
-    " newsletter subscribe subscription signup signin login register share sharing social follow related recommended recommendations outbrain taboola teaser teasers trending popular"
-    " nav navbar navigation navigate menu menus submenu breadcrumb breadcrumbs pagination pager paging footer foot masthead topbar toolbar header skip skiplink widget widgets tags tagcloud toc print hidden legal copyright disclaimer form search".split()
+    "ad ads adv advert adverts advertisement advertising adsense adslot adbox adunit sponsor sponsored sponsors promo promoted sidebar sidebars"
+    " comments commentlist respond disqus cookie cookies consent gdpr popup popups modal overlay lightbox newsletter subscribe signup signin login outbrain taboola"
+    " navbar navigation menu menus submenu breadcrumb breadcrumbs pagination pager masthead topbar toolbar skiplink tagcloud".split()
 )
-KEPT = frozenset("html body article main h1 h2 h3 h4 h5 h6 p".split())
+#: Parts that articles use as well.
+DOUBTFUL = frozenset(
+    "promotion banner banners rail comment commentary reply replies discussion responses feedback notice notices notification alert alerts subscription register"
+    " share sharing social follow related recommended recommendations teaser teasers trending popular nav navigate paging footer foot header skip widget widgets tags toc print hidden legal copyright disclaimer form search".split()
+)
+ARTICLE = frozenset("article post entry story content body text".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Points that a doubtful block inside an article needs, if it has no heading, and the share of links that it may have.
+ENOUGH, MOST_LINKS = 2.5, 0.33
+#: Ancestors that a block passes points to.
+LEVELS = 12
+KEPT = frozenset("html body article main h1 h2 h3 h4 h5 h6".split())
 #: A start tag ends an open element of these kinds, unless one of the second stands between.
 ENDS = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "td": ("td th", "table tr"), "th": ("td th", "table tr"), "tr": ("tr td th", "table"), "tbody": ("tbody thead tfoot tr td th", "table"), "thead": ("tbody thead tfoot tr td th", "table"), "tfoot": ("tbody thead tfoot tr td th", "table"), "option": ("option", "select")}
 ENDS = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in ENDS.items()}
@@ -43,31 +55,38 @@ KIND = {"article": 30.0, "main": 20.0, "section": 2.0, "div": 1.0, "blockquote":
 
 
 class _Node:
-    __slots__ = ("chars", "kind", "links", "out", "parent", "points")
+    __slots__ = ("chars", "doubtful", "heading", "kind", "kept", "links", "out", "own", "parent", "points")
 
-    def __init__(self, kind: str, parent: _Node | None, out: bool) -> None:
-        self.kind, self.parent, self.out = kind, parent, out
-        self.points, self.chars, self.links = KIND.get(kind, 0.0), 0, 0
+    def __init__(self, kind: str, parent: _Node | None, out: bool, doubtful: bool = False) -> None:
+        self.kind, self.parent, self.out, self.doubtful = kind, parent, out, doubtful
+        self.points, self.own, self.chars, self.links = KIND.get(kind, 0.0), 0.0, 0, 0
+        self.heading = self.kept = False
 
 
-def _is_out(kind: str, attributes: str, inside_article: bool) -> bool:
+def _judge(kind: str, attributes: str, inside_article: bool) -> tuple[bool, bool]:
+    """Whether an element is out, and whether its name makes it doubtful."""
     if kind in OUT or (kind == "header" and not inside_article):
-        return True
+        return True, False
     if not attributes or attributes.isspace():
-        return False
+        return False, False
     found = {k.lower(): (v or "").strip("\"'") for k, v in _ATTRIBUTE.findall(attributes)}
     if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or _HIDDEN.search(found.get("style", "").lower()) or found.get("role", "").lower() in ROLES:
-        return kind not in ("html", "body")
-    if kind in KEPT and kind != "p":
-        return False
-    named = html.unescape(f"{found.get('class', '')} {found.get('id', '')}").lower()
-    return not NAMES.isdisjoint(_WORDS.split(named))
+        return kind not in ("html", "body"), False
+    if kind in KEPT:
+        return False, False
+    named = set(_WORDS.split(html.unescape(f"{found.get('class', '')} {found.get('id', '')}").lower()))
+    if not NAMES.isdisjoint(named):
+        return True, False
+    if kind not in BLOCKS or DOUBTFUL.isdisjoint(named):
+        return False, False
+    known = inside_article or not ARTICLE.isdisjoint(named)
+    return not known, known
 
 
-def blocks(page: str) -> list[tuple[_Node, str]]:
-    """The text blocks of a page in order, each with its element; blocks of elements that are out don't come."""
+def blocks(page: str) -> tuple[list[_Node], list[tuple[_Node, str]]]:
+    """The elements of a page, parents before children, and its text blocks in order, each with its element; blocks of elements that are out don't come."""
     root = _Node("html", None, False)
-    open_, found, pieces, links = [root], [], [], 0
+    made, open_, found, pieces, links = [root], [root], [], [], 0
     articles = 0
 
     def flush() -> None:
@@ -77,11 +96,8 @@ def blocks(page: str) -> list[tuple[_Node, str]]:
             node = open_[-1]
             if text and not node.out:
                 found.append((node, text))
-                at = node
-                while at:
-                    at.chars += len(text)
-                    at.links += min(links, len(text))
-                    at = at.parent
+                node.chars += len(text)
+                node.links += min(links, len(text))
             pieces.clear()
         links = 0
 
@@ -151,7 +167,7 @@ def blocks(page: str) -> list[tuple[_Node, str]]:
             close(len(open_) - 1)
         if kind in VOID:
             continue
-        out = open_[-1].out or _is_out(kind, m[3], articles > 0)
+        out, doubtful = _judge(kind, m[3] or m[4], articles > 0) if not open_[-1].out else (True, False)
         if block or out:
             if out and not block:
                 pieces.append(" ")
@@ -159,7 +175,8 @@ def blocks(page: str) -> list[tuple[_Node, str]]:
                 held = pieces[:] if not block else None
                 if held is not None and not open_[-1].out:
                     pieces.clear()  # text around an inline element that is out stays one block
-                node = _Node(kind, open_[-1], out)
+                node = _Node(kind, open_[-1], out, doubtful)
+                made.append(node)
                 open_.append(node)
                 articles += kind in ("article", "main")
                 if kind in RAW:
@@ -180,50 +197,71 @@ def blocks(page: str) -> list[tuple[_Node, str]]:
                     open_.pop()
                     pieces[:0] = held
     flush()
-    return found
+    for x in reversed(made):
+        if x.parent:
+            x.parent.chars += x.chars
+            x.parent.links += x.links
+    return made, found
+
+
+def _without_doubtful(made: list[_Node], found: list[tuple[_Node, str]]) -> list[tuple[_Node, str]]:
+    """found without the blocks of doubtful elements that have neither a heading nor enough plain text."""
+    for node, text in found:
+        node.heading |= node.kind in HEADINGS
+        node.own += _points(node, text)
+    for x in reversed(made):
+        if x.parent:
+            x.parent.heading |= x.heading
+            x.parent.own += x.own
+    for x in made:
+        x.out |= bool(x.parent and x.parent.out) or (x.doubtful and not (x.chars and x.links <= MOST_LINKS * x.chars and (x.heading or x.own >= ENOUGH)))
+    return [(node, text) for node, text in found if not node.out]
+
+
+def _points(node: _Node, text: str) -> float:
+    return 0.0 if node.kind in HEADINGS else 1.0 + sum(map(text.count, ",\N{ARABIC COMMA}\N{IDEOGRAPHIC COMMA}\N{FULLWIDTH COMMA}")) + min(len(text) / 100.0, 3.0)
 
 
 def main_text(page: str | None) -> str:
     """The blocks of the best container and of its good siblings, joined by line ends; "" if there are none."""
     if not page:
         return ""
-    found = blocks(page)
+    made, found = blocks(page)
+    if any(x.doubtful for x in made):
+        found = _without_doubtful(made, found)
     if not found:
         return ""
-    nodes: dict[int, _Node] = {}
     for node, text in found:
-        heading = node.kind in ("h1", "h2", "h3", "h4", "h5", "h6")
-        points = 0.0 if heading else 1.0 + text.count(",") + text.count("\N{ARABIC COMMA}") + text.count("\N{IDEOGRAPHIC COMMA}") + text.count("\N{FULLWIDTH COMMA}") + min(len(text) / 100.0, 3.0)
+        points = _points(node, text)
         # text that stands in a container itself makes it the parent
-        at, share, level = (node.parent or node) if node.kind in ("p", "pre", "td", "th", "li", "dd", "dt", "blockquote", *("h1", "h2", "h3", "h4", "h5", "h6")) else node, 1.0, 0
-        while at:
-            nodes[id(at)] = at
-            at.points += points * share
-            level += 1
-            share = 0.5 if level == 1 else 1.0 / (3 * level)
+        at = (node.parent or node) if node.kind in ("p", "pre", "td", "th", "li", "dd", "dt", "blockquote") or node.kind in HEADINGS else node
+        for level in range(LEVELS):
+            at.kept = True  # for now: has a part in the points
+            at.points += points * (1.0 if not level else 0.5 if level == 1 else 1.0 / (3 * level))
+            if not at.parent:
+                break
             at = at.parent
-    value = {k: (x.points * (1 - x.links / max(x.chars, 1)) if x.points > 0 else x.points) for k, x in nodes.items()}
-    best = max(nodes.values(), key=lambda x: value[id(x)])
-    least = max(10.0, 0.2 * value[id(best)])
-    kept = {id(best)}
+    scored = [x for x in made if x.kept]
+    for x in scored:
+        x.kept = False
+    value = lambda x: x.points * (1 - x.links / max(x.chars, 1)) if x.points > 0 else x.points
+    best = max(scored, key=value)
+    least, beside = max(10.0, 0.2 * value(best)), best.parent
+    siblings = {id(x): x for x in scored if x.parent is beside and value(x) >= least}
+    best.kept = True
+    place: dict[int, _Node] = {}  # of an element below the best container's parent: the child of that parent it is in
+    for x in made:
+        if x.parent is beside and beside:
+            place[id(x)] = x
+        elif x.parent and id(x.parent) in place:
+            place[id(x)] = place[id(x.parent)]
     for node, text in found:  # siblings: well-scored containers, plain paragraphs without many links, the title
-        at = node
-        while at.parent and at.parent is not best.parent:
-            at = at.parent
-        if at.parent is best.parent and best.parent and id(at) not in kept:
-            density = at.links / max(at.chars, 1)
-            good = value.get(id(at), 0.0) >= least or at.kind == "h1" or (at.kind == "p" and density < 0.25 and len(text) > 80)
-            if good:
-                kept.add(id(at))
-
-    def inside(x: _Node | None) -> bool:
-        while x:
-            if id(x) in kept:
-                return True
-            x = x.parent
-        return False
-
-    return "\n".join(text for node, text in found if inside(node))
+        at = place.get(id(node))
+        if at and not at.kept:
+            at.kept = id(at) in siblings or at.kind == "h1" or (at.kind == "p" and at.links < 0.25 * at.chars and len(text) > 80)
+    for x in made:
+        x.kept |= bool(x.parent and x.parent.kept)
+    return "\n".join(text for node, text in found if node.kept)
 
 
 def extract(pages: DataFrame, key: str = "page_id", page: str = "html") -> DataFrame:
