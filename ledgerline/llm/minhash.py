@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import arrow_schema, documents, per_text
+from ledgerline.llm.common import arrow_schema, documents
 
 BINS, BITS, SHINGLE = 512, 4, 5
 _FIRST = 12  # columns of the order table that are tried before the whole
@@ -89,48 +89,57 @@ class Fingerprinter:
         return float(min(1.0, max(0.0, (agree - chance) / (1 - chance))))
 
 
-def fingerprint_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", bins: int = BINS, bits: int = BITS, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, fingerprint (hex) for every row; null texts are empty, and all empty texts are alike."""
-
-    def run(texts: list[str | None]) -> list[tuple]:
-        fp = Fingerprinter(bins, bits, shingle)
-        return [(fp.of(fp.words(t)).tobytes().hex(),) for t in texts]
-
-    return per_text(docs, key, text, run, "fingerprint string")
-
-
-def _bucket(key: Column, bounds: list[float]) -> Column:
-    """Number of bounds above key: the larger the key, the less the bucket; null comes last."""
-    at = F.array(*map(F.lit, bounds))
-    return F.when(key.isNull(), F.lit(len(bounds) + 1)).otherwise(F.size(F.filter(at, lambda x: x > key)))
+def _distinct_slots(spark: SparkSession, n: int) -> list[int]:
+    """n numbers that a hash repartition into n parts sends to a part of their own each."""
+    found: dict[int, int] = {}
+    for r in spark.range(40 * n + 200).select("id", F.pmod(F.hash(F.col("id").cast("int")), F.lit(n)).alias("part")).groupBy("part").agg(F.min("id").alias("id")).collect():
+        found[r.part] = r.id
+    rest = (k for k in range(10**9, 10**9 + n))  # a part that none met shares another's
+    return [found.get(p, next(rest)) for p in range(n)]
 
 
 def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text", buckets: int | None = None) -> DataFrame:
-    """Rows (bucket, copy, doc_id, text) by which each bucket, sorted by descending key, holds its rows and the row that follows them.
+    """Rows (bucket, copy, doc_id, mark, text) by which each bucket, sorted by descending key, holds its rows and the row that follows them.
 
-    Buckets are ranges of keys. Only the first rows of each bucket come a second time (copy = 1), as the last of the
-    bucket before; those of the first bucket follow the last bucket. Texts pass one shuffle. The driver gets one number
-    for each bucket.
+    Buckets are ranges of (key, hash of the text), for keys of any kind that sorts; so rows that share a key are spread
+    too. Only the first rows of each bucket come a second time (copy = 1), as the last of the bucket before; those of
+    the first bucket follow the last bucket. Texts pass one shuffle, each bucket in a part of its own. The driver gets
+    about 200 keys for each bucket to choose the bounds from, then one key for each bucket.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    n = buckets or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ids = rows.select("doc_id")
-    bounds = sorted(set(ids.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("double").alias("d")).approxQuantile("d", [k / n for k in range(1, n)], 0.1 / n))) if n > 1 else []
-    bucket = _bucket(F.col("doc_id"), bounds)
-    tops = ids.select("doc_id", bucket.alias("bucket")).groupBy("bucket").agg(F.max("doc_id").alias("top"))
-    tops = [(r.bucket, r.top) for r in tops.orderBy("bucket").collect()]  # one row a bucket
-    if not tops:
-        return rows.select(F.lit(0).alias("bucket"), F.lit(0).alias("copy"), "doc_id", "text")
-    # a row at the top of a bucket goes to the bucket before too
-    before = {tops[k][0]: tops[k - 1][0] for k in range(len(tops))}
-    top_of = F.create_map(*[F.lit(x) for b, t in tops for x in (b, t)]) if any(t is not None for _, t in tops) else None
-    before_of = F.create_map(*[F.lit(x) for b in before for x in (b, before[b])])
-    rows = rows.withColumn("bucket", bucket)
-    is_top = F.col("doc_id").eqNullSafe(F.element_at(top_of, F.col("bucket"))) if top_of is not None else F.lit(True)
-    places = F.when(is_top, F.array(F.struct(F.col("bucket").alias("b"), F.lit(0).alias("c")), F.struct(F.element_at(before_of, F.col("bucket")).alias("b"), F.lit(1).alias("c"))))
-    places = places.otherwise(F.array(F.struct(F.col("bucket").alias("b"), F.lit(0).alias("c"))))
-    return rows.withColumn("place", F.explode(places)).select(F.col("place.b").alias("bucket"), F.col("place.c").alias("copy"), "doc_id", "text")
+    rows = rows.withColumn("mark", F.xxhash64("text"))
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    total, nulls = rows.agg(F.count("*"), F.count_if(F.col("doc_id").isNull())).first()
+    if not total:
+        return rows.select(F.lit(0).alias("bucket"), F.lit(0).alias("copy"), "doc_id", "mark", "text")
+    known = rows.select("doc_id", "mark").where(F.col("doc_id").isNotNull())
+    # the same rows in any run: a hash chooses them, and a place of the order is what each bound is
+    drawn = known.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string"), "mark", F.lit("bounds")), F.lit(1_000_000)) < F.lit(int(min(1e6, 2e8 * n / total)))).distinct()
+    places = sorted(((r.doc_id, r.mark) for r in drawn.collect()), key=lambda p: (p[0], -p[1]), reverse=True)
+    bounds = sorted({len(places) * k // n for k in range(1, n)} - {0}) if places else []
+    bounds = [places[k] for k in bounds]  # a bucket begins with its bound
+    null_parts = max(1, -(-nulls * n // total))
+
+    def bucket_of(doc: Column, mark: Column) -> Column:
+        at = F.array(*[F.struct(F.lit(d).cast(dict(rows.dtypes)["doc_id"]).alias("d"), F.lit(m).cast("long").alias("m")) for d, m in bounds]) if bounds else None
+        passed = F.size(F.filter(at, lambda b: (b["d"] > doc) | ((b["d"] == doc) & (b["m"] <= mark)))) if bounds else F.lit(0)
+        share = F.least(F.floor((mark / F.lit(2.0**64) + 0.5) * null_parts), F.lit(null_parts - 1))
+        return F.when(doc.isNull(), len(bounds) + 1 + share).otherwise(passed).cast("int")
+
+    rows = rows.withColumn("bucket", bucket_of(F.col("doc_id"), F.col("mark")))
+    tops = rows.select("doc_id", "mark", "bucket").groupBy("bucket").agg(F.max_by(F.struct("doc_id", "mark"), F.struct("doc_id", F.bitwise_not("mark"))).alias("top"))
+    tops = sorted(((r.bucket, r.top.doc_id, r.top.mark) for r in tops.collect()), key=lambda t: t[0])
+    slot = _distinct_slots(spark, n)
+    slot_of = {b: slot[k % n] for k, (b, _, _) in enumerate(tops)}
+    before = {tops[k][0]: slot_of[tops[k - 1][0]] for k in range(len(tops))}
+    kind = dict(rows.dtypes)["doc_id"]
+    by_bucket = lambda values: F.element_at(F.create_map(*[x for b, v in values for x in (F.lit(b), v)]), F.col("bucket"))
+    top_doc, top_mark = by_bucket([(b, F.lit(d).cast(kind)) for b, d, _ in tops]), by_bucket([(b, F.lit(m)) for b, _, m in tops])
+    is_top = F.col("doc_id").eqNullSafe(top_doc) & (F.col("mark") == top_mark)
+    here = F.struct(by_bucket([(b, F.lit(s)) for b, s in slot_of.items()]).alias("b"), F.lit(0).alias("c"))
+    places = F.when(is_top, F.array(here, F.struct(by_bucket([(b, F.lit(s)) for b, s in before.items()]).alias("b"), F.lit(1).alias("c")))).otherwise(F.array(here))
+    return rows.withColumn("place", F.explode(places)).select(F.col("place.b").cast("int").alias("bucket"), F.col("place.c").alias("copy"), "doc_id", "mark", "text")
 
 
 def edited(text: str, following: str) -> str:
@@ -142,13 +151,15 @@ def edited(text: str, following: str) -> str:
 def compare_with_next(docs: DataFrame, key: str = "doc_id", text: str = "text", bins: int = BINS, bits: int = BITS, shingle: int = SHINGLE, buckets: int | None = None) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for every row.
 
-    The next document is the one of the next lower key (of equal keys, the one with the next greater text; null keys
-    are last); the first follows the last. A null text is empty. One document is its own next. An empty table gives none.
+    The next document is the one of the next lower key (of equal keys, the one whose text has the next greater hash;
+    null keys are last); the first follows the last. A null text is empty. One document is its own next. An empty table
+    gives none. Other columns are ignored, whatever their names.
     """
     rows = with_next(docs, key, text, buckets)
     kind = dict(rows.dtypes)["doc_id"]
     n = buckets or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartition(n, "bucket").sortWithinPartitions(F.col("bucket"), F.col("copy"), F.col("doc_id").desc_nulls_last(), F.col("text"))
+    rows = rows.repartition(n, "bucket").sortWithinPartitions(F.col("bucket"), F.col("copy"), F.col("doc_id").desc_nulls_last(), F.col("mark"), F.col("text"))
+    rows = rows.select("bucket", "copy", "doc_id", "text")
 
     schema = f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
