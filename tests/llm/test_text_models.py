@@ -69,6 +69,38 @@ def test_next_documents(spark, buckets):
     assert minhash.compare_with_next(docs(spark, ["one only"])).first().near_next == 1.0
 
 
+@pytest.mark.parametrize("buckets", [1, 4])
+def test_next_documents_of_repeated_and_string_keys(spark, buckets):
+    """Every row has a next, and following them passes all texts once, whatever the keys' kind."""
+    rows = [("k%02d" % (k % 5), f"text number {k} " * 3, 1, 2, "x") for k in range(40)] + [("k01", "same", 1, 2, "x")] * 3 + [(None, "none", 1, 2, "x")]
+    d = spark.createDataFrame(rows, "doc_id string, text string, bucket int, copy int, mark string")
+    got = minhash.compare_with_next(d, buckets=buckets).collect()
+    assert len(got) == len(rows) and {r.doc_id for r in got} == {r[0] for r in rows}
+    fp = minhash.Fingerprinter()
+    want = sorted(fp.of(fp.words(r[1])).tobytes().hex() for r in rows)
+    assert sorted(r.fingerprint for r in got) == want
+    assert [r.doc_id for r in got if r.doc_id is None] == [None]
+
+
+def plain_fingerprint(fp, text):
+    """Bins one by one: the least hash of each, and for an empty one that of the first full bin of its order."""
+    hashes = [int(h) for h in fp.shingles(fp.words(text))]
+    bins = [[h for h in hashes if h >> int(fp.shift) == b] for b in range(fp.bins)]
+    least = [min(x) if x else None for x in bins]
+    bits = ""
+    for b in range(fp.bins):
+        v = least[b] if least[b] is not None else next(least[j] for j in fp.order[b] if least[j] is not None)
+        bits += format(v % (1 << fp.bits), f"0{fp.bits}b")
+    return int(bits, 2).to_bytes(fp.bins * fp.bits // 8, "big").hex()
+
+
+def test_fingerprints_equal_plain_bins():
+    fp, rnd = minhash.Fingerprinter(), random.Random(6)
+    for n in (0, 1, 4, 5, 6, 40, 300, 2000):
+        text = " ".join(f"w{rnd.randrange(10**6)}" for _ in range(n))
+        assert fp.of(fp.words(text)).tobytes().hex() == plain_fingerprint(fp, text)
+
+
 PAGE = """<html><head><title>t</title><style>p{}</style></head><body><header><h1>Site</h1></header><nav><a href=1>Home</a></nav><div class="cookie-notice"><p>We use cookies, all of them, always.</p></div>
 <div id=content><div class=post><h1>Caf&eacute; &amp; co</h1><p><b>First,   line.<br><p>Second <a href=x>link</a> para&nbsp;here, <script>if (a < b) "</p>";</script>with more.</p><div class="ad-box">Buy</div><ul><li>one<li>two</ul>
 <form><p>Form, text, here</p></form></div><section id="comments"><p>I disagree, sir, wholly, and at length.</p></section></div><aside><p>Side, side, side</p></aside><footer>Foot</footer></body></html>"""
@@ -82,6 +114,39 @@ def test_html():
     assert html_text.main_text("<div hidden><p>no</p></div><p>yes</p><!-- <p>c</p> -->") == "yes"
 
 
+def test_html_names_and_broken_markup():
+    text = html_text.main_text
+    long = "Words that go on, and on, until there is enough of them to count as an article's own text, surely."
+    assert text('<article><p>One here.</p><a title="x>link</a><p>Two here.</p></article>') == "One here.\nlink\nTwo here."
+    assert text(f'<article><p>{long}</p><a title="x>link</a> <a href="y">more</a></article>') == f"{long}\nlink more"
+    assert text(f'<article><div class="article-header"><h1>Title</h1></div><p>{long}</p></article>') == f"Title\n{long}"
+    assert text(f"<article><p>It's <span class=\"share\">shared</span> data, {long}</p></article>") == f"It's shared data, {long}"
+    assert text(f'<article><p>{long}</p><div class="related"><a href=1>Other story</a> <a href=2>One more</a></div><div class="share">Share this</div></article>') == long
+    assert text(f'<article><p>{long}</p><div class="related"><p>{long}</p></div></article>') == f"{long}\n{long}"
+    assert text(f'<div class="header"><h1>Site</h1></div><div><p>{long}</p><p>{long}</p></div><div class="notice"><p>{long}</p></div>') == f"{long}\n{long}"
+    assert text(f'<article><p data-x="<b>not text</b>">{long}</p></article>') == long
+
+
+def test_html_deep_pages_take_linear_time():
+    import time
+
+    took = []
+    for n in (2000, 8000):
+        began = time.process_time()
+        page = "".join(f"<div><p>Paragraph {k}, which is there.</p>" for k in range(n))
+        assert "Paragraph" in html_text.main_text(page)
+        took.append(time.process_time() - began)
+    assert took[1] < 8 * took[0] + 0.5
+
+
+def test_html_rows(spark):
+    d = spark.createDataFrame([(1, PAGE, "clash", "u"), (1, PAGE, "clash", "u"), (None, None, None, None), (2, "", "clash", "u")], "page_id long, html string, text string, url string")
+    got = sorted((r.doc_id or 0, r.text, r.n_chars) for r in html_text.extract(d).collect())
+    want = html_text.main_text(PAGE)
+    assert got == [(0, "", 0), (1, want, len(want)), (1, want, len(want)), (2, "", 0)]
+    assert html_text.extract(d.limit(0)).count() == 0
+
+
 def test_kneser_ney_sums_to_one():
     m = language.fit({g: c for g, c in (("aab", 3), ("aba", 2), ("baa", 2), ("abb", 1))}, order=3)
     codes = lambda s: np.array([[ord(c) for c in s]], np.uint64)
@@ -165,7 +230,76 @@ def test_chats(spark):
         '{"content":"3","role":"tool","tool_call_id":"c1"},{"content":"?","role":"tool","tool_call_id":"zz"}]'
     )
     assert sorted(r.chat for r in got if r.conv_id is None) == ['[{"content":"a","role":"user"}]', '[{"content":"b","role":"user"}]']
-    crowd = spark.createDataFrame([(1, k, "user", f"m{k}") for k in range(200)], d.schema)
-    parts = chat.format_chats(crowd, part_turns=1000, part_messages=50).collect()
-    assert len(parts) > 1 and sum(r.n_messages for r in parts) == 200
+    assert one.n_rows == 5
     assert chat.format_chats(d.limit(0)).count() == 0
+
+
+def test_chat_pieces_are_runs_in_order(spark):
+    """A crowd of turns, and one at a single turn: the pieces joined are the conversation as one row would hold it."""
+    schema = "conv_id long, turn long, role string, text string, own int, at int, part int, piece int, message int, rows int, j int"
+    rows = [(1, k % 40, "user", f"m{k}") for k in range(200)] + [(2, 5, "user", f"crowd {k}") for k in range(300)] + [(2, 6, "user", "last")] + [(3, None, None, "ok")] * 3
+    d = spark.createDataFrame([(*r, *[9] * 7) for r in rows], schema)
+    import json
+
+    whole = {r.conv_id: json.loads(r.chat) for r in chat.format_chats(d, part_turns=1000, part_messages=10**6).collect()}
+    parts = chat.format_chats(d, part_turns=1000, part_messages=50).collect()
+    for c in (1, 2, 3):
+        mine = sorted((r for r in parts if r.conv_id == c), key=lambda r: r.piece)
+        assert [m for r in mine for m in json.loads(r.chat)] == whole[c]
+        assert max(r.n_messages for r in mine) < 200 and (c == 3 or len(mine) > 2)
+    assert sum(r.n_rows for r in parts) == len(rows) and len(whole[3]) == 1
+
+
+def plain_chat(turns, schemas):
+    """A conversation's JSON by a plain program: calls by identifier, results after them, arguments checked."""
+    import json
+
+    seen, calls, said = [], {}, {}
+    for turn, role, text in turns:
+        try:
+            j = json.loads(text) if role in ("assistant", "tool") else None
+        except ValueError:
+            j = None
+        seen.append((turn, role, text, j if isinstance(j, dict) else None))
+    for turn, role, _, j in seen:
+        for c in (j or {}).get("tool_calls", []) if role == "assistant" else []:
+            calls.setdefault(c["id"], turn)
+    out, invalid = [], 0
+    for turn, role, text, j in seen:
+        m, place = {"content": text, "role": role}, (turn, 0, turn)
+        if role == "assistant" and j and j.get("tool_calls"):
+            m = {"content": j.get("content") or "", "role": role, "tool_calls": [{"arguments": c["arguments"], "id": c["id"], "name": c["name"]} for c in j["tool_calls"]]}
+            for c in j["tool_calls"]:
+                fields = schemas.get(c["name"])
+                kinds = {"number": (int, float), "string": str}
+                good = fields is not None and all((f not in c["arguments"] and not need) or (f in c["arguments"] and isinstance(c["arguments"][f], kinds[k])) for f, (k, need) in fields.items())
+                invalid += not good
+        elif role == "tool" and j and j.get("tool_call_id"):
+            m = {"content": j.get("content") or "", "role": role, "tool_call_id": j["tool_call_id"]}
+            at = calls.get(j["tool_call_id"])
+            if at is not None and j["tool_call_id"] not in said:
+                said[j["tool_call_id"]] = 1
+                place = (max(at, turn), 1 if at > turn else 0, turn)
+        out.append((place, json.dumps(m, sort_keys=True, separators=(",", ":"))))
+    return "[" + ",".join(m for _, m in sorted(out, key=lambda x: x[0])) + "]", invalid
+
+
+def test_chats_equal_a_plain_program(spark):
+    import json
+
+    rnd, rows = random.Random(9), []
+    schemas = {"add": {"a": ("number", True), "b": ("number", False)}, "find": {"q": ("string", True)}}
+    for conv in range(40):
+        ids = [f"c{k}" for k in range(6)]
+        for turn in range(12):
+            kind = rnd.randrange(3)
+            if kind == 0:
+                calls = [{"id": ids.pop(), "name": rnd.choice(["add", "find", "none"]), "arguments": rnd.choice([{"a": 1}, {"q": "x", "z": 2.5}, {"b": "no"}, {}])} for _ in range(min(len(ids), rnd.randint(1, 2)))]
+                rows.append((conv, turn, "assistant", json.dumps({"tool_calls": calls, "content": f"t{turn}"}) if calls else "nothing"))
+            elif kind == 1:
+                rows.append((conv, turn, "tool", json.dumps({"tool_call_id": f"c{rnd.randrange(6)}", "content": f"r{turn}"})))
+            else:
+                rows.append((conv, turn, "user", f'say "{turn}"'))
+    got = {r.conv_id: (r.chat, r.n_invalid) for r in chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), schemas).collect()}
+    for conv in range(40):
+        assert got[conv] == plain_chat([r[1:] for r in rows if r[0] == conv], schemas), conv
