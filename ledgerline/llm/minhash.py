@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import arrow_schema, documents
+from ledgerline.llm.common import Words, arrow_schema, documents
 
 BINS, BITS, SHINGLE = 512, 4, 5
 _FIRST = 12  # columns of the order table that are tried before the whole
@@ -36,7 +36,7 @@ class Fingerprinter:
         rng = np.random.default_rng(20170703)
         self.order = np.argsort(rng.random((bins, bins)), axis=1).astype(np.int32)
         self.factors = rng.integers(1, 2**63, shingle, dtype=np.uint64) | np.uint64(1)
-        self.known: dict[bytes, int] = {}
+        self.known = Words()
 
     def words(self, text: str | None) -> np.ndarray:
         """A hash for each word, lower-cased in A-Z."""
@@ -45,10 +45,9 @@ class Fingerprinter:
         known, out = self.known, []
         for w in (text or "").encode("utf-8", "surrogatepass").lower().split():
             h = known.get(w)
-            if h is None:
-                if len(known) > 400_000:
-                    known.clear()
-                h = known[w] = xxhash.xxh64_intdigest(w, 7)
+            if h is None and (h := known.recall(w)) is None:
+                h = xxhash.xxh64_intdigest(w, 7)
+                known.keep(w, h)
             out.append(h)
         return np.array(out, np.uint64)
 
@@ -65,8 +64,10 @@ class Fingerprinter:
 
     def of(self, words: np.ndarray) -> np.ndarray:
         """The packed fingerprint, as bytes."""
-        h = self.shingles(words)
-        h.sort()
+        return self.pack(self.least(np.sort(self.shingles(words))))
+
+    def least(self, h: np.ndarray) -> np.ndarray:
+        """The value of each bin, empty ones filled, of sorted hashes."""
         at = (h >> self.shift).astype(np.int64)
         first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
         value, full = np.zeros(self.bins, np.uint64), np.zeros(self.bins, bool)
@@ -79,6 +80,10 @@ class Fingerprinter:
                 done = empty[had]
                 value[done] = value[order[done, hits[had].argmax(axis=1)]]
                 empty = empty[~had]
+        return value
+
+    def pack(self, value: np.ndarray) -> np.ndarray:
+        """The low-order bits of the bins' values."""
         low = (value & np.uint64((1 << self.bits) - 1)).astype(np.uint8)
         return np.packbits(((low[:, None] >> np.arange(self.bits - 1, -1, -1, dtype=np.uint8)) & 1).ravel())
 

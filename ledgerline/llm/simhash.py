@@ -3,13 +3,18 @@
 Two fingerprints with at most 3 differing bits agree in at least 2 of 5 bands, so each of the 10 pairs of bands is a
 key under which they meet; the fingerprints of a key are a shard with a BK-tree of its own. The trees of all shards
 grow with the corpus, so they are not broadcast: the distinct fingerprints of a shard travel (8 bytes each), and the
-tree is built where they meet. A shard of more than SHARD fingerprints is dealt into blocks, and each two blocks meet
-in a task of their own, one as the tree and one as its queries. A task returns a forest of its links, never pairs.
+tree is built where they meet. A shard of more than SHARD fingerprints is split again by parts of its other bits, of
+which one must agree too; what is still too large is dealt into blocks, and each two blocks meet in a task of their
+own, one as the tree and one as its queries. A task returns a forest of its links, never pairs.
+
+64 bits at 3 differences are strict: near_dedup() links what its radius says. similar_dedup() links texts that share 0.8
+of their five-word shingles: there MinHash bands are the shards, trees are searched with a radius that such pairs hardly
+exceed, and what they find is compared by whole MinHash fingerprints.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -17,13 +22,17 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import cut, documents, per_text, small
+from ledgerline.llm.common import cut, documents, held_by, per_text, small
 from ledgerline.llm.components import components
+from ledgerline.llm.minhash import BITS, Fingerprinter
 
 RADIUS, SHINGLE, SHARD = 3, 3, 2048
 #: First bit and width of each band.
 BANDS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 _PIECE = 1 << 15
+#: Of similar texts: least likeness, words of a shingle, the trees' radius (pairs of 0.8 differ in 10 bits of 64 on average, by a deviation of 3),
+#: bands of bins and bins of each (a pair of 0.8 meets in one of 20 with 0.998).
+LIKENESS, WORDS, WIDE, MIN_BANDS, BAND_BINS = 0.8, 5, 20, 20, 6
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -91,6 +100,9 @@ def link(fps: DataFrame, radius: int = RADIUS, shard: int = SHARD, bands: tuple
     """Edges (a, b) that connect the same fingerprints as all links of at most radius bits; fps (fp) is distinct."""
     agree = len(bands) - radius
     assert agree >= 1, "a radius needs more bands"
+    rest = [[b for c, (at, width) in enumerate(bands) if c not in chosen for b in range(at, at + width)] for chosen in combinations(range(len(bands)), agree)]
+    masks = [[sum(1 << b for b in bits[j :: radius + 1]) for j in range(radius + 1)] for bits in rest]
+    masks = F.array(*[F.array(*[F.lit(m - (1 << 64) if m >> 63 else m).cast("long") for m in of]) for of in masks])
     value = [F.shiftrightunsigned("fp", at).bitwiseAND(F.lit((1 << width) - 1)) for at, width in bands]
     keys = []
     for k, chosen in enumerate(combinations(range(len(bands)), agree)):
@@ -98,8 +110,16 @@ def link(fps: DataFrame, radius: int = RADIUS, shard: int = SHARD, bands: tuple
         for c in chosen:
             key = F.shiftleft(key, bands[c][1]).bitwiseOR(value[c])
         keys.append(key)
-    keyed = fps.select("fp", F.explode(F.array(*keys)).alias("key"))
-    hot, _ = small(cut(keyed.groupBy("key").count().where(F.col("count") > shard).select("key", F.ceil(F.col("count") / shard).cast("int").alias("blocks"))))
+    keyed = fps.select("fp", F.posexplode(F.array(*keys)).alias("k", "key"))
+    crowded = cut(keyed.groupBy("key").count().where(F.col("count") > shard).select("key", F.lit(True).alias("crowded")))
+    if crowded.isEmpty():
+        hot = crowded.select("key", F.lit(1).alias("blocks"))
+    else:  # the bits outside the chosen bands differ in at most radius places, so one of radius + 1 parts of them agrees
+        crowded, _ = small(crowded)
+        parts = F.transform(F.sequence(F.lit(0), F.lit(radius)), lambda j: F.xxhash64("key", j, F.col("fp").bitwiseAND(F.get(F.get(masks, F.col("k")), j))))
+        keyed = cut(keyed.join(crowded, "key", "left").select("fp", "crowded", F.explode(F.when(F.col("crowded"), parts).otherwise(F.array("key"))).alias("key")))
+        hot = cut(keyed.where("crowded").groupBy("key").count().where(F.col("count") > shard).select("key", F.ceil(F.col("count") / shard).cast("int").alias("blocks")))
+    hot, _ = small(hot)
     dealt = keyed.join(hot, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("side", F.pmod(F.xxhash64("fp"), "blocks").cast("int"))
     meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("side", j).alias("i"), F.greatest("side", j).alias("j")))
     cells = dealt.select("key", "fp", "side", F.explode(meets).alias("cell")).select("key", "cell.i", "cell.j", "side", "fp")
@@ -127,13 +147,17 @@ def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle
 
 
 def dedup_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """The rows of docs that stay, all columns: of each component one that has its least key.
+    """The rows of docs that stay, all columns: of each component of near_dedup() one that has its least key.
 
     Rows that repeat a key are told apart by their fingerprints. Null texts are empty ones, an empty table gives none,
     and the columns may have any names.
     """
-    found = near_dedup(docs, key, text, shingle, radius)
-    found = cut(found.select(F.col("doc_id").alias("id"), "fingerprint", "component_id"))
+    found = near_dedup(docs, key, text, shingle, radius).select(F.col("doc_id").alias("id"), F.conv("fingerprint", 16, -10).cast("long").alias("mark"), "component_id")
+    return _staying(docs, key, text, cut(found), lambda rows, row, content: fingerprints(rows, row, content, shingle).withColumnRenamed("fp", "mark"))
+
+
+def _staying(docs: DataFrame, key: str, text: str, found: DataFrame, marked: Callable) -> DataFrame:
+    """docs without the rows that found (id, mark, component_id; cut before) does not keep; marked() gives rows (doc_id, mark) of repeated keys again."""
     again = cut(found.groupBy("id").count().where("count > 1").select(F.col("id").alias("again")))
     gone, _ = small(cut(found.where(~F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("gone")).distinct()))
     rows = docs.select(*[F.col(f"`{c}`").alias(f"c_{i}") for i, c in enumerate(docs.columns)])
@@ -142,13 +166,127 @@ def dedup_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle
     if not again.isEmpty():
         again, _ = small(again)
         twice = F.col(mine).eqNullSafe(F.col("again"))
-        marked = fingerprints(rows.join(again, twice, "left_semi").withColumn("row", F.struct(*rows.columns)), "row", content, shingle)
-        marked = marked.withColumn("print", F.lower(F.lpad(F.hex("fp"), 16, "0")))
+        known = marked(rows.join(again, twice, "left_semi").withColumn("row", F.struct(*rows.columns)), "row", content)
         stay = found.where(F.col("id").eqNullSafe(F.col("component_id"))).join(again, F.col("id").eqNullSafe(F.col("again")), "left_semi").distinct()
-        once = marked.join(stay, F.col(f"doc_id.{mine}").eqNullSafe(F.col("id")) & (F.col("print") == F.col("fingerprint"))).dropDuplicates(["component_id"]).select("doc_id.*")
+        stay = stay.select("id", F.col("mark").alias("found_mark"), "component_id")
+        once = known.join(stay, F.col(f"doc_id.{mine}").eqNullSafe(F.col("id")) & (F.col("mark") == F.col("found_mark"))).dropDuplicates(["component_id"]).select("doc_id.*")
         left = left.join(again, twice, "left_anti").unionByName(once)
     return left.select(*[F.col(f"c_{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
+def sketches(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
+    """doc_id, fp (SimHash of the set of shingles), print (packed MinHash), bands (hashes of bins) for every row; a null text is empty."""
+
+    def run(texts: list[str | None]) -> list[tuple]:
+        of, out = held_by(("sketches", words), lambda: Fingerprinter(shingle=words)), []
+        for t in texts:
+            h = np.unique(of.shingles(of.words(t)))
+            counts = sum((np.unpackbits(h[at : at + _PIECE].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64) for at in range(0, len(h), _PIECE)), np.zeros(64, np.int64))
+            fp = np.packbits(2 * counts > len(h), bitorder="little").view("<i8")[0]
+            value = of.least(h)
+            band = np.full(MIN_BANDS, 0x9E3779B97F4A7C15, np.uint64)
+            for part in value[: MIN_BANDS * BAND_BINS].reshape(MIN_BANDS, BAND_BINS).T:
+                band = (band ^ part) * np.uint64(0x100000001B3)
+                band ^= band >> np.uint64(29)
+            band += np.arange(MIN_BANDS, dtype=np.uint64)  # equal values in two bands are two keys
+            out.append((int(fp), of.pack(value).tobytes(), band.view(np.int64).tolist()))
+        return out
+
+    return per_text(docs, key, text, run, "fp long, print binary, bands array<long>")
+
+
+def alike(a: np.ndarray, b: np.ndarray, likeness: float) -> np.ndarray:
+    """Which rows of two tables of packed MinHash fingerprints are at least so like each other, without the agreement that chance gives."""
+    x = a ^ b
+    per = 8 // BITS
+    differ = sum(((x >> np.uint8(BITS * k)) & np.uint8((1 << BITS) - 1) != 0).sum(axis=1) for k in range(per))
+    chance = 2.0**-BITS
+    return (1 - differ / (x.shape[1] * per) - chance) / (1 - chance) >= likeness
+
+
+def _similar_shards(batches: Iterator[pd.DataFrame], likeness: float) -> Iterator[pd.DataFrame]:
+    """A forest of the links of each shard; rows (key, i, j, side, node, fp, print) come sorted by the first four."""
+    from ledgerline.llm.bktree import BKTree, QUERIES, _root, join
+
+    def links(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        node, fp = rows["node"].to_numpy(np.int64), rows["fp"].to_numpy(np.int64).view(np.uint64)
+        prints = np.frombuffer(b"".join(rows["print"]), np.uint8).reshape(len(rows), -1)
+        i, j = int(rows["i"].iloc[0]), int(rows["j"].iloc[0])
+        side = rows["side"].to_numpy() == i
+        tree, asked = (np.arange(len(rows)), np.arange(len(rows))) if i == j else (np.flatnonzero(side), np.flatnonzero(~side))
+        parent = np.arange(len(rows))
+        if len(tree) and len(asked):
+            values, of = np.unique(fp[tree], return_inverse=True)
+            order = np.argsort(of, kind="stable")
+            begin = np.searchsorted(of[order], np.arange(len(values) + 1))
+            grown = BKTree(values)
+            for at in range(0, len(asked), QUERIES):
+                q, v = grown.search(fp[asked[at : at + QUERIES]], WIDE)
+                n = begin[v + 1] - begin[v]
+                a = asked[at + np.repeat(q, n)]
+                b = tree[order[np.repeat(begin[v] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(len(a))]] if len(a) else a
+                for k in range(0, len(a), 2048):  # what is connected by now needs no comparison
+                    x, y = a[k : k + 2048], b[k : k + 2048]
+                    apart = _root(parent, x) != _root(parent, y)
+                    x, y = x[apart], y[apart]
+                    good = alike(prints[x], prints[y], likeness) if len(x) else np.zeros(0, bool)
+                    join(parent, x[good], y[good])
+        root = _root(parent, np.arange(len(rows)))
+        moved = root != np.arange(len(rows))
+        return node[moved], node[root[moved]]
+
+    rest: pd.DataFrame | None = None
+    place = ["key", "i", "j"]
+    for batch in (*batches, None):
+        rows = rest if batch is None else batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+        if rows is None or not len(rows):
+            continue
+        starts = np.flatnonzero(np.r_[True, (rows[place].to_numpy()[1:] != rows[place].to_numpy()[:-1]).any(axis=1)])
+        ends = np.r_[starts[1:], len(rows)]
+        whole = len(starts) if batch is None else len(starts) - 1
+        found = [links(rows.iloc[s:e]) for s, e in zip(starts[:whole], ends[:whole]) if e - s > 1]
+        rest = None if batch is None else rows.iloc[starts[-1] :]
+        if found:
+            a, b = (np.concatenate(x) for x in zip(*found))
+            yield pd.DataFrame({"a": a, "b": b})
+
+
+def similar_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", likeness: float = LIKENESS, words: int = WORDS, shard: int = SHARD) -> DataFrame:
+    """doc_id, mark (of its sketch), component_id: the least doc_id that links lead to, for every row.
+
+    Rows link if their MinHash fingerprints put the likeness of their sets of shingles at likeness or more; rows of equal
+    sketches are one class from the start. Only keys that several classes share travel with fingerprints. A band of
+    more than shard classes is dealt into blocks that meet two by two. Null texts are empty, which are alike; a null key
+    is no component's least unless its component has no other. An empty table gives none.
+    """
+    mark = F.xxhash64("fp", "print")
+    rows = cut(sketches(docs, key, text, words).withColumn("mark", mark))
+    classes = rows.groupBy("fp", "print", "mark").agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands"))
+    classes = cut(classes.withColumn("node", F.monotonically_increasing_id()))
+    keyed = classes.select("node", F.explode("bands").alias("key"))
+    shared = cut(keyed.groupBy("key").count().where("count > 1").select("key", F.ceil(F.col("count") / shard).cast("int").alias("blocks")))
+    shared, _ = small(shared)
+    dealt = keyed.join(shared, "key").withColumn("side", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("side", j).alias("i"), F.greatest("side", j).alias("j")))
+    cells = dealt.select("key", "node", "side", F.explode(meets).alias("cell")).select("key", "cell.i", "cell.j", "side", "node")
+    cells = cells.join(classes.select("node", "fp", "print"), "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side")
+    edges = cells.mapInPandas(lambda batches: _similar_shards(batches, likeness), "a long, b long")
+    roots = cut(components(edges))
+    linked = classes.join(roots, "node").select("node", "root", "least")
+    ids = linked.join(linked.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id")
+    ids = cut(classes.join(ids, "node", "left").select("fp", "print", F.coalesce("component_id", "least").alias("component_id")))
+    return rows.join(ids, ["fp", "print"]).select("doc_id", "mark", "component_id")
+
+
+def dedup_similar_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", likeness: float = LIKENESS, words: int = WORDS) -> DataFrame:
+    """The rows of docs that stay, all columns: of each component of similar_dedup() one that has its least key.
+
+    Rows that repeat a key are told apart by their sketches. Null texts are empty ones, an empty table gives none, and
+    the columns may have any names.
+    """
+    found = cut(similar_dedup(docs, key, text, likeness, words).select(F.col("doc_id").alias("id"), "mark", "component_id"))
+    return _staying(docs, key, text, found, lambda rows, row, content: sketches(rows, row, content, words).withColumn("mark", F.xxhash64("fp", "print")))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(documents(spark, sf_dir))

@@ -107,6 +107,42 @@ def test_simhash_keeps_each_text_of_a_repeated_key(spark):
     assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == sorted([(3, a), (5, b), (6, rows[4][1]), (0, "")]) and kept.columns == table(spark).columns
 
 
+def plain_jaccard(a, b, k=5):
+    grams = [{tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} for w in (x.lower().split() for x in (a, b))]
+    return len(grams[0] & grams[1]) / len(grams[0] | grams[1])
+
+
+@pytest.mark.parametrize("shard", [2, 2048])
+def test_similar_texts_against_brute_force(spark, shard):
+    """Pairs well above 0.8 are one component, pairs well below (and not connected otherwise) are not."""
+    rng = np.random.default_rng(4)
+    words, rows, n = [f"w{k}" for k in range(500)], [], 0
+    for size in (30, 60, 200, 900):
+        for _ in range(6):
+            base = [str(x) for x in rng.choice(words, size)]
+            for share in (0, 0.005, 0.01, 0.02, 0.3):
+                t = list(base)
+                for _ in range(int(np.ceil(share * size))):
+                    t[int(rng.integers(len(t)))] = f"e{int(rng.integers(10**6))}"
+                rows.append((n, " ".join(t)))
+                n += 1
+    rows += [(n, None), (n + 1, ""), (n + 2, "one"), (n + 3, "ONE"), (n + 3, "ONE"), (None, rows[0][1])]
+    got = simhash.similar_dedup(table(spark, rows), shard=shard).collect()
+    assert len(got) == len(rows)
+    at = {r.doc_id: r.component_id for r in got}
+    text = {d: t or "" for d, t in rows if d is not None}
+    sure = missed = 0
+    for a, b in itertools.combinations(text, 2):
+        j = plain_jaccard(text[a], text[b])
+        if j >= 0.87:
+            sure, missed = sure + 1, missed + (at[a] != at[b])
+        assert j > 0.6 or at[a] != at[b] or a // 5 == b // 5
+    assert sure > 20 and missed <= 0.02 * sure and at[n] == at[n + 1] == n and at[n + 2] == at[n + 3] == n + 2 and at[None] == at[0]
+    kept = simhash.dedup_similar_rows(table(spark, rows))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(at.values())) and kept.columns == table(spark).columns
+    assert simhash.dedup_similar_rows(table(spark, [])).count() == 0
+
+
 @pytest.mark.parametrize("shard", [3, 2048])
 def test_links_of_a_dense_group_in_blocks(spark, shard):
     rng = np.random.default_rng(5)

@@ -27,9 +27,11 @@ def test_run(spark, tmp_path):
     assert {r.doc_id for r in once.collect()} == set(best.values())
     apart = stages["near dedup"](spark, once, str(tmp_path))
     left = {r.doc_id for r in apart.collect()}
-    fps = {k: simhash.fingerprint(texts[k]) for k in best.values()}
-    near = {k for k in fps if any(j < k and bin(fps[j] ^ fps[k]).count("1") <= 3 for j in fps)}
-    assert set(fps) - near <= left <= set(fps)  # who has no lesser neighbour stays
+    of = {r.doc_id: r.component_id for r in simhash.similar_dedup(once).collect()}
+    assert left == set(of.values())
+    grams = {k: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for k in best.values() for w in [(texts[k] or "").lower().split()]}
+    near = {k for k in grams if any(j < k and len(grams[j] & grams[k]) >= 0.7 * len(grams[j] | grams[k]) for j in grams)}
+    assert set(grams) - near <= left <= set(grams)  # who has no lesser neighbour stays
     mixed = stages["mixing"](spark, apart, str(tmp_path))
     assert mixed.columns == docs.columns
     targets = {r.source: r.target for r in mixing.source_targets(mixing.sized_rows(apart)).collect()}
