@@ -11,32 +11,35 @@ from ledgerline.llm.common import documents, shared_dir, ship
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity machine, learnt from sf_dir's labels, rejects go."""
+    """Documents that the toxicity machine, learnt from sf_dir's labels, rejects go; null and empty texts stay, an empty table gives none."""
     ship(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return toxicity.keep_clean(docs, toxicity.train(docs, labels))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of equal texts stays, the one with the largest doc_id."""
+    """One row of each group of equal texts stays, the one with the largest doc_id; null is the empty text."""
     ship(spark)
     return exact_dedup.dedup_rows(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each component of linked SimHash fingerprints stays, the one with the least doc_id."""
+    """One row of each component of texts that share 0.8 of their five-word shingles stays, the one with the least doc_id.
+
+    Null texts are empty and alike; an empty table gives none.
+    """
     ship(spark)
-    return simhash.dedup_rows(docs)
+    return simhash.dedup_similar_rows(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix's rows: a document comes once for each pass over its source that takes words of it."""
+    """The mix's rows: a document comes once for each pass over its source that takes words of it; texts without words don't come, a null source is one."""
     ship(spark)
     return mixing.mixed_rows(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of ids and decoded text, for each row of the mix."""
+    """Token counts and digests of ids and decoded text, for each row of the mix; a null text has no tokens."""
     ship(spark)
     return bpe.encode(docs, bpe.tokenizer_path(), with_ids=False)
 
