@@ -1,10 +1,11 @@
-"""Audits of return data."""
+"""Audits of return data; figures are rounded half to even."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Thresholds and percentiles of the report; the status words below are fixed too.
 THRESHOLDS = (0.10, 0.20, 0.30, 0.50, 0.75, 1.0)
 PERCENTILES = (0.1, 1, 5, 25, 50, 75, 95, 99, 99.9)
 
@@ -21,10 +22,10 @@ def distribution(returns: DataFrame) -> DataFrame:
     name = lambda p: f"p{p:g}".replace(".", "_")
     return r.agg(
         F.count("*").alias("n_observations"), F.countDistinct("ticker").alias("n_tickers"), F.countDistinct("date").alias("n_days"),
-        F.round(F.avg(x), 8).alias("mean"), F.round(F.stddev_pop(x), 6).alias("std"), F.round(F.min(x), 6).alias("min"), F.round(F.max(x), 6).alias("max"),
-        *[F.round(F.percentile(x, p / 100), 6).alias(name(p)) for p in PERCENTILES],
-        F.round(F.skewness(x) * F.sqrt(n * (n - 1)) / (n - 2), 4).alias("skewness"),
-        F.round((n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * F.kurtosis(x) + 6), 4).alias("kurtosis"),
+        F.bround(F.avg(x), 8).alias("mean"), F.bround(F.stddev_pop(x), 6).alias("std"), F.bround(F.min(x), 6).alias("min"), F.bround(F.max(x), 6).alias("max"),
+        *[F.bround(F.percentile(x, p / 100), 6).alias(name(p)) for p in PERCENTILES],
+        F.bround(F.skewness(x) * F.sqrt(n * (n - 1)) / (n - 2), 4).alias("skewness"),
+        F.bround((n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * F.kurtosis(x) + 6), 4).alias("kurtosis"),
         *[F.count_if(F.abs(x) > t).alias(f"gt_{t:.2f}".replace(".", "_")) for t in THRESHOLDS],
     )
 
@@ -34,8 +35,8 @@ def clipping_impact(returns: DataFrame, bound: float = 0.5) -> DataFrame:
     x, out = F.col("log_ret"), F.abs("log_ret") > bound
     clipped = F.greatest(F.least(x, F.lit(bound)), F.lit(-bound))
     return r.agg(
-        F.count_if(out).alias("n_clipped"), F.round(F.lit(100.0) * F.count_if(out) / F.count("*"), 6).alias("pct_clipped"), F.countDistinct(F.when(out, F.col("ticker"))).alias("n_tickers_affected"),
-        F.round(F.avg(x), 8).alias("mean_before"), F.round(F.avg(clipped), 8).alias("mean_after"), F.round(F.stddev_pop(x), 6).alias("std_before"), F.round(F.stddev_pop(clipped), 6).alias("std_after"),
+        F.count_if(out).alias("n_clipped"), F.bround(F.lit(100.0) * F.count_if(out) / F.count("*"), 6).alias("pct_clipped"), F.countDistinct(F.when(out, F.col("ticker"))).alias("n_tickers_affected"),
+        F.bround(F.avg(x), 8).alias("mean_before"), F.bround(F.avg(clipped), 8).alias("mean_after"), F.bround(F.stddev_pop(x), 6).alias("std_before"), F.bround(F.stddev_pop(clipped), 6).alias("std_after"),
     )
 
 
@@ -43,7 +44,7 @@ def consecutive_extremes(returns: DataFrame, threshold: float = 0.30) -> DataFra
     """Pairs of a ticker's successive returns (missing days skipped) that are both beyond the threshold."""
     w = Window.partitionBy("ticker").orderBy("date")
     p = returns.select("ticker", F.col("date").alias("date2"), F.col("log_ret").alias("r2"), F.lag("date").over(w).alias("date1"), F.lag("log_ret").over(w).alias("r1"))
-    return p.where((F.abs("r1") > threshold) & (F.abs("r2") > threshold)).select("ticker", "date1", "date2", F.round("r1", 4).alias("return1"), F.round("r2", 4).alias("return2"))
+    return p.where((F.abs("r1") > threshold) & (F.abs("r2") > threshold)).select("ticker", "date1", "date2", F.bround("r1", 4).alias("return1"), F.bround("r2", 4).alias("return2"))
 
 
 def event_check(events: DataFrame, returns: DataFrame, tolerance: int = 5, normal: float = 0.15) -> DataFrame:
@@ -55,4 +56,4 @@ def event_check(events: DataFrame, returns: DataFrame, tolerance: int = 5, norma
     hit = e.join(returns.select("ticker", "date", "log_ret"), ["ticker", "date"]).groupBy("ticker", "event_date").agg(F.min("date").alias("actual_date"), F.min_by("log_ret", "date").alias("r"))
     out = events.join(hit, ["ticker", "event_date"], "left")
     status = F.when(F.col("r").isNull(), "DATE_NOT_FOUND").when(F.abs("r") < normal, "PASS").otherwise("FAIL_SPIKE")
-    return out.select("ticker", "event_date", "actual_date", F.round("r", 6).alias("return_on_date"), status.alias("status"))
+    return out.select("ticker", "event_date", "actual_date", F.bround("r", 6).alias("return_on_date"), status.alias("status"))

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerline.session import cut
+
 KEY = ["strategy", "rebal_date"]
 
 
@@ -83,5 +85,5 @@ def average_turnover(weights: DataFrame) -> DataFrame:
 
 def run(weights: DataFrame, returns: DataFrame, periods: DataFrame, rates: DataFrame | None = None, flat_bps: float = 10.0) -> DataFrame:
     """(strategy, rebal_date, date, ret) of whole backtests, with costs from drifted weights."""
-    positions = position_days(weights, returns, periods)
+    positions = cut(position_days(weights, returns, periods))  # costs and days both read it
     return daily_returns(positions, turnover_costs(weights, drifted(positions), rates, flat_bps))

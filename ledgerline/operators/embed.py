@@ -4,25 +4,38 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions.vectors import clipped_cosine, norm, unit
 
 
+EPOCH = "2015-01-01"
+
+
 def aggregate_universe(docs: DataFrame, as_of: DataFrame, mode: str = "mean", halflife: int = 365, min_documents: int = 1) -> DataFrame:
     """(as_of, ticker, n_documents, embedding): unit vector of each ticker's documents dated on or before as_of.
 
     mean pools the raw vectors; time_weighted weighs each by 0.5 ** (age in days / halflife). docs: (ticker, doc_date,
-    embedding); as_of is small and broadcast. Sums are taken per dimension, so partial sums travel, not vectors.
+    embedding); as_of (one row a date) is small and broadcast. A document counts once, at its first date; running sums of
+    each ticker and dimension carry it on. Weights are relative to EPOCH, which a ratio of sums doesn't feel, so nothing
+    decays anew for each date; they need doc dates within 900 half-lives of EPOCH.
     """
     if mode not in ("mean", "time_weighted"):
         raise ValueError(f"unknown aggregation: {mode}")
-    d = docs.join(F.broadcast(as_of), F.col("doc_date") <= F.col("as_of"))
-    age = F.datediff("as_of", "doc_date")
-    w = F.exp(F.lit(-math.log(2.0)) * age / halflife) if mode == "time_weighted" else F.lit(1.0)
-    d = d.select("as_of", "ticker", w.alias("w"), F.posexplode("embedding").alias("k", "x"))
-    s = d.groupBy("as_of", "ticker", "k").agg((F.sum(F.col("w") * F.col("x").cast("double")) / F.sum("w")).alias("v"), F.count("*").alias("n"))
+    dates = as_of.select("as_of").distinct()
+    steps = dates.withColumn("q", F.row_number().over(Window.orderBy("as_of"))).withColumn("since", F.lag("as_of").over(Window.orderBy("as_of")))
+    last = steps.agg(F.max("q").alias("last"))
+    first = (F.col("doc_date") <= F.col("as_of")) & (F.col("since").isNull() | (F.col("doc_date") > F.col("since")))
+    d = docs.join(F.broadcast(steps), first)
+    age = F.datediff("doc_date", F.lit(EPOCH).cast("date"))
+    w = F.exp(F.lit(math.log(2.0)) * age / halflife) if mode == "time_weighted" else F.lit(1.0)
+    d = d.select("q", "ticker", w.alias("w"), F.posexplode("embedding").alias("k", "x"))
+    s = d.groupBy("q", "ticker", "k").agg(F.sum(F.col("w") * F.col("x").cast("double")).alias("s"), F.sum("w").alias("w"), F.count("*").alias("n"))
+    by = Window.partitionBy("ticker", "k").orderBy("q")
+    s = s.crossJoin(F.broadcast(last)).select("ticker", "k", "q", *[F.sum(c).over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias(c) for c in ("s", "w", "n")], F.coalesce(F.lead("q").over(by) - 1, F.col("last")).alias("upto"))
+    s = s.select("ticker", "k", (F.col("s") / F.col("w")).alias("v"), "n", F.explode(F.sequence("q", "upto")).alias("q"))
+    s = s.join(F.broadcast(steps.select("q", "as_of")), "q")
     e = s.groupBy("as_of", "ticker").agg(F.array_sort(F.collect_list(F.struct("k", "v"))).alias("kv"), F.max("n").alias("n_documents"))
     return e.where(F.col("n_documents") >= min_documents).select("as_of", "ticker", "n_documents", unit(F.transform("kv", lambda x: x["v"])).alias("embedding"))
 
@@ -54,8 +67,6 @@ def disagreements(pairs: DataFrame, n: int = 20) -> DataFrame:
 
 def shuffled(firms: DataFrame, seed: int) -> DataFrame:
     """Placebo: each date's embeddings dealt anew among its tickers, by a hash of seed and ticker."""
-    from pyspark.sql import Window
-
     by_name, by_hash = Window.partitionBy("as_of").orderBy("ticker"), Window.partitionBy("as_of").orderBy(F.xxhash64(F.lit(seed), "as_of", "ticker"), "ticker")
     names = firms.select("as_of", "ticker", F.row_number().over(by_name).alias("n"))
     vectors = firms.select("as_of", "n_documents", "embedding", F.row_number().over(by_hash).alias("n"))

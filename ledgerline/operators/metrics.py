@@ -46,6 +46,15 @@ def against_benchmark(returns: DataFrame, benchmark: DataFrame, least: int = 11)
     return a.where(F.col("n_common") >= least).select("strategy", ratio.alias("information_ratio"), "tracking_error", "capm_alpha", "capm_beta", "n_common")
 
 
+def capm_hac(returns: DataFrame, benchmark: DataFrame, lags: int = 10, least: int = 11) -> DataFrame:
+    """(strategy, capm_alpha, capm_alpha_t, capm_alpha_p, capm_beta, n): the regression on the benchmark with Newey-West errors."""
+    from ledgerline.operators.inference import factor_regression
+
+    terms = factor_regression(returns, benchmark.select("date", F.col("ret").alias("b")), ["b"], None, lags, least)
+    own = lambda term, c: F.max(F.when(F.col("term") == term, F.col(c)))
+    return terms.groupBy("strategy").agg((own("alpha", "beta") * YEAR).alias("capm_alpha"), own("alpha", "t").alias("capm_alpha_t"), own("alpha", "p_value").alias("capm_alpha_p"), own("b", "beta").alias("capm_beta"), F.max("n").alias("n"))
+
+
 def capm_beta(returns: DataFrame, market: DataFrame, key: str = "ticker", least: int = 20) -> DataFrame:
     """(key, beta, n): covariance over variance, null below least rows or if the market hardly varies."""
     j = returns.join(market.select("date", F.col("ret").alias("b")), "date")

@@ -80,10 +80,15 @@ def strategy(name: str, cov: str = "semantic", objective: str = "min_variance",
 
 def section_weights(s: Section, p: dict) -> tuple[np.ndarray, dict]:
     if p["cov"] == "equal":
+        w, about = np.full(len(s.tickers), 1 / len(s.tickers)), {}
         if p["sector_cap"]:
-            w, n = optimize.capped_equal_weights(s.sectors, {x or "_unknown": p["sector_cap"] for x in s.sectors})
-            return w, {"groups_kept": n}
-        return np.full(len(s.tickers), 1 / len(s.tickers)), {}
+            w, about["groups_kept"] = optimize.capped_equal_weights(s.sectors, {x or "_unknown": p["sector_cap"] for x in s.sectors})
+        if p["vol_target"]:  # scaled by the sample covariance's forecast, up or down
+            forecast = float(np.sqrt(252 * w @ kernels.sample(s.filled) @ w))
+            if forecast > 1e-10:
+                about["vol_scale"] = p["vol_target"] / forecast
+                w = w * about["vol_scale"]
+        return w, about
     if p["alpha"] is not None or p["k"] is not None:
         target = kernels.cosine(s.e) if p["k"] is None else kernels.factor_correlation(s.e, p["k"])[0]
         sigma = kernels.shrunk(s.filled, target, "auto" if p["alpha"] is None else p["alpha"])[0]

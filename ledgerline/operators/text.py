@@ -12,6 +12,7 @@ SECTIONS = (r"\bPART\s+I\b", r"\bItem\s+1[\.\s]", r"UNITED\s+STATES\s+SECURITIES
 CLEAN = r"(Item\s+1|PART\s+I|UNITED\s+STATES|FORM\s+10-K|ANNUAL\s+REPORT)"
 TAGGED = r"(fasb\.org|xbrl|false\d{4}FY|\.htm\b|0{6,}\d+\n|--\d{2}-\d{2}\nFY)"
 PROSE = r"(?s)[A-Z][a-z].{198,}"
+#: Fixed value: names of indices that are no tickers.
 INDEX_TICKERS = ("$INDU", "$SPX", "$COMP", "$DJI", "$NDX", "$VIX", "INDU", "SPX", "COMP", "DJI", "NDX", "VIX")
 #: Abbreviations after which a full stop ends no sentence.
 ABBREVIATIONS = ("Mr", "Mrs", "Ms", "Dr", "Prof", "Inc", "Corp", "Co", "Ltd", "No", "vs", "etc", "U.S", "e.g", "i.e", "Jr", "Sr", "St", "Fig", "Sec")

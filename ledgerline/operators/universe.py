@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerline.config import LiquidityConfig
 from ledgerline.operators.calendars import trailing_places
 
 
@@ -23,17 +22,17 @@ def completeness(returns: DataFrame, places: DataFrame, lookback: int = 504) ->
     return n.join(F.broadcast(days), "rebal_date")
 
 
-def investable(adv: DataFrame, complete: DataFrame, eligible: DataFrame, config: LiquidityConfig = LiquidityConfig()) -> DataFrame:
-    """(rebal_date, ticker, median_adv): liquid, complete and in eligible (rebal_date, ticker); of max_firms the most liquid.
+def investable(adv: DataFrame, complete: DataFrame, eligible: DataFrame, least_adv: float = 1e6, share: float = 0.8, most: int | None = None) -> DataFrame:
+    """(rebal_date, ticker, median_adv): a median of at least least_adv, returns on a share of the days, in eligible (rebal_date, ticker); of them the most liquid, if most bounds them.
 
-    The completeness need is truncated to a whole number of days. Ties of liquidity go to the lesser ticker.
+    The days needed are truncated to a whole number of days. Ties of liquidity go to the lesser ticker.
     """
-    need = F.floor(F.col("n_days") * config.min_return_completeness)
-    u = adv.where(F.col("median_adv") >= config.adv_threshold).join(complete.where(F.col("n_ret") >= need).select("rebal_date", "ticker"), ["rebal_date", "ticker"], "left_semi")
+    need = F.floor(F.col("n_days") * share)
+    u = adv.where(F.col("median_adv") >= least_adv).join(complete.where(F.col("n_ret") >= need).select("rebal_date", "ticker"), ["rebal_date", "ticker"], "left_semi")
     u = u.join(eligible.select("rebal_date", "ticker"), ["rebal_date", "ticker"], "left_semi")
-    if config.max_firms:
+    if most:
         rank = F.row_number().over(Window.partitionBy("rebal_date").orderBy(F.col("median_adv").desc(), "ticker"))
-        u = u.withColumn("_rank", rank).where(F.col("_rank") <= config.max_firms).drop("_rank")
+        u = u.withColumn("_rank", rank).where(F.col("_rank") <= most).drop("_rank")
     return u
 
 

@@ -111,9 +111,9 @@ def cold_start(spark: SparkSession, d: str) -> DataFrame:
 
 @query("temporal_sensitivity")
 def temporal_sensitivity(spark: SparkSession, d: str) -> DataFrame:
-    r = walk(spark, d, [SEMANTIC, EW])[1]
-    cut = F.when(F.col("date") < F.lit("1998-07-01").cast("date"), "1").when(F.col("date") < F.lit("2000-01-01").cast("date"), "2").otherwise("3")
-    p = r.select(F.concat("strategy", F.lit("/"), cut).alias("strategy"), "date", "ret")
+    r = walk(spark, d, [SEMANTIC, LW, EW])[1]
+    part = F.when(F.col("date") < F.lit("1998-07-01").cast("date"), "1").when(F.col("date") < F.lit("2000-01-01").cast("date"), "2").otherwise("3")
+    p = r.withColumn("period", F.explode(F.array(part, F.lit("full")))).select(F.concat("strategy", F.lit("/"), "period").alias("strategy"), "date", "ret")
     return rounded(metrics.performance(p).select(F.substring_index("strategy", "/", 1).alias("strategy"), F.substring_index("strategy", "/", -1).alias("period"), "annualized_return", "annualized_volatility", "sharpe_ratio", "max_drawdown", "n_observations"))
 
 

@@ -5,12 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerline.config import LiquidityConfig, TCTier
 from ledgerline.operators import audit, backtest, calendars, costs, metrics, panel, universe
 from ledgerline.plans import tables as t
 from ledgerline.plans.registry import query, rounded
 
-TIERS = (TCTier("large_cap", 6_000.0, 10.0), TCTier("mid_cap", 4_000.0, 20.0), TCTier("small_cap", 0, 50.0))
+TIERS = (costs.Tier("large_cap", 6_000.0, 10.0), costs.Tier("mid_cap", 4_000.0, 20.0), costs.Tier("small_cap", 0.0, 50.0))
 RAW = "ln(close / before)"
 
 
@@ -72,9 +71,8 @@ def quarter_bounds(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _adv(spark: SparkSession, d: str) -> DataFrame:
-    p = t.prices(spark, d)
     cal, places = t.places(spark, d)
-    return universe.median_adv(panel.dollar_volume(p), cal, places, t.ADV_LOOKBACK)
+    return universe.median_adv(panel.dollar_volume(t.panel_prices(spark, d)), cal, places, t.ADV_LOOKBACK)
 
 
 @query("median_adv", t.sql(t.PX, t.CAL, t.DV, t.REBAL, t.ADV, "SELECT rebal_date, ticker, round(median_adv, 4) AS median_adv FROM adv"))
@@ -88,9 +86,12 @@ def return_completeness(spark: SparkSession, d: str) -> DataFrame:
 
 
 def members(spark: SparkSession, d: str, max_firms: int | None = None, threshold: float = t.ADV_THRESHOLD) -> DataFrame:
-    complete = universe.completeness(t.returns(spark, d), t.places(spark, d)[1], t.LOOKBACK)
-    everyone = t.rebalances(spark).crossJoin(F.broadcast(t.sectors(spark, d).select("ticker")))  # dates times tickers is the grid itself
-    return universe.investable(_adv(spark, d), complete, everyone, LiquidityConfig(adv_threshold=threshold, max_firms=max_firms))
+    def make() -> DataFrame:
+        complete = universe.completeness(t.returns(spark, d), t.places(spark, d)[1], t.LOOKBACK)
+        everyone = t.rebalances(spark).crossJoin(F.broadcast(t.sectors(spark, d).select("ticker")))  # dates times tickers is the grid itself
+        return universe.investable(_adv(spark, d), complete, everyone, least_adv=threshold, most=max_firms)
+
+    return t.once(("members", d, max_firms, threshold), make)
 
 
 @query("universe_filter", t.sql(*t.BASE, "SELECT rebal_date, ticker, round(median_adv, 4) AS median_adv FROM universe"))
@@ -198,7 +199,7 @@ def equal_weight_query(spark: SparkSession, d: str) -> DataFrame:
 
 def _positions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     w = equal_weights(members(spark, d))
-    return w, backtest.position_days(w, t.returns(spark, d), periods(spark))
+    return w, t.once(("positions", d), lambda: backtest.position_days(w, t.returns(spark, d), periods(spark)))
 
 
 @query("drifted_weights", t.sql(*t.EW_BACKTEST, "SELECT rebal_date, ticker, round(drifted, 8) AS drifted FROM drift"))
@@ -224,7 +225,7 @@ def turnover_tc_tiered(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ew_returns(spark: SparkSession, d: str) -> DataFrame:
-    return backtest.run(equal_weights(members(spark, d)), t.returns(spark, d), periods(spark))
+    return t.once(("ew", d), lambda: backtest.run(equal_weights(members(spark, d)), t.returns(spark, d), periods(spark)))
 
 
 @query("ew_backtest_returns", t.sql(*t.EW_BACKTEST, "SELECT rebal_date, date, round(CAST(ret AS DOUBLE), 8) AS ret FROM bt"))
@@ -274,6 +275,17 @@ def benchmark_metrics(spark: SparkSession, d: str) -> DataFrame:
     return rounded(metrics.against_benchmark(ew_returns(spark, d), market(spark, d)))
 
 
+_HAC = """j AS (SELECT row_number() OVER (ORDER BY date) AS i, ret AS y, b FROM bt JOIN mkt USING (date)), f AS (SELECT regr_intercept(y, b) AS a, regr_slope(y, b) AS s, count(*) AS n, sum(b) AS sb, sum(b * b) AS sbb FROM j),
+u AS (SELECT i, y - a - s * b AS g0, (y - a - s * b) * b AS g1 FROM j, f), lagged_u AS (SELECT k, sum(x.g0 * z.g0) AS s00, sum(x.g0 * z.g1 + x.g1 * z.g0) / 2 AS s01, sum(x.g1 * z.g1) AS s11 FROM (SELECT unnest(range(0, 11)) AS k) JOIN u x ON true JOIN u z ON z.i = x.i - k GROUP BY k),
+m AS (SELECT sum(c * s00) AS m00, sum(c * s01) AS m01, sum(c * s11) AS m11 FROM (SELECT *, CASE WHEN k = 0 THEN 1 ELSE 2 * (1 - k / 11.0) END AS c FROM lagged_u)),
+v AS (SELECT a, s, n, (sbb * sbb * m00 - 2 * sbb * sb * m01 + sb * sb * m11) / (n * sbb - sb * sb) ** 2 AS va FROM f, m)"""
+
+
+@query("capm_hac", t.sql(*t.EW_BACKTEST, _MARKET, _HAC, "SELECT 'equal_weight' AS strategy, round(a * 252, 6) AS capm_alpha, round(a / sqrt(va), 5) AS capm_alpha_t, round(s, 6) AS capm_beta, n FROM v"))
+def capm_hac(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(metrics.capm_hac(ew_returns(spark, d), market(spark, d)).drop("capm_alpha_p").withColumn("capm_alpha_t", F.round("capm_alpha_t", 5)))
+
+
 @query("capm_beta", t.sql(t.PX, t.CAL, t.RET, _MARKET, "SELECT ticker, round(regr_slope(exp(log_ret) - 1, b), 6) AS beta, count(*) AS n FROM ret JOIN mkt USING (date) GROUP BY 1"))
 def capm_beta(spark: SparkSession, d: str) -> DataFrame:
     return rounded(metrics.capm_beta(panel.simple_returns(t.returns(spark, d)), market(spark, d)))
@@ -322,7 +334,7 @@ def split_asof_check(spark: SparkSession, d: str) -> DataFrame:
 @query("strategy_compare", t.sql(*t.EW_BACKTEST, _CUM, _PERFORMANCE, _TARGETS.replace("{w}", "weights"), "SELECT 'equal_weight' AS strategy, round(annualized_return / annualized_volatility, 6) AS sharpe_ratio, round(max_drawdown, 6) AS max_drawdown, round((SELECT avg(x) FROM tm), 6) AS avg_turnover FROM perf"))
 def strategy_compare(spark: SparkSession, d: str) -> DataFrame:
     w = equal_weights(members(spark, d))
-    p = metrics.performance(backtest.run(w, t.returns(spark, d), periods(spark)))
+    p = metrics.performance(ew_returns(spark, d))
     return rounded(p.join(backtest.average_turnover(w), "strategy").select("strategy", "sharpe_ratio", "max_drawdown", "avg_turnover"))
 
 

@@ -46,8 +46,11 @@ def queries() -> dict[str, Query]:
 
 def _shipped(f: Query) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from ledgerline.plans.tables import sharing
+
         ship(spark)
-        return f(spark, sf_dir)
+        with sharing():
+            return f(spark, sf_dir)
 
     return run
 
@@ -59,7 +62,6 @@ def oracle_sql() -> dict[str, str]:
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metrics of the equal-weight walk-forward backtest over months, which even the smallest tables fill."""
-    from ledgerline.config import LiquidityConfig
     from ledgerline.operators import backtest, calendars, metrics, panel, universe
     from ledgerline.plans import market
     from ledgerline.plans import tables as t
@@ -68,5 +70,5 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     returns, calendar = panel.log_returns(prices), panel.calendar(prices)
     places = calendars.date_places(calendar, t.rebalances(spark))
     adv = universe.median_adv(panel.dollar_volume(prices), calendar, places, 6)
-    members = universe.investable(adv, universe.completeness(returns, places, 24), adv, LiquidityConfig(adv_threshold=1_000.0))
+    members = universe.investable(adv, universe.completeness(returns, places, 24), adv, least_adv=1_000.0)
     return rounded(metrics.performance(backtest.run(market.equal_weights(members), returns, market.periods(spark))))

@@ -6,15 +6,42 @@ sector = first digit of the brand's number, unknown for brands that end in 5; do
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.operators import calendars, panel
+from ledgerline.session import cut
 
 START, END = "1997-01-01", "2001-07-01"
 ADV_THRESHOLD, ADV_LOOKBACK, LOOKBACK = 1_000.0, 21, 104
 
 
+_SHARED: ContextVar[dict | None] = ContextVar("shared", default=None)
+
+
+@contextmanager
+def sharing() -> Iterator[None]:
+    """Within it, what once() makes is made once: the steps of one query read it from the shared folder, not from the tables again."""
+    token = _SHARED.set({})
+    try:
+        yield
+    finally:
+        _SHARED.reset(token)
+
+
+def once(key: tuple, make: Callable[[], DataFrame]) -> DataFrame:
+    known = _SHARED.get()
+    if known is None:
+        return make()
+    if key not in known:
+        known[key] = cut(make())
+    return known[key]
+
+
 def read(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
@@ -30,7 +57,12 @@ def prices(spark: SparkSession, d: str, grain: str = "week") -> DataFrame:
 
 
 def returns(spark: SparkSession, d: str, grain: str = "week", clip: float | None = 0.5) -> DataFrame:
-    return panel.log_returns(prices(spark, d, grain), clip_bound=clip)
+    return once(("returns", d, grain, clip), lambda: panel.log_returns(panel_prices(spark, d, grain), clip_bound=clip))
+
+
+def panel_prices(spark: SparkSession, d: str, grain: str = "week") -> DataFrame:
+    """prices() for queries that come back to it: the tables are scanned once."""
+    return once(("prices", d, grain), lambda: prices(spark, d, grain))
 
 
 def sectors(spark: SparkSession, d: str) -> DataFrame:
@@ -46,8 +78,8 @@ def rebalances(spark: SparkSession) -> DataFrame:
 
 def places(spark: SparkSession, d: str, grain: str = "week") -> tuple[DataFrame, DataFrame]:
     """(calendar, places of the rebalance dates in it)."""
-    cal = panel.calendar(prices(spark, d, grain))
-    return cal, calendars.date_places(cal, rebalances(spark))
+    cal = once(("calendar", d, grain), lambda: panel.calendar(panel_prices(spark, d, grain)))
+    return cal, once(("places", d, grain), lambda: calendars.date_places(cal, rebalances(spark)))
 
 
 def embeddings(spark: SparkSession, d: str) -> DataFrame:

@@ -12,6 +12,7 @@ from ledgerline import schemas
 from ledgerline.functions.vectors import norm
 from ledgerline.operators import panel
 
+#: Fixed value: document kinds by the name of a selection.
 SOURCES = {"10k": ["10-K"], "transcript": ["transcript"], "news": ["news"], "combined": ["10-K", "transcript"], "all": ["10-K", "transcript", "news"]}
 MOST_CHARS = 500_000
 
