@@ -39,3 +39,9 @@ def trailing_places(places: DataFrame, n: int, first: int = 0) -> DataFrame:
     """(rebal_date, date_idx) of the last n calendar days before each date, none below first: a hash-join key in place of a range join."""
     lo, hi = F.greatest(F.col("t_idx") - n, F.lit(first)), F.col("t_idx") - 1
     return places.where(hi >= lo).select("rebal_date", F.explode(F.sequence(lo, hi)).alias("date_idx"))
+
+
+def every_kth(dates: DataFrame, step: int, most: int | None = None) -> DataFrame:
+    """(rebal_date): the first date and every step-th after it, at most `most` of them; dates are few."""
+    d = dates.select("rebal_date").distinct().withColumn("place", F.row_number().over(Window.orderBy("rebal_date")) - 1).where(F.col("place") % step == 0)
+    return (d.where(F.col("place") < step * most) if most else d).select("rebal_date")

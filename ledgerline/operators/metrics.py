@@ -69,3 +69,15 @@ def moments(returns: DataFrame) -> DataFrame:
         F.avg(F.when(F.col("ret") <= F.col("var_5"), F.col("ret"))).alias("cvar_5"), F.avg(F.when(F.col("ret") <= F.col("var_1"), F.col("ret"))).alias("cvar_1"))
     jb = F.col("n") / 6 * (F.pow("skewness", 2) + F.pow("excess_kurtosis", 2) / 4)
     return q.join(tail, "strategy").select("strategy", "skewness", "excess_kurtosis", jb.alias("jarque_bera"), F.exp(-jb / 2).alias("jb_pvalue"), "var_5", "cvar_5", "var_1", "cvar_1")
+
+
+def across(rows: DataFrame, by: list[str], x: str) -> DataFrame:
+    """(by, mean, sd, least, q25, median, q75) of x, of dates for instance; sd is of the population."""
+    return rows.groupBy(*by).agg(F.avg(x).alias("mean"), F.stddev_pop(x).alias("sd"), F.min(x).alias("least"), *[F.percentile(x, q).alias(n) for q, n in ((0.25, "q25"), (0.5, "median"), (0.75, "q75"))])
+
+
+def crossover(sharpe: DataFrame, rising: str, level: str) -> DataFrame:
+    """(crossover): the least lookback at which strategy rising reaches the Sharpe ratio that level has at lookback 0; null if none does."""
+    mark = sharpe.where((F.col("strategy") == level) & (F.col("lookback") == 0)).agg(F.max("sharpe_ratio").alias("mark"))
+    up = sharpe.where((F.col("strategy") == rising) & (F.col("lookback") > 0)).crossJoin(F.broadcast(mark))  # one row
+    return up.agg(F.min(F.when(F.col("sharpe_ratio") >= F.col("mark"), F.col("lookback"))).alias("crossover"))

@@ -45,8 +45,9 @@ def per_date(window: DataFrame, facts: DataFrame, f: Callable[[object, Section],
     return kept.groupBy("rebal_date").cogroup(facts.groupBy("rebal_date")).applyInPandas(run, schema)
 
 
-#: Covariances by name, of a section.
+#: Covariances by name, of a section; estimator() adds to them.
 COVARIANCES: dict[str, Callable[[Section], np.ndarray]] = {
+    "text_only": lambda s: kernels.cosine_covariance(s.e),
     "sample": lambda s: kernels.nearest_psd(kernels.sample(s.filled)),
     "ledoit_wolf": lambda s: kernels.lw_covariance(s.filled)[0],
     "cosine": lambda s: kernels.cosine_covariance(s.e, s.filled.std(axis=0, ddof=1)),
@@ -60,6 +61,25 @@ COVARIANCES: dict[str, Callable[[Section], np.ndarray]] = {
 }
 
 
+def estimator(name: str) -> Callable:
+    """Registers a function of a section that gives its covariance, for strategies to name."""
+
+    def add(f: Callable[[Section], np.ndarray]) -> Callable[[Section], np.ndarray]:
+        if name in COVARIANCES:
+            raise ValueError(f"there is a covariance {name} already")
+        COVARIANCES[name] = f
+        return f
+
+    return add
+
+
+def sector_weights(weights: DataFrame, sectors: DataFrame) -> DataFrame:
+    """(strategy, rebal_date, n_sectors, top_sector, top_weight): weights summed by sector (unknown is one), the heaviest of them."""
+    w = weights.join(F.broadcast(sectors), "ticker", "left").groupBy("strategy", "rebal_date", F.coalesce("sector", F.lit("_unknown")).alias("sector")).agg(F.sum("weight").alias("w"))
+    top = F.max_by("sector", F.struct(F.round("w", 9), "sector"))
+    return w.groupBy("strategy", "rebal_date").agg(F.count("*").alias("n_sectors"), top.alias("top_sector"), F.max("w").alias("top_weight"))
+
+
 def covariance(window: DataFrame, facts: DataFrame, names: list[str]) -> DataFrame:
     """(rebal_date, method, a, b, cov), a <= b."""
 

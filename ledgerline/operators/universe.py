@@ -81,3 +81,21 @@ def last_price_dates(prices: DataFrame) -> DataFrame:
 def delisted(prices: DataFrame, before: str) -> DataFrame:
     """Tickers whose last price is before a date."""
     return last_price_dates(prices).where(F.col("last_date") < F.lit(before).cast("date"))
+
+
+#: Returns of a ticker's history below which a bucket ends.
+HISTORY = (63, 126, 252)
+
+
+def history_buckets(complete: DataFrame, bounds: tuple[int, ...] = HISTORY) -> DataFrame:
+    """complete (with n_ret over all history) with bucket: the first bound above n_ret, or the open end."""
+    n = F.coalesce(F.col("n_ret"), F.lit(2 * bounds[-1]))  # a ticker of unknown history is an old one
+    out = F.lit(f">={bounds[-1]}")
+    for b in reversed(bounds):
+        out = F.when(n < b, F.lit(f"<{b}")).otherwise(out)
+    return complete.withColumn("bucket", out)
+
+
+def with_any_return(returns: DataFrame) -> DataFrame:
+    """(ticker, n_ret) of the tickers that have a return at all."""
+    return returns.groupBy("ticker").agg(F.count("log_ret").alias("n_ret")).where("n_ret > 0")

@@ -20,7 +20,7 @@ from ledgerline.session import cut
 ALPHA_GRID = (0.0, 0.25, 0.5, 0.75, 1.0)
 MULTIPLIERS = (0.5, 1.0, 1.5, 2.0)
 K_GRID = (1, 3, 5, 10, 20)
-LOOKBACKS = (26, 52, 104)
+LOOKBACKS = (10, 21, 42, 63, 104)
 PLACEBO_SIZES, SHUFFLES = (12, 15, 20, 25), 10
 EW = strategy("equal_weight", "equal")
 LW = strategy("ledoit_wolf", "ledoit_wolf")
@@ -58,9 +58,9 @@ def walk_forward_tests(spark: SparkSession, d: str) -> DataFrame:
 def scaling(spark: SparkSession, d: str) -> DataFrame:
     """Universe sizes: the same strategies over the p most liquid tickers."""
     out = []
-    for p in (10, 15, 20):
+    for p in PLACEBO_SIZES:
         f = k.facts(spark, d, market.members(spark, d, p))
-        out.append(metrics.performance(walk(spark, d, [SEMANTIC, EW], f)[1]).withColumn("p", F.lit(p)))
+        out.append(metrics.performance(walk(spark, d, [SEMANTIC, LW, EW], f)[1]).withColumn("p", F.lit(p)))
     return rounded(reduce(DataFrame.unionByName, out))
 
 
@@ -79,6 +79,23 @@ def multitarget_experiment(spark: SparkSession, d: str) -> DataFrame:
     return rounded(summary(*walk(spark, d, [strategy("mt_cv", "multi_target_cv"), strategy("mt_frob", "multi_target_frobenius"), strategy("semantic_auto"), strategy("sic", "sector"), LW, EW])))
 
 
+def corrected(returns: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """Block tests of pairs of strategies, with p-values corrected for their number."""
+    return rank.benjamini_hochberg(inference.pair_tests(returns, pairs).withColumn("family", F.lit("pairs")), ["family"]).drop("family")
+
+
+@query("multitarget_tests")
+def multitarget_tests(spark: SparkSession, d: str) -> DataFrame:
+    r = walk(spark, d, [strategy("mt_cv", "multi_target_cv"), strategy("mt_frob", "multi_target_frobenius"), strategy("semantic_auto"), strategy("sic", "sector"), LW, EW])[1]
+    return rounded(corrected(r, [(m, o) for m in ("mt_cv", "mt_frob") for o in ("semantic_auto", "sic", "ledoit_wolf", "equal_weight")]))
+
+
+@query("alpha_sweep_tests")
+def alpha_sweep_tests(spark: SparkSession, d: str) -> DataFrame:
+    r = walk(spark, d, [*(strategy(f"alpha_{a:g}", alpha=a) for a in ALPHA_GRID), strategy("alpha_auto", alpha="auto"), LW])[1]
+    return rounded(corrected(r, [(f"alpha_{a:g}", "ledoit_wolf") for a in ALPHA_GRID] + [("alpha_auto", "ledoit_wolf")]))
+
+
 @query("pca_k_sweep")
 def pca_k_sweep(spark: SparkSession, d: str) -> DataFrame:
     return rounded(summary(*walk(spark, d, [*(strategy(f"pca_{n}", k=n) for n in K_GRID), SEMANTIC, LW, EW])))
@@ -86,16 +103,28 @@ def pca_k_sweep(spark: SparkSession, d: str) -> DataFrame:
 
 @query("constrained_regimes")
 def constrained_regimes(spark: SparkSession, d: str) -> DataFrame:
-    s = [strategy("none"), strategy("sector_25", sector_cap=0.25, cap=0.2), strategy("sector_40", sector_cap=0.40, cap=0.2), strategy("vol_10", vol_target=0.10), strategy("sector_40_vol_10", sector_cap=0.40, cap=0.2, vol_target=0.10), strategy("ew_sector_40", "equal", sector_cap=0.40)]
+    s = [strategy("none"), strategy("sector_25", sector_cap=0.25, cap=0.2), strategy("sector_40", sector_cap=0.40, cap=0.2), strategy("vol_10", vol_target=0.10), strategy("ew_vol_10", "equal", vol_target=0.10), strategy("sector_40_vol_10", sector_cap=0.40, cap=0.2, vol_target=0.10), strategy("ew_sector_40", "equal", sector_cap=0.40)]
     return rounded(summary(*walk(spark, d, s)))
 
 
 @query("lookback_ablation")
 def lookback_ablation(spark: SparkSession, d: str) -> DataFrame:
-    out = []
+    return rounded(_lookbacks(spark, d))
+
+
+def _lookbacks(spark: SparkSession, d: str) -> DataFrame:
+    """Performance by strategy and lookback in weeks; text alone needs no returns and stands at lookback 0."""
+    some, out = [strategy("text_vols", "cosine"), SEMANTIC, LW, strategy("sic", "sector"), EW], []
     for n in LOOKBACKS:
-        out.append(metrics.performance(walk(spark, d, [SEMANTIC, LW], lookback=n)[1]).withColumn("lookback", F.lit(n)))
-    return rounded(reduce(DataFrame.unionByName, out))
+        extra = [strategy("text_only", "text_only")] if n == LOOKBACKS[-1] else []
+        out.append(metrics.performance(walk(spark, d, some + extra, lookback=n)[1]).withColumn("lookback", F.when(F.col("strategy") == "text_only", 0).otherwise(n)))
+    return reduce(DataFrame.unionByName, out)
+
+
+@query("lookback_crossover")
+def lookback_crossover(spark: SparkSession, d: str) -> DataFrame:
+    """The lookback from which Ledoit-Wolf does as well as text alone without returns."""
+    return metrics.crossover(cut(_lookbacks(spark, d)), "ledoit_wolf", "text_only")
 
 
 @query("cold_start")

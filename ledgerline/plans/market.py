@@ -202,6 +202,41 @@ def _positions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return w, t.once(("positions", d), lambda: backtest.position_days(w, t.returns(spark, d), periods(spark)))
 
 
+@query("sector_weight_summary", t.sql(*t.BASE, t.EW, t.SECTOR, "sw AS (SELECT rebal_date, coalesce(sector, '_unknown') AS sector, CAST(sum(weight) AS DOUBLE) AS w FROM weights LEFT JOIN sector USING (ticker) GROUP BY ALL)", "SELECT 'equal_weight' AS strategy, rebal_date, count(*) AS n_sectors, arg_max(sector, {'w': round(w, 9), 's': sector}) AS top_sector, round(max(w), 8) AS top_weight FROM sw GROUP BY rebal_date"))
+def sector_weight_summary(spark: SparkSession, d: str) -> DataFrame:
+    from ledgerline.operators.portfolio import sector_weights
+
+    return rounded(sector_weights(equal_weights(members(spark, d)), t.sectors(spark, d)), 8)
+
+
+@query("weights_across_dates", t.sql(*t.BASE, t.EW, "SELECT ticker, round(avg(weight), 8) AS mean, round(stddev_pop(weight), 8) AS sd, round(min(weight), 8) AS least, round(quantile_cont(weight, 0.25), 8) AS q25, round(median(weight), 8) AS median, round(quantile_cont(weight, 0.75), 8) AS q75 FROM weights GROUP BY 1"))
+def weights_across_dates(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(metrics.across(equal_weights(members(spark, d)), ["ticker"], "weight"), 8)
+
+
+@query("every_fourth_date", "SELECT CAST(DATE '1997-01-01' + INTERVAL 1 YEAR * CAST(i AS INT) AS DATE) AS rebal_date FROM range(0, 4) AS r(i)")
+def every_fourth_date(spark: SparkSession, d: str) -> DataFrame:
+    return calendars.every_kth(t.rebalances(spark), 4, 4)
+
+
+@query("history_buckets", t.sql(t.PX, t.CAL, t.RET, t.REBAL, "h AS (SELECT p.rebal_date, r.ticker, count(r.log_ret) AS n_ret FROM ret r JOIN places p ON r.date_idx < p.t_idx GROUP BY ALL)", "SELECT rebal_date, ticker, n_ret, CASE WHEN n_ret < 63 THEN '<63' WHEN n_ret < 126 THEN '<126' WHEN n_ret < 252 THEN '<252' ELSE '>=252' END AS bucket FROM h"))
+def history_buckets(spark: SparkSession, d: str) -> DataFrame:
+    h = universe.completeness(t.returns(spark, d), t.places(spark, d)[1], 1_000_000)
+    return universe.history_buckets(h).select("rebal_date", "ticker", "n_ret", "bucket")
+
+
+@query("tickers_with_returns", t.sql(t.PX, t.CAL, t.RET, "SELECT ticker, count(log_ret) AS n_ret FROM ret GROUP BY 1 HAVING count(log_ret) > 0"))
+def tickers_with_returns(spark: SparkSession, d: str) -> DataFrame:
+    return universe.with_any_return(t.returns(spark, d))
+
+
+@query("benchmark_load", t.sql(t.PX, t.CAL, t.RET, "SELECT date, round(log_ret, 6) AS ret FROM ret WHERE ticker = 'Brand#11'"))
+def benchmark_load(spark: SparkSession, d: str) -> DataFrame:
+    from ledgerline.sources.tables import benchmark_returns
+
+    return rounded(benchmark_returns(t.returns(spark, d), "Brand#11"))
+
+
 @query("drifted_weights", t.sql(*t.EW_BACKTEST, "SELECT rebal_date, ticker, round(drifted, 8) AS drifted FROM drift"))
 def drifted_weights(spark: SparkSession, d: str) -> DataFrame:
     return rounded(backtest.drifted(_positions(spark, d)[1]).select("rebal_date", "ticker", "drifted"), 8)

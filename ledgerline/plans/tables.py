@@ -39,7 +39,8 @@ def once(key: tuple, make: Callable[[], DataFrame]) -> DataFrame:
         return make()
     if key not in known:
         known[key] = cut(make())
-    return known[key]
+    # new names of the same columns, so that two uses can meet in one join
+    return known[key].select(*[F.col(c).alias(c) for c in known[key].columns])
 
 
 def read(spark: SparkSession, d: str, name: str) -> DataFrame:

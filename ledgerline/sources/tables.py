@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -165,3 +165,41 @@ def write_result(tables: dict[str, DataFrame], path: str) -> None:
     """Each table as Parquet under its name, for a later study to read."""
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def benchmark_returns(returns: DataFrame, ticker: str) -> DataFrame:
+    """(date, ret): the log returns of one ticker, which serve as the benchmark's."""
+    return returns.where(F.col("ticker") == ticker).select("date", F.col("log_ret").alias("ret"))
+
+
+def write_json_cache(rows: DataFrame, path: str) -> None:
+    """A cache of small records as JSON lines."""
+    rows.write.mode("overwrite").json(path)
+
+
+def read_json_cache(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).json(path)
+
+
+def fetch_missing(keys: DataFrame, cache: DataFrame, key: str, fetch: Callable[[str], tuple | None]) -> DataFrame:
+    """cache and what fetch gives for the keys that it lacks; of a fetch that fails or has nothing, all but the key is null.
+
+    Each key is asked once, on the executors; the result is cache's next state, with its columns (key first).
+    """
+    columns = cache.columns
+    new = keys.select(F.col(key).alias("k")).where("k IS NOT NULL").distinct().join(cache.select(F.col(key).alias("k")), "k", "left_anti")
+
+    def ask(batches: Iterator) -> Iterator:
+        import pandas as pd
+
+        for b in batches:
+            rows = []
+            for k in b["k"]:
+                try:
+                    found = fetch(k)
+                except Exception:  # noqa: BLE001 - a service's answer; the key stays known as one without
+                    found = None
+                rows.append((k, *(found or (None,) * (len(columns) - 1))))
+            yield pd.DataFrame(rows, columns=columns)
+
+    return cache.unionByName(new.mapInPandas(ask, cache.schema))
