@@ -177,7 +177,7 @@ def co_train(taught: list[tuple], pool: list[tuple], held: list[tuple]) -> Views
 
 
 def pool_of(docs: DataFrame, key: str, text: str, lang: str, source: str, pool: int) -> DataFrame:
-    """Rows (t, l, s) of at most pool documents that are not held out, as many as can be of each kind of metadata.
+    """Rows (at, t, l, s) of at most pool documents that are not held out, as many as can be of each kind of metadata.
 
     All documents are read: each is of one of KINDS kinds by language, source and length, and the first of a kind by a
     hash of their keys are taken, so that rare kinds take part at every size of the corpus.
@@ -187,7 +187,7 @@ def pool_of(docs: DataFrame, key: str, text: str, lang: str, source: str, pool:
     rows = rows.withColumn("kind", F.pmod(F.xxhash64("l", "s", F.length(F.bin("n"))), F.lit(KINDS))).withColumn("at", F.xxhash64(F.lit("pool"), place))
     counts = {r.kind: r["count"] for r in rows.groupBy("kind").count().collect()}  # at most KINDS rows
     if not counts:
-        return docs.limit(0).select(F.col(text).alias("t"), F.lit("").alias("l"), F.lit("").alias("s"))
+        return docs.limit(0).select(F.lit(0).cast("long").alias("at"), F.col(text).alias("t"), F.lit("").alias("l"), F.lit("").alias("s"))
     share, left, todo = {}, pool, sorted(counts.values())
     for i, n in enumerate(todo):  # the level up to which every kind gives all it has
         share[n] = min(n, left // (len(todo) - i))

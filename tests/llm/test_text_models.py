@@ -303,3 +303,98 @@ def test_chats_equal_a_plain_program(spark):
     got = {r.conv_id: (r.chat, r.n_invalid) for r in chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), schemas).collect()}
     for conv in range(40):
         assert got[conv] == plain_chat([r[1:] for r in rows if r[0] == conv], schemas), conv
+
+
+CLASHES = "k y t l s d at held weight calibrates kind n fp text_ known part key lang_pred score predicted".split()
+
+
+def clashing(spark, rows):
+    """doc_id, text, lang, source, and columns of names that the operators use themselves."""
+    schema = "doc_id long, text string, lang string, source string, " + ", ".join(f"{c} int" for c in CLASHES)
+    return spark.createDataFrame([(*r, *[9] * len(CLASHES)) for r in rows], schema)
+
+
+def test_models_with_clashing_columns_repeats_and_no_rows(spark):
+    rows = [(k, t, "en" if k % 2 else "fr", None if k % 5 else "s") for k, t, _ in toxic_docs()[:240]] + [(7, "again", None, None)] * 2 + [(None, None, None, None), (900, "", "en", "s"), (901, "word " * 30_000, "en", "s")]
+    d = clashing(spark, rows)
+    labels = spark.createDataFrame([(k, y, y, 1) for k, _, y in toxic_docs()[:240]] + [(None, 1, 1, 1), (3, None, None, 1)], "doc_id long, toxic int, quality int, t int")
+    m = toxicity.train(d, labels)
+    assert toxicity.classify(d, m).count() == len(rows) and toxicity.keep_clean(d, m).columns == d.columns
+    v = quality.train(d, labels)
+    got = quality.classify(d, v).collect()
+    assert len(got) == len(rows) and all(0 <= r.score <= 1 for r in got)
+    i = language.train(d)
+    assert language.identify(d, i).count() == len(rows)
+    none = d.limit(0)
+    assert toxicity.classify(none, toxicity.train(none, labels)).count() == quality.classify(none, quality.train(none, labels)).count() == language.identify(none, language.train(none)).count() == 0
+    assert minhash.compare_with_next(d).count() == len(rows)
+
+
+def plain_kernel(a, b):
+    """Shared subsequences of three letters within SPAN, each weighted by DECAY for every letter that it skips; normalised."""
+    import itertools
+
+    def table(s):
+        found, s = {}, f"\x02{s}\x03"
+        for at in itertools.combinations(range(len(s)), 3):
+            if at[2] - at[0] < toxicity.SPAN:
+                sub = "".join(s[k] for k in at)
+                found[sub] = found.get(sub, 0) + toxicity.DECAY ** (at[2] - at[0] - 2)
+        return found
+
+    x, y = table(a), table(b)
+    return sum(x[s] * y.get(s, 0) for s in x) / (sum(v * v for v in x.values()) * sum(v * v for v in y.values())) ** 0.5
+
+
+def test_kernel_equals_enumerated_subsequences():
+    words = ["hello", "hxello", "abc", "yellow", "aaaa", "ab", "mississippi"]
+    got = toxicity._kernel(words, words)
+    want = np.array([[plain_kernel(a, b) for b in words] for a in words])
+    assert np.abs(got - want).max() < 1e-5
+
+
+def test_folded_weights_equal_the_sum_over_landmarks():
+    marks, alpha = ["hello", "yellow", "mississippi"], np.array([0.7, -1.2, 0.4])
+    of, sub, u = toxicity.features(marks)
+    weight = np.bincount(sub, u * (alpha / np.sqrt(np.bincount(of, u * u, len(marks))))[of], 1 << 18)
+    rows = ["hxello", "mellow", "abc", "missisipi"]
+    want = np.array([[plain_kernel(r, m) for m in marks] for r in rows]) @ alpha + 0.3
+    assert np.abs(toxicity.Machine(weight, 0.3, (1.0, 0.0)).decide(rows) - want).max() < 1e-9
+
+
+def plain_kneser_ney(counts, gram, discount=language.DISCOUNT):
+    """log-probability of a gram's last character by the recursive definition, over dictionaries."""
+    order, tables = len(gram), [dict(counts)]
+    for _ in range(order - 1):
+        lower = {}
+        for g in tables[0]:
+            lower[g[1:]] = lower.get(g[1:], 0) + 1
+        tables.insert(0, lower)
+
+    def p(g):
+        t = tables[len(g) - 1]
+        same = {x: c for x, c in t.items() if x[:-1] == g[:-1]}
+        below = p(g[1:]) if len(g) > 1 else 1 / (len(tables[0]) + 1)
+        if not same:
+            return below
+        total = sum(same.values())
+        return max(same.get(g, 0) - discount, 0) / total + discount * len(same) / total * below
+
+    return np.log(p(gram))
+
+
+def test_kneser_ney_equals_dictionaries():
+    rnd = random.Random(3)
+    text = "".join(rnd.choice("abcde ") for _ in range(400))
+    counts = {}
+    for k in range(len(text) - 3):
+        counts[text[k : k + 4]] = counts.get(text[k : k + 4], 0) + 1
+    m = language.fit(counts, 4)
+    grams = [*list(counts)[:60], *("".join(rnd.choice("abcde z") for _ in range(4)) for _ in range(60))]
+    got = m.log_probs(np.array([[ord(c) for c in g] for g in grams], np.uint64))
+    assert np.abs(got - [plain_kneser_ney(counts, g) for g in grams]).max() < 1e-9
+
+
+def test_metadata_view_reads_no_text():
+    r = quality.Reader
+    assert (r.meta(100, "en", "s") == r.meta(100, "en", "s")).all() and (r.meta(100, "en", "s") != r.meta(5000, "fr", "s")).any()
