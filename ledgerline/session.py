@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import zipfile
 from pathlib import Path
 
@@ -26,18 +27,22 @@ def session(app: str = "ledgerline", master: str | None = None, **conf: str) ->
     return b.getOrCreate()
 
 
+_SHIPPING = threading.Lock()
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once a session, so that their Python workers can import it."""
+    """Send this package to the executors once a session, so that their Python workers can import it; threads may call it at once."""
     sc = spark.sparkContext
-    if getattr(sc, "_ledgerline_shipped", False):
-        return
-    root = Path(__file__).resolve().parent
-    target = Path(tempfile.mkdtemp(prefix="ledgerline-")) / "ledgerline.zip"
-    with zipfile.ZipFile(target, "w") as z:
-        for p in sorted(root.rglob("*.py")):
-            z.write(p, f"ledgerline/{p.relative_to(root)}")
-    sc.addPyFile(str(target))
-    sc._ledgerline_shipped = True
+    with _SHIPPING:
+        if getattr(sc, "_ledgerline_shipped", False):
+            return
+        root = Path(__file__).resolve().parent
+        target = Path(tempfile.mkdtemp(prefix="ledgerline-")) / "ledgerline.zip"
+        with zipfile.ZipFile(target, "w") as z:
+            for p in sorted(root.rglob("*.py")):
+                z.write(p, f"ledgerline/{p.relative_to(root)}")
+        sc.addPyFile(str(target))
+        sc._ledgerline_shipped = True
 
 
 def shared_dir(spark: SparkSession) -> str:
