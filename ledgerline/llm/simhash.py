@@ -9,7 +9,8 @@ own, one as the tree and one as its queries. A task returns a forest of its link
 
 64 bits at 3 differences are strict: near_dedup() links what its radius says. similar_dedup() links texts that share 0.8
 of their five-word shingles: there MinHash bands are the shards, trees are searched with a radius that such pairs hardly
-exceed, and what they find is compared by whole MinHash fingerprints.
+exceed, and what they find is compared by whole MinHash fingerprints. Pairs whose estimate is near the limit, and that
+no surer links connect, are compared by their sets of shingles in a second pass over their shards alone.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ _PIECE = 1 << 15
 #: Of similar texts: least likeness, words of a shingle, the trees' radius (pairs of 0.8 differ in 10 bits of 64 on average, by a deviation of 3),
 #: bands of bins and bins of each (a pair of 0.8 meets in one of 20 with 0.998).
 LIKENESS, WORDS, WIDE, MIN_BANDS, BAND_BINS = 0.8, 5, 20, 20, 6
+#: Estimates (deviation 0.02) so far from the limit decide alone. Sets are whole up to HASHES shingles; beyond, the least so many stand for them (deviation 0.006).
+MARGIN, HASHES = 0.07, 4096
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -174,8 +177,11 @@ def _staying(docs: DataFrame, key: str, text: str, found: DataFrame, marked: Cal
     return left.select(*[F.col(f"c_{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
-def sketches(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
-    """doc_id, fp (SimHash of the set of shingles), print (packed MinHash), bands (hashes of bins) for every row; a null text is empty."""
+def sketches(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, with_sets: bool = False) -> DataFrame:
+    """doc_id, fp (SimHash of the set of shingles), print (packed MinHash), bands (hashes of bins) for every row; a null text is empty.
+
+    with_sets adds the set itself: its hashes in order, at most HASHES of them.
+    """
 
     def run(texts: list[str | None]) -> list[tuple]:
         of, out = held_by(("sketches", words), lambda: Fingerprinter(shingle=words)), []
@@ -189,75 +195,158 @@ def sketches(docs: DataFrame, key: str = "doc_id", text: str = "text", words: in
                 band = (band ^ part) * np.uint64(0x100000001B3)
                 band ^= band >> np.uint64(29)
             band += np.arange(MIN_BANDS, dtype=np.uint64)  # equal values in two bands are two keys
-            out.append((int(fp), of.pack(value).tobytes(), band.view(np.int64).tolist()))
+            row = (int(fp), of.pack(value).tobytes(), band.view(np.int64).tolist())
+            out.append((*row, h[:HASHES].astype("<u8").tobytes()) if with_sets else row)
         return out
 
-    return per_text(docs, key, text, run, "fp long, print binary, bands array<long>")
+    return per_text(docs, key, text, run, "fp long, print binary, bands array<long>" + ", hashes binary" * with_sets)
 
 
-def alike(a: np.ndarray, b: np.ndarray, likeness: float) -> np.ndarray:
-    """Which rows of two tables of packed MinHash fingerprints are at least so like each other, without the agreement that chance gives."""
+def estimated(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Likeness of each two rows of tables of packed MinHash fingerprints, without the agreement that chance gives."""
     x = a ^ b
     per = 8 // BITS
     differ = sum(((x >> np.uint8(BITS * k)) & np.uint8((1 << BITS) - 1) != 0).sum(axis=1) for k in range(per))
     chance = 2.0**-BITS
-    return (1 - differ / (x.shape[1] * per) - chance) / (1 - chance) >= likeness
-
-
-def _similar_shards(batches: Iterator[pd.DataFrame], likeness: float) -> Iterator[pd.DataFrame]:
-    """A forest of the links of each shard; rows (key, i, j, side, node, fp, print) come sorted by the first four."""
-    from ledgerline.llm.bktree import BKTree, QUERIES, _root, join
-
-    def links(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        node, fp = rows["node"].to_numpy(np.int64), rows["fp"].to_numpy(np.int64).view(np.uint64)
-        prints = np.frombuffer(b"".join(rows["print"]), np.uint8).reshape(len(rows), -1)
-        i, j = int(rows["i"].iloc[0]), int(rows["j"].iloc[0])
-        side = rows["side"].to_numpy() == i
-        tree, asked = (np.arange(len(rows)), np.arange(len(rows))) if i == j else (np.flatnonzero(side), np.flatnonzero(~side))
-        parent = np.arange(len(rows))
-        if len(tree) and len(asked):
-            values, of = np.unique(fp[tree], return_inverse=True)
-            order = np.argsort(of, kind="stable")
-            begin = np.searchsorted(of[order], np.arange(len(values) + 1))
-            grown = BKTree(values)
-            for at in range(0, len(asked), QUERIES):
-                q, v = grown.search(fp[asked[at : at + QUERIES]], WIDE)
-                n = begin[v + 1] - begin[v]
-                a = asked[at + np.repeat(q, n)]
-                b = tree[order[np.repeat(begin[v] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(len(a))]] if len(a) else a
-                for k in range(0, len(a), 2048):  # what is connected by now needs no comparison
-                    x, y = a[k : k + 2048], b[k : k + 2048]
-                    apart = _root(parent, x) != _root(parent, y)
-                    x, y = x[apart], y[apart]
-                    good = alike(prints[x], prints[y], likeness) if len(x) else np.zeros(0, bool)
-                    join(parent, x[good], y[good])
-        root = _root(parent, np.arange(len(rows)))
-        moved = root != np.arange(len(rows))
-        return node[moved], node[root[moved]]
-
-    rest: pd.DataFrame | None = None
-    place = ["key", "i", "j"]
-    for batch in (*batches, None):
-        rows = rest if batch is None else batch if rest is None else pd.concat([rest, batch], ignore_index=True)
-        if rows is None or not len(rows):
+    return (1 - differ / (x.shape[1] * per) - chance) / (1 - chance)
+
+
+def likeness_of(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard likeness of two sets of ordered hashes; of a cut set only what lies up to its last hash is known, and compared."""
+    reach = min([int(x[-1]) for x in (a, b) if len(x) == HASHES], default=None)
+    if reach is not None:
+        a, b = (x[: np.searchsorted(x, np.uint64(reach), side="right")] for x in (a, b))
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both)
+
+
+_CELL = ["key", "i", "j"]
+
+
+def _by_shard(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rows of each shard of two or more; rows come sorted by (key, i, j), a shard's may span batches."""
+    rest: list[pd.DataFrame] = []  # of the last shard so far
+    for batch in batches:
+        if not len(batch):
             continue
-        starts = np.flatnonzero(np.r_[True, (rows[place].to_numpy()[1:] != rows[place].to_numpy()[:-1]).any(axis=1)])
-        ends = np.r_[starts[1:], len(rows)]
-        whole = len(starts) if batch is None else len(starts) - 1
-        found = [links(rows.iloc[s:e]) for s, e in zip(starts[:whole], ends[:whole]) if e - s > 1]
-        rest = None if batch is None else rows.iloc[starts[-1] :]
+        place = batch[_CELL].to_numpy()
+        starts = np.flatnonzero(np.r_[True, (place[1:] != place[:-1]).any(axis=1)])
+        for s, e in zip(starts, np.r_[starts[1:], len(batch)]):
+            if rest and (rest[0][_CELL].iloc[0].to_numpy() != place[s]).any():
+                if sum(map(len, rest)) > 1:
+                    yield rest[0] if len(rest) == 1 else pd.concat(rest, ignore_index=True)
+                rest = []
+            rest.append(batch.iloc[s:e])
+    if sum(map(len, rest)) > 1:
+        yield pd.concat(rest, ignore_index=True)
+
+
+def _gathered(parts: Iterator[np.ndarray], columns: list[str], rows: int = 10_000) -> Iterator[pd.DataFrame]:
+    """Tables of longs put together into frames of at least so many rows."""
+    held: list[np.ndarray] = []
+    for part in parts:
+        held.append(part)
+        if sum(map(len, held)) >= rows or len(held) >= rows:
+            yield pd.DataFrame(np.concatenate(held), columns=columns)
+            held = []
+    if held:
+        yield pd.DataFrame(np.concatenate(held), columns=columns)
+
+
+def _candidates(rows: pd.DataFrame, parent: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs (places of rows) of a shard that its tree finds and parent does not connect by then, with estimated likeness, some at a time."""
+    from ledgerline.llm.bktree import BKTree, QUERIES, _root
+
+    fp = rows["fp"].to_numpy(np.int64).view(np.uint64)
+    prints = np.frombuffer(b"".join(rows["print"]), np.uint8).reshape(len(rows), -1)
+    i, j = int(rows["i"].iloc[0]), int(rows["j"].iloc[0])
+    side = rows["side"].to_numpy() == i
+    tree, asked = (np.arange(len(rows)), np.arange(len(rows))) if i == j else (np.flatnonzero(side), np.flatnonzero(~side))
+    if not len(tree) or not len(asked):
+        return
+    values, of = np.unique(fp[tree], return_inverse=True)
+    order = np.argsort(of, kind="stable")
+    begin = np.searchsorted(of[order], np.arange(len(values) + 1))
+    grown = BKTree(values)
+    for at in range(0, len(asked), QUERIES):
+        q, v = grown.search(fp[asked[at : at + QUERIES]], WIDE)
+        n = begin[v + 1] - begin[v]
+        a = asked[at + np.repeat(q, n)]
+        b = tree[order[np.repeat(begin[v] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(len(a))]] if len(a) else a
+        for k in range(0, len(a), 2048):  # what is connected by now needs no comparison
+            x, y = a[k : k + 2048], b[k : k + 2048]
+            apart = _root(parent, x) != _root(parent, y)
+            if i == j:
+                apart &= x < y
+            if apart.any():
+                yield x[apart], y[apart], estimated(prints[x[apart]], prints[y[apart]])
+
+
+def _similar_shards(batches: Iterator[pd.DataFrame], likeness: float) -> Iterator[np.ndarray]:
+    """Of each shard (rows key, i, j, side, node, fp, print) a forest of its sure links as rows (a, b, 0, ...), and (a, a, 1, key, i, j, side) for classes of doubtful pairs."""
+    from ledgerline.llm.bktree import _root, join
+
+    for rows in _by_shard(batches):
+        parent, doubtful = np.arange(len(rows)), np.zeros(len(rows), bool)
+        for x, y, near in _candidates(rows, parent):
+            sure = near >= likeness + MARGIN
+            join(parent, x[sure], y[sure])
+            doubt = ~sure & (near >= likeness - MARGIN)
+            doubtful[x[doubt]] = doubtful[y[doubt]] = True
+        root, node = _root(parent, np.arange(len(rows))), rows["node"].to_numpy(np.int64)
+        moved = np.flatnonzero(root != np.arange(len(rows)))
+        if len(moved):
+            links = np.zeros((len(moved), 7), np.int64)
+            links[:, 0], links[:, 1] = node[moved], node[root[moved]]
+            yield links
+        if doubtful.any():
+            open_ = node[doubtful]
+            yield np.column_stack([open_, open_, np.ones(len(open_), np.int64), rows[[*_CELL, "side"]].to_numpy(np.int64)[doubtful]])
+
+
+def _doubtful_shards(batches: Iterator[pd.DataFrame], likeness: float) -> Iterator[np.ndarray]:
+    """Links (a, b) of the doubtful pairs of each shard whose sets are alike; rows have root, what the class is linked to by then, and hashes besides."""
+    from ledgerline.llm.bktree import _root, join
+
+    for rows in _by_shard(batches):
+        _, first, root = np.unique(rows["root"].to_numpy(np.int64), return_index=True, return_inverse=True)
+        parent = first[root]
+        node, sets, found = rows["node"].to_numpy(np.int64), [np.frombuffer(h, "<u8") for h in rows["hashes"]], []
+        for x, y, near in _candidates(rows, parent):
+            for k in np.argsort(-near, kind="stable"):  # the likeliest first: what they connect needs no comparison
+                if near[k] < likeness - MARGIN:
+                    break
+                a, b = x[k : k + 1], y[k : k + 1]
+                if _root(parent, a)[0] != _root(parent, b)[0] and likeness_of(sets[a[0]], sets[b[0]]) >= likeness:
+                    join(parent, a, b)
+                    found.append((node[a[0]], node[b[0]]))
         if found:
-            a, b = (np.concatenate(x) for x in zip(*found))
-            yield pd.DataFrame({"a": a, "b": b})
+            yield np.array(found, np.int64)
+
+
+def _doubtful_links(docs: DataFrame, key: str, text: str, words: int, likeness: float, classes: DataFrame, doubts: DataFrame, roots: DataFrame) -> DataFrame:
+    """Links (a, b) among the classes of doubts (node and its shard) that roots does not connect yet; only their texts are read again."""
+    doubts = cut(doubts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    open_cells = doubts.groupBy(*_CELL).agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select(*_CELL)
+    doubts = cut(doubts.join(open_cells, _CELL, "left_semi"))
+    nodes = cut(classes.select("node", "fp", "print", "least").join(doubts.select("node").distinct(), "node", "left_semi"))
+    ids, _ = small(cut(nodes.select("least").distinct()))
+    rows = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("content"))
+    again = sketches(rows.join(ids, F.col("id").eqNullSafe(F.col("least")), "left_semi"), "id", "content", words, with_sets=True)
+    sets = nodes.join(again.select("fp", "print", "hashes").dropDuplicates(["fp", "print"]), ["fp", "print"]).select("node", "fp", "print", "hashes")
+    cells = doubts.join(cut(sets), "node").select(*_CELL, "side", "node", "root", "fp", "print", "hashes")
+    cells = cells.repartition(*_CELL).sortWithinPartitions(*_CELL, "side")
+    return cut(cells.mapInPandas(lambda batches: _gathered(_doubtful_shards(batches, likeness), ["a", "b"]), "a long, b long"))
 
 
 def similar_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", likeness: float = LIKENESS, words: int = WORDS, shard: int = SHARD) -> DataFrame:
     """doc_id, mark (of its sketch), component_id: the least doc_id that links lead to, for every row.
 
-    Rows link if their MinHash fingerprints put the likeness of their sets of shingles at likeness or more; rows of equal
-    sketches are one class from the start. Only keys that several classes share travel with fingerprints. A band of
-    more than shard classes is dealt into blocks that meet two by two. Null texts are empty, which are alike; a null key
-    is no component's least unless its component has no other. An empty table gives none.
+    Rows link if likeness or more of their shingles' union is shared; the MinHash estimate decides where it is MARGIN or
+    more from that, their sets elsewhere. Rows of equal sketches are one class from the start. Only keys that several
+    classes share travel with fingerprints, only doubtful classes with sets. A band of more than shard classes is dealt
+    into blocks that meet two by two. Null texts are empty, which are alike; a null key is no component's least unless
+    its component has no other. An empty table gives none.
     """
     mark = F.xxhash64("fp", "print")
     rows = cut(sketches(docs, key, text, words).withColumn("mark", mark))
@@ -270,8 +359,13 @@ def similar_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", like
     meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("side", j).alias("i"), F.greatest("side", j).alias("j")))
     cells = dealt.select("key", "node", "side", F.explode(meets).alias("cell")).select("key", "cell.i", "cell.j", "side", "node")
     cells = cells.join(classes.select("node", "fp", "print"), "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side")
-    edges = cells.mapInPandas(lambda batches: _similar_shards(batches, likeness), "a long, b long")
-    roots = cut(components(edges))
+    columns = ["a", "b", "doubtful", *_CELL, "side"]
+    found = cut(cells.mapInPandas(lambda batches: _gathered(_similar_shards(batches, likeness), columns), ", ".join(f"{c} long" for c in columns)))
+    roots, doubts = cut(components(found.where("doubtful = 0").select("a", "b"))), found.where("doubtful = 1").select(F.col("a").alias("node"), *_CELL, "side")
+    if not doubts.isEmpty():
+        more = _doubtful_links(docs, key, text, words, likeness, classes, doubts, roots)
+        if not more.isEmpty():
+            roots = cut(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more)))
     linked = classes.join(roots, "node").select("node", "root", "least")
     ids = linked.join(linked.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id")
     ids = cut(classes.join(ids, "node", "left").select("fp", "print", F.coalesce("component_id", "least").alias("component_id")))

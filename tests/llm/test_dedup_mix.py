@@ -143,6 +143,39 @@ def test_similar_texts_against_brute_force(spark, shard):
     assert simhash.dedup_similar_rows(table(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("shard", [2, 2048])
+def test_pairs_near_the_limit_follow_their_likeness(spark, shard):
+    """Pairs whose estimate is doubtful link if and only if 0.8 of their shingles are shared; keys repeat, one is null."""
+    rng, rows, pairs = np.random.default_rng(8), [], []
+    for n in range(120):
+        size = int(rng.choice([60, 150, 400]))
+        base = [f"p{n}w{k}" for k in rng.integers(0, 10**6, size)]
+        t, at = list(base), rng.permutation(size)
+        goal = rng.uniform(0.74, 0.86)
+        while plain_jaccard(" ".join(base), " ".join(t)) > goal:
+            t[at[0]], at = f"e{n}", at[1:]
+        pairs.append((2 * n, 2 * n + 1, plain_jaccard(" ".join(base), " ".join(t))))
+        rows += [(2 * n, " ".join(base)), (2 * n + 1, " ".join(t))]
+    rows += [rows[0], (2, "another text of a key that repeats"), (None, None)]
+    marks = {}
+    for r in simhash.similar_dedup(table(spark, rows), shard=shard).collect():
+        marks.setdefault(r.doc_id, set()).add(r.component_id)
+    near, far = [p for p in pairs if p[2] >= 0.8], [p for p in pairs if p[2] < 0.8]
+    assert len(near) > 30 and len(far) > 30
+    assert sum(not marks[a] & marks[b] for a, b, _ in near) <= 1  # a pair of 0.8 meets with 0.998
+    assert not [p for p in far if marks[p[0]] & marks[p[1]] - {2}]
+
+
+def test_likeness_of_cut_sets(monkeypatch):
+    rng = np.random.default_rng(2)
+    whole = np.unique(rng.integers(0, 2**64, 9000, dtype=np.uint64))
+    a, b = np.sort(whole[rng.random(len(whole)) < 0.9]), np.sort(whole[rng.random(len(whole)) < 0.9])
+    want = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+    assert abs(simhash.likeness_of(a[: simhash.HASHES], b[: simhash.HASHES]) - want) < 0.03
+    assert simhash.likeness_of(a[:3000], a[:3000]) == 1 and simhash.likeness_of(a[:1000], a[1000:2000]) == 0
+    assert abs(simhash.likeness_of(a[:900], a[: simhash.HASHES]) - 900 / simhash.HASHES) < 1e-9
+
+
 @pytest.mark.parametrize("shard", [3, 2048])
 def test_links_of_a_dense_group_in_blocks(spark, shard):
     rng = np.random.default_rng(5)
