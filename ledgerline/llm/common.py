@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
+from pyspark.sql.types import BinaryType, BooleanType, DateType, NumericType, StructType, TimestampNTZType, TimestampType
 
 from ledgerline import session
 from ledgerline.session import cut, shared_dir  # noqa: F401
@@ -16,8 +16,8 @@ from ledgerline.session import cut, shared_dir  # noqa: F401
 #: A word is a run of anything but ASCII white space (bytes.split() has the same rule).
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Rows up to which a narrow table may be broadcast; it is counted before.
-BROADCAST_ROWS = 500_000
+#: Rows and bytes up to which a table may be broadcast; both are measured before.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 64 << 20
 BATCH_ROWS = 1000
 FOLDS = 5
 #: Words that each of the two generations of a Python worker's table may hold.
@@ -86,9 +86,17 @@ def ship(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
-    """df (cut before), with a broadcast hint if its counted rows are within the bound; and whether they are."""
-    fits = df.limit(rows + 1).count() <= rows
+def row_bytes(df: DataFrame) -> Column:
+    """Bytes of a row of df, about: eight a column, and what its strings, arrays and the like hold (as text)."""
+    fixed = (NumericType, BooleanType, DateType, TimestampType, TimestampNTZType)
+    held = [F.coalesce(F.octet_length(F.col(f"`{f.name}`") if isinstance(f.dataType, BinaryType) else F.col(f"`{f.name}`").cast("string")), F.lit(0)) for f in df.schema.fields if not isinstance(f.dataType, fixed)]
+    return reduce(lambda a, b: a + b, held, F.lit(8 * len(df.columns)))
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> tuple[DataFrame, bool]:
+    """df (cut before), with a broadcast hint if its rows and their bytes are within the bounds; and whether they are."""
+    n, held = df.agg(F.count("*"), F.sum(row_bytes(df).cast("long"))).first()
+    fits = n <= rows and (held or 0) <= size
     return (F.broadcast(df) if fits else df), fits
 
 

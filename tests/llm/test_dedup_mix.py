@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from ledgerline.llm import bktree, components, exact_dedup, mixing, simhash
+from ledgerline.llm import bktree, common, components, exact_dedup, mixing, simhash
 
 TEXTS = [(1, "Same text"), (2, "same TEXT"), (3, None), (4, ""), (5, "other"), (5, "other"), (6, "É"), (7, "é"), (None, "same text"), (8, "x" * 5000), (9, "x" * 5000 + "y")]
 #: Names that the operators use themselves.
@@ -34,6 +34,13 @@ def test_exact_dedup_without_broadcasts(spark, monkeypatch):
     assert sorted(map(str, exact_dedup.dedup_rows(table(spark)).collect())) == kept
 
 
+def test_broadcasts_are_bounded_in_rows_and_bytes(spark):
+    rows = spark.createDataFrame([(k, "x" * 100, [1, 2, 3] if k else None, None) for k in range(50)], "a long, b string, `c.d` array<int>, e binary")
+    assert common.small(rows)[1] and not common.small(rows, rows=49)[1]
+    assert common.small(rows, size=50 * (32 + 100 + len("[1, 2, 3]")))[1] and not common.small(rows, size=50 * (32 + 100))[1]
+    assert common.small(rows.limit(0), rows=0, size=0)[1]
+
+
 def test_a_full_bitmap_only_costs_hashes(spark):
     """With 32,768 bits for 40,000 keys that are left, rows pass for others' bits; results are those of plain grouping."""
     rows = [(k, f"{k % 40_000:06d}" + "x" * (k % 40_000 % 7)) for k in range(80_000)] + [(100_000 + k, f"alone {k}" + "y" * (k % 7)) for k in range(5000)]
