@@ -21,6 +21,8 @@ ALPHA_GRID = (0.0, 0.25, 0.5, 0.75, 1.0)
 MULTIPLIERS = (0.5, 1.0, 1.5, 2.0)
 K_GRID = (1, 3, 5, 10, 20)
 LOOKBACKS = (10, 21, 42, 63, 104)
+TFIDF_FEATURES = 768
+COMPONENTS = 10
 PLACEBO_SIZES, SHUFFLES = (12, 15, 20, 25), 10
 EW = strategy("equal_weight", "equal")
 LW = strategy("ledoit_wolf", "ledoit_wolf")
@@ -162,6 +164,23 @@ def tfidf_experiment(spark: SparkSession, d: str) -> DataFrame:
     return rounded(cos.join(other, ["as_of", "a", "b"]).groupBy("as_of").agg(F.corr("tfidf", "cosine").alias("correlation"), F.count("*").alias("n_pairs")))
 
 
+@query("tfidf_strategies")
+def tfidf_strategies(spark: SparkSession, d: str) -> DataFrame:
+    """Portfolios by TF-IDF of brands' documents and by their embeddings, beside Ledoit-Wolf and equal weights: document i belongs to brand 1 + i % 25."""
+    brand, day = F.concat(F.lit("Brand#"), (1 + F.col("doc_id") % 25).cast("string")), F.expr("date_add(DATE'1995-06-01', CAST(doc_id * 7 % 1800 AS INT))")
+    docs = t.read(spark, d, "documents").select(brand.alias("ticker"), "doc_id", day.alias("doc_date"), "text")
+    terms = cut(tfidf.terms(docs))
+    vocabulary = cut(tfidf.vocabulary(docs, terms, t.rebalances(spark).withColumnRenamed("rebal_date", "as_of"), max_features=TFIDF_FEATURES))
+    v = tfidf.firm_vectors(docs, terms, vocabulary).join(vocabulary.select("as_of", "term", "place"), ["as_of", "term"])
+    v = v.groupBy(F.col("as_of").alias("rebal_date"), "ticker").agg(F.map_from_entries(F.collect_list(F.struct("place", "value"))).alias("m"))  # at most TFIDF_FEATURES of them
+    dense = F.transform(F.sequence(F.lit(1), F.lit(TFIDF_FEATURES)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
+    neural = k.facts(spark, d)
+    by_terms = neural.select("rebal_date", "ticker", "sector").join(v.select("rebal_date", "ticker", dense.alias("embedding")), ["rebal_date", "ticker"])
+    names = [strategy("neural_semantic"), strategy("tfidf_semantic"), LW, EW]
+    parts = [(by_terms if s["name"] == "tfidf_semantic" else neural).select(F.lit(s["name"]).alias("strategy"), "rebal_date", "ticker", "embedding", "sector") for s in names]
+    return rounded(summary(*walk(spark, d, names, cut(reduce(DataFrame.unionByName, parts)))))
+
+
 @query("shuffle_placebo")
 def shuffle_placebo(spark: SparkSession, d: str) -> DataFrame:
     """Universe sizes: Sharpe ratio of the semantic strategy against those with embeddings shuffled among a date's members: z-score and share at least as high."""
@@ -226,7 +245,7 @@ def sector_analysis(spark: SparkSession, d: str) -> DataFrame:
     return rounded(rank.two_regressor_r2(p, ["rebal_date"]).join(wins, "rebal_date"))
 
 
-def _components(spark: SparkSession, d: str, n: int = 3) -> DataFrame:
+def _components(spark: SparkSession, d: str, n: int = COMPONENTS) -> DataFrame:
     """(rebal_date, ticker, pc, score, share): left singular vectors of each date's embeddings."""
 
     def f(date, s: portfolio.Section) -> pd.DataFrame:  # noqa: ANN001
@@ -282,11 +301,11 @@ def pca_sector_scores(spark: SparkSession, d: str) -> DataFrame:
 
 @query("pca_stability")
 def pca_stability(spark: SparkSession, d: str) -> DataFrame:
-    """Kendall's tau of the first component's scores on successive dates."""
-    s = aligned(_components(spark, d, 1))
-    now = s.select("q", F.col("ticker").alias("id"), F.col("score").alias("x"))
-    then = s.select((F.col("q") + 1).alias("q"), F.col("ticker").alias("id"), F.col("score").alias("y"))
-    return rounded(rank.kendall(now.join(then, ["q", "id"]), ["q"]))
+    """Kendall's tau of each component's scores on successive dates."""
+    s = aligned(_components(spark, d))
+    now = s.select("q", "pc", F.col("ticker").alias("id"), F.col("score").alias("x"))
+    then = s.select((F.col("q") + 1).alias("q"), "pc", F.col("ticker").alias("id"), F.col("score").alias("y"))
+    return rounded(rank.kendall(now.join(then, ["q", "pc", "id"]), ["q", "pc"]))
 
 
 @query("beta_experiment")

@@ -144,15 +144,9 @@ def spearman(spark: SparkSession, d: str) -> DataFrame:
     return rounded(rank.spearman(p, ["rebal_date"]).select("rebal_date", "rho", "n"))
 
 
-@query("kendall_tau", t.sql(*_BASE, t.SECTOR, _SIC, _PAIRS, "k AS (SELECT rebal_date, a, x, round(y, 9) AS y FROM pp WHERE b = 'Brand#25')", "s AS (SELECT p.rebal_date, sign(p.x - q.x) AS sx, sign(p.y - q.y) AS sy FROM k p JOIN k q ON p.rebal_date = q.rebal_date AND p.a < q.a)", "SELECT rebal_date, round(sum(sx * sy) / sqrt(sum(sx * sx) * sum(sy * sy)), 6) AS tau FROM s GROUP BY 1"))
-def kendall_tau(spark: SparkSession, d: str) -> DataFrame:
-    p = correlation_pairs(spark, d).where("b = 'Brand#25'").select("rebal_date", F.col("a").alias("id"), "x", F.round("y", 9).alias("y"))
-    return rounded(rank.kendall(p, ["rebal_date"]))
-
-
 @query("kendall_tau_pairs", t.sql(*_BASE, t.SECTOR, _SIC, _PAIRS, "k AS (SELECT rebal_date, a || '|' || b AS id, x, round(y, 9) AS y FROM pp)", "s AS (SELECT p.rebal_date, sign(p.x - q.x) AS sx, sign(p.y - q.y) AS sy FROM k p JOIN k q ON p.rebal_date = q.rebal_date AND p.id < q.id)", "SELECT rebal_date, round(sum(sx * sy) / sqrt(sum(sx * sx) * sum(sy * sy)), 6) AS tau FROM s GROUP BY 1"))
 def kendall_tau_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """tau over all pairs of a date; kendall_tau, as its SQL, has those of Brand#25 alone."""
+    """tau over all pairs of a date."""
     p = correlation_pairs(spark, d).select("rebal_date", F.concat_ws("|", "a", "b").alias("id"), "x", F.round("y", 9).alias("y"))
     return rounded(rank.kendall(p, ["rebal_date"]))
 
