@@ -20,7 +20,7 @@ from ledgerline.session import cut
 ALPHA_GRID = (0.0, 0.25, 0.5, 0.75, 1.0)
 MULTIPLIERS = (0.5, 1.0, 1.5, 2.0)
 K_GRID = (1, 3, 5, 10, 20)
-LOOKBACKS = (10, 21, 42, 63, 104)
+LOOKBACKS = (10, 21, 42, 63, 104, 126, 252)
 TFIDF_FEATURES = 768
 COMPONENTS = 10
 PLACEBO_SIZES, SHUFFLES = (12, 15, 20, 25), 10
