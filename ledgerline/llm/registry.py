@@ -21,6 +21,7 @@ MODULES = {
     "op8_toxicity": "toxicity",
     "op9_chat_formatting": "chat",
     "op10_simhash_near_dedup": "simhash",
+    "op11_nearest_neighbours": "one_bit",
     "op13_fill_in_middle": "infill",
 }
 
