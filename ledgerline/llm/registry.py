@@ -22,6 +22,7 @@ MODULES = {
     "op9_chat_formatting": "chat",
     "op10_simhash_near_dedup": "simhash",
     "op11_nearest_neighbours": "one_bit",
+    "op12_conversation_repair": "repair",
     "op13_fill_in_middle": "infill",
 }
 
