@@ -141,6 +141,34 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, key: str, label: str, fi
     return found.select("y", "weight", number(F.lit("calibration"), place).alias("calibrates"), "d.*")
 
 
+def thinned(text: str, chars: int, run: int = 100) -> str:
+    """About chars of a longer text: runs of its words at even distances."""
+    words = text.split()
+    runs = [" ".join(words[k : k + run]) for k in range(0, len(words), run)]
+    keep = max(1, int(len(runs) * chars / len(text)))
+    return "\n".join(runs[len(runs) * k // keep] for k in range(keep))[:chars] if runs else ""
+
+
+def affordable(rows: Iterator[tuple], text: int, group: Callable[[tuple], Hashable], chars: int, row_chars: int) -> Iterator[tuple]:
+    """The rows whose text is no longer than row_chars and than what the rows before it left of its group's chars; others cost nothing.
+
+    A group of which no row fits gives its shortest one, thinned, so that no class is ever without a row.
+    """
+    left: dict[Hashable, int] = {}
+    spare: dict[Hashable, tuple | None] = {}
+    for r in rows:
+        g, n = group(r), len(r[text] or "")
+        if n <= min(row_chars, left.setdefault(g, chars)):
+            left[g] -= n
+            spare[g] = None
+            yield r
+        elif (held := spare.get(g, r)) is not None:
+            spare[g] = min(held, r, key=lambda x: len(x[text]))
+    for r in spare.values():
+        if r is not None:
+            yield *r[:text], thinned(r[text], min(chars, row_chars)), *r[text + 1 :]
+
+
 def learnt(rows: DataFrame, learn: Callable[[Iterator[tuple]], dict], schema: str):
     """The one row that learn() makes of all rows, in one task; rows come as tuples and are bounded by the caller. None if there are none."""
     kinds = arrow_schema(schema)

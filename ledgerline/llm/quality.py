@@ -17,12 +17,13 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import Words, arrow_schema, cut, documents, held_by, held_out, labelled_sample, learnt, released
+from ledgerline.llm.common import Words, affordable, arrow_schema, cut, documents, held_by, held_out, labelled_sample, learnt, released
 from ledgerline.llm.toxicity import logistic
 
 #: Documented bounds of what is learnt from: labelled documents of each class, documents of the unlabelled pool (which
-#: is drawn from all kinds of documents, see pool_of), characters of either.
-LABELLED, POOL, TRAIN_CHARS = 1500, 2500, 24_000_000
+#: is drawn from all kinds of documents, see pool_of), characters of all labelled ones (half of them for each
+#: class; the pool has as many as a class) and of one document. A longer one teaches nothing, and the others as if it weren't there.
+LABELLED, POOL, TRAIN_CHARS, ROW_CHARS = 1500, 2500, 24_000_000, 240_000
 BUCKETS, MAKE_UP, META, ROUNDS, SURE, CALIBRATION = 1 << 16, 16, 80, 4, 0.9, 0.3
 #: Share of the pool that each view may label of either class in one round.
 PER_ROUND = 0.08
@@ -201,12 +202,13 @@ def pool_of(docs: DataFrame, key: str, text: str, lang: str, source: str, pool:
     return whole.join(F.broadcast(chosen), "k").groupBy("k", "at").agg(F.min("d").alias("d")).select("at", "d.*")
 
 
-def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", lang: str = "lang", source: str = "source", labelled: int = LABELLED, pool: int = POOL, train_chars: int = TRAIN_CHARS) -> Views:
+def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", lang: str = "lang", source: str = "source", labelled: int = LABELLED, pool: int = POOL, train_chars: int = TRAIN_CHARS, row_chars: int = ROW_CHARS) -> Views:
     """Learns from at most labelled documents of each class and at most pool others, none of them held out, chosen by a hash of the key.
 
     All of it runs in one task, whose input the bounds limit; the driver gets the views alone. A key with several labels
-    has the lowest, one with several rows the least; null labels are left out. Without documents of both classes every
-    score is the same. Other columns are ignored, whatever their names.
+    has the lowest, one with several rows the least; null labels are left out, as is a text of more than row_chars or than
+    what is left of its class's half of train_chars; of a class without any other text the shortest is thinned to that. Without
+    documents of both classes every score is the same. Other columns are ignored, whatever their names.
     """
     sample = labelled_sample(docs, labels, key, label, {"t": text, "l": lang, "s": source}, labelled, "quality", F.min)
     sample = sample.select(F.lit(0).alias("part"), F.monotonically_increasing_id().alias("at"), "y", "weight", "calibrates", "t", F.col("l").cast("string").alias("l"), F.col("s").cast("string").alias("s"))
@@ -214,14 +216,12 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     both = sample.unionByName(others).repartition(1).sortWithinPartitions("part", "at")
 
     def learn(rows: Iterator[tuple]) -> dict:
-        taught, held, unlabelled, chars = [], [], [], [0, 0]
-        for part, _, y, weight, calibrates, *d in rows:
-            chars[part] += len(d[0] or "")
-            if chars[part] <= train_chars:
-                if part:
-                    unlabelled.append(tuple(d))
-                else:
-                    (held if calibrates < CALIBRATION else taught).append((y, weight, *d))
+        taught, held, unlabelled = [], [], []
+        for part, _, y, weight, calibrates, *d in affordable(rows, 5, lambda r: r[2], train_chars // 2, row_chars):  # the pool has no label
+            if part:
+                unlabelled.append(tuple(d))
+            else:
+                (held if calibrates < CALIBRATION else taught).append((y, weight, *d))
         v = co_train(taught, unlabelled, held)
         return {"text": v.text.tobytes(), "meta": v.meta.tobytes(), "numbers": [float(x) for x in (*v.calibration[0], *v.calibration[1], *v.combination)]}
 

@@ -21,10 +21,11 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import Words, documents, held_by, held_out, labelled_sample, learnt, per_text, released, slices
+from ledgerline.llm.common import Words, affordable, documents, held_by, held_out, labelled_sample, learnt, per_text, released, slices
 
-#: Documented bounds of what is learnt from: labelled documents of each label, and characters of all of them.
-TRAIN_DOCS, TRAIN_CHARS = 3000, 24_000_000
+#: Documented bounds of what is learnt from: labelled documents of each label, characters of all of them (half for
+#: each label) and of one of them. A longer document teaches nothing, and the others as if it weren't there.
+TRAIN_DOCS, TRAIN_CHARS, ROW_CHARS = 3000, 24_000_000, 240_000
 #: Landmarks; negative segments of those documents that every round learns from, and the worst placed of all that join them.
 LANDMARKS, NEGATIVES, HARD = 384, 9000, 3000
 SPAN, DECAY, ROUNDS, CALIBRATION = 6, 0.65, 3, 0.25
@@ -314,23 +315,21 @@ def constant() -> Machine:
     return Machine(np.zeros(1 << 18), 0.0, (0.0, -4.0))
 
 
-def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", train_docs: int = TRAIN_DOCS, train_chars: int = TRAIN_CHARS) -> Machine:
+def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", train_docs: int = TRAIN_DOCS, train_chars: int = TRAIN_CHARS, row_chars: int = ROW_CHARS) -> Machine:
     """Learns from labelled documents that are not held out: at most train_docs of each label, the first by a hash of the key.
 
     All of it runs in one task, whose input the two bounds limit; the driver gets the machine alone. A key with several
-    labels has the highest, one with several texts the least; null labels and texts are left out. Without documents of
-    both labels every score is low and the same. Other columns are ignored, whatever their names.
+    labels has the highest, one with several texts the least; null labels and texts are left out, as is a text of more than
+    row_chars or than what is left of its label's half of train_chars; of a label without any other text the shortest is
+    thinned to that. Without documents of both labels every score is low and the same. Other columns are ignored, whatever their names.
     """
     sample = labelled_sample(docs, labels, key, label, {"t": text}, train_docs, "toxicity", F.max)
 
     def learn(rows: Iterator[tuple]) -> dict:
         import sys
 
-        bags, held, chars = [], [], 0
-        for y, weight, calibrates, t in rows:
-            chars += len(t or "")
-            if t is None or chars > train_chars:
-                continue
+        bags, held = [], []
+        for y, weight, calibrates, t in affordable((r for r in rows if r[3] is not None), 3, lambda r: r[0], train_chars // 2, row_chars):
             if calibrates < CALIBRATION:
                 held.append((y, weight, t))
             else:  # a segment comes in many documents, but once in memory
