@@ -2,15 +2,18 @@
 
 Paragraphs pass points for their length and commas to their ancestors; an ancestor's sum is discounted by its link
 density. The best container is kept with those siblings that score well beside it. Elements that hold no article text
-by their kind, role, style or an unmistakable name (menus, adverts, forms, comments, ...) are left out before. Names
-that articles use too (header, related, share, ...) leave a block out only outside an article; inside one such a block
-is scored by itself, and stays if it has a heading or enough plain text. Every step is linear in the page's length.
+by their kind or style are left out before. Forms, and blocks whose role or name says that they are no article (menus,
+adverts, comments, ...), are only suspects: they stay if they hold the page's article or most of its plain text, as
+wrappers of whole pages do. Names that articles use too (header, related, share, ...) make a suspect only outside
+an article; inside one such a block is scored by itself, and stays if it has a heading or enough plain text. Every
+step is linear in the page's length.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import defaultdict
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +21,7 @@ from pyspark.sql import functions as F
 from ledgerline.llm.common import per_text
 
 _TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)(?:((?:[^>\"']|\"[^\"]*\"(?=[\s/>]|\Z)|'[^']*'(?=[\s/>]|\Z))*+)(?:>|\Z)|([^>]*)(?:>|\Z))", re.S)
+_END = re.compile(r"</([a-zA-Z][^\s/>]*)")
 _ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 _WORDS = re.compile(r"[^a-z0-9]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
@@ -27,14 +31,19 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Elements whose content is not markup.
 RAW = frozenset("script style textarea title xmp noembed noframes iframe".split())
 #: Elements that never hold article text.
-OUT = frozenset("head script style noscript template nav footer aside form button select option datalist textarea title iframe object svg math canvas audio video map dialog menu input label fieldset search".split())
+OUT = frozenset("head script style noscript template nav footer aside button select option datalist textarea title iframe object svg math canvas audio video map dialog menu input label fieldset search".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar tablist status".split())
-#: Parts of class names and ids that mark an element as no part of the article, wherever it is.
+#: Parts of class names and ids that make an element a suspect wherever it is, unless one of the second stands before them.
 NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense adslot adbox adunit sponsor sponsored sponsors promo promoted sidebar sidebars"
     " comments commentlist respond disqus cookie cookies consent gdpr popup popups modal overlay lightbox newsletter subscribe signup signin login outbrain taboola"
     " navbar navigation menu menus submenu breadcrumb breadcrumbs pagination pager masthead topbar toolbar skiplink tagcloud".split()
 )
+WITHOUT = frozenset("has no with without hide show".split())
+#: Those of what readers write, which may be longer than the article.
+REMARKS = frozenset("comments commentlist respond disqus comment commentary reply replies discussion responses feedback".split())
+#: Share of the plain text (of the article it is in, else of the page) that a suspect must hold to stay; of remarks too.
+MOST, NEARLY_ALL = 0.67, 0.9
 #: Parts that articles use as well.
 DOUBTFUL = frozenset(
     "promotion banner banners rail comment commentary reply replies discussion responses feedback notice notices notification alert alerts subscription register"
@@ -50,43 +59,54 @@ KEPT = frozenset("html body article main h1 h2 h3 h4 h5 h6".split())
 #: A start tag ends an open element of these kinds, unless one of the second stands between.
 ENDS = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "td": ("td th", "table tr"), "th": ("td th", "table tr"), "tr": ("tr td th", "table"), "tbody": ("tbody thead tfoot tr td th", "table"), "thead": ("tbody thead tfoot tr td th", "table"), "tfoot": ("tbody thead tfoot tr td th", "table"), "option": ("option", "select")}
 ENDS = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in ENDS.items()}
+#: Elements inside which an outer paragraph goes on.
+_FENCES = frozenset("td th table article section div body".split())
 #: Points that an element has from its kind.
 KIND = {"article": 30.0, "main": 20.0, "section": 2.0, "div": 1.0, "blockquote": 1.0, "pre": 1.0, "ul": -2.0, "ol": -2.0, "dl": -2.0, "table": -1.0}
 
 
 class _Node:
-    __slots__ = ("chars", "doubtful", "heading", "kind", "kept", "links", "out", "own", "parent", "points")
+    __slots__ = ("chars", "doubtful", "heading", "kind", "kept", "links", "out", "own", "parent", "points", "share")
 
-    def __init__(self, kind: str, parent: _Node | None, out: bool, doubtful: bool = False) -> None:
-        self.kind, self.parent, self.out, self.doubtful = kind, parent, out, doubtful
+    def __init__(self, kind: str, parent: _Node | None, out: bool, doubtful: bool = False, share: float = 0.0) -> None:
+        """share: of a suspect, what it must hold to stay."""
+        self.kind, self.parent, self.out, self.doubtful, self.share = kind, parent, out, doubtful, share
         self.points, self.own, self.chars, self.links = KIND.get(kind, 0.0), 0.0, 0, 0
         self.heading = self.kept = False
 
 
-def _judge(kind: str, attributes: str, inside_article: bool) -> tuple[bool, bool]:
-    """Whether an element is out, and whether its name makes it doubtful."""
+def _judge(kind: str, attributes: str, inside_article: bool) -> tuple[bool, bool, float]:
+    """Whether an element is out, whether its name makes it doubtful, and the share it must hold if it is a suspect (else 0)."""
     if kind in OUT or (kind == "header" and not inside_article):
-        return True, False
+        return True, False, 0.0
+    suspect = MOST if kind == "form" else 0.0
     if not attributes or attributes.isspace():
-        return False, False
+        return False, False, suspect
     found = {k.lower(): (v or "").strip("\"'") for k, v in _ATTRIBUTE.findall(attributes)}
-    if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or _HIDDEN.search(found.get("style", "").lower()) or found.get("role", "").lower() in ROLES:
-        return kind not in ("html", "body"), False
+    if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or _HIDDEN.search(found.get("style", "").lower()):
+        return kind not in ("html", "body"), False, 0.0
+    block = kind in BLOCKS
+    if found.get("role", "").lower() in ROLES and kind not in ("html", "body"):
+        return not block, False, MOST
     if kind in KEPT:
-        return False, False
-    named = set(_WORDS.split(html.unescape(f"{found.get('class', '')} {found.get('id', '')}").lower()))
+        return False, False, suspect
+    parts = _WORDS.split(html.unescape(f"{found.get('class', '')} {found.get('id', '')}").lower())
+    named = {x for before, x in zip(["", *parts], parts) if before not in WITHOUT}
+    share = NEARLY_ALL if not REMARKS.isdisjoint(named) else MOST
     if not NAMES.isdisjoint(named):
-        return True, False
-    if kind not in BLOCKS or DOUBTFUL.isdisjoint(named):
-        return False, False
+        return not block, False, share
+    if not block or DOUBTFUL.isdisjoint(named):
+        return False, False, suspect
     known = inside_article or not ARTICLE.isdisjoint(named)
-    return not known, known
+    return False, known and not suspect, suspect if known else share
 
 
 def blocks(page: str) -> tuple[list[_Node], list[tuple[_Node, str]]]:
     """The elements of a page, parents before children, and its text blocks in order, each with its element; blocks of elements that are out don't come."""
     root = _Node("html", None, False)
     made, open_, found, pieces, links = [root], [root], [], [], 0
+    where: dict[str, list[int]] = defaultdict(list)  # places of the open elements of each kind
+    ended = None  # kinds that have an end tag anywhere
     articles = 0
 
     def flush() -> None:
@@ -105,8 +125,14 @@ def blocks(page: str) -> tuple[list[_Node], list[tuple[_Node, str]]]:
         nonlocal articles
         flush()
         articles -= sum(n.kind in ("article", "main") for n in open_[upto:])
+        for x in open_[upto:]:
+            where[x.kind].pop()
         del open_[upto:]
 
+    def last(kinds: frozenset[str]) -> int:
+        """The place of the innermost open element of these kinds, 0 if there is none."""
+        return max((where[x][-1] for x in kinds if where.get(x)), default=0)
+
     anchor = 0
     at, n = 0, len(page)
     while at < n:
@@ -128,13 +154,9 @@ def blocks(page: str) -> tuple[list[_Node], list[tuple[_Node, str]]]:
         if m[1]:
             if kind == "a":
                 anchor = 0
-            for k in range(len(open_) - 1, 0, -1):
-                if open_[k].kind == kind:
-                    close(k)
-                    break
-                if kind not in BLOCKS and open_[k].kind in BLOCKS:
-                    break  # an inline element's end doesn't end blocks
-            if kind in BLOCKS:
+            if kind in BLOCKS:  # an inline element's end doesn't end blocks
+                if where.get(kind):
+                    close(where[kind][-1])
                 flush()
             elif kind == "br" and not open_[-1].out:
                 pieces.append(" ")
@@ -148,60 +170,78 @@ def blocks(page: str) -> tuple[list[_Node], list[tuple[_Node, str]]]:
         block = kind in BLOCKS
         if block:
             flush()
-            for k in range(len(open_) - 1, 0, -1):  # an open paragraph ends here
-                if open_[k].kind == "p":
-                    close(k)
-                    break
-                if open_[k].kind in ("button", "td", "th", "table", "article", "section", "div", "body"):
-                    break
+            if where.get("p") and where["p"][-1] > last(_FENCES):  # an open paragraph ends here
+                close(where["p"][-1])
             if kind in ENDS:
                 kinds, fence = ENDS[kind]
-                for k in range(len(open_) - 1, 0, -1):
-                    if open_[k].kind in fence:
+                while (k := last(kinds)) > last(fence):
+                    close(k)
+                    if kind not in ("tr", "tbody", "thead", "tfoot"):
                         break
-                    if open_[k].kind in kinds:
-                        close(k)
-                        if kind not in ("tr", "tbody", "thead", "tfoot"):
-                            break
         if kind == "body" and open_[-1].kind == "head":
             close(len(open_) - 1)
         if kind in VOID:
             continue
-        out, doubtful = _judge(kind, m[3] or m[4], articles > 0) if not open_[-1].out else (True, False)
+        out, doubtful, share = _judge(kind, m[3] or m[4], articles > 0) if not open_[-1].out else (True, False, 0.0)
         if block or out:
             if out and not block:
                 pieces.append(" ")
             if block or kind in RAW or kind in OUT or out:
-                held = pieces[:] if not block else None
-                if held is not None and not open_[-1].out:
-                    pieces.clear()  # text around an inline element that is out stays one block
-                node = _Node(kind, open_[-1], out, doubtful)
+                node = _Node(kind, open_[-1], out, doubtful, share)
                 made.append(node)
-                open_.append(node)
-                articles += kind in ("article", "main")
-                if kind in RAW:
+                if block and kind not in RAW:
+                    open_.append(node)
+                    where[kind].append(len(open_) - 1)
+                    articles += kind in ("article", "main")
+                elif kind in RAW:
                     end = re.compile(rf"</{kind}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(page, at)
                     at = end.end() if end else n
-                    open_.pop()
-                    if held is not None:
-                        pieces[:0] = held
-                elif held is not None:
+                else:  # the text around an inline element that is out stays one block
+                    if ended is None:
+                        ended = {x.lower() for x in _END.findall(page)}
                     depth, skip = 1, re.compile(rf"<(/?){re.escape(kind)}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I)
-                    while depth:
-                        e = skip.search(page, at)
-                        if not e:
-                            at, depth = (at, 0)
-                            break
+                    while depth and kind in ended and (e := skip.search(page, at)):
                         at = e.end()
                         depth += -1 if e[1] else 1
-                    open_.pop()
-                    pieces[:0] = held
+                    anchor = anchor if kind != "a" else 0  # its end is passed over with it
     flush()
+    return made, found
+
+
+def _add_up(made: list[_Node]) -> None:
+    """Every element's own characters become those of all that is in it."""
     for x in reversed(made):
         if x.parent:
             x.parent.chars += x.chars
             x.parent.links += x.links
-    return made, found
+
+
+def _without_suspects(made: list[_Node], found: list[tuple[_Node, str]]) -> list[tuple[_Node, str]]:
+    """found without the blocks of suspects that hold neither the page's article nor most of the plain text.
+
+    made has its own characters, before and after; what is out has none after.
+    """
+    own = [(x.chars, x.links) for x in made]
+    _add_up(made)
+    plain = {id(x): x.chars - x.links for x in made}
+    article = {id(x): plain[id(x)] if x.kind in ("article", "main") else 0 for x in made}
+    inner = dict.fromkeys(article, 0)  # plain text of the articles inside an element
+    for x in reversed(made):
+        if x.parent:
+            inner[id(x.parent)] += max(article[id(x)], inner[id(x)])
+    page, region = made[0], {}
+    for x in made:
+        within = region[id(x.parent)] if x.parent else page
+        region[id(x)] = x if x.kind in ("article", "main") else within
+        x.out |= bool(x.parent and x.parent.out)
+        if x.share and not x.out:
+            if within is page and inner[id(page)]:
+                x.out = 2 * inner[id(x)] <= inner[id(page)]
+            else:
+                x.out = plain[id(x)] < x.share * plain[id(within)] or not plain[id(x)]
+    for x, (chars, links) in zip(made, own):
+        x.chars, x.links = (0, 0) if x.out else (chars, links)
+    return [(node, text) for node, text in found if not node.out]
 
 
 def _without_doubtful(made: list[_Node], found: list[tuple[_Node, str]]) -> list[tuple[_Node, str]]:
@@ -227,6 +267,9 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     made, found = blocks(page)
+    if any(x.share for x in made):
+        found = _without_suspects(made, found)
+    _add_up(made)
     if any(x.doubtful for x in made):
         found = _without_doubtful(made, found)
     if not found:
