@@ -13,16 +13,20 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import TYPE_CHECKING
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import arrow_schema, documents, held_out, per_text, released
+from ledgerline.llm.common import affordable, arrow_schema, cut, documents, held_out, per_text, released, small
+
+if TYPE_CHECKING:
+    import pandas as pd
 
 ORDER, DISCOUNT = 4, 0.75
-#: Documents of each language that a model is learnt from, and (of those) the share that calibrates: documented bounds.
-TRAIN_DOCS, CALIBRATION = 500, 0.2
+#: Documented bounds of what a language's model is learnt from: documents, characters of all of them and of one; and the share of the documents that calibrates.
+TRAIN_DOCS, TRAIN_CHARS, ROW_CHARS, CALIBRATION = 500, 6_000_000, 240_000, 0.2
 UNDETERMINED = "und"
 
 _NO_LETTER = re.compile(r"[\W\d_]+")
@@ -185,37 +189,52 @@ class Identifier:
         return out
 
 
-def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", order: int = ORDER, train_docs: int = TRAIN_DOCS) -> Identifier:
-    """Learns from documents with a language that are not held out: about train_docs of each language, chosen by a hash of the key.
+def sample_of(docs: DataFrame, key: str, text: str, lang: str, train_docs: int) -> DataFrame:
+    """Rows (lang, k, at, text) of train_docs documents of each language at most, the first by a hash of the key; nothing held out.
 
-    Counting is distributed, and so is what calibration reads; the driver gets the n-gram counts of the sample, whose
-    size train_docs bounds, and a few numbers for each document that calibrates. Null languages and texts are left
-    out; other columns are ignored, whatever their names.
+    Of a key's several documents of one language the least counts, so a key that repeats takes one place however many rows it has.
+    """
+    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out("k"))
+    at = F.xxhash64(F.col("k").cast("string"), F.lit("language"))
+    keys = rows.select("k", "lang")
+    # a little more than needed by the hash (the count is about right), then exactly the first ones
+    rates, _ = small(cut(keys.groupBy("lang").agg(F.approx_count_distinct("k").alias("n")).select("lang", (1.3 * train_docs / F.col("n") + 50 / F.col("n")).alias("rate"))))
+    near = keys.join(rates, "lang").where(F.pmod(at, F.lit(1_000_000)) / 1e6 < F.col("rate")).select("k", "lang").distinct()
+    first = near.withColumn("at", at).withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("at", "k"))).where(F.col("place") <= train_docs)
+    chosen, _ = small(cut(first.select("k", "lang", "at")))
+    return rows.join(chosen, ["k", "lang"]).groupBy("lang", "k", "at").agg(F.min("text").alias("text"))
+
+
+def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", order: int = ORDER, train_docs: int = TRAIN_DOCS, train_chars: int = TRAIN_CHARS, row_chars: int = ROW_CHARS) -> Identifier:
+    """Learns from at most train_docs documents of each language that are not held out, the first by a hash of the key.
+
+    Each language's model is fitted in a task of its own, from at most train_chars characters; a text of more than
+    row_chars or than what is left of them is passed over, and of a language without any other text the shortest is
+    thinned. The driver gets the models (which are what prediction broadcasts: some megabytes a language) and a few numbers for
+    each document that calibrates. Null languages and texts are left out; other columns are ignored, whatever their names.
     """
-    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("text"), F.col(lang).alias("lang")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out("k"))
-    counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
-    if not counts:
-        return Identifier([], [], order)
-    spread = F.pmod(F.xxhash64(F.col("k").cast("string"), F.lit("language")), F.lit(1_000_000)) / 1e6
-    rate = F.element_at(F.create_map(*[F.lit(x) for lang_, n in counts.items() for x in (lang_, min(1.0, train_docs / n))]), F.col("lang"))
-    sample = rows.where(spread < rate).withColumn("calibrates", F.pmod(F.xxhash64(F.lit("calibration"), F.col("k").cast("string")), F.lit(1000)) < int(1000 * CALIBRATION))
-
-    def count(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        for b in batches:
-            table: Counter = Counter()
-            for t, language in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                t = " " * (order - 1) + plain(t)
-                table.update((language, t[k : k + order]) for k in range(1, len(t) - order + 1))
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in table], pa.string()), pa.array([k[1] for k in table], pa.string()), pa.array(list(table.values()), pa.int64())], names=["lang", "gram", "n"])
-
-    grams = sample.where("NOT calibrates").select("text", "lang").mapInArrow(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    tables: dict[str, dict[str, int]] = defaultdict(dict)
-    for r in grams.orderBy("lang", "gram").collect():
-        tables[r.lang][r.gram] = r.n
-    languages = sorted(tables)
-    found = Identifier(languages, [fit(tables[x], order) for x in languages], order)
+    sample = cut(sample_of(docs, key, text, lang, train_docs))
+    sample = sample.withColumn("calibrates", F.pmod(F.xxhash64(F.lit("calibration"), F.col("k").cast("string")), F.lit(1000)) < int(1000 * CALIBRATION))
+    arrays = "grams", "probs", "contexts", "left"
+
+    def learn(rows: pd.DataFrame) -> pd.DataFrame:
+        import pandas as pd
+
+        rows = rows.sort_values(["at", "k"], kind="stable")
+        table: Counter = Counter()
+        for _, t in affordable(zip(rows["lang"], rows["text"]), 1, lambda r: r[0], train_chars, row_chars):
+            t = " " * (order - 1) + plain(t)
+            table.update(t[k : k + order] for k in range(1, len(t) - order + 1))
+        if not table:
+            return pd.DataFrame({"lang": [], **{a: [] for a in arrays}, "unseen": []})
+        m = fit(dict(sorted(table.items())), order)
+        return pd.DataFrame({"lang": [rows["lang"].iloc[0]], **{a: [[x.tobytes() for x in getattr(m, a)]] for a in arrays}, "unseen": [m.unseen]})
+
+    schema = f"lang string, {', '.join(f'{a} array<binary>' for a in arrays)}, unseen double"
+    fitted = sample.where("NOT calibrates").select("lang", F.col("k").cast("string").alias("k"), "at", "text").groupBy("lang").applyInPandas(learn, schema)
+    models = {r.lang: Model(*([np.frombuffer(x, np.uint64 if a in ("grams", "contexts") else np.float64) for x in r[a]] for a in arrays), r.unseen) for r in fitted.collect()}  # one row a language
+    languages = sorted(models)
+    found = Identifier(languages, [models[x] for x in languages], order)
     if len(languages) > 1:
         sent, kinds = docs.sparkSession.sparkContext.broadcast(found), arrow_schema("k string, lang string, n long, h array<double>")
 
