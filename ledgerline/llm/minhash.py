@@ -8,13 +8,15 @@ bin are packed; by chance two sets agree in 2^-bits of the rest, which the liken
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import Words, arrow_schema, documents
+from ledgerline.llm.common import Words, arrow_schema, cut, documents, held_by, ship
 
 BINS, BITS, SHINGLE = 512, 4, 5
 _FIRST = 12  # columns of the order table that are tried before the whole
@@ -103,47 +105,76 @@ def _distinct_slots(spark: SparkSession, n: int) -> list[int]:
     return [found.get(p, next(rest)) for p in range(n)]
 
 
+class _Ranges:
+    """Buckets as ranges of (descending key, hash of the text); null keys follow in null_parts buckets by their hashes."""
+
+    def __init__(self, bounds: list[tuple], null_parts: int) -> None:
+        self.rising = sorted((d, -m) for d, m in bounds)
+        self.null_parts = null_parts
+
+    def bucket(self, key: object, mark: int) -> int:
+        if key is None:
+            return len(self.rising) + 1 + min(int((mark / 2.0**64 + 0.5) * self.null_parts), self.null_parts - 1)
+        return len(self.rising) - bisect_left(self.rising, (key, -mark))
+
+
+def _place_of(at, schema: str, make: Callable[[object, object, int], tuple]) -> Callable[[Column, Column], Column]:
+    """A column of what make() says of a broadcast object, a key and a mark."""
+    kinds = arrow_schema(schema)
+
+    @F.arrow_udf(schema)
+    def place(key: pa.Array, mark: pa.Array) -> pa.Array:
+        held = at.value
+        made = list(zip(*(make(held, k, m) for k, m in zip(key.to_pylist(), mark.to_pylist()))))
+        return pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(made, kinds)], fields=list(kinds))
+
+    return place
+
+
+def _bounds(rows: DataFrame, n: int, total: int) -> list[tuple]:
+    """About n rows (key, mark) that split the rows with keys evenly; the driver gets no others.
+
+    About 200 places a bucket are drawn by a hash, sorted by Spark, and every 200th of them is taken.
+    """
+    drawn = rows.select("doc_id", "mark").where(F.col("doc_id").isNotNull()).where(F.pmod(F.xxhash64(F.col("doc_id").cast("string"), "mark", F.lit("bounds")), F.lit(1_000_000)) < F.lit(int(min(1e6, 2e8 * n / total)))).distinct()
+    drawn = cut(drawn)
+    every = max(1, drawn.count() // n)
+    ranked = drawn.orderBy(F.col("doc_id").desc(), "mark").withColumn("at", F.monotonically_increasing_id() % F.lit(1 << 33))
+    return [(r.doc_id, r.mark) for r in ranked.where((F.col("at") > 0) & (F.col("at") % every == 0)).select("doc_id", "mark").collect()]
+
+
 def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text", buckets: int | None = None) -> DataFrame:
     """Rows (bucket, copy, doc_id, mark, text) by which each bucket, sorted by descending key, holds its rows and the row that follows them.
 
     Buckets are ranges of (key, hash of the text), for keys of any kind that sorts; so rows that share a key are spread
     too. Only the first rows of each bucket come a second time (copy = 1), as the last of the bucket before; those of
     the first bucket follow the last bucket. Texts pass one shuffle, each bucket in a part of its own. The driver gets
-    about 200 keys for each bucket to choose the bounds from, then one key for each bucket.
+    one bound and one first key for each bucket; executors search them by bisection.
     """
     spark = docs.sparkSession
+    sc = spark.sparkContext
+    ship(spark)
     rows = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.withColumn("mark", F.xxhash64("text"))
     n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     total, nulls = rows.agg(F.count("*"), F.count_if(F.col("doc_id").isNull())).first()
     if not total:
         return rows.select(F.lit(0).alias("bucket"), F.lit(0).alias("copy"), "doc_id", "mark", "text")
-    known = rows.select("doc_id", "mark").where(F.col("doc_id").isNotNull())
-    # the same rows in any run: a hash chooses them, and a place of the order is what each bound is
-    drawn = known.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string"), "mark", F.lit("bounds")), F.lit(1_000_000)) < F.lit(int(min(1e6, 2e8 * n / total)))).distinct()
-    places = sorted(((r.doc_id, r.mark) for r in drawn.collect()), key=lambda p: (p[0], -p[1]), reverse=True)
-    bounds = sorted({len(places) * k // n for k in range(1, n)} - {0}) if places else []
-    bounds = [places[k] for k in bounds]  # a bucket begins with its bound
-    null_parts = max(1, -(-nulls * n // total))
-
-    def bucket_of(doc: Column, mark: Column) -> Column:
-        at = F.array(*[F.struct(F.lit(d).cast(dict(rows.dtypes)["doc_id"]).alias("d"), F.lit(m).cast("long").alias("m")) for d, m in bounds]) if bounds else None
-        passed = F.size(F.filter(at, lambda b: (b["d"] > doc) | ((b["d"] == doc) & (b["m"] <= mark)))) if bounds else F.lit(0)
-        share = F.least(F.floor((mark / F.lit(2.0**64) + 0.5) * null_parts), F.lit(null_parts - 1))
-        return F.when(doc.isNull(), len(bounds) + 1 + share).otherwise(passed).cast("int")
-
-    rows = rows.withColumn("bucket", bucket_of(F.col("doc_id"), F.col("mark")))
-    tops = rows.select("doc_id", "mark", "bucket").groupBy("bucket").agg(F.max_by(F.struct("doc_id", "mark"), F.struct("doc_id", F.bitwise_not("mark"))).alias("top"))
+    ranges = sc.broadcast(_Ranges(_bounds(rows, n, total), max(1, -(-nulls * n // total))))
+    known = rows.withColumn("bucket", _place_of(ranges, "bucket int", lambda r, k, m: (r.bucket(k, m),))(F.col("doc_id"), F.col("mark"))["bucket"])
+    tops = known.select("doc_id", "mark", "bucket").groupBy("bucket").agg(F.max_by(F.struct("doc_id", "mark"), F.struct("doc_id", F.bitwise_not("mark"))).alias("top"))
     tops = sorted(((r.bucket, r.top.doc_id, r.top.mark) for r in tops.collect()), key=lambda t: t[0])
-    slot = _distinct_slots(spark, n)
-    slot_of = {b: slot[k % n] for k, (b, _, _) in enumerate(tops)}
-    before = {tops[k][0]: slot_of[tops[k - 1][0]] for k in range(len(tops))}
-    kind = dict(rows.dtypes)["doc_id"]
-    by_bucket = lambda values: F.element_at(F.create_map(*[x for b, v in values for x in (F.lit(b), v)]), F.col("bucket"))
-    top_doc, top_mark = by_bucket([(b, F.lit(d).cast(kind)) for b, d, _ in tops]), by_bucket([(b, F.lit(m)) for b, _, m in tops])
-    is_top = F.col("doc_id").eqNullSafe(top_doc) & (F.col("mark") == top_mark)
-    here = F.struct(by_bucket([(b, F.lit(s)) for b, s in slot_of.items()]).alias("b"), F.lit(0).alias("c"))
-    places = F.when(is_top, F.array(here, F.struct(by_bucket([(b, F.lit(s)) for b, s in before.items()]).alias("b"), F.lit(1).alias("c")))).otherwise(F.array(here))
+    slots = [*_distinct_slots(spark, n), *range(1_500_000_000, 1_500_000_000 + len(tops))]  # a few more buckets than parts share some of these, each with a number of its own
+    here = {b: (slots[k], d, m, slots[(k or len(tops)) - 1]) for k, (b, d, m) in enumerate(tops)}
+    places = sc.broadcast((ranges, here))
+
+    def place(held: tuple, key: object, mark: int) -> tuple:
+        b, d, m, before = held[1][held[0].value.bucket(key, mark)]
+        return b, before if (d, m) == (key, mark) else None
+
+    rows = rows.withColumn("place", _place_of(places, "bucket int, before int", place)(F.col("doc_id"), F.col("mark")))
+    both = F.array(F.struct(F.col("place.bucket").alias("b"), F.lit(0).alias("c")), F.struct(F.col("place.before").alias("b"), F.lit(1).alias("c")))
+    places = F.filter(both, lambda p: p["b"].isNotNull())
     return rows.withColumn("place", F.explode(places)).select(F.col("place.b").cast("int").alias("bucket"), F.col("place.c").alias("copy"), "doc_id", "mark", "text")
 
 
@@ -171,9 +202,7 @@ def compare_with_next(docs: DataFrame, key: str = "doc_id", text: str = "text",
     kinds = arrow_schema(schema)
 
     def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        fp = Fingerprinter(bins, bits, shingle)
+        fp = held_by(("minhash", bins, bits, shingle), lambda: Fingerprinter(bins, bits, shingle))
         held: tuple | None = None  # the row whose next is awaited: bucket, copy, doc_id, text, fingerprint
 
         def row(a: tuple, b: tuple) -> tuple:
