@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 
@@ -182,9 +183,10 @@ def read_json_cache(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def fetch_missing(keys: DataFrame, cache: DataFrame, key: str, fetch: Callable[[str], tuple | None]) -> DataFrame:
-    """cache and what fetch gives for the keys that it lacks; of a fetch that fails or has nothing, all but the key is null.
+    """cache and what fetch gives for the keys that it lacks; a key that fetch has nothing for (None) is kept with nulls.
 
-    Each key is asked once, on the executors; the result is cache's next state, with its columns (key first).
+    Each key is asked once, on the executors; the result is cache's next state, with its columns (key first). A key
+    whose fetch raises isn't in it, so the next run asks again; service.fetch_resumed keeps failures with their causes.
     """
     columns = cache.columns
     new = keys.select(F.col(key).alias("k")).where("k IS NOT NULL").distinct().join(cache.select(F.col(key).alias("k")), "k", "left_anti")
@@ -195,11 +197,8 @@ def fetch_missing(keys: DataFrame, cache: DataFrame, key: str, fetch: Callable[[
         for b in batches:
             rows = []
             for k in b["k"]:
-                try:
-                    found = fetch(k)
-                except Exception:  # noqa: BLE001 - a service's answer; the key stays known as one without
-                    found = None
-                rows.append((k, *(found or (None,) * (len(columns) - 1))))
+                with contextlib.suppress(Exception):  # a service's answer: no record, no harm
+                    rows.append((k, *(fetch(k) or (None,) * (len(columns) - 1))))
             yield pd.DataFrame(rows, columns=columns)
 
     return cache.unionByName(new.mapInPandas(ask, cache.schema))
