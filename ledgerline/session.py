@@ -62,3 +62,10 @@ def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and go on from there: lost executors can't lose it."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def has_data(spark: SparkSession, path: str) -> bool:
+    """Whether a folder has been written to, in whatever store Spark reads."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return bool(fs.exists(at)) and any(f.isDirectory() and not f.getPath().getName().startswith(("_", ".")) or f.getPath().getName().startswith("part-") for f in fs.listStatus(at))

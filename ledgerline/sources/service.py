@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from ledgerline.session import ship
+from ledgerline.session import has_data, ship
 
 OK, MISSING, FAILED = "ok", "missing", "failed"
 STATUS = "status string, error string"
@@ -193,7 +193,7 @@ def fetch_resumed(spark: SparkSession, keys: DataFrame, path: str, schema: str,
     key = keys.columns[0]
     wanted = keys.select(F.col(key).cast("string").alias(key)).where(F.col(key).isNotNull()).distinct()
     run = 0
-    if _exists(spark, path):
+    if has_data(spark, path):
         store = spark.read.parquet(path)
         run = (store.agg(F.max("run")).first()[0] or 0) + 1
         wanted = wanted.join(settled(store, key).select(F.col(key).cast("string").alias(key)), key, "left_anti")
@@ -204,14 +204,6 @@ def fetch_resumed(spark: SparkSession, keys: DataFrame, path: str, schema: str,
     return len(todo)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    """Whether a folder has been written to, in whatever store Spark reads."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return bool(fs.exists(p)) and any(s.getPath().getName().startswith("part-") or s.isDirectory() for s in fs.listStatus(p))
-
-
 def prices(spark: SparkSession, url: str, keys: list[str], **options: object) -> DataFrame:
     """(ticker, date, open, high, low, close, volume, status, error) of a price service's daily adjusted prices."""
     return read_service(spark, "ticker string, date date, open double, high double, low double, close double, volume double", url=url, keys=keys, fields=PRICE_FIELDS, **options)
