@@ -69,3 +69,15 @@ def has_data(spark: SparkSession, path: str) -> bool:
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     return bool(fs.exists(at)) and any(f.isDirectory() and not f.getPath().getName().startswith(("_", ".")) or f.getPath().getName().startswith("part-") for f in fs.listStatus(at))
+
+
+def empty_files(spark: SparkSession, path: str, ending: str) -> list[str]:
+    """The files of no bytes below a path, in whatever store Spark reads; no scan reports them."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    listed = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(at, True)
+    found = []
+    while listed.hasNext():
+        f = listed.next()
+        if not f.getLen() and f.getPath().getName().endswith(ending):
+            found.append(f.getPath().toString())
+    return found
