@@ -86,6 +86,12 @@ def ship(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """A folder of ours goes, in whatever store Spark writes to."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def row_bytes(df: DataFrame) -> Column:
     """Bytes of a row of df, about: eight a column, and what its strings, arrays and the like hold (as text)."""
     fixed = (NumericType, BooleanType, DateType, TimestampType, TimestampNTZType)

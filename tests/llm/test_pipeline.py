@@ -43,3 +43,43 @@ def test_run(spark, tmp_path):
         coder = bpe.BPE(f.read())
     got = sorted((r.doc_id, r.n_tokens) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
     assert got == sorted((r.doc_id, len(coder.encode(r.text)) // 4) for r in mixed.collect())
+
+
+def write(spark, tmp_path, rows, extra=""):
+    names = "doc_id long, text string, lang string, source string, n_chars long" + extra
+    spark.createDataFrame(rows, names).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, y) for k, _, y in toxic_docs()], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+
+
+def test_run_of_an_empty_table(spark, tmp_path):
+    write(spark, tmp_path, [])
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.count() == 0 and "doc_id" in out.columns
+
+
+def test_run_with_null_sources_repeats_and_clashing_columns(spark, tmp_path):
+    """Rows that repeat, null keys, texts and sources, very long texts, and columns that have the stages' own names."""
+    clash = "fp component_id size target taken score predicted keep_id _text _full k y t copy chunk uid".split()
+    rows = [(k, t, None if k % 3 else "en", None if k % 2 else "s", len(t)) for k, t, _ in toxic_docs()[:150]]
+    rows += [rows[1]] * 5 + [(None, None, None, None, None)] * 3 + [(900, "", "en", None, 0), (901, "balori sute " * 20_000, "en", "s", 240_000), (None, "a text without a key that is kept once", None, None, 3)]
+    write(spark, tmp_path, [(*r, *range(len(clash))) for r in rows], "".join(f", {c} int" for c in clash))
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    before = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == before.columns, name
+        docs = spark.createDataFrame(docs.collect(), docs.schema)  # what is written and read again
+    assert {r.source for r in docs.collect()} == {None, "s"}
+    keys = [r.doc_id for r in docs.collect()]
+    assert 901 in keys and None in keys and 900 not in keys  # whole long texts stay, texts without words don't come
+    assert max(keys.count(k) for k in set(keys)) <= 2 and keys.count(rows[1][0]) <= 2  # repeated rows are one document, which a mix takes twice at most
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert sorted(map(str, keys)) == sorted(str(r.doc_id) for r in out.collect())
+
+
+def test_run_leaves_one_folder(spark, tmp_path, monkeypatch):
+    write(spark, tmp_path, [(k, t, "en", "s", len(t)) for k, t, _ in toxic_docs()[:60]])
+    (tmp_path / "shared").mkdir()
+    monkeypatch.setattr(corpus_pipeline, "shared_dir", lambda _: f"{tmp_path}/shared")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+    assert len([p for p in (tmp_path / "shared").iterdir() if p.name.startswith("pipeline-")]) == 1
