@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.operators.calendars import trailing_places
+from ledgerline.operators.gram import pair_sums
 
 
 def windowed(returns: DataFrame, places: DataFrame, lookback: int) -> DataFrame:
@@ -17,44 +18,50 @@ def windowed(returns: DataFrame, places: DataFrame, lookback: int) -> DataFrame:
 def sample_cov(window: DataFrame) -> DataFrame:
     """(rebal_date, a, b, n, cov), a <= b, with missing returns as zero and n - 1 below.
 
-    Only days on which both have a return meet in the join; sums of each ticker stand for the rest.
+    Pairs that have no day in common have no row; sums of each ticker stand for the days that one lacks.
     """
     days = window.groupBy("rebal_date").agg(F.countDistinct("date_idx").alias("n"))
     sums = window.groupBy("rebal_date", "ticker").agg(F.sum("x").alias("s"))
-    a = window.select("rebal_date", "date_idx", F.col("ticker").alias("a"), F.col("x").alias("xa"))
-    b = window.select("rebal_date", "date_idx", F.col("ticker").alias("b"), F.col("x").alias("xb"))
-    xy = a.join(b, ["rebal_date", "date_idx"]).where("a <= b").groupBy("rebal_date", "a", "b").agg(F.sum(F.col("xa") * F.col("xb")).alias("xy"))
-    out = xy.join(F.broadcast(days), "rebal_date")
+    out = pair_sums(window).select("rebal_date", "a", "b", "xy").join(F.broadcast(days), "rebal_date")
     out = out.join(sums.select("rebal_date", F.col("ticker").alias("a"), F.col("s").alias("sa")), ["rebal_date", "a"]).join(sums.select("rebal_date", F.col("ticker").alias("b"), F.col("s").alias("sb")), ["rebal_date", "b"])
     return out.select("rebal_date", "a", "b", "n", ((F.col("xy") - F.col("sa") * F.col("sb") / F.col("n")) / (F.col("n") - 1)).alias("cov"))
 
 
 def realized_corr(window: DataFrame) -> DataFrame:
-    """(rebal_date, a, b, corr, n), a < b, over the days on which both have a return."""
-    a = window.select("rebal_date", "date_idx", F.col("ticker").alias("a"), F.col("x").alias("xa"))
-    b = window.select("rebal_date", "date_idx", F.col("ticker").alias("b"), F.col("x").alias("xb"))
-    return a.join(b, ["rebal_date", "date_idx"]).where("a < b").groupBy("rebal_date", "a", "b").agg(F.corr("xa", "xb").alias("corr"), F.count("*").alias("n"))
+    """(rebal_date, a, b, corr, n), a < b, over the days on which both have a return; null where one doesn't vary on them."""
+    s = pair_sums(window, shifted=True, same=False)
+    va, vb = F.col("xxa") - F.col("xa") ** 2 / F.col("n"), F.col("xxb") - F.col("xb") ** 2 / F.col("n")
+    # what rounding leaves of no variance is none
+    flat = (va <= 1e-14 * F.col("xxa")) | (vb <= 1e-14 * F.col("xxb"))
+    corr = (F.col("xy") - F.col("xa") * F.col("xb") / F.col("n")) / F.sqrt(va * vb)
+    return s.select("rebal_date", "a", "b", F.when(~flat, corr).alias("corr"), "n")
 
 
 def lw_shrinkage(window: DataFrame) -> DataFrame:
     """(rebal_date, shrinkage): the Ledoit-Wolf coefficient toward a scaled identity, missing returns as zero.
 
-    The two matrix sums it needs are sums over pairs and over days, so no matrix is made.
+    With c the deviations from each ticker's mean over all n days and G their products summed over days, it is the
+    spread of the daily products around their mean, relative to the distance of G / n from the target. Both are sums that
+    need neither a matrix nor a row for a day that a ticker lacks: what absent days and pairs that never meet add
+    follows from the tickers' means.
     """
     days = window.groupBy("rebal_date").agg(F.countDistinct("date_idx").cast("double").alias("n"), F.countDistinct("ticker").cast("double").alias("p"))
-    means = window.groupBy("rebal_date", "ticker").agg(F.sum("x").alias("s")).join(F.broadcast(days), "rebal_date").select("rebal_date", "ticker", (F.col("s") / F.col("n")).alias("m"))
-    grid = window.select("rebal_date", "date_idx").distinct().join(F.broadcast(means), "rebal_date")
-    x = grid.join(window, ["rebal_date", "date_idx", "ticker"], "left").select("rebal_date", "date_idx", "ticker", (F.coalesce("x", F.lit(0.0)) - F.col("m")).alias("c"))
-    by_day = x.groupBy("rebal_date", "date_idx").agg(F.sum(F.col("c") * F.col("c")).alias("q"))
-    beta = by_day.groupBy("rebal_date").agg(F.sum(F.col("q") * F.col("q")).alias("beta_"), F.sum("q").alias("trace_n"))
-    a, b = x.select("rebal_date", "date_idx", F.col("ticker").alias("a"), F.col("c").alias("ca")), x.select("rebal_date", "date_idx", F.col("ticker").alias("b"), F.col("c").alias("cb"))
-    gram = a.join(b, ["rebal_date", "date_idx"]).groupBy("rebal_date", "a", "b").agg(F.sum(F.col("ca") * F.col("cb")).alias("g"))
-    delta = gram.groupBy("rebal_date").agg(F.sum(F.col("g") * F.col("g")).alias("g2"))
-    r = days.join(beta, "rebal_date").join(delta, "rebal_date").withColumns({"trace": F.col("trace_n") / F.col("n"), "delta_": F.col("g2") / (F.col("n") * F.col("n"))})
-    r = r.withColumn("mu", F.col("trace") / F.col("p"))
-    r = r.withColumns({"beta": (F.col("beta_") / F.col("n") - F.col("delta_")) / (F.col("p") * F.col("n")), "delta": (F.col("delta_") - 2 * F.col("mu") * F.col("trace") + F.col("p") * F.col("mu") * F.col("mu")) / F.col("p")})
-    least = F.least("beta", "delta")
-    return r.select("rebal_date", F.when(least == 0, 0.0).otherwise(least / F.col("delta")).alias("shrinkage"))
+    means = window.groupBy("rebal_date", "ticker").agg(F.sum("x").alias("s")).join(F.broadcast(days), "rebal_date").withColumn("m", F.col("s") / F.col("n"))
+    flat = means.groupBy("rebal_date").agg(F.sum(F.col("m") ** 2).alias("m2"))
+    # a day's squared length: of those present (x - m)^2, of the others m^2
+    lengths = window.join(means.select("rebal_date", "ticker", "m"), ["rebal_date", "ticker"]).groupBy("rebal_date", "date_idx").agg(F.sum(F.col("x") * F.col("x") - 2 * F.col("x") * F.col("m")).alias("d"))
+    lengths = lengths.join(F.broadcast(flat), "rebal_date").withColumn("length", F.col("d") + F.col("m2"))
+    daily = lengths.groupBy("rebal_date").agg(F.sum(F.col("length") ** 2).alias("fourth"), F.sum("length").alias("second"))
+    side = lambda c: means.select("rebal_date", F.col("ticker").alias(c), F.col("m").alias(f"m{c}"))
+    pairs = pair_sums(window).select("rebal_date", "a", "b", "xy").join(F.broadcast(days), "rebal_date").join(side("a"), ["rebal_date", "a"]).join(side("b"), ["rebal_date", "b"])
+    alone = F.col("n") * F.col("ma") * F.col("mb")  # minus this is the product of a pair that never meets
+    twice = F.when(F.col("a") == F.col("b"), 1.0).otherwise(2.0)
+    more = pairs.groupBy("rebal_date").agg(F.sum(twice * ((F.col("xy") - alone) ** 2 - alone**2)).alias("more"))
+    r = days.join(daily, "rebal_date").join(flat, "rebal_date").join(more, "rebal_date")
+    r = r.withColumns({"scale": F.col("second") / F.col("n") / F.col("p"), "norm2": (F.col("more") + (F.col("n") * F.col("m2")) ** 2) / F.col("n") ** 2})
+    distance = F.col("norm2") / F.col("p") - F.col("scale") ** 2
+    spread = F.least((F.col("fourth") / F.col("n") - F.col("norm2")) / F.col("p") / F.col("n"), distance)
+    return r.select("rebal_date", F.when(spread == 0, 0.0).otherwise(spread / distance).alias("shrinkage"))
 
 
 def sector_cov(sigmas: DataFrame, sectors: DataFrame, within: float = 0.5, cross: float = 0.2) -> DataFrame:

@@ -67,7 +67,7 @@ def disagreement_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def window(spark: SparkSession, d: str) -> DataFrame:
-    return covariance.windowed(t.returns(spark, d), t.places(spark, d)[1], LOOKBACK)
+    return t.once(("window", d, LOOKBACK), lambda: covariance.windowed(t.returns(spark, d), t.places(spark, d)[1], LOOKBACK))
 
 
 _WIN = f"""win AS (SELECT p.rebal_date, r.ticker, r.date_idx, r.log_ret AS x FROM ret r JOIN places p ON r.date_idx BETWEEN greatest(p.t_idx - {LOOKBACK}, 1) AND p.t_idx - 1),
