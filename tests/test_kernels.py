@@ -42,6 +42,25 @@ def test_estimators(x, e):
     assert c[0, 1] == 0.5 and c[2, 3] == 0.2 and c[3, 3] == 1
 
 
+def test_target_weights_have_the_least_realised_variance(x, e):
+    """Every share of the grid, one by one, with targets at the scale of the first days."""
+    targets = [kernels.cosine(e), kernels.sector_correlation(["36", "28", None] * 4), np.eye(12)]
+    k = int(0.7 * len(x))
+    first = np.cov(x[:k], rowvar=False)
+    scale = np.sqrt(np.diag(first))[:, None] * np.sqrt(np.diag(first))[None, :]
+    loss = {}
+    for a in kernels.SHARES:
+        for b in kernels.SHARES:
+            for c in kernels.SHARES:
+                if a + b + c <= 1:
+                    m = kernels.nearest_psd((1 - a - b - c) * first + a * targets[0] * scale + b * targets[1] * scale + c * targets[2] * scale)
+                    w = np.maximum(np.linalg.solve(m, np.ones(12)) / np.linalg.solve(m, np.ones(12)).sum(), 0)
+                    loss[a, b, c] = np.var(x[k:] @ (w / w.sum()))
+    got = tuple(kernels.cv_weights(x, targets))
+    assert abs(loss[got] - min(loss.values())) < 1e-15
+    assert (kernels.cv_weights(x[:15], targets) == 0.25).all() and kernels.lw_shrinkage(np.zeros((5, 3))) == 0
+
+
 def test_optimiser(x):
     s = np.cov(x, rowvar=False)
     w, _ = optimize.optimise(0.04 * np.eye(3), cap=1.0)
