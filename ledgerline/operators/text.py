@@ -136,11 +136,60 @@ def tag_matches(docs: DataFrame, tickers: DataFrame, key: str, extra: str) -> Da
     return docs.select(key, F.explode(tags(F.col(extra))).alias("ticker")).join(tickers.select("ticker").distinct(), "ticker")
 
 
+#: Characters that a piece of a concatenation begins with at most.
+PIECE_CHARS = 1 << 20
+
+
+def quarterly_pieces(docs: DataFrame, most: int = 5000, piece_chars: int = PIECE_CHARS) -> DataFrame:
+    """(ticker, quarter, piece, n_docs, text): the first most characters of each document and a blank line, in order of (doc_date, doc_id), in pieces.
+
+    A document begins in the piece that its place in the whole, a sum of the characters before it, falls into; so pieces
+    joined in order are the whole, and no row holds more than piece_chars and one document. Sums are taken over days
+    first, so a task orders one day of one ticker. Null texts are left out of the text, but counted.
+    """
+    key = ["ticker", "quarter"]
+    d = docs.select("ticker", F.trunc("doc_date", "quarter").alias("quarter"), "doc_date", "doc_id", F.concat(F.left("text", F.lit(most)), F.lit("\n\n")).alias("t"))
+    d = d.withColumn("_c", F.coalesce(F.length("t"), F.lit(0)).cast("long"))
+    before = F.coalesce(F.sum("_c").over(Window.partitionBy(*key).orderBy("doc_date").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    days = d.groupBy(*key, "doc_date").agg(F.sum("_c").alias("_c")).select(*[F.col(c).alias(f"_{c}") for c in (*key, "doc_date")], before.alias("_before"))
+    same = F.lit(True)
+    for c in (*key, "doc_date"):
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    within = F.coalesce(F.sum("_c").over(Window.partitionBy(*key, "doc_date").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    d = d.join(days, same).withColumn("piece", F.floor((F.col("_before") + within) / piece_chars))
+    g = d.groupBy(*key, "piece").agg(F.array_sort(F.collect_list(F.struct("doc_date", "doc_id", "t"))).alias("xs"), F.count("*").alias("n_docs"))
+    return g.select(*key, "piece", "n_docs", F.array_join(F.transform("xs", lambda x: x["t"]), "").alias("text"))
+
+
 def quarterly_concat(docs: DataFrame, most: int = 5000) -> DataFrame:
-    """(ticker, quarter, n_docs, text): the first most characters of each document and a blank line, in order of (doc_date, doc_id)."""
-    d = docs.select("ticker", F.trunc("doc_date", "quarter").alias("quarter"), F.struct("doc_date", "doc_id", F.concat(F.left("text", F.lit(most)), F.lit("\n\n")).alias("t")).alias("x"))
-    g = d.groupBy("ticker", "quarter").agg(F.array_sort(F.collect_list("x")).alias("xs"), F.count("*").alias("n_docs"))
-    return g.select("ticker", "quarter", "n_docs", F.array_join(F.transform("xs", lambda x: x["t"]), "").alias("text"))
+    """(ticker, quarter, n_docs, text): quarterly_pieces() joined, for those who need a text in one row."""
+    g = quarterly_pieces(docs, most).groupBy("ticker", "quarter").agg(F.array_sort(F.collect_list(F.struct("piece", "text"))).alias("xs"), F.sum("n_docs").alias("n_docs"))
+    return g.select("ticker", "quarter", "n_docs", F.array_join(F.transform("xs", lambda x: x["text"]), "").alias("text"))
+
+
+def concat_digests(pieces: DataFrame) -> DataFrame:
+    """(ticker, quarter, n_docs, text_md5) of quarterly_pieces(): pieces stream through the hash in order, a whole is never held."""
+    rows = pieces.select("ticker", "quarter", "piece", "n_docs", "text")
+    kinds = dict(rows.dtypes)
+    schema = f"ticker {kinds['ticker']}, quarter {kinds['quarter']}, n_docs long, text_md5 string"
+
+    def run(batches):  # noqa: ANN001, ANN202
+        import hashlib
+        from itertools import groupby
+
+        import pyarrow as pa
+
+        types = None
+        flat = (r for b in batches for r in zip(*(b.column(k) for k in (0, 1, 3, 4))))
+        for _, group in groupby(flat, key=lambda r: (r[0].as_py(), r[1].as_py())):
+            n, h = 0, hashlib.md5()
+            for ticker, quarter, docs, part in group:
+                types, first = (ticker.type, quarter.type), (ticker.as_py(), quarter.as_py())
+                n += docs.as_py()
+                h.update((part.as_py() or "").encode("utf-8", "surrogatepass"))
+            yield pa.RecordBatch.from_arrays([pa.array([first[0]], types[0]), pa.array([first[1]], types[1]), pa.array([n], pa.int64()), pa.array([h.hexdigest()])], names=["ticker", "quarter", "n_docs", "text_md5"])
+
+    return rows.repartition("ticker", "quarter").sortWithinPartitions("ticker", "quarter", "piece").mapInArrow(run, schema)
 
 
 def keep_most_words(docs: DataFrame, by: list[str], count: str, tie: str) -> DataFrame:

@@ -22,16 +22,24 @@ def terms(docs: DataFrame, stop_words: tuple[str, ...] = STOP_WORDS) -> DataFram
 def vocabulary(docs: DataFrame, terms_: DataFrame, as_of: DataFrame, min_df: int = 5, max_df: float = 0.95, max_features: int = 768) -> DataFrame:
     """(as_of, term, df, n_docs, place): of the terms in at least min_df and at most max_df of the documents so far, those of highest total.
 
-    Counts are kept by the day a document came, so each as-of date sums days, not documents.
+    A document counts once, at the first as-of date it is known at; running sums of each term carry it on, so history
+    isn't joined with the dates after it. Dates (one row each) are few and broadcast, as one sorted list.
     """
-    days = docs.select("doc_id", "doc_date")
-    by_day = terms_.join(days, "doc_id").groupBy("term", "doc_date").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
-    n = days.groupBy("doc_date").agg(F.count("*").alias("n"))
-    n = n.join(F.broadcast(as_of), F.col("doc_date") <= F.col("as_of")).groupBy("as_of").agg(F.sum("n").alias("n_docs")).where("n_docs >= 10")
-    v = by_day.join(F.broadcast(as_of), F.col("doc_date") <= F.col("as_of")).groupBy("as_of", "term").agg(F.sum("df").alias("df"), F.sum("total").alias("total"))
-    v = v.join(F.broadcast(n), "as_of").where((F.col("df") >= min_df) & (F.col("df") <= F.col("n_docs") * max_df))
-    place = F.row_number().over(Window.partitionBy("as_of").orderBy(F.col("total").desc(), "term"))
-    return v.withColumn("place", place).where(F.col("place") <= max_features).select("as_of", "term", "df", "total", "n_docs", "place")
+    listed = as_of.agg(F.array_sort(F.collect_set("as_of")).alias("dates"))
+    place = F.size(F.filter("dates", lambda a: a < F.col("doc_date"))) + 1
+    days = docs.crossJoin(F.broadcast(listed)).select("doc_id", place.alias("q"), F.size("dates").alias("last")).where("q <= last").drop("last")
+
+    def carried(counts: DataFrame, by: list[str], *sums: str) -> DataFrame:
+        """Running sums of (by, q, sums), at every date from the first on."""
+        w = Window.partitionBy(*by).orderBy("q")
+        run = counts.crossJoin(F.broadcast(listed)).select(*by, "q", "dates", *[F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias(c) for c in sums], F.coalesce(F.lead("q").over(w) - 1, F.size("dates")).alias("upto"))
+        return run.withColumn("q", F.explode(F.sequence("q", "upto"))).select(*by, F.element_at("dates", F.col("q")).alias("as_of"), *sums)
+
+    n = carried(days.groupBy("q").agg(F.count("*").alias("n_docs")).withColumn("all", F.lit(0)), ["all"], "n_docs").drop("all").where("n_docs >= 10")
+    by_term = terms_.join(days, "doc_id").groupBy("term", "q").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
+    v = carried(by_term, ["term"], "df", "total").join(F.broadcast(n), "as_of").where((F.col("df") >= min_df) & (F.col("df") <= F.col("n_docs") * max_df))
+    best = F.row_number().over(Window.partitionBy("as_of").orderBy(F.col("total").desc(), "term"))  # the first of each task before the shuffle
+    return v.withColumn("place", best).where(F.col("place") <= max_features).select("as_of", "term", "df", "total", "n_docs", "place")
 
 
 def firm_vectors(docs: DataFrame, terms_: DataFrame, vocab: DataFrame) -> DataFrame:

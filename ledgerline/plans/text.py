@@ -79,13 +79,13 @@ def title_match(spark: SparkSession, d: str) -> DataFrame:
 
 @query("quarterly_concat", t.sql(t.FILINGS, "SELECT ticker, CAST(date_trunc('quarter', doc_date) AS DATE) AS quarter, count(*) AS n_docs, md5(string_agg(left(text, 5000) || chr(10) || chr(10), '' ORDER BY doc_date, doc_id)) AS text_md5 FROM filings GROUP BY ALL"))
 def quarterly_concat(spark: SparkSession, d: str) -> DataFrame:
-    return text.quarterly_concat(t.filings(spark, d)).select("ticker", "quarter", "n_docs", F.md5("text").alias("text_md5"))
+    return text.concat_digests(text.quarterly_pieces(t.filings(spark, d)))
 
 
 @query("transcript_concat", "SELECT conv_id, count(*) AS n_docs, md5(string_agg(left(text, 5000) || chr(10) || chr(10), '' ORDER BY turn)) AS text_md5 FROM conversations GROUP BY 1")
 def transcript_concat(spark: SparkSession, d: str) -> DataFrame:
     c = t.read(spark, d, "conversations").select(F.col("conv_id").alias("ticker"), F.lit("2024-01-01").cast("date").alias("doc_date"), F.col("turn").alias("doc_id"), "text")
-    return text.quarterly_concat(c).select(F.col("ticker").alias("conv_id"), "n_docs", F.md5("text").alias("text_md5"))
+    return text.concat_digests(text.quarterly_pieces(c)).select(F.col("ticker").alias("conv_id"), "n_docs", "text_md5")
 
 
 _STOP = "(" + ", ".join(f"'{w}'" for w in tfidf.STOP_WORDS) + ")"
