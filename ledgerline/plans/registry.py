@@ -13,7 +13,7 @@ from ledgerline.session import ship
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
-_MODULES = ("market", "text", "similarity", "kernels", "inference", "experiments")
+_MODULES = ("market", "text", "ingest", "similarity", "kernels", "inference", "experiments")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
