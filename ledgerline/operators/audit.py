@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Thresholds and percentiles of the report; the status words below are fixed too.
@@ -10,6 +10,20 @@ THRESHOLDS = (0.10, 0.20, 0.30, 0.50, 0.75, 1.0)
 PERCENTILES = (0.1, 1, 5, 25, 50, 75, 95, 99, 99.9)
 
 
+#: Splits that adjusted prices must not show, as (ticker, ex-date, ratio).
+KNOWN_SPLITS = (
+    ("AAPL", "2020-08-31", "4:1"), ("TSLA", "2020-08-31", "5:1"), ("AMZN", "2022-06-06", "20:1"), ("GOOG", "2022-07-18", "20:1"), ("GOOGL", "2022-07-18", "20:1"),
+    ("NVDA", "2021-07-20", "4:1"), ("NVDA", "2024-06-10", "10:1"), ("TSLA", "2022-08-25", "3:1"), ("SHW", "2024-09-17", "4:1"),
+)
+#: Fixed value: tickers of the 2008 crisis, whose presence says whether a universe forgets those who failed.
+CRISIS_TICKERS = ("LEH", "BSC", "WM", "WAMU", "AIG", "GM", "C", "BAC", "FNM", "FRE", "MER", "WB", "CFC")
+
+
+def known_splits(spark: SparkSession) -> DataFrame:
+    """(ticker, event_date, ratio)."""
+    return spark.createDataFrame(KNOWN_SPLITS, "ticker string, day string, ratio string").select("ticker", F.to_date("day").alias("event_date"), "ratio")
+
+
 def finite(returns: DataFrame, c: str = "log_ret") -> DataFrame:
     return returns.where(F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
 
@@ -57,3 +71,28 @@ def event_check(events: DataFrame, returns: DataFrame, tolerance: int = 5, norma
     out = events.join(hit, ["ticker", "event_date"], "left")
     status = F.when(F.col("r").isNull(), "DATE_NOT_FOUND").when(F.abs("r") < normal, "PASS").otherwise("FAIL_SPIKE")
     return out.select("ticker", "event_date", "actual_date", F.bround("r", 6).alias("return_on_date"), status.alias("status"))
+
+
+def split_audit(events: DataFrame, returns: DataFrame) -> DataFrame:
+    """event_check() of events (ticker, event_date, ratio), with NO_DATA for tickers that have no returns at all."""
+    known = returns.select("ticker").distinct().withColumn("_known", F.lit(True))
+    out = event_check(events.select("ticker", "event_date"), returns).join(events, ["ticker", "event_date"]).join(known, "ticker", "left")
+    return out.withColumn("status", F.when(F.col("_known"), F.col("status")).otherwise("NO_DATA")).drop("_known")
+
+
+def split_verdict(audit: DataFrame) -> DataFrame:
+    """(splits_checked, data_available, passed, failed, verdict) of split_audit(): a pass needs data, and no spike in it."""
+    a = audit.agg(F.count("*").alias("splits_checked"), F.count_if(F.col("status").isin("PASS", "FAIL_SPIKE")).alias("data_available"), F.count_if(F.col("status") == "PASS").alias("passed"))
+    a = a.withColumn("failed", F.col("data_available") - F.col("passed"))
+    return a.withColumn("verdict", F.when((F.col("data_available") > 0) & (F.col("failed") == 0), "PASS").otherwise("FAIL"))
+
+
+def presence(names: DataFrame, prices: DataFrame, embedded: DataFrame, members: DataFrame) -> DataFrame:
+    """Of each of names (ticker): whether it has prices and embeddings and was ever a member (rebal_date, ticker), its last price date, first and last quarter and their number."""
+    last = prices.where("close IS NOT NULL").groupBy("ticker").agg(F.max("date").alias("last_price_date"))
+    e = embedded.select("ticker").distinct().withColumn("_e", F.lit(True))
+    m = members.groupBy("ticker").agg(F.min("rebal_date").alias("first_in_universe"), F.max("rebal_date").alias("last_in_universe"), F.count("*").alias("quarters_in_universe"))
+    out = names.select("ticker").distinct()
+    for other in (last, e, m):
+        out = out.join(other, "ticker", "left")
+    return out.select("ticker", F.col("last_price_date").isNotNull().alias("has_prices"), F.coalesce("_e", F.lit(False)).alias("has_embeddings"), F.col("first_in_universe").isNotNull().alias("ever_in_universe"), "last_price_date", "first_in_universe", "last_in_universe", F.coalesce("quarters_in_universe", F.lit(0)).alias("quarters_in_universe"))

@@ -17,13 +17,19 @@ from ledgerline.operators import kernels, optimize
 
 
 class Section:
-    """A date's cross-section: sorted tickers, x (days by tickers, NaN where missing), e (unit embeddings), sectors."""
+    """A date's cross-section: sorted tickers, x (days by tickers, NaN where missing; days on which one has a return), e (unit embeddings), sectors.
 
-    def __init__(self, window: pd.DataFrame, facts: pd.DataFrame) -> None:
+    window may hold other tickers too; days keeps its last days before t_idx, which facts have then.
+    """
+
+    def __init__(self, window: pd.DataFrame, facts: pd.DataFrame, days: int | None = None) -> None:
         facts = facts.sort_values("ticker")
         self.tickers = facts["ticker"].tolist()
+        if days is not None and len(facts):
+            window = window[window["date_idx"] >= facts["t_idx"].iloc[0] - days]
         w = window.pivot(index="date_idx", columns="ticker", values="x") if len(window) else pd.DataFrame()
-        self.x = w.reindex(columns=self.tickers).to_numpy(float)
+        x = w.reindex(columns=self.tickers).to_numpy(float)
+        self.x = x[~np.isnan(x).all(axis=1)] if x.size else x
         self.filled = np.nan_to_num(self.x)
         self.e = np.array(facts["embedding"].tolist(), float) if len(facts) and facts["embedding"].iloc[0] is not None else np.zeros((len(facts), 1))
         self.sectors = [None if s is None or s != s else s for s in facts["sector"]]
@@ -93,8 +99,8 @@ def covariance(window: DataFrame, facts: DataFrame, names: list[str]) -> DataFra
     return per_date(window, facts, f, "rebal_date date, method string, a string, b string, cov double")
 
 
-def strategy(name: str, cov: str = "semantic", objective: str = "min_variance", cap: float = 0.10, sector_cap: float | None = None, vol_target: float | None = None, alpha: float | str | None = None, k: int | None = None) -> dict:
-    """What weights() needs to know of a strategy; alpha fixes the shrinkage toward the cosine target, k its factors."""
+def strategy(name: str, cov: str = "semantic", objective: str = "min_variance", cap: float = 0.10, sector_cap: float | None = None, vol_target: float | None = None, alpha: float | str | None = None, k: int | None = None, days: int | None = None) -> dict:
+    """What weights() needs to know of a strategy; alpha fixes the shrinkage toward the cosine target, k its factors, days its lookback (else all of the window)."""
     return locals()
 
 
@@ -121,27 +127,40 @@ def section_weights(s: Section, p: dict) -> tuple[np.ndarray, dict]:
     return optimize.optimise(sigma, s.mu, p["objective"], p["cap"], groups=groups, vol_target=p["vol_target"])
 
 
+#: Strategies that one task makes the weights of, for one date.
+PER_TASK = 8
+
+
 def weights(window: DataFrame, facts: DataFrame, strategies: list[dict], least: int = 2) -> DataFrame:
     """(strategy, rebal_date, ticker, weight) of every strategy and date; dates with too few tickers or days have none.
 
-    Each (date, strategy) is a group of its own, so that a long grid of strategies spreads over the cluster. Facts with a
-    column strategy are those of that strategy alone.
+    A task gets a date's window once and makes the weights of up to PER_TASK strategies from it, so a window travels
+    once for so many, and a long grid still spreads over the cluster. Facts with a column strategy are those of that
+    strategy alone; strategies with a lookback of their own (days) need facts with t_idx, the date's place.
     """
     by_name = {p["name"]: p for p in strategies}
-    names = F.array(*map(F.lit, by_name))
-    if "strategy" in facts.columns:
-        own, kept = facts, window.join(facts.select(F.col("strategy").alias("of"), "rebal_date", "ticker"), ["rebal_date", "ticker"]).withColumnRenamed("of", "strategy")
+    part_of = {n: k // PER_TASK for k, n in enumerate(by_name)}
+    parts = max(part_of.values(), default=0) + 1
+    own_facts = "strategy" in facts.columns
+    if own_facts:
+        named = F.create_map(*[F.lit(x) for n, k in part_of.items() for x in (n, k)])
+        facts = facts.where(F.col("strategy").isin(*by_name)).withColumn("part", F.element_at(named, F.col("strategy")))
     else:
-        own = facts.withColumn("strategy", F.explode(names))
-        kept = window.join(facts.select("rebal_date", "ticker"), ["rebal_date", "ticker"], "left_semi").withColumn("strategy", F.explode(names))
+        facts = facts.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    kept = window.join(facts.select(F.col("part").alias("of"), "rebal_date", "ticker").distinct(), ["rebal_date", "ticker"]).withColumnRenamed("of", "part")
 
     def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:  # noqa: ANN001
-        if not len(right):
-            return pd.DataFrame()
-        s = Section(left, right)
-        if not s.ok(tickers=least):
-            return pd.DataFrame()
-        w, _ = section_weights(s, by_name[key[1]])
-        return pd.DataFrame({"strategy": key[1], "rebal_date": key[0], "ticker": s.tickers, "weight": w})
-
-    return kept.groupBy("rebal_date", "strategy").cogroup(own.groupBy("rebal_date", "strategy")).applyInPandas(run, "strategy string, rebal_date date, ticker string, weight double")
+        made, sections = [], {}
+        for n, p in by_name.items():
+            if part_of[n] != key[1]:
+                continue
+            of, days = (n if own_facts else None), p["days"]
+            if (of, days) not in sections:
+                mine = right[right["strategy"] == n] if own_facts else right
+                sections = {(of, days): Section(left, mine, days)}  # one is held at a time
+            s = sections[of, days]
+            if s.ok(min(10, days or 10), least):
+                made.append(pd.DataFrame({"strategy": n, "rebal_date": key[0], "ticker": s.tickers, "weight": section_weights(s, p)[0]}))
+        return pd.concat(made) if made else pd.DataFrame()
+
+    return kept.groupBy("rebal_date", "part").cogroup(facts.groupBy("rebal_date", "part")).applyInPandas(run, "strategy string, rebal_date date, ticker string, weight double")

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerline.operators import backtest, covariance, embed, inference, kernels, metrics, panel, portfolio, rank, tfidf
+from ledgerline.operators import backtest, covariance, embed, inference, kernels, metrics, panel, portfolio, rank, tfidf, universe
 from ledgerline.operators.portfolio import strategy
 from ledgerline.plans import kernels as k
 from ledgerline.plans import market
@@ -19,8 +19,8 @@ from ledgerline.session import cut
 
 ALPHA_GRID = (0.0, 0.25, 0.5, 0.75, 1.0)
 MULTIPLIERS = (0.5, 1.0, 1.5, 2.0)
-K_GRID = (1, 3, 5, 10, 20)
-LOOKBACKS = (10, 21, 42, 63, 104, 126, 252)
+K_GRID = (1, 3, 5, 10, 20, 50, 100)  # more factors than tickers are all of them
+LOOKBACKS = (5, 10, 21, 42, 63, 104, 126, 252, 504)
 TFIDF_FEATURES = 768
 COMPONENTS = 10
 PLACEBO_SIZES, SHUFFLES = (12, 15, 20, 25), 10
@@ -33,11 +33,12 @@ def with_equal(weights: DataFrame, members: DataFrame) -> DataFrame:
     return weights.unionByName(market.equal_weights(members))
 
 
-def walk(spark: SparkSession, d: str, strategies: list[dict], facts: DataFrame | None = None, lookback: int = k.LOOKBACK) -> tuple[DataFrame, DataFrame]:
+def walk(spark: SparkSession, d: str, strategies: list[dict], facts: DataFrame | None = None, lookback: int = k.LOOKBACK, window: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(weights, daily returns after tiered costs) of strategies over all rebalance dates."""
     facts = k.facts(spark, d) if facts is None else facts
+    window = k.window(spark, d, lookback) if window is None else window
     # grouped Python work is done once: what follows reads its result several times
-    w = cut(portfolio.weights(k.window(spark, d, lookback), facts, strategies, least=5))
+    w = cut(portfolio.weights(window, facts, strategies, least=5))
     return w, cut(backtest.run(w, cut(t.returns(spark, d)), market.periods(spark), market.rates(spark, d)))
 
 
@@ -56,14 +57,41 @@ def walk_forward_tests(spark: SparkSession, d: str) -> DataFrame:
     return rounded(inference.pair_tests(r, [("semantic", "ledoit_wolf"), ("semantic", "equal_weight"), ("ledoit_wolf", "equal_weight")]))
 
 
+def _named(s: dict, prefix: object) -> dict:
+    """A strategy under a name of its own in a grid: prefix/name."""
+    return s | {"name": f"{prefix}/{s['name']}"}
+
+
+def _parts(df: DataFrame, kind: str) -> DataFrame:
+    """df with prefix (as kind) and strategy from the names of a grid."""
+    return df.withColumn("prefix", F.substring_index("strategy", "/", 1).cast(kind)).withColumn("strategy", F.substring_index("strategy", "/", -1))
+
+
+def _sizes(spark: SparkSession, d: str) -> DataFrame:
+    """Daily returns of the strategies size/name: the same ones over the most liquid tickers, all sizes in one walk."""
+    facts, names = [], []
+    for p in PLACEBO_SIZES:
+        f = k.facts(spark, d, market.members(spark, d, p))
+        for s in (SEMANTIC, LW, EW):
+            names.append(_named(s, p))
+            facts.append(f.select(F.lit(names[-1]["name"]).alias("strategy"), "rebal_date", "ticker", "embedding", "sector"))
+    return walk(spark, d, names, cut(reduce(DataFrame.unionByName, facts)))[1]
+
+
 @query("scaling")
 def scaling(spark: SparkSession, d: str) -> DataFrame:
     """Universe sizes: the same strategies over the p most liquid tickers."""
-    out = []
-    for p in PLACEBO_SIZES:
-        f = k.facts(spark, d, market.members(spark, d, p))
-        out.append(metrics.performance(walk(spark, d, [SEMANTIC, LW, EW], f)[1]).withColumn("p", F.lit(p)))
-    return rounded(reduce(DataFrame.unionByName, out))
+    return rounded(_parts(metrics.performance(_sizes(spark, d)), "int").withColumnRenamed("prefix", "p"))
+
+
+@query("scaling_tests")
+def scaling_tests(spark: SparkSession, d: str) -> DataFrame:
+    """Block tests of semantic shrinkage against the others at every size; p-values corrected across the sizes of a pair, and across the pairs of a size."""
+    pairs = [(f"{p}/semantic", f"{p}/{o}") for p in PLACEBO_SIZES for o in ("ledoit_wolf", "equal_weight")]
+    x = inference.pair_tests(_sizes(spark, d), pairs).withColumn("p", F.substring_index("a", "/", 1).cast("int"))
+    x = x.withColumns({"a": F.substring_index("a", "/", -1), "b": F.substring_index("b", "/", -1)})
+    x = rank.benjamini_hochberg(x, ["b"]).withColumnRenamed("q_value", "q_across_sizes")
+    return rounded(rank.benjamini_hochberg(x, ["p"]).withColumnRenamed("q_value", "q_within_size"))
 
 
 @query("alpha_sweep")
@@ -103,6 +131,13 @@ def pca_k_sweep(spark: SparkSession, d: str) -> DataFrame:
     return rounded(summary(*walk(spark, d, [*(strategy(f"pca_{n}", k=n) for n in K_GRID), SEMANTIC, LW, EW])))
 
 
+@query("pca_k_tests")
+def pca_k_tests(spark: SparkSession, d: str) -> DataFrame:
+    """Every number of factors against the full cosine target and Ledoit-Wolf, corrected for the number of tests."""
+    r = walk(spark, d, [*(strategy(f"pca_{n}", k=n) for n in K_GRID), SEMANTIC, LW])[1]
+    return rounded(corrected(r, [(f"pca_{n}", o) for n in K_GRID for o in ("semantic", "ledoit_wolf")]))
+
+
 @query("constrained_regimes")
 def constrained_regimes(spark: SparkSession, d: str) -> DataFrame:
     s = [strategy("none"), strategy("sector_25", sector_cap=0.25, cap=0.2), strategy("sector_40", sector_cap=0.40, cap=0.2), strategy("vol_10", vol_target=0.10), strategy("ew_vol_10", "equal", vol_target=0.10), strategy("sector_40_vol_10", sector_cap=0.40, cap=0.2, vol_target=0.10), strategy("ew_sector_40", "equal", sector_cap=0.40)]
@@ -115,12 +150,15 @@ def lookback_ablation(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _lookbacks(spark: SparkSession, d: str) -> DataFrame:
-    """Performance by strategy and lookback in weeks; text alone needs no returns and stands at lookback 0."""
-    some, out = [strategy("text_vols", "cosine"), SEMANTIC, LW, strategy("sic", "sector"), EW], []
-    for n in LOOKBACKS:
-        extra = [strategy("text_only", "text_only")] if n == LOOKBACKS[-1] else []
-        out.append(metrics.performance(walk(spark, d, some + extra, lookback=n)[1]).withColumn("lookback", F.when(F.col("strategy") == "text_only", 0).otherwise(n)))
-    return reduce(DataFrame.unionByName, out)
+    """Performance by strategy and lookback in weeks; text alone needs no returns and stands at lookback 0.
+
+    One window at the longest lookback, which each strategy takes its own last weeks of.
+    """
+    some = [strategy("text_vols", "cosine"), SEMANTIC, LW, strategy("sic", "sector"), EW]
+    grid = [_named(s, n) | {"days": n} for n in LOOKBACKS for s in some] + [_named(strategy("text_only", "text_only"), 0) | {"days": LOOKBACKS[-1]}]
+    facts = k.facts(spark, d).join(F.broadcast(t.places(spark, d)[1]), "rebal_date")
+    r = walk(spark, d, grid, facts, LOOKBACKS[-1])[1]
+    return _parts(metrics.performance(r), "int").withColumnRenamed("prefix", "lookback")
 
 
 @query("lookback_crossover")
@@ -129,21 +167,73 @@ def lookback_crossover(spark: SparkSession, d: str) -> DataFrame:
     return metrics.crossover(cut(_lookbacks(spark, d)), "ledoit_wolf", "text_only")
 
 
+#: Returns in the lookback below which a ticker is young, and from which (with COMPLETE of the days) it is established.
+YOUNG, ESTABLISHED, COMPLETE = 26, 63, 0.8
+
+
+def _late_returns(spark: SparkSession, d: str) -> DataFrame:
+    """Returns as if the tickers of the highest brand numbers had been listed one after another, half a year apart."""
+    number = F.regexp_extract("ticker", r"(\d+)$", 1).cast("int")
+    listed = F.when(number > 20, F.add_months(F.lit("1996-07-01").cast("date"), 6 * (number - 20)))
+    return t.returns(spark, d).withColumn("_listed", listed).where("_listed IS NULL OR date >= _listed").drop("_listed")
+
+
+def _by_history(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(window, facts, history) where history (rebal_date, ticker, n_ret, is_young, is_established) follows from the returns in each date's lookback."""
+    returns, places = _late_returns(spark, d), t.places(spark, d)[1]
+    window = cut(covariance.windowed(returns, places, k.LOOKBACK))
+    h = universe.completeness(returns, places, k.LOOKBACK)
+    h = h.select("rebal_date", "ticker", "n_ret", (F.col("n_ret") < YOUNG).alias("is_young"), ((F.col("n_ret") >= ESTABLISHED) & (F.col("n_ret") >= COMPLETE * F.col("n_days"))).alias("is_established"))
+    h = cut(h)
+    h = h.select(*[F.col(c).alias(c) for c in h.columns])  # new names of the same columns: it meets the window
+    return window, k.facts(spark, d, h.where("n_ret > 1")), h
+
+
+def _established(facts: DataFrame, history: DataFrame) -> DataFrame:
+    names = history.where("is_established").select(F.col("rebal_date").alias("r"), F.col("ticker").alias("x"))
+    return cut(facts.join(names, (F.col("rebal_date") == F.col("r")) & (F.col("ticker") == F.col("x")), "left_semi"))
+
+
 @query("cold_start")
 def cold_start(spark: SparkSession, d: str) -> DataFrame:
-    """Young tickers (the highest brand numbers have their first year hidden) in or out of the universe."""
-    young = F.regexp_extract("ticker", r"(\d+)", 1).cast("int") > 20
-    m = market.members(spark, d)
-    every, old = k.facts(spark, d), k.facts(spark, d, m.where(~young))
-    a = walk(spark, d, [strategy("text_inclusive"), strategy("sic_substitute", "blended"), strategy("ew_inclusive", "equal")], every)[1]
-    b = walk(spark, d, [strategy("text_exclusive"), strategy("lw_exclusive", "ledoit_wolf"), strategy("ew_established", "equal")], old)[1]
+    """Portfolios with and without the tickers that have hardly any history at a date; what a ticker's history is, its returns in the lookback say."""
+    window, every, h = _by_history(spark, d)
+    old = _established(every, h)
+    a = walk(spark, d, [strategy("text_inclusive"), strategy("sic_substitute", "blended"), strategy("ew_inclusive", "equal")], every, window=window)[1]
+    b = walk(spark, d, [strategy("text_exclusive"), strategy("lw_exclusive", "ledoit_wolf"), strategy("ew_established", "equal")], old, window=window)[1]
     return rounded(metrics.performance(a.unionByName(b)))
 
 
+@query("cold_start_tests")
+def cold_start_tests(spark: SparkSession, d: str) -> DataFrame:
+    """Inclusive against exclusive portfolios, corrected for the number of tests."""
+    window, every, h = _by_history(spark, d)
+    old = _established(every, h)
+    a = walk(spark, d, [strategy("text_inclusive"), strategy("sic_substitute", "blended")], every, window=window)[1]
+    b = walk(spark, d, [strategy("text_exclusive"), strategy("lw_exclusive", "ledoit_wolf")], old, window=window)[1]
+    return rounded(corrected(a.unionByName(b), [("text_inclusive", "text_exclusive"), ("text_inclusive", "lw_exclusive"), ("text_inclusive", "sic_substitute"), ("sic_substitute", "lw_exclusive")]))
+
+
+_LATE = r"""numbered AS (SELECT *, CAST(regexp_extract(ticker, '(\d+)$', 1) AS INT) AS number FROM ret),
+lret AS (SELECT * FROM numbered WHERE number <= 20 OR date >= CAST(DATE '1996-07-01' + INTERVAL 6 MONTH * (number - 20) AS DATE)),
+hist AS (SELECT p.rebal_date, r.ticker, count(r.log_ret) AS n_ret, any_value(greatest(0, least(104, p.t_idx - 1))) AS n_days FROM lret r JOIN places p ON r.date_idx BETWEEN greatest(p.t_idx - 104, 1) AND p.t_idx - 1 GROUP BY ALL)"""
+
+
+@query("young_and_established", t.sql(t.PX, t.CAL, t.RET, t.REBAL, _LATE, f"SELECT rebal_date, count_if(n_ret < {YOUNG}) AS n_young, count_if(n_ret >= {ESTABLISHED} AND n_ret >= {COMPLETE} * n_days) AS n_established, count(*) AS n_all FROM hist GROUP BY 1"))
+def young_and_established(spark: SparkSession, d: str) -> DataFrame:
+    """How many tickers each date splits into by their history."""
+    return _by_history(spark, d)[2].groupBy("rebal_date").agg(F.count_if("is_young").alias("n_young"), F.count_if("is_established").alias("n_established"), F.count("*").alias("n_all"))
+
+
+#: First days of the sub-periods after the first.
+SUB_PERIODS = ("1998-04-01", "1999-04-01", "2000-07-01")
+
+
 @query("temporal_sensitivity")
 def temporal_sensitivity(spark: SparkSession, d: str) -> DataFrame:
+    """Results in four sub-periods and in all."""
     r = walk(spark, d, [SEMANTIC, LW, EW])[1]
-    part = F.when(F.col("date") < F.lit("1998-07-01").cast("date"), "1").when(F.col("date") < F.lit("2000-01-01").cast("date"), "2").otherwise("3")
+    part = reduce(lambda a, k: F.when(F.col("date") >= F.lit(SUB_PERIODS[k]).cast("date"), str(k + 2)).otherwise(a), range(len(SUB_PERIODS)), F.lit("1"))
     p = r.withColumn("period", F.explode(F.array(part, F.lit("full")))).select(F.concat("strategy", F.lit("/"), "period").alias("strategy"), "date", "ret")
     return rounded(metrics.performance(p).select(F.substring_index("strategy", "/", 1).alias("strategy"), F.substring_index("strategy", "/", -1).alias("period"), "annualized_return", "annualized_volatility", "sharpe_ratio", "max_drawdown", "n_observations"))
 
@@ -272,9 +362,9 @@ def aligned(scores: DataFrame, least: int = 20) -> DataFrame:
     return cut(s.join(g.select("q", "pc", "sign"), ["q", "pc"]).withColumn("score", F.col("score") * F.col("sign")).drop("sign"))
 
 
-def characteristics(spark: SparkSession, d: str) -> DataFrame:
-    """(rebal_date, ticker, log_adv, vol, momentum) from the weeks before each date."""
-    w = k.window(spark, d, 52)
+def characteristics(spark: SparkSession, d: str, lookback: int = 52) -> DataFrame:
+    """(rebal_date, ticker, log_adv, vol, momentum) from the lookback weeks before each date."""
+    w = k.window(spark, d, lookback)
     c = w.groupBy("rebal_date", "ticker").agg((F.stddev_samp("x") * 252**0.5).alias("vol"), (F.product(1 + F.col("x")) - 1).alias("momentum"))
     return c.join(market._adv(spark, d).select("rebal_date", "ticker", F.ln("median_adv").alias("log_adv")), ["rebal_date", "ticker"])
 
@@ -299,6 +389,17 @@ def pca_sector_scores(spark: SparkSession, d: str) -> DataFrame:
     return rounded(per.withColumn("place", place).where("place <= 5"))
 
 
+@query("pca_tickers")
+def pca_tickers(spark: SparkSession, d: str) -> DataFrame:
+    """The ten tickers of highest and of lowest mean score on each component."""
+    per = aligned(_components(spark, d)).groupBy("pc", "ticker").agg(F.avg("score").alias("mean_score"), F.count("*").alias("n_dates"))
+    high = F.row_number().over(Window.partitionBy("pc").orderBy(F.col("mean_score").desc(), "ticker"))
+    low = F.row_number().over(Window.partitionBy("pc").orderBy("mean_score", "ticker"))
+    per = per.withColumns({"from_top": high, "from_bottom": low})
+    top = per.where("from_top <= 10").select("pc", F.lit("top").alias("side"), F.col("from_top").alias("place"), "ticker", "mean_score", "n_dates")
+    return rounded(top.unionByName(per.where("from_bottom <= 10").select("pc", F.lit("bottom").alias("side"), F.col("from_bottom").alias("place"), "ticker", "mean_score", "n_dates")))
+
+
 @query("pca_stability")
 def pca_stability(spark: SparkSession, d: str) -> DataFrame:
     """Kendall's tau of each component's scores on successive dates."""
@@ -308,9 +409,8 @@ def pca_stability(spark: SparkSession, d: str) -> DataFrame:
     return rounded(rank.kendall(now.join(then, ["q", "pc", "id"]), ["q", "pc"]))
 
 
-@query("beta_experiment")
-def beta_experiment(spark: SparkSession, d: str) -> DataFrame:
-    """Text beta (the first component) and trailing beta against the beta of the next 13 weeks, per date, with Newey-West t of the mean slopes."""
+def _betas(spark: SparkSession, d: str) -> DataFrame:
+    """(rebal_date, ticker, text, trailing, forward): the first component's score, the beta of the last 52 weeks and that of the next 13."""
     m = market.market(spark, d).withColumnRenamed("ret", "b")
     r = panel.simple_returns(t.returns(spark, d)).join(m, "date")
     _, places = t.places(spark, d)
@@ -321,7 +421,13 @@ def beta_experiment(spark: SparkSession, d: str) -> DataFrame:
 
     i = F.col("t_idx")
     j = beta(F.greatest(i - 52, F.lit(1)), i - 1, "trailing").join(beta(i, i + 12, "forward"), ["rebal_date", "ticker"])
-    j = j.join(aligned(_components(spark, d, 1)).select("rebal_date", "ticker", F.col("score").alias("text")), ["rebal_date", "ticker"])
+    return j.join(aligned(_components(spark, d, 1)).select("rebal_date", "ticker", F.col("score").alias("text")), ["rebal_date", "ticker"])
+
+
+@query("beta_experiment")
+def beta_experiment(spark: SparkSession, d: str) -> DataFrame:
+    """Text beta (the first component) and trailing beta against the beta of the next 13 weeks, per date, with Newey-West t of the mean slopes."""
+    j = cut(_betas(spark, d))
     slopes = j.groupBy("rebal_date").agg(F.regr_slope("forward", "text").alias("text"), F.regr_slope("forward", "trailing").alias("trailing"))
     long = slopes.selectExpr("rebal_date", "stack(2, 'text', text, 'trailing', trailing) AS (beta, slope)")
     r2 = rank.two_regressor_r2(j.select("rebal_date", F.col("forward").alias("y"), F.col("text").alias("x1"), F.col("trailing").alias("x2")), ["rebal_date"])
@@ -329,6 +435,15 @@ def beta_experiment(spark: SparkSession, d: str) -> DataFrame:
     return rounded(inference.newey_west(long.where("slope IS NOT NULL"), "beta", "slope", "rebal_date").join(r2, "beta"))
 
 
+@query("beta_subgroups")
+def beta_subgroups(spark: SparkSession, d: str) -> DataFrame:
+    """How the text beta and the trailing beta predict, by the length of a ticker's history at the date."""
+    h = universe.history_buckets(universe.completeness(_late_returns(spark, d), t.places(spark, d)[1], 1_000_000)).select("rebal_date", "ticker", "bucket")
+    j = _betas(spark, d).join(h, ["rebal_date", "ticker"])
+    miss = lambda c: F.avg(F.abs(F.col(c) - F.col("forward")))
+    return rounded(j.groupBy("bucket").agg(F.count("*").alias("n"), F.countDistinct("ticker").alias("n_tickers"), F.corr("text", "forward").alias("corr_text"), F.corr("trailing", "forward").alias("corr_trailing"), miss("trailing").alias("error_trailing")))
+
+
 @query("var_experiment")
 def var_experiment(spark: SparkSession, d: str) -> DataFrame:
     """Value-at-risk coverage of the equal-weight portfolio by covariance method and level over the 13 weeks after each date."""

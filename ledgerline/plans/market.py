@@ -54,9 +54,11 @@ def dollar_volume(spark: SparkSession, d: str) -> DataFrame:
     return rounded(panel.dollar_volume(t.prices(spark, d)), 4)
 
 
-@query("quarterly_dates", "SELECT CAST(d AS DATE) AS rebal_date FROM (SELECT unnest(generate_series(DATE '2007-04-01', DATE '2025-12-31', INTERVAL 3 MONTH)) AS d)")
+@query("quarterly_dates", "SELECT CAST(x AS DATE) AS rebal_date FROM (SELECT unnest(generate_series(date_trunc('quarter', CAST(min(l_shipdate) AS DATE)), CAST(max(l_shipdate) AS DATE), INTERVAL 3 MONTH)) AS x, CAST(min(l_shipdate) AS DATE) AS a FROM lineitem) WHERE x >= a")
 def quarterly_dates(spark: SparkSession, d: str) -> DataFrame:
-    return calendars.quarterly_dates(spark, "2007-04-01", "2025-12-31")
+    """The quarters' first days in the span that prices cover."""
+    span = t.read(spark, d, "lineitem").agg(F.min("l_shipdate").cast("date").alias("a"), F.max("l_shipdate").cast("date").alias("b")).first()
+    return calendars.quarterly_dates(spark, span.a, span.b)
 
 
 @query("holding_periods", t.sql(t.PX, t.CAL, t.REBAL, "SELECT rebal_date, period_end FROM periods"))
@@ -214,9 +216,10 @@ def weights_across_dates(spark: SparkSession, d: str) -> DataFrame:
     return rounded(metrics.across(equal_weights(members(spark, d)), ["ticker"], "weight"), 8)
 
 
-@query("every_fourth_date", "SELECT CAST(DATE '1997-01-01' + INTERVAL 1 YEAR * CAST(i AS INT) AS DATE) AS rebal_date FROM range(0, 4) AS r(i)")
+@query("every_fourth_date", t.sql(*t.BASE, "SELECT rebal_date FROM (SELECT rebal_date, row_number() OVER (ORDER BY rebal_date) - 1 AS k FROM (SELECT DISTINCT rebal_date FROM universe)) WHERE k % 4 = 0 AND k < 16"))
 def every_fourth_date(spark: SparkSession, d: str) -> DataFrame:
-    return calendars.every_kth(t.rebalances(spark), 4, 4)
+    """Of the dates that have members, the first and every fourth after it, four at most."""
+    return calendars.every_kth(members(spark, d), 4, 4)
 
 
 @query("history_buckets", t.sql(t.PX, t.CAL, t.RET, t.REBAL, "h AS (SELECT p.rebal_date, r.ticker, count(r.log_ret) AS n_ret FROM ret r JOIN places p ON r.date_idx < p.t_idx GROUP BY ALL)", "SELECT rebal_date, ticker, n_ret, CASE WHEN n_ret < 63 THEN '<63' WHEN n_ret < 126 THEN '<126' WHEN n_ret < 252 THEN '<252' ELSE '>=252' END AS bucket FROM h"))
@@ -366,6 +369,27 @@ def split_asof_check(spark: SparkSession, d: str) -> DataFrame:
     return audit.event_check(e, t.returns(spark, d, "day", None))
 
 
+@query(
+    "split_verdict",
+    t.sql(*_RAW, _EVENTS, "m AS (SELECT e.ticker, e.event_date, min(r.date) AS actual_date FROM ev e LEFT JOIN ret r ON r.ticker = e.ticker AND r.date BETWEEN e.event_date AND e.event_date + INTERVAL 5 DAY GROUP BY ALL)", f"s AS (SELECT CASE WHEN r.log_ret IS NULL THEN 'none' WHEN abs(r.log_ret) < 0.15 THEN 'PASS' ELSE 'FAIL_SPIKE' END AS status FROM m LEFT JOIN ret r ON r.ticker = m.ticker AND r.date = m.actual_date)", f"SELECT count(*) + {len(audit.KNOWN_SPLITS)} AS splits_checked, count_if(status <> 'none') AS data_available, count_if(status = 'PASS') AS passed, count_if(status = 'FAIL_SPIKE') AS failed, CASE WHEN count_if(status <> 'none') > 0 AND count_if(status = 'FAIL_SPIKE') = 0 THEN 'PASS' ELSE 'FAIL' END AS verdict FROM s", grain="day", clip=RAW),
+)
+def split_verdict(spark: SparkSession, d: str) -> DataFrame:
+    """The audit of the known splits (which the tables have no prices of) and of a made-up one for every ticker."""
+    e = t.sectors(spark, d).select("ticker", F.expr("date_add(DATE'1998-01-03', CAST(regexp_extract(ticker, '(\\\\d+)', 1) AS INT) * 11)").alias("event_date"), F.lit("1:1").alias("ratio"))
+    return audit.split_verdict(audit.split_audit(e.unionByName(audit.known_splits(spark)), t.returns(spark, d, "day", None)))
+
+
+@query(
+    "presence_audit",
+    t.sql(*t.BASE, f"n AS (SELECT unnest([{', '.join(repr(x) for x in audit.CRISIS_TICKERS)}]) AS ticker UNION SELECT DISTINCT p_brand FROM part)", "l AS (SELECT ticker, max(date) AS last_price_date FROM px WHERE close IS NOT NULL GROUP BY 1), e AS (SELECT DISTINCT 'Brand#' || (1 + vec_id % 25) AS ticker FROM embeddings), m AS (SELECT ticker, min(rebal_date) AS first_in_universe, max(rebal_date) AS last_in_universe, count(*) AS quarters_in_universe FROM universe GROUP BY 1)", "SELECT n.ticker, last_price_date IS NOT NULL AS has_prices, e.ticker IS NOT NULL AS has_embeddings, first_in_universe IS NOT NULL AS ever_in_universe, last_price_date, first_in_universe, last_in_universe, coalesce(quarters_in_universe, 0) AS quarters_in_universe FROM n LEFT JOIN l USING (ticker) LEFT JOIN e ON e.ticker = n.ticker LEFT JOIN m ON m.ticker = n.ticker"),
+)
+def presence_audit(spark: SparkSession, d: str) -> DataFrame:
+    """Who of the crisis and of all brands has prices, embeddings and a place in the universe."""
+    names = t.sectors(spark, d).select("ticker").unionByName(spark.createDataFrame([(x,) for x in audit.CRISIS_TICKERS], "ticker string"))
+    embedded = t.read(spark, d, "embeddings").select(F.concat(F.lit("Brand#"), (1 + F.col("vec_id") % 25).cast("string")).alias("ticker"))
+    return audit.presence(names, t.panel_prices(spark, d), embedded, members(spark, d))
+
+
 @query("strategy_compare", t.sql(*t.EW_BACKTEST, _CUM, _PERFORMANCE, _TARGETS.replace("{w}", "weights"), "SELECT 'equal_weight' AS strategy, round(annualized_return / annualized_volatility, 6) AS sharpe_ratio, round(max_drawdown, 6) AS max_drawdown, round((SELECT avg(x) FROM tm), 6) AS avg_turnover FROM perf"))
 def strategy_compare(spark: SparkSession, d: str) -> DataFrame:
     w = equal_weights(members(spark, d))
