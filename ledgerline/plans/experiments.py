@@ -319,13 +319,23 @@ def correlation_study(spark: SparkSession, d: str) -> DataFrame:
     return rounded(s.select("rebal_date", "rho", "p_value", "n", verdict.alias("verdict")))
 
 
-@query("correlation_study_bins")
+_FORWARD = """fj AS (SELECT r.rebal_date, x.ticker, x.date_idx, x.log_ret AS x FROM ret x JOIN rebal r ON x.date >= r.rebal_date + INTERVAL 5 DAY AND x.date <= r.rebal_date + INTERVAL 370 DAY),
+fn AS (SELECT rebal_date, count(DISTINCT date_idx) AS n FROM fj GROUP BY 1), ff AS (SELECT rebal_date, ticker FROM fj JOIN fn USING (rebal_date) GROUP BY rebal_date, ticker, n HAVING count(x) = n AND n >= 30),
+fr AS (SELECT a.rebal_date, a.ticker AS a, b.ticker AS b, corr(a.x, b.x) AS corr FROM (SELECT fj.* FROM fj JOIN ff USING (rebal_date, ticker)) a JOIN (SELECT fj.* FROM fj JOIN ff USING (rebal_date, ticker)) b ON a.rebal_date = b.rebal_date AND a.date_idx = b.date_idx AND a.ticker < b.ticker GROUP BY ALL),
+sc AS (SELECT rebal_date, a, b, cosine, corr FROM bcos JOIN fr USING (rebal_date, a, b))"""
+_STUDY = (t.PX, t.CAL, t.RET, t.REBAL, k.BRANDS, _FORWARD)
+
+
+@query("correlation_study_bins", t.sql(*_STUDY, "ed AS (SELECT rebal_date, list_distinct(quantile_cont(cosine, [0, .1, .2, .3, .4, .5, .6, .7, .8, .9, 1])) AS e FROM sc GROUP BY 1), bn AS (SELECT s.*, greatest(len(list_filter(e, lambda v: v < cosine)) - 1, 0) AS bin FROM sc s JOIN ed USING (rebal_date))", "SELECT rebal_date, CAST(bin AS INT) AS bin, round(avg(cosine), 6) AS avg_cosine, round(avg(corr), 6) AS avg_corr, count(*) AS n_pairs FROM bn GROUP BY ALL"))
 def correlation_study_bins(spark: SparkSession, d: str) -> DataFrame:
     b = rank.quantile_bins(_similarity_and_correlation(spark, d), ["rebal_date"], "cosine", 10)
     return rounded(b.groupBy("rebal_date", "bin").agg(F.avg("cosine").alias("avg_cosine"), F.avg("corr").alias("avg_corr"), F.count("*").alias("n_pairs")))
 
 
-@query("sector_analysis")
+@query(
+    "sector_analysis",
+    t.sql(*_STUDY, t.SECTOR, "sp AS (SELECT s.rebal_date, corr AS y, cosine AS x1, CAST(coalesce(u.sector = v.sector, false) AS INT)::DOUBLE AS x2, avg(corr) OVER (PARTITION BY s.rebal_date) AS mean FROM sc s LEFT JOIN sector u ON u.ticker = s.a LEFT JOIN sector v ON v.ticker = s.b)", "SELECT rebal_date, round(corr(y, x1) ** 2, 6) AS r2_first, round(corr(y, x2) ** 2, 6) AS r2_second, round((corr(y, x1) ** 2 + corr(y, x2) ** 2 - 2 * corr(y, x1) * corr(y, x2) * corr(x1, x2)) / (1 - corr(x1, x2) ** 2), 6) AS r2_both, count_if(abs(x1 - y) < abs(mean - y)) AS wins, count(*) AS n_pairs FROM sp GROUP BY 1"),
+)
 def sector_analysis(spark: SparkSession, d: str) -> DataFrame:
     """Per date: how much of realised correlation similarity and a common sector explain, and where similarity is nearer than the mean."""
     p = embed.sector_pairs(_similarity_and_correlation(spark, d), t.sectors(spark, d))
