@@ -28,8 +28,9 @@ def news():
     }
 
 
-@pytest.fixture
-def root(spark, tmp_path):
+@pytest.fixture(scope="module")
+def root(spark, tmp_path_factory):
+    tmp_path = tmp_path_factory.mktemp("news")
     n = 0
     for subset, files in news().items():
         for rows in files:
@@ -70,9 +71,17 @@ def test_batch_against_plain_rules(spark, root):
     assert {(r.ticker, str(r.doc_date)) for r in e.collect()} == {("ABC", "2020-03-31"), ("DEF", "2019-12-31"), ("WORD", "2020-06-30"), ("WORD", "2020-03-31")}
 
 
+@pytest.fixture(scope="module")
+def whole(spark, root):
+    """The store of a run that nothing interrupts, a batch a file."""
+    store = f"{root}/whole"
+    ingest.ingest(subsets(spark, root, True), tickers(spark), store, dim=16).awaitTermination()
+    return store_rows(spark, store)
+
+
 @pytest.mark.parametrize("recent", [None, "40 days"])
 def test_stream_equals_batch(spark, root, recent):
-    store = f"{root}/store"
+    store = f"{root}/store-{recent}"
     ingest.ingest(subsets(spark, root, True), tickers(spark), store, dim=16, recent=recent).awaitTermination()
     assert spark.read.parquet(f"{store}/articles").select("batch_id").distinct().count() > 3
     (a, e), (wa, we) = store_rows(spark, store), batch_rows(spark, root)
@@ -81,8 +90,8 @@ def test_stream_equals_batch(spark, root, recent):
     assert recent or (a, e) == (wa, we) or _differ_by_first_copy(spark, store, root)
     ingest.ingest(subsets(spark, root, True), tickers(spark), store, dim=16, recent=recent).awaitTermination()
     assert store_rows(spark, store) == (a, e)  # nothing new, nothing changed
-    ingest.compacted(spark, store, f"{root}/compact")
-    assert store_rows(spark, f"{root}/compact") == (a, e)
+    ingest.compacted(spark, store, f"{store}-compact")
+    assert store_rows(spark, f"{store}-compact") == (a, e)
 
 
 def _differ_by_first_copy(spark, store, root):
@@ -93,12 +102,11 @@ def _differ_by_first_copy(spark, store, root):
 
 
 @pytest.mark.parametrize("dies_at", [("before", 1), ("middle", 1), ("after", 2)])
-def test_killed_and_restarted(spark, root, dies_at, monkeypatch):
+def test_killed_and_restarted(spark, root, whole, dies_at, monkeypatch):
     """Killed before a batch, between its articles and its embeddings, or after both but before the commit."""
-    whole, broken = f"{root}/whole", f"{root}/broken"
-    ingest.ingest(subsets(spark, root, True), tickers(spark), whole, dim=16).awaitTermination()
-    want = store_rows(spark, whole)
+    want = whole
     where, at = dies_at
+    broken = f"{root}/broken-{where}"
     real = ingest._overwrite
 
     def overwrite(df, path, *by):
