@@ -97,16 +97,15 @@ vr AS (SELECT as_of, term, df, CAST(total AS BIGINT) AS total, n_docs, row_numbe
 voc AS (SELECT * FROM vr WHERE place <= 200)"""
 
 
-def _tfidf(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _tfidf(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     docs = t.filings(spark, d)
     dates = spark.createDataFrame([("2013-06-30",), ("2016-06-30",), ("2020-01-01",)], "s string").select(F.col("s").cast("date").alias("as_of"))
-    terms = tfidf.terms(docs)
-    return docs, terms, tfidf.vocabulary(docs, terms, dates, max_features=200)
+    return docs, tfidf.vocabulary(docs, tfidf.terms(docs.select("doc_date", "text")), dates, max_features=200)
 
 
 @query("tfidf_top_terms", t.sql(t.FILINGS, _TERMS, _DATES, _VOCAB, "SELECT as_of, term, df, total, n_docs, CAST(place AS INT) AS place FROM voc"))
 def tfidf_top_terms(spark: SparkSession, d: str) -> DataFrame:
-    return _tfidf(spark, d)[2]
+    return _tfidf(spark, d)[1]
 
 
 _VECTORS = """wx AS (SELECT v.as_of, f.ticker, f.doc_id, v.term, (1 + ln(tm.tf)) * (ln((1 + v.n_docs) / (1 + v.df)) + 1) AS x FROM tm JOIN filings f USING (doc_id) JOIN voc v ON v.term = tm.term AND f.doc_date <= v.as_of),
