@@ -18,7 +18,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ledgerline import schemas
 from ledgerline.operators import text
-from ledgerline.operators.encode import Encoder, embed_documents
+from ledgerline.operators.encode import Encoder, embed_pieces
 from ledgerline.session import cut, has_data, ship
 
 #: Characters of an article that count, words that a quarter's document must have, characters below which a text is none.
@@ -49,12 +49,13 @@ def first_copies(found: DataFrame) -> DataFrame:
 def matched(found: DataFrame, tickers: DataFrame) -> DataFrame:
     """(dk, ts, quarter, tickers, text): known tickers among the tags, or else the title's; text is cut, and null without a ticker."""
     known = tickers.select("ticker").distinct()
-    by_tag = found.select("dk", F.explode("tags").alias("ticker")).join(known, "ticker").groupBy("dk").agg(F.array_sort(F.collect_set("ticker")).alias("tagged_as"))
-    rest = found.join(by_tag.select("dk"), "dk", "left_anti")
-    by_title = text.title_matches(rest, known, "dk")
-    out = found.join(by_tag, "dk", "left").join(by_title, "dk", "left")
-    named = F.coalesce("tagged_as", F.when(F.col("ticker").isNotNull(), F.array("ticker")), F.array().cast("array<string>"))
-    return out.select("dk", "ts", "quarter", named.alias("tickers"), F.when(F.size(named) > 0, F.left("text", F.lit(ARTICLE_CHARS))).alias("text"))
+    words = F.filter(F.array_distinct(F.split(F.upper(text.title(F.col("text"))), " ")), lambda w: F.length(w) >= 3)
+    named = F.concat(F.transform("tags", lambda x: F.struct(x.alias("ticker"), F.lit(True).alias("tag"))), F.transform(F.coalesce(words, F.array().cast("array<string>")), lambda x: F.struct(x.alias("ticker"), F.lit(False).alias("tag"))))
+    # names alone meet the tickers; the texts meet what was found in one join
+    hits = found.select("dk", F.inline(named)).join(known, "ticker").groupBy("dk").agg(F.array_sort(F.collect_set(F.when(F.col("tag"), F.col("ticker")))).alias("tagged_as"), F.min(F.when(~F.col("tag"), F.col("ticker"))).alias("titled_as"))
+    out = found.join(hits, "dk", "left")
+    tickers_ = F.when(F.size("tagged_as") > 0, F.col("tagged_as")).when(F.col("titled_as").isNotNull(), F.array("titled_as")).otherwise(F.array().cast("array<string>"))
+    return out.select("dk", "ts", "quarter", tickers_.alias("tickers"), "text").withColumn("text", F.when(F.size("tickers") > 0, F.left("text", F.lit(ARTICLE_CHARS))))
 
 
 def quarter_documents(store: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
@@ -67,15 +68,21 @@ def quarter_documents(store: DataFrame, pairs: DataFrame | None = None) -> DataF
     return docs.where(text.word_count(F.col("text")) >= LEAST_WORDS).select("ticker", end.alias("doc_date"), "text")
 
 
-def embedded(documents: DataFrame, encoder: Encoder | None, dim: int) -> DataFrame:
-    e = embed_documents(documents, ["ticker", "doc_date"], encoder, dim)
-    return e.select("ticker", "doc_date", F.lit("news").alias("doc_type"), "embedding", "norm", "n_chunks")
+def quarter_embeddings(store: DataFrame, pairs: DataFrame | None, encoder: Encoder | None, dim: int) -> DataFrame:
+    """The embeddings of quarter_documents(), whose articles stream through a task in order: no row holds a quarter's text."""
+    key = ["ticker", "quarter"]
+    rows = store.where("text IS NOT NULL").select(F.explode("tickers").alias("ticker"), "quarter", "ts", "dk", F.concat(F.left("text", F.lit(ARTICLE_CHARS)), F.lit("\n\n")).alias("text"))
+    if pairs is not None:
+        rows = rows.join(pairs, key, "left_semi")
+    words = rows.groupBy(*key).agg(F.sum(text.word_count(F.col("text"))).alias("n")).where(F.col("n") >= LEAST_WORDS).select(*key)
+    e = embed_pieces(rows.join(F.broadcast(words), key, "left_semi"), key, ["ts", "dk"], encoder, dim)
+    return e.select("ticker", F.date_sub(F.add_months("quarter", 3), 1).alias("doc_date"), F.lit("news").alias("doc_type"), "embedding", "norm", "n_chunks")
 
 
 def ingest_batch(news: DataFrame, tickers: DataFrame, encoder: Encoder | None = None, dim: int = 768) -> tuple[DataFrame, DataFrame]:
     """(articles, embeddings) of all news at once: what the stream's store must come to."""
     a = cut(matched(first_copies(articles(news)), tickers))
-    return a, embedded(quarter_documents(a), encoder, dim)
+    return a, quarter_embeddings(a, None, encoder, dim)
 
 
 def _overwrite(df: DataFrame, path: str, *by: str) -> None:
@@ -97,7 +104,7 @@ def merge(batch: DataFrame, batch_id: int, store: str, tickers: DataFrame, encod
     pairs = cut(new.select(F.explode("tickers").alias("ticker"), "quarter").distinct())
     columns = ["dk", "ts", "quarter", "tickers", "text"]
     changed = new.select(columns) if old is None else new.select(columns).unionByName(old.select(columns))
-    made = embedded(quarter_documents(changed, pairs), encoder, dim).withColumn("batch_id", F.lit(batch_id))
+    made = quarter_embeddings(changed, pairs, encoder, dim).withColumn("batch_id", F.lit(batch_id))
     _overwrite(made, f"{store}/embeddings", "batch_id")
 
 
