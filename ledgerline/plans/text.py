@@ -100,7 +100,7 @@ voc AS (SELECT * FROM vr WHERE place <= 200)"""
 def _tfidf(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     docs = t.filings(spark, d)
     dates = spark.createDataFrame([("2013-06-30",), ("2016-06-30",), ("2020-01-01",)], "s string").select(F.col("s").cast("date").alias("as_of"))
-    return docs, tfidf.vocabulary(docs, tfidf.terms(docs.select("doc_date", "text")), dates, max_features=200)
+    return docs, tfidf.vocabulary(docs, None, dates, max_features=200)
 
 
 @query("tfidf_top_terms", t.sql(t.FILINGS, _TERMS, _DATES, _VOCAB, "SELECT as_of, term, df, total, n_docs, CAST(place AS INT) AS place FROM voc"))

@@ -83,3 +83,36 @@ def test_firm_vectors_shuffle_sums_only(spark):
     vocab = cut(tfidf.vocabulary(docs, tfidf.terms(docs), as_of, max_features=12))
     found = plan(tfidf.firm_vectors(docs, vocab))
     assert "Join" not in found and found.count("Exchange hashpartitioning") <= 2 and "partial_sum" in found
+
+
+def test_terms_added_up_where_they_are_read_are_the_same(spark):
+    rows, docs, as_of = documents(spark)
+    want, _ = plain(rows, 12)
+    for n in (1, 7):
+        got = tfidf.vocabulary(docs.repartition(n), None, as_of, max_features=12)
+        assert {(str(r.as_of), r.term): (r.df, r.total, r.n_docs) for r in got.collect()} == want
+    found = plan(tfidf.vocabulary(docs, None, as_of))
+    assert "inline" not in found and "MapInArrow" in found and "monotonically_increasing_id" not in found
+    assert tfidf.vocabulary(docs.limit(0), None, as_of).count() == 0
+
+
+def test_a_row_group_is_dealt_over_tasks_to_count_its_terms(spark, tmp_path):
+    """One file of one row group, as a plain writer makes it: without dealing, one task splits all of its texts."""
+    _, docs, as_of = documents(spark)
+    docs.coalesce(1).write.parquet(str(tmp_path / "d"))
+    one = spark.read.parquet(str(tmp_path / "d"))
+    assert "monotonically_increasing_id" in plan(tfidf.vocabulary(one, None, as_of)).split("MapInArrow")[-1]
+    dealt = tfidf._spread(one)
+    assert "Exchange hashpartitioning(at" in plan(dealt) and dealt.columns == one.columns and dealt.exceptAll(one).isEmpty() and dealt.count() == 153
+    assert "Exchange" not in plan(tfidf._spread(docs))
+
+
+def test_words_are_split_by_bytes_as_by_classes_of_code_points():
+    import pyarrow as pa
+
+    rnd = random.Random(5)
+    points = [chr(c) for c in (*range(0x3000), *range(0xFE00, 0x10400), 0x1F642, 0x20000, 0xE0100, 0x10FFFF) if unicodedata.category(chr(c)) not in ("Cn", "Cs")]
+    texts = [None, "", " ", *("".join(rnd.choice(("ab", "b", "é", c)) for c in rnd.choices(points, k=40)) for _ in range(500))]
+    words_of = tfidf.pc.ascii_split_whitespace(tfidf._spaced(pa.array(["skipped é–", *texts]).slice(1))).to_pylist()
+    apart = tfidf.pc.split_pattern_regex(tfidf.pc.utf8_lower(pa.array(texts)), r"[^\p{L}\p{M}\p{N}_]+").to_pylist()
+    assert [[w for w in x or [] if w] for x in words_of] == [[w for w in x or [] if w] for x in apart]
