@@ -116,3 +116,14 @@ def test_words_are_split_by_bytes_as_by_classes_of_code_points():
     words_of = tfidf.pc.ascii_split_whitespace(tfidf._spaced(pa.array(["skipped é–", *texts]).slice(1))).to_pylist()
     apart = tfidf.pc.split_pattern_regex(tfidf.pc.utf8_lower(pa.array(texts)), r"[^\p{L}\p{M}\p{N}_]+").to_pylist()
     assert [[w for w in x or [] if w] for x in words_of] == [[w for w in x or [] if w] for x in apart]
+
+
+def test_a_row_group_is_dealt_over_tasks_to_weigh_its_terms(spark, tmp_path):
+    rows, docs, as_of = documents(spark)
+    docs.coalesce(1).write.parquet(str(tmp_path / "d"))
+    one, vocab = spark.read.parquet(str(tmp_path / "d")), cut(tfidf.vocabulary(docs, None, as_of, max_features=12))
+    found = tfidf.firm_vectors(one, vocab)
+    assert "monotonically_increasing_id" in plan(found).split("MapInArrow")[-1]
+    want = plain(rows, 12)[1]
+    got = {(str(r.as_of), r.ticker, r.term): r.value for r in found.collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
