@@ -24,6 +24,7 @@ MODULES = {
     "op11_nearest_neighbours": "one_bit",
     "op12_conversation_repair": "repair",
     "op13_fill_in_middle": "infill",
+    "chat_tool_calls": "chat_calls",
 }
 
 
